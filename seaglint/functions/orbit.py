@@ -3,12 +3,13 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seaglint.functions.clock import micros
 from seaglint import config as C
 
 
 def tle_is_fresh(updated_at: Column, now: Column) -> Column:
     """Younger than the time-to-live; a missing or unreadable stamp is not fresh."""
-    age_s = F.unix_micros(now) - F.unix_micros(F.to_timestamp(updated_at))
+    age_s = micros(now) - micros(F.to_timestamp(updated_at))
     return F.coalesce(age_s < F.lit(C.TLE_TTL_HOURS * 3600 * 1_000_000), F.lit(False))
 
 

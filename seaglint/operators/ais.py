@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seaglint.functions.clock import micros
 from seaglint import config as C
 from seaglint.functions import ais, boxes, geo
 from seaglint.operators.ranking import top_per_group
@@ -73,12 +74,12 @@ def density_map(positions: DataFrame, bbox=C.REGION_BBOX, cell: float = C.DENSIT
 
 def density_rank(cells: DataFrame) -> DataFrame:
     """Rank of each cell by count. The grid bounds the number of rows, not the data."""
-    w = Window.orderBy(F.desc("ais_count"), "cell_index")
+    w = Window.orderBy(F.desc("ais_count"), "cell_index", "lon_min")
     return cells.withColumn("density_rank", F.row_number().over(w).cast("bigint"))
 
 
 def top_density_cells(cells: DataFrame, n: int = C.TARGET_ZONES) -> DataFrame:
-    return cells.orderBy(F.desc("ais_count"), "cell_index").limit(n)
+    return cells.orderBy(F.desc("ais_count"), "cell_index", "lon_min").limit(n)
 
 
 def nearest_cell(scenes: DataFrame, ranked_cells: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def nearest_cell(scenes: DataFrame, ranked_cells: DataFrame) -> DataFrame:
         F.transform(
             F.col("_cells"),
             lambda c: F.struct(
-                (F.pow(c["cx"] - lon, 2) + F.pow(c["cy"] - lat, 2)).alias("d2"),
+                F.round(F.pow(c["cx"] - lon, 2) + F.pow(c["cy"] - lat, 2), 9).alias("d2"),
                 c["density_rank"].alias("density_rank"),
                 c["cell_index"].alias("cell_index"),
                 c["ais_count"].alias("ais_count"),
@@ -154,13 +155,13 @@ def ais_hour_window(
     """Pairs where the position is within ``hours`` of the acquisition and inside the box."""
     step = F.lit(3_600_000_000)
     reach = F.lit(int(hours * 3_600_000_000))
-    acq = F.unix_micros("acquired")
+    acq = micros("acquired")
     sc = scenes.select("scene_id", "acquired", "lat_min", "lon_min", "lat_max", "lon_max").withColumn(
         "_hour", F.explode(F.sequence(F.floor((acq - reach) / step), F.floor((acq + reach) / step)))
     )
-    pts = drop_missing_coords(positions).withColumn("_hour", F.floor(F.unix_micros("ts") / step))
+    pts = drop_missing_coords(positions).withColumn("_hour", F.floor(micros("ts") / step))
     pairs = points_in_boxes(pts, sc, on=("_hour",), cell=1.0, hot_rows=hot_rows)
-    near = F.abs(F.unix_micros("ts") - F.unix_micros("acquired")) <= reach
+    near = F.abs(micros("ts") - micros("acquired")) <= reach
     return pairs.where(near).drop("_hour")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seaglint.functions.clock import micros
 from seaglint import config as C
 from seaglint.operators.ranking import biggest_group
 
@@ -34,14 +35,14 @@ def asof_latest(
     lcols = left.columns
     stacked = left.select(
         F.col(key).alias("_k"),
-        F.unix_micros(F.col(left_time)).alias("_t"),
+        micros(F.col(left_time)).alias("_t"),
         F.lit(1).alias("_side"),
         F.lit(None).cast("string").alias("_tie"),
         F.struct(*lcols).alias("_left"),
     ).unionByName(
         right.select(
             F.col(key).alias("_k"),
-            F.unix_micros(F.col(right_time)).alias("_t"),
+            micros(F.col(right_time)).alias("_t"),
             F.lit(0).alias("_side"),
             F.col(tie).cast("string").alias("_tie"),
             payload.alias("_right"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seaglint.functions.clock import micros
 from seaglint import config as C
 from seaglint.functions import geo, names
 from seaglint.functions.draws import draw_hash
@@ -35,7 +36,7 @@ def search_catalogue(
     """
     box = tuple(F.col(c) for c in ("lon_min", "lat_min", "lon_max", "lat_max"))
     want = tuple(F.lit(float(v)) for v in bbox)
-    kind = F.contains(F.col("name"), F.lit(C.PRODUCT_TYPE[:7]))
+    kind = F.contains(F.col("name"), F.lit(C.PRODUCT_TYPE))
     hits = products.where(
         kind
         & geo.overlaps(box, want)
@@ -203,7 +204,7 @@ def cell_product_join(cells: DataFrame, products: DataFrame, n: int = C.TARGET_Z
         F.sort_array(
             F.collect_list(
                 F.struct(
-                    (-F.unix_micros("date")).alias("newest"),
+                    (-micros("date")).alias("newest"),
                     "product_id",
                     "name",
                     F.coalesce(names.scene_base_id(F.col("name")), F.lit("")).alias("base"),

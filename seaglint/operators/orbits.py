@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seaglint.functions.clock import micros
 from seaglint.functions import orbit
 from seaglint.operators.asof import asof_latest
 
@@ -23,7 +24,7 @@ def latest_tle(sets: DataFrame, as_of: str) -> DataFrame:
     order = F.struct(
         F.col("fresh").cast("int").alias("a"),
         F.when(F.col("fresh"), place).otherwise(0).alias("b"),
-        F.unix_micros("updated_at").alias("c"),
+        micros("updated_at").alias("c"),
         place.alias("d"),
         F.col("tle1").alias("e"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seaglint.functions.clock import micros
 from seaglint import config as C
 from seaglint.functions import geo
 
@@ -104,9 +105,9 @@ def near_in_space_and_time(
     cell = max(radius_m / C.METRES_PER_DEGREE * 2.0, 0.001)
     step = F.lit(max(window_s, 1) * 1_000_000)
     dlat, dlon = reach_degrees(F.col("lat"), radius_m)
-    micros = F.unix_micros("ts")
+    at = micros("ts")
     lo = (
-        left.select(left_id, "lat", "lon", micros.alias("_t"))
+        left.select(left_id, "lat", "lon", at.alias("_t"))
         .withColumn("_cy", _steps(F.col("lat") - dlat, F.col("lat") + dlat, cell))
         .withColumn("_cx", _steps(F.col("lon") - dlon, F.col("lon") + dlon, cell))
         .withColumn(
@@ -119,10 +120,10 @@ def near_in_space_and_time(
     ro = right.select(
         F.col("lat").alias("_rlat"),
         F.col("lon").alias("_rlon"),
-        micros.alias("_rt"),
+        at.alias("_rt"),
         geo.cell_of(F.col("lat"), cell).alias("_cy"),
         geo.cell_of(F.col("lon"), cell).alias("_cx"),
-        F.floor(micros / step).alias("_ct"),
+        F.floor(at / step).alias("_ct"),
     )
     ro, lo, keys = split_hot_keys(ro, lo, ["_cy", "_cx", "_ct"], hot_rows)
     close = (
