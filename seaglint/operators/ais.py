@@ -82,10 +82,12 @@ def top_density_cells(cells: DataFrame, n: int = C.TARGET_ZONES) -> DataFrame:
     return cells.orderBy(F.desc("ais_count"), "cell_index", "lon_min").limit(n)
 
 
-def nearest_cell(scenes: DataFrame, ranked_cells: DataFrame) -> DataFrame:
-    """Closest density cell to each scene centre, by distance in degrees.
+def nearest_cell(scenes: DataFrame, ranked_cells: DataFrame, step: float = C.DENSITY_CELL_DEG) -> DataFrame:
+    """Closest density cell to each scene centre, by distance in degrees (ties: better rank).
 
-    The cell list is bounded by the map's grid, so it travels to the scenes as one array.
+    Scene centres are put on a grid. For each grid square in use, the cells that can be nearest to
+    some point of it are listed once: those no farther at best than another is at worst. Both the
+    squares and the cell list are bounded by the map, and a scene then compares a few cells only.
     """
     listed = ranked_cells.agg(
         F.collect_list(
@@ -98,20 +100,44 @@ def nearest_cell(scenes: DataFrame, ranked_cells: DataFrame) -> DataFrame:
             )
         ).alias("cells")
     )
-    lon = (F.col("lon_min") + F.col("lon_max")) / 2
-    lat = (F.col("lat_min") + F.col("lat_max")) / 2
+    size = F.lit(step)
+    centred = (
+        scenes.withColumn("_lon", (F.col("lon_min") + F.col("lon_max")) / 2)
+        .withColumn("_lat", (F.col("lat_min") + F.col("lat_max")) / 2)
+        .withColumn("_gx", geo.cell_of(F.col("_lon"), step))
+        .withColumn("_gy", geo.cell_of(F.col("_lat"), step))
+    )
+    zero = F.lit(0.0)
+
+    def gap2(c, worst):
+        out = zero
+        for place, axis in ((c["cx"], "_gx"), (c["cy"], "_gy")):
+            below, above = F.col(axis) * size - place, place - (F.col(axis) + 1) * size
+            d = F.greatest(F.abs(below), F.abs(above)) if worst else F.greatest(below, above, zero)
+            out = out + d * d
+        return out
+
+    pairs = centred.select("_gx", "_gy").distinct().withColumn("c", F.explode(listed.scalar()))
+    pairs = pairs.withColumn("_least", gap2(F.col("c"), False)).withColumn("_most", gap2(F.col("c"), True))
+    reach = pairs.groupBy("_gx", "_gy").agg(F.min("_most").alias("_reach"))
+    squares = (
+        pairs.join(reach, ["_gx", "_gy"])
+        .where(F.col("_least") <= F.col("_reach") + F.lit(1e-8))
+        .groupBy("_gx", "_gy")
+        .agg(F.collect_list("c").alias("_near"))
+    )
     best = F.array_min(
         F.transform(
-            F.col("_cells"),
+            F.col("_near"),
             lambda c: F.struct(
-                F.round(F.pow(c["cx"] - lon, 2) + F.pow(c["cy"] - lat, 2), 9).alias("d2"),
+                F.round(F.pow(c["cx"] - F.col("_lon"), 2) + F.pow(c["cy"] - F.col("_lat"), 2), 9).alias("d2"),
                 c["density_rank"].alias("density_rank"),
                 c["cell_index"].alias("cell_index"),
                 c["ais_count"].alias("ais_count"),
             ),
         )
     )
-    out = scenes.withColumn("_cells", listed.scalar()).withColumn("_best", best)
+    out = centred.join(squares, ["_gx", "_gy"]).withColumn("_best", best)
     return out.select(
         *scenes.columns,
         F.col("_best.cell_index").alias("cell_index"),
@@ -221,13 +247,17 @@ def points_first_tile(
     *,
     point_id: str,
     on: tuple[str, ...] = (),
+    per: tuple[str, ...] = (),
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Each point with the first tile in grid order whose slightly widened box holds it."""
+    """Each point with the first tile in grid order whose slightly widened box holds it.
+
+    ``per`` names tile columns (a scene) within which the first tile is wanted.
+    """
     pairs = points_in_boxes(
         points, tiles, on=on, cell=0.2, margin=C.FIRST_TILE_MARGIN_DEG, hot_rows=hot_rows
     )
-    return top_per_group(pairs, [*on, point_id], [F.asc("tile_no"), F.asc("tile_id")], 1)
+    return top_per_group(pairs, [*on, *per, point_id], [F.asc("tile_no"), F.asc("tile_id")], 1)
 
 
 def dark_detections(
