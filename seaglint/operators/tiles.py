@@ -127,17 +127,21 @@ def tile_geo_bbox(tiles: DataFrame, gcps: DataFrame, shapes: DataFrame) -> DataF
 
     If a corner is off the grid, the tile's centre ± 0.025 degrees; if that is off too, (0, 0).
     """
+    last_y, last_x = F.col("y1") - 1, F.col("x1") - 1
+    mid_y, mid_x = F.floor((F.col("y0") + F.col("y1")) / 2), F.floor((F.col("x0") + F.col("x1")) / 2)
+
+    def spot(mid, line, pixel):
+        return F.struct(
+            F.lit(mid).alias("mid"), line.cast("double").alias("line"), pixel.cast("double").alias("pixel")
+        )
+
     spots = F.explode(
         F.array(
-            F.struct(F.lit(False).alias("mid"), F.col("y0").cast("double").alias("line"), F.col("x0").cast("double").alias("pixel")),
-            F.struct(F.lit(False), F.col("y0").cast("double"), (F.col("x1") - 1).cast("double")),
-            F.struct(F.lit(False), (F.col("y1") - 1).cast("double"), F.col("x0").cast("double")),
-            F.struct(F.lit(False), (F.col("y1") - 1).cast("double"), (F.col("x1") - 1).cast("double")),
-            F.struct(
-                F.lit(True),
-                F.floor((F.col("y0") + F.col("y1")) / 2).cast("double"),
-                F.floor((F.col("x0") + F.col("x1")) / 2).cast("double"),
-            ),
+            spot(False, F.col("y0"), F.col("x0")),
+            spot(False, F.col("y0"), last_x),
+            spot(False, last_y, F.col("x0")),
+            spot(False, last_y, last_x),
+            spot(True, mid_y, mid_x),
         )
     )
     pts = tiles.select("scene_id", "tile_no", spots.alias("p")).select("scene_id", "tile_no", "p.*")
