@@ -183,31 +183,39 @@ def nms_benchmark(
 # --- overlap pairs -----------------------------------------------------------------------
 
 
-def _own_place(centre: Column, side: Column, base: float) -> Column:
-    level = F.floor(F.log(F.greatest(side, F.lit(1e-6))) / F.lit(math.log(base))).cast("int")
-    cell = F.pow(F.lit(base), level + 1)
-    return F.struct(level.alias("l"), F.floor(centre / cell).cast("bigint").alias("c"))
+def _size_class(side: Column, base: float) -> Column:
+    return F.floor(F.log(F.greatest(side, F.lit(1e-6))) / F.lit(math.log(base)))
 
 
-def _partner_places(centre: Column, side: Column, base: float, t: float) -> Column:
-    """Places a partner of overlap >= t can have on this axis.
+def _own_place(df: DataFrame, base: float) -> DataFrame:
+    """Add the size class of the longer side and the grid cell of the centre."""
+    cell = F.pow(F.lit(base), F.col("_size") + 1)
+    return (
+        df.withColumn("_size", _size_class(F.greatest("w", "h"), base))
+        .withColumn("_gx", F.floor(F.col("cx") / cell))
+        .withColumn("_gy", F.floor(F.col("cy") / cell))
+    )
 
-    Overlap t forces sides within a factor t and centres within (1 - t) of the longer side.
-    """
-    log_base = F.lit(math.log(base))
-    safe = F.greatest(side, F.lit(1e-6))
-    lo = F.floor(F.log(safe * F.lit(t * (1 - 1e-9))) / log_base).cast("int")
-    hi = F.floor(F.log(safe / F.lit(t * (1 - 1e-9))) / log_base).cast("int")
-
-    def at_level(level: Column) -> Column:
-        cell = F.pow(F.lit(base), level + 1)
-        reach = F.greatest(safe, F.least(cell, safe / F.lit(t))) * F.lit((1 - t) * (1 + 1e-9)) + F.lit(1e-9)
-        steps = F.sequence(
-            F.floor((centre - reach) / cell).cast("bigint"), F.floor((centre + reach) / cell).cast("bigint")
-        )
-        return F.transform(steps, lambda s: F.struct(level.alias("l"), s.alias("c")))
 
-    return F.flatten(F.transform(F.sequence(lo, hi), at_level))
+def _partner_places(df: DataFrame, base: float, t: float) -> DataFrame:
+    """One row per place where a partner of overlap >= t can lie.
+
+    Overlap t forces both sides within a factor t and the centres within (1 - t) of the longer
+    side. Classes are a little wider than 1/t², so two of them hold all partners.
+    """
+    slack = 1 - 1e-9
+    longer = F.greatest("w", "h", F.lit(1e-6))
+    classes = F.array_distinct(
+        F.array(_size_class(longer * F.lit(t * slack), base), _size_class(longer / F.lit(t * slack), base))
+    )
+    out = df.withColumn("_size", F.explode(classes))
+    cell = F.pow(F.lit(base), F.col("_size") + 1)
+    for centre, side, place in (("cx", "w", "_gx"), ("cy", "h", "_gy")):
+        own = F.greatest(side, F.lit(1e-6))
+        reach = F.greatest(own, F.least(cell, own / F.lit(t))) * F.lit((1 - t) / slack) + F.lit(1e-9)
+        first, last = F.floor((F.col(centre) - reach) / cell), F.floor((F.col(centre) + reach) / cell)
+        out = out.withColumn(place, F.explode(F.sequence(first, last)))
+    return out
 
 
 def iou_pairs(
@@ -215,29 +223,31 @@ def iou_pairs(
     right: DataFrame,
     tile: str = "tile_id",
     threshold: float = C.MATCH_IOU,
+    *,
+    keep: tuple[str, ...] = (),
+    crowded: str = "left",
     hot_rows: int | None = None,
 ) -> DataFrame:
     """(left, right) box pairs of one tile with overlap >= ``threshold``.
 
     Both sides: ``tile``, ``box_id`` and a centre box. Each box is keyed by its size class and
     grid place, so only boxes of like size and place meet, also inside a crowded tile.
+    ``crowded`` names the side whose busiest places are spread over tasks; ``keep`` lists left
+    columns to carry along.
     """
-    base = 1.0 / (threshold * threshold)
-    a = left.select(
-        tile,
-        F.col("box_id").alias("left_id"),
-        *[F.col(c).alias(f"_a_{c}") for c in CENTRE],
-        _own_place(F.col("cx"), F.col("w"), base).alias("_px"),
-        _own_place(F.col("cy"), F.col("h"), base).alias("_py"),
-    )
-    b = right.select(
-        tile,
-        F.col("box_id").alias("right_id"),
-        *[F.col(c).alias(f"_b_{c}") for c in CENTRE],
-        F.explode(_partner_places(F.col("cx"), F.col("w"), base, threshold)).alias("_px"),
-        _partner_places(F.col("cy"), F.col("h"), base, threshold).alias("_pys"),
-    ).withColumn("_py", F.explode("_pys")).drop("_pys")
-    a, b, keys = split_hot_keys(a, b, [tile, "_px", "_py"], hot_rows)
+    base = 1.01 / (threshold * threshold)
+    places = ["_size", "_gx", "_gy"]
+
+    def renamed(df, id_name, tag, extra=()):
+        boxes = [F.col(c).alias(f"{tag}{c}") for c in CENTRE]
+        return df.select(tile, F.col("box_id").alias(id_name), *extra, *boxes, *places)
+
+    a = renamed(_own_place(left.select(tile, "box_id", *keep, *CENTRE), base), "left_id", "_a_", keep)
+    b = renamed(_partner_places(right.select(tile, "box_id", *CENTRE), base, threshold), "right_id", "_b_")
+    if crowded == "left":
+        a, b, keys = split_hot_keys(a, b, [tile, *places], hot_rows)
+    else:
+        b, a, keys = split_hot_keys(b, a, [tile, *places], hot_rows)
     iou = B.iou_yolo(
         tuple(F.col(f"_a_{c}") for c in CENTRE), tuple(F.col(f"_b_{c}") for c in CENTRE)
     )
@@ -245,7 +255,7 @@ def iou_pairs(
         a.join(b, keys)
         .withColumn("iou", iou)
         .where(F.col("iou") >= threshold)
-        .select(tile, "left_id", "right_id", "iou")
+        .select(tile, "left_id", *keep, "right_id", "iou")
     )
 
 
@@ -298,28 +308,30 @@ def greedy_match(
     best: bool,
     tile: str = "tile_id",
     threshold: float = C.MATCH_IOU,
+    suppressed: bool = True,
     edge_limit: int = 200_000,
 ) -> DataFrame:
     """Predictions in ``rank`` order each take one free label with enough overlap.
 
     ``best=False`` takes the first such label by ``box_id``, ``best=True`` the one with most
-    overlap. Only overlapping pairs reach the fold.
+    overlap. Only overlapping pairs reach the fold. Suppressed predictions hardly overlap each
+    other, so a label has few partners and the label count of a tile tells its size; with
+    ``suppressed=False`` the pairs themselves are counted.
     """
-    edges = iou_pairs(preds, labels, tile, threshold)
-    ranks = preds.select(tile, F.col("box_id").alias("left_id"), F.col("rank").alias("pred_rank"))
-    edges = edges.join(ranks, [tile, "left_id"]).select(
+    edges = iou_pairs(preds, labels, tile, threshold, keep=("rank",), crowded="right").select(
         tile,
         F.col("left_id").alias("pred_id"),
         F.col("right_id").alias("gt_id"),
         "iou",
-        "pred_rank",
+        F.col("rank").alias("pred_rank"),
         (-F.col("iou") if best else F.lit(0.0)).alias("choice"),
     )
     kind = dict(edges.dtypes)
     schema = f"{tile} {kind[tile]}, pred_id {kind['pred_id']}, gt_id {kind['gt_id']}, iou double"
-    if biggest_group(edges, [tile]) <= edge_limit:
+    counted, limit = (labels, edge_limit // 8) if suppressed else (edges, edge_limit)
+    if biggest_group(counted, [tile]) <= limit:
         return edges.groupBy(tile).applyInPandas(_match_group(tile), schema)
-    crowded = edges.groupBy(tile).count().where(F.col("count") > edge_limit).select(tile)
+    crowded = counted.groupBy(tile).count().where(F.col("count") > limit).select(tile)
     small = edges.join(crowded, tile, "left_anti").groupBy(tile).applyInPandas(_match_group(tile), schema)
     return small.unionByName(_match_in_rounds(edges.join(crowded, tile, "left_semi"), tile))
 

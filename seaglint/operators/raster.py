@@ -485,7 +485,7 @@ def assemble_windows(
         y1, x1 = min(y0 + size, int(one.height)), min(x0 + size, int(one.width))
         py0, px0 = max(0, y0 - halo), max(0, x0 - halo)
         py1, px1 = min(int(one.height), y1 + halo), min(int(one.width), x1 + halo)
-        out = np.zeros((py1 - py0, px1 - px0), dtype=one.dtype)
+        out = np.zeros((py1 - py0, px1 - px0), dtype=one["dtype"])
         for r in pdf.itertuples(index=False):
             a = _pixels(r)
             top, left = r.by * block, r.bx * block
@@ -495,7 +495,7 @@ def assemble_windows(
                 out[t0 - py0 : t1 - py0, l0 - px0 : l1 - px0] = a[t0 - top : t1 - top, l0 - left : l1 - left]
         tile_no = int(one.tr) * -(-int(one.width) // stride) + int(one.tc)
         return pd.DataFrame(
-            [(one.scene_id, f"{one.scene_id}_{tile_no:06d}", tile_no, y0, y1, x0, x1, py0, py1, px0, px1, *out.shape, one.dtype, out.tobytes())],
+            [(one.scene_id, f"{one.scene_id}_{tile_no:06d}", tile_no, y0, y1, x0, x1, py0, py1, px0, px1, *out.shape, one["dtype"], out.tobytes())],
             columns=["scene_id", "tile_id", "tile_no", "y0", "y1", "x0", "x1", "py0", "py1", "px0", "px1", "h", "w", "dtype", "data"],
         )
 

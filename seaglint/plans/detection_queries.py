@@ -71,6 +71,11 @@ def _match(t, best):
     return detect.greedy_match(_bench(t), t.v_truth, best=best)
 
 
+def _scores(t, best):
+    kept, labels = _bench(t).persist(), t.v_truth
+    return evaluate.tile_scores(kept, labels, detect.greedy_match(kept, labels, best=best))
+
+
 @query("greedy_match_first", match_sql(False))
 def greedy_match_first(t):
     return _match(t, False).select("tile_id", "pred_id", "gt_id")
@@ -88,7 +93,7 @@ def scores_sql(best, truth="v_truth"):
 
 @query("gt_pred_outer", scores_sql(False))
 def gt_pred_outer(t):
-    return evaluate.tile_scores(_bench(t), t.v_truth, _match(t, False))
+    return _scores(t, False)
 
 
 @query("tile_id_union", f"select tile_id from (select tile_id from ({CONFIDENT}) a union select tile_id from v_truth) z")
@@ -106,7 +111,7 @@ _R4 = "floor({} * 1e4 + 0.5e0) / 1e4"
     from (select cast(sum(tp) as bigint) as tp, cast(sum(n_pred - tp) as bigint) as fp, cast(sum(n_gt - tp) as bigint) as fn from ({scores_sql(False)}) s) z""",
 )
 def detection_metrics(t):
-    return evaluate.detection_metrics(evaluate.tile_scores(_bench(t), t.v_truth, _match(t, False)))
+    return evaluate.detection_metrics(_scores(t, False))
 
 
 @query(
@@ -114,7 +119,7 @@ def detection_metrics(t):
     f"""select tiles_eval, gt_boxes, tp, fp, fn, {r('tp * 1e0 / (tp + fp)')} as precision, {r('tp * 1e0 / (tp + fn)')} as recall from (select count(*) as tiles_eval, cast(sum(n_gt) as bigint) as gt_boxes, cast(sum(tp) as bigint) as tp, cast(sum(n_pred - tp) as bigint) as fp, cast(sum(n_gt - tp) as bigint) as fn from ({scores_sql(True)}) s) z""",
 )
 def detection_metrics_nb(t):
-    out = evaluate.detection_metrics_labelled(evaluate.tile_scores(_bench(t), t.v_truth, _match(t, True)))
+    out = evaluate.detection_metrics_labelled(_scores(t, True))
     return out.withColumn("precision", rounded(F.col("precision"))).withColumn("recall", rounded(F.col("recall")))
 
 

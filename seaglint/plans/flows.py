@@ -37,7 +37,7 @@ def benchmark_chains(preds: DataFrame, labels: DataFrame, hist: DataFrame | None
     codes = preds.select("code").distinct()
     labelled = preds.join(labels.select("tile_key").distinct(), "tile_key", "left_semi")
     p = labelled.where(F.col("score") > C.BENCHMARK_CONFIDENCE).withColumn("tile_id", with_code)
-    kept = detect.nms_benchmark(p)
+    kept = detect.nms_benchmark(p).persist()  # used by the matching and by the counts
     gt = labels.withColumn("code", F.explode(codes.agg(F.collect_list("code")).scalar())).withColumn("tile_id", with_code)
     pairs = detect.greedy_match(kept, gt, best=False)
     scores = evaluate.tile_scores(kept, gt, pairs).withColumn("code", F.substring_index("tile_id", "#", 1))

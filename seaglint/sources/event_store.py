@@ -14,6 +14,8 @@ from seaglint.operators.ranking import newest_per_key
 
 
 class KeyedStore:
+    """Rows by key; the greatest ``order`` wins, and the later batch among equals."""
+
     def __init__(self, root: str, keys: list[str], order: str):
         self.root, self.keys, self.order = root.rstrip("/"), keys, order
 
@@ -47,14 +49,14 @@ class KeyedStore:
         rows = self.history(spark)
         if rows is None:
             return None
-        return newest_per_key(rows, self.keys, F.struct("batch", self.order)).drop("batch")
+        return newest_per_key(rows, self.keys, F.struct(self.order, "batch")).drop("batch")
 
     def compact(self, spark: SparkSession, partition_by: list[str] | None = None) -> None:
         rows = self.history(spark)
         if rows is None:
             return
         _, version, _ = self._base(spark)
-        merged = newest_per_key(rows, self.keys, F.struct("batch", self.order))
+        merged = newest_per_key(rows, self.keys, F.struct(self.order, "batch"))
         upto = rows.agg(F.max("batch")).first()[0]
         merged.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(f"{self.root}/base/v={version + 1}")
         pointer = spark.range(1).select(F.lit(version + 1).alias("version"), F.lit(upto).cast("bigint").alias("upto"))
