@@ -31,7 +31,7 @@ def asof_latest(
     """
     hot_rows = hot_rows or C.HOT_GROUP_ROWS
     payload = F.struct(F.col(right_time).alias(right_time), *[F.col(c) for c in right_cols])
-    step = F.lit(slice_s)
+    step = F.lit(slice_s * 1_000_000)
     lcols = left.columns
     stacked = left.select(
         F.col(key).alias("_k"),
@@ -55,7 +55,7 @@ def asof_latest(
         out = stacked.withColumn("_hit", carry.over(w)).where("_side = 1")
         return out.select("_left.*", *[F.col("_hit")[c].alias(c) for c in (right_time, *right_cols)])
 
-    stacked = stacked.withColumn("_slice", F.floor(F.col("_t") / (step * 1_000_000)))
+    stacked = stacked.withColumn("_slice", F.floor(F.col("_t") / step))
     w = Window.partitionBy("_k", "_slice").orderBy("_t", "_side", "_tie")
     per_slice = stacked.groupBy("_k", "_slice").agg(
         F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_newest")
