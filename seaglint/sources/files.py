@@ -63,8 +63,7 @@ def scan_label_files(spark: SparkSession, root: str, five_only: bool = True) ->
     raw = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.txt")
-        .option("wholetext", True)
-        .text(root)
+        .text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     lines = raw.select(
@@ -206,8 +205,7 @@ def scan_footprints(spark: SparkSession, root: str) -> DataFrame:
     raw = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "manifest.safe")
-        .option("wholetext", True)
-        .text(root)
+        .text(root, wholetext=True)
         .select(parent(F.col("_metadata.file_path"), 1).alias("folder"), "value")
     )
     text = F.regexp_extract("value", r"<gml:coordinates>([^<]*)</gml:coordinates>", 1)
@@ -240,7 +238,7 @@ def scan_tle_sets(spark: SparkSession, json_path: str | None = None, text_path:
     parts = []
     number = stem(F.col("_metadata.file_path")).try_cast("bigint")
     if json_path:
-        raw = spark.read.option("wholetext", True).text(json_path).select(number.alias("norad_id"), "value")
+        raw = spark.read.text(json_path, wholetext=True).select(number.alias("norad_id"), "value")
         rec = F.get(F.from_json("value", "array<struct<tle0:string,tle1:string,tle2:string>>"), F.lit(0))
         parts.append(
             raw.select("norad_id", rec.alias("r")).select(
@@ -252,7 +250,7 @@ def scan_tle_sets(spark: SparkSession, json_path: str | None = None, text_path:
             )
         )
     if text_path:
-        raw = spark.read.option("wholetext", True).text(text_path).select(number.alias("norad_id"), "value")
+        raw = spark.read.text(text_path, wholetext=True).select(number.alias("norad_id"), "value")
         lines = F.filter(F.transform(F.split("value", "\r?\n"), F.trim), lambda v: v != "")
         parts.append(
             raw.select(
