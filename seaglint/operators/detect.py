@@ -49,44 +49,82 @@ def decode_predictions(raw: DataFrame, min_confidence: float = C.DETECTOR_CONFID
 # --- suppression -------------------------------------------------------------------------
 
 
-def _overlap_with(box: np.ndarray, rest: np.ndarray, centre: bool) -> np.ndarray:
-    """Overlap of one corner box with many, in the form the caller's rule uses."""
-    iw = np.maximum(0.0, np.minimum(box[2], rest[:, 2]) - np.maximum(box[0], rest[:, 0]))
-    ih = np.maximum(0.0, np.minimum(box[3], rest[:, 3]) - np.maximum(box[1], rest[:, 1]))
+def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Re-cut key-sorted batches so that no group is split; yields the rows and group borders."""
+    held = None
+    for pdf in batches:
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        k = pdf[key].to_numpy()
+        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+        if len(cuts):
+            yield pdf.iloc[: cuts[-1]], np.concatenate([[0], cuts])
+            pdf = pdf.iloc[cuts[-1] :]
+        held = pdf
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray, centre: bool) -> np.ndarray:
+    """Overlap of corner boxes, in the form the caller's rule uses; arrays broadcast."""
+    iw = np.maximum(0.0, np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0]))
+    ih = np.maximum(0.0, np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1]))
     inter = iw * ih
-    union = (box[2] - box[0]) * (box[3] - box[1]) + (rest[:, 2] - rest[:, 0]) * (rest[:, 3] - rest[:, 1]) - inter
+    area_a = (a[..., 2] - a[..., 0]) * (a[..., 3] - a[..., 1])
+    area_b = (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
+    union = area_a + area_b - inter
     if not centre:
         return inter / (union + 1e-6)
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
-def _kept_indexes(corner: np.ndarray, limit: float, centre: bool) -> list[int]:
-    """Boxes that survive, given rows in rank order."""
-    open_rows = np.arange(len(corner))
-    kept = []
-    while open_rows.size:
-        kept.append(int(open_rows[0]))
-        rest = open_rows[1:]
-        overlap = _overlap_with(corner[open_rows[0]], corner[rest], centre)
-        open_rows = rest[overlap < limit] if centre else rest[overlap <= limit]
-    return kept
+MATRIX_ROWS = 512  # up to this many boxes one overlap table is quicker than a loop
 
 
-def _suppress_group(tile: str, limit: float, centre: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True], kind="mergesort")
-        b = pdf[["_b0", "_b1", "_b2", "_b3"]].to_numpy(dtype=float)
-        pdf = pdf.iloc[_kept_indexes(b, limit, centre)].copy()
-        pdf["rank"] = np.arange(1, len(pdf) + 1, dtype="int64")
-        return pdf[[tile, "box_id", "score", "_b0", "_b1", "_b2", "_b3", "rank"]]
+def _kept_indexes(corner: np.ndarray, limit: float, centre: bool) -> np.ndarray:
+    """Boxes that survive, given rows in rank order."""
 
-    return run
+    def clash(a, b):
+        o = _overlaps(a, b, centre)
+        return o >= limit if centre else o > limit
+
+    n = len(corner)
+    alive = np.ones(n, dtype=bool)
+    if n <= MATRIX_ROWS:
+        table = np.triu(clash(corner[:, None, :], corner[None, :, :]), 1)
+        for i in np.flatnonzero(table.any(axis=1)):
+            if alive[i]:
+                alive &= ~table[i]
+        return np.flatnonzero(alive)
+    for i in range(n):
+        if alive[i]:
+            later = i + 1 + np.flatnonzero(alive[i + 1 :])
+            alive[later[clash(corner[i], corner[later])]] = False
+    return np.flatnonzero(alive)
 
 
 def _fold(df: DataFrame, tile: str, limit: float, centre: bool) -> DataFrame:
+    """Suppression tile by tile: rows meet by tile, sorted by rank, and stream through."""
     kind = dict(df.dtypes)
-    out = f"{tile} {kind[tile]}, box_id {kind['box_id']}, score double, _b0 double, _b1 double, _b2 double, _b3 double, rank bigint"
-    return df.groupBy(tile).applyInPandas(_suppress_group(tile, limit, centre), out)
+    cols = ["_b0", "_b1", "_b2", "_b3"]
+    schema = f"{tile} {kind[tile]}, box_id {kind['box_id']}, score double, {', '.join(f'{c} double' for c in cols)}, rank bigint"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, borders in whole_groups(batches, tile):
+            b = pdf[cols].to_numpy(dtype=float)
+            kept, ranks = [], []
+            for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+                inside = _kept_indexes(b[lo:hi], limit, centre)
+                kept.append(inside + lo)
+                ranks.append(np.arange(1, len(inside) + 1))
+            out = pdf.iloc[np.concatenate(kept)].copy()
+            out["rank"] = np.concatenate(ranks).astype("int64")
+            yield out
+
+    ordered = df.select(tile, "box_id", "score", *cols).repartition(tile).sortWithinPartitions(
+        tile, F.desc("score"), "box_id"
+    )
+    return ordered.mapInPandas(run, schema)
 
 
 def _fold_in_rounds(df: DataFrame, tile: str, limit: float, centre: bool) -> DataFrame:
@@ -219,6 +257,33 @@ def _partner_places(df: DataFrame, base: float, t: float) -> DataFrame:
 
 
 def iou_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    tile: str = "tile_id",
+    threshold: float = C.MATCH_IOU,
+    box_limit: int | None = None,
+) -> DataFrame:
+    """(left, right) box pairs of one tile with overlap >= ``threshold``.
+
+    Both sides: ``tile``, ``box_id`` and a centre box. Tiles that fit one task are worked on
+    whole; crowded ones are cut further by size class and grid place.
+    """
+    box_limit = box_limit or C.TILE_BOX_LIMIT
+    both = left.select(tile).unionByName(right.select(tile))
+    if biggest_group(both, [tile]) <= box_limit:
+        return _match_tiles(left, right, tile, threshold, False, False)
+    crowded = both.groupBy(tile).count().where(F.col("count") > box_limit).select(tile)
+
+    def part(df, how):
+        return df.join(crowded, tile, how)
+
+    small = _match_tiles(part(left, "left_anti"), part(right, "left_anti"), tile, threshold, False, False)
+    return small.unionByName(
+        iou_pairs_by_place(part(left, "left_semi"), part(right, "left_semi"), tile, threshold)
+    )
+
+
+def iou_pairs_by_place(
     left: DataFrame,
     right: DataFrame,
     tile: str = "tile_id",
@@ -228,11 +293,10 @@ def iou_pairs(
     crowded: str = "left",
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """(left, right) box pairs of one tile with overlap >= ``threshold``.
+    """Overlapping pairs by an equi-join on size class and grid place inside the tile.
 
-    Both sides: ``tile``, ``box_id`` and a centre box. Each box is keyed by its size class and
-    grid place, so only boxes of like size and place meet, also inside a crowded tile.
-    ``crowded`` names the side whose busiest places are spread over tasks; ``keep`` lists left
+    Only boxes of like size and place meet, so a crowded tile spreads over many tasks.
+    ``crowded`` names the side whose busiest places are spread further; ``keep`` lists left
     columns to carry along.
     """
     base = 1.01 / (threshold * threshold)
@@ -262,18 +326,66 @@ def iou_pairs(
 # --- matching ----------------------------------------------------------------------------
 
 
-def _match_group(tile: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pred_rank", "choice", "gt_id"], kind="mergesort")
-        used_p, used_g, take = set(), set(), []
-        for i, (p, g) in enumerate(zip(pdf["pred_id"], pdf["gt_id"], strict=True)):
-            if p not in used_p and g not in used_g:
-                used_p.add(p)
-                used_g.add(g)
-                take.append(i)
-        return pdf.iloc[take][[tile, "pred_id", "gt_id", "iou"]]
+def _take_first(order: np.ndarray, pred: np.ndarray, gt: np.ndarray) -> list[int]:
+    """Pairs taken one by one: a pair counts when neither side is used yet."""
+    used_p, used_g, take = set(), set(), []
+    for i in order:
+        if pred[i] not in used_p and gt[i] not in used_g:
+            used_p.add(pred[i])
+            used_g.add(gt[i])
+            take.append(i)
+    return take
 
-    return run
+
+def _match_tiles(preds: DataFrame, labels: DataFrame, tile: str, threshold: float, best: bool, match: bool) -> DataFrame:
+    """Overlapping pairs of every tile, or only the matched ones, in one pass.
+
+    Both sides are stacked, meet by tile and stream through in sorted order; labels are
+    looked up by their place on the x axis.
+    """
+    kind = dict(preds.dtypes)
+    schema = f"{tile} {kind[tile]}, left_id {kind['box_id']}, right_id {dict(labels.dtypes)['box_id']}, iou double"
+
+    def side(df, n, rank):
+        return df.select(tile, "box_id", F.lit(n).alias("_side"), rank.cast("bigint").alias("rank"), *[F.col(c).cast("double").alias(c) for c in CENTRE])
+
+    rank = F.col("rank") if "rank" in preds.columns else F.lit(0)
+    both = side(preds, 0, rank).unionByName(side(labels, 1, F.lit(0)))
+    ordered = both.repartition(tile).sortWithinPartitions(tile, "_side", "rank", "box_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, borders in whole_groups(batches, tile):
+            c = pdf[list(CENTRE)].to_numpy(dtype=float)
+            corner = np.column_stack([c[:, 0] - c[:, 2] / 2, c[:, 1] - c[:, 3] / 2, c[:, 0] + c[:, 2] / 2, c[:, 1] + c[:, 3] / 2])
+            is_label = pdf["_side"].to_numpy() == 1
+            found_p, found_g, found_iou = [], [], []
+            for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+                mid = lo + int((~is_label[lo:hi]).sum())
+                if mid in (lo, hi):
+                    continue
+                by_x = mid + np.argsort(c[mid:hi, 0], kind="stable")
+                reach = c[lo:mid, 2] * (1 - threshold) / threshold + 1e-9
+                first = np.searchsorted(c[by_x, 0], c[lo:mid, 0] - reach, side="left")
+                last = np.searchsorted(c[by_x, 0], c[lo:mid, 0] + reach, side="right")
+                n = last - first
+                p = np.repeat(np.arange(lo, mid), n)
+                g = by_x[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+                iou = _overlaps(corner[p], corner[g], True)
+                hit = iou >= threshold
+                p, g, iou = p[hit], g[hit], iou[hit]
+                if match:
+                    keys = (g, -iou, p) if best else (g, p)
+                    take = _take_first(np.lexsort(keys), p, g)
+                    p, g, iou = p[take], g[take], iou[take]
+                found_p.append(p)
+                found_g.append(g)
+                found_iou.append(iou)
+            if found_p:
+                p, g = np.concatenate(found_p).astype(int), np.concatenate(found_g).astype(int)
+                ids, tiles = pdf["box_id"].to_numpy(), pdf[tile].to_numpy()
+                yield pd.DataFrame({tile: tiles[p], "left_id": ids[p], "right_id": ids[g], "iou": np.concatenate(found_iou)})
+
+    return ordered.mapInPandas(run, schema)
 
 
 def _match_in_rounds(edges: DataFrame, tile: str) -> DataFrame:
@@ -309,16 +421,28 @@ def greedy_match(
     tile: str = "tile_id",
     threshold: float = C.MATCH_IOU,
     suppressed: bool = True,
-    edge_limit: int = 200_000,
+    box_limit: int | None = None,
 ) -> DataFrame:
     """Predictions in ``rank`` order each take one free label with enough overlap.
 
     ``best=False`` takes the first such label by ``box_id``, ``best=True`` the one with most
-    overlap. Only overlapping pairs reach the fold. Suppressed predictions hardly overlap each
-    other, so a label has few partners and the label count of a tile tells its size; with
-    ``suppressed=False`` the pairs themselves are counted.
+    overlap. Suppressed predictions hardly overlap each other, which bounds them by the tile's
+    area, so only labels are counted to find crowded tiles; ``suppressed=False`` counts both.
+    Crowded tiles match in rounds over their overlapping pairs.
     """
-    edges = iou_pairs(preds, labels, tile, threshold, keep=("rank",), crowded="right").select(
+    limit = box_limit or C.TILE_BOX_LIMIT
+    counted = labels.select(tile) if suppressed else preds.select(tile).unionByName(labels.select(tile))
+    if biggest_group(counted, [tile]) <= limit:
+        return _matched(_match_tiles(preds, labels, tile, threshold, best, True), tile)
+    crowded = counted.groupBy(tile).count().where(F.col("count") > limit).select(tile)
+
+    def part(df, how):
+        return df.join(crowded, tile, how)
+
+    small = _match_tiles(part(preds, "left_anti"), part(labels, "left_anti"), tile, threshold, best, True)
+    edges = iou_pairs_by_place(
+        part(preds, "left_semi"), part(labels, "left_semi"), tile, threshold, keep=("rank",), crowded="right"
+    ).select(
         tile,
         F.col("left_id").alias("pred_id"),
         F.col("right_id").alias("gt_id"),
@@ -326,14 +450,11 @@ def greedy_match(
         F.col("rank").alias("pred_rank"),
         (-F.col("iou") if best else F.lit(0.0)).alias("choice"),
     )
-    kind = dict(edges.dtypes)
-    schema = f"{tile} {kind[tile]}, pred_id {kind['pred_id']}, gt_id {kind['gt_id']}, iou double"
-    counted, limit = (labels, edge_limit // 8) if suppressed else (edges, edge_limit)
-    if biggest_group(counted, [tile]) <= limit:
-        return edges.groupBy(tile).applyInPandas(_match_group(tile), schema)
-    crowded = counted.groupBy(tile).count().where(F.col("count") > limit).select(tile)
-    small = edges.join(crowded, tile, "left_anti").groupBy(tile).applyInPandas(_match_group(tile), schema)
-    return small.unionByName(_match_in_rounds(edges.join(crowded, tile, "left_semi"), tile))
+    return _matched(small, tile).unionByName(_match_in_rounds(edges, tile))
+
+
+def _matched(pairs: DataFrame, tile: str) -> DataFrame:
+    return pairs.select(tile, F.col("left_id").alias("pred_id"), F.col("right_id").alias("gt_id"), "iou")
 
 
 # --- scoring -----------------------------------------------------------------------------

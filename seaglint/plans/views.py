@@ -95,6 +95,8 @@ select vec_id // 64 as tile, vec_id % 64 as y, i - 1 as x, cast(floor((cast(embe
 from embeddings, range(1, 65) r(i)""",
 }
 
+SMALL_TABLE_BYTES = 1_000_000
+
 _NAME = re.compile(r"\bv_[a-z]+\b")
 
 
@@ -143,7 +145,14 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table. Fewer files than cores would leave cores idle, so those rows are spread;
+        tables of many files, and very small ones, are read as they are."""
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if len(table.inputFiles()) >= cores:
+            return table
+        size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return table.repartition(cores) if size > SMALL_TABLE_BYTES else table
 
     def sql(self, body: str) -> DataFrame:
         """Spark SQL over base tables and views; the names resolve when the call is made."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,31 @@ from seaglint.functions import names, orbit
 
 
 def file_listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """(path, length) of matching files; contents are never read, empty files are listed too."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select("path", "length")
-    )
+    """(path, length) of matching files below ``root``, empty ones included.
+
+    Spark's own sources leave empty files out. The driver lists the first folder level only;
+    every folder is then listed by a task. Contents are never read.
+    """
+    uri = root if "://" in root else f"file://{root}"
+    fs, base = pafs.FileSystem.from_uri(uri)
+    top = fs.get_file_info(pafs.FileSelector(base))
+    folders = [(i.path, True) for i in top if i.type == pafs.FileType.Directory] + [(base, False)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task_fs, _ = pafs.FileSystem.from_uri(uri)
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                found = task_fs.get_file_info(pafs.FileSelector(row.folder, recursive=row.deep))
+                keep = [
+                    (i.path, i.size)
+                    for i in found
+                    if i.type == pafs.FileType.File and fnmatch.fnmatch(i.base_name, pattern)
+                ]
+                yield pd.DataFrame(keep, columns=["path", "length"])
+
+    parts = min(len(folders), spark.sparkContext.defaultParallelism * 4)
+    table = spark.createDataFrame(folders, "folder string, deep boolean").repartition(parts, "folder")
+    return table.mapInPandas(run, "path string, length bigint")
 
 
 def stem(path: Column) -> Column:
@@ -251,7 +270,7 @@ def scan_tle_sets(spark: SparkSession, json_path: str | None = None, text_path:
         )
     if text_path:
         raw = spark.read.text(text_path, wholetext=True).select(number.alias("norad_id"), "value")
-        lines = F.filter(F.transform(F.split("value", "\r?\n"), F.trim), lambda v: v != "")
+        lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda v: F.trim(v)), lambda v: v != "")
         parts.append(
             raw.select(
                 "norad_id",

@@ -67,8 +67,9 @@ def test_pairs_and_matching_against_brute_force(spark):
     labels["tile_id"] = preds["tile_id"]
     sl = spark.createDataFrame(labels)
     want = sorted((p.box_id, g.box_id) for p in preds.itertuples() for g in labels.itertuples() if p.tile_id == g.tile_id and iou(p, g) >= 0.5)
-    for hot in (None, 2):
-        assert rows(detect.iou_pairs(sp, sl, hot_rows=hot), "left_id", "right_id") == want
+    for limit in (None, 100, 1):
+        assert rows(detect.iou_pairs(sp, sl, box_limit=limit), "left_id", "right_id") == want
+    assert rows(detect.iou_pairs_by_place(sp, sl, hot_rows=2), "left_id", "right_id") == want
     ranked = detect.rank_by_score(sp)
     for best in (False, True):
         pairs = []
@@ -81,7 +82,7 @@ def test_pairs_and_matching_against_brute_force(spark):
                     used.add(pick)
                     pairs.append((p.box_id, pick))
         fold = detect.greedy_match(ranked, sl, best=best)
-        rounds = detect.greedy_match(ranked, sl, best=best, suppressed=False, edge_limit=20)
+        rounds = detect.greedy_match(ranked, sl, best=best, suppressed=False, box_limit=100)
         assert rows(fold, "pred_id", "gt_id") == sorted(pairs)
         assert rows(rounds, "pred_id", "gt_id") == sorted(pairs)
 
