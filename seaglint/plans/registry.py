@@ -22,6 +22,7 @@ MODULES = (
     "label_queries",
     "detection_queries",
     "raster_queries",
+    "source_queries",
     "stream_queries",
 )
 

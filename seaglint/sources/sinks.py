@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,25 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
     tiles.write.mode("overwrite").partitionBy("scene_id", "code").parquet(path)
 
 
+def write_npy_tiles(tiles: DataFrame, folder: str) -> int:
+    """One ``.npy`` file per tile, written by the tasks; a repeated task overwrites its files."""
+    uri = folder if "://" in folder else f"file://{folder}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(base, recursive=True)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                held = io.BytesIO()
+                np.save(held, np.frombuffer(r.data, dtype=r.dtype).reshape(r.h, r.w))
+                with fs.open_output_stream(f"{base}/{r.tile_id}.npy") as f:
+                    f.write(held.getvalue())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    done = tiles.select("tile_id", "h", "w", "dtype", "data").mapInPandas(run, "n bigint")
+    return done.agg(F.sum("n")).first()[0] or 0
+
+
 def tile_manifests(tiles: DataFrame) -> DataFrame:
     """One manifest row per scene and code: totals and sizes; tile rows stay in their table."""
     return tiles.groupBy("scene_id", "code").agg(
