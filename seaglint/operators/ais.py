@@ -22,12 +22,14 @@ def drop_missing_coords(df: DataFrame) -> DataFrame:
 
 def normalize_records(raw: DataFrame, record: str = "record") -> DataFrame:
     """JSON records to position rows; records without coordinates are dropped."""
-    lat, lon = ais.lat_lon(F.col(record))
+    # Out of a generator the parsed map is a plain column, so the later filter does not parse again.
+    parsed = raw.withColumn("_f", F.explode(F.array(ais.record_fields(F.col(record)))))
+    lat, lon = ais.lat_lon_of(F.col("_f"))
 
-    def field(*paths):
-        return ais.first_text(*[F.get_json_object(record, f"$.{p}") for p in paths])
+    def field(*names):
+        return ais.first_text(*[ais.field(F.col("_f"), n) for n in names])
 
-    rows = raw.select(
+    rows = parsed.select(
         *[c for c in raw.columns if c != record],
         lat.alias("lat"),
         lon.alias("lon"),

@@ -71,9 +71,9 @@ _DUCK_LON = f"""case when {_json('lat')} is not null and {_json('lon')} is not n
     f"""select pos_id, coalesce(cast({_DUCK_LAT} as double), 999e0) as lat, coalesce(cast({_DUCK_LON} as double), 999e0) as lon from ({RECORDS}) q""",
 )
 def extract_lat_lon(t):
-    lat, lon = ais.lat_lon(F.col("record"))
+    lat, lon = ais.lat_lon_of(F.col("f"))
     none = F.lit(999.0)
-    return t.sql(RECORDS).select("pos_id", F.coalesce(lat, none).alias("lat"), F.coalesce(lon, none).alias("lon"))
+    return t.sql(RECORDS).withColumn("f", ais.record_fields(F.col("record"))).select("pos_id", F.coalesce(lat, none).alias("lat"), F.coalesce(lon, none).alias("lon"))
 
 
 @query(

@@ -12,8 +12,11 @@ from seaglint.sources.event_store import KeyedStore
 from seaglint.streaming import jobs
 
 
-def _stream(t: Tables, name: str, split: str | None = None):
-    """Stream over one given table; with ``split``, over a few range-cut files of it."""
+def _stream(t: Tables, name: str, split: str | None = None, per_batch: int = 1):
+    """Stream over one given table; with ``split``, over a few range-cut files of it.
+
+    Files arrive in no special order, so a query with a short watermark takes them in one batch.
+    """
     spark = t.spark
     if split is None:
         table = t.base(name)
@@ -23,7 +26,7 @@ def _stream(t: Tables, name: str, split: str | None = None):
         folder, glob = f"{jobs.work_folder(spark, 'landing')}/{name}", "*.parquet"
         table.repartitionByRange(4, split).write.mode("overwrite").parquet(folder)
     return (
-        spark.readStream.schema(table.schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1).parquet(folder)
+        spark.readStream.schema(table.schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch).parquet(folder)
     )
 
 
@@ -83,9 +86,9 @@ def stream_events(t):
 @query("stream_dark_match")
 def stream_dark_match(t):
     work = jobs.work_folder(t.spark, "dark")
-    ais = _stream(t, "v_ais", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    ais = _stream(t, "v_ais", "ts", 1000).withColumn("ts", F.col("ts").cast("timestamp"))
     seen = ais.where(F.col("source") == C.SEED_SOURCE).select("ts", "lat", "lon")
-    det = _stream(t, "v_ais", "ts").select(
+    det = _stream(t, "v_ais", "ts", 1000).select(
         F.col("pos_id").alias("det_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("lat") + (F.col("mmsi") % 7) * 0.002).alias("lat"), "lon"
     )
     out = jobs.stream_dark_match(det, seen)
