@@ -186,7 +186,7 @@ def box_mean(a: np.ndarray, k: int) -> np.ndarray:
 
 
 def lee_filter(a: np.ndarray, k: int = C.LEE_KERNEL, eps: float = 0.0) -> np.ndarray:
-    """Speckle filter; ``eps`` is added to the noise floor in the divisor (notebook form)."""
+    """Speckle filter; ``eps`` is added to the noise floor in the divisor."""
     if k < 1 or k % 2 == 0:
         raise ValueError("kernel size must be odd")
     mean = box_mean(a, k)

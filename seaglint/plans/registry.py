@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seaglint.plans.views import Tables, duck_sql
+from seaglint.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +33,7 @@ def query(name: str, oracle: str | None = None):
 
     def add(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return fn(Tables(spark, folder))
 
         QUERIES[name] = run

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -19,7 +20,9 @@ def build_session(app: str = "seaglint", master: str | None = None, **extra: str
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -31,3 +34,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared is None:
         shared = tempfile.mkdtemp(prefix="seaglint-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     ctx.setCheckpointDir(shared)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the tasks of a session, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="seaglint-code-"), "seaglint.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("seaglint", os.path.relpath(path, here)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
