@@ -29,22 +29,12 @@ def space_words(text: Column) -> Column:
     return F.array_remove(F.split(blank, " "), "")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once for each row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder of the session."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def column_names(docs: DataFrame, *wanted: str) -> list[str]:
-    """The wanted columns that the table lacks."""
-    return [c for c in wanted if c not in docs.columns]
-
-
 def prepare(spark: SparkSession) -> None:
     """Ship the package to the tasks and keep Arrow batches of long texts small."""
     ship_package(spark)

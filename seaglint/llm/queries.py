@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seaglint.llm.license_scan import license_scan
+from seaglint.llm.order_minhash import edited_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +25,8 @@ def query(fn):
 @query
 def op1_license_scan(spark, folder):
     return license_scan(documents(spark, folder))
+
+
+@query
+def op2_order_minhash(spark, folder):
+    return edited_fingerprints(documents(spark, folder))
