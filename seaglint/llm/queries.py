@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seaglint.llm.license_scan import license_scan
+from seaglint.llm.mixing import fair_queue
 from seaglint.llm.order_minhash import edited_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +32,9 @@ def op1_license_scan(spark, folder):
 @query
 def op2_order_minhash(spark, folder):
     return edited_fingerprints(documents(spark, folder))
+
+
+@query
+def op3_mixing(spark, folder):
+    queue = fair_queue(documents(spark, folder))
+    return queue.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
