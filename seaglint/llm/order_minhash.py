@@ -124,20 +124,21 @@ def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     digest = F.md5("text")
     late = F.col("id").isNull()
     bucket = F.coalesce(F.shiftright("id", 8), F.conv(F.substring(digest, 1, 4), 16, 10).cast("long"))
-    keyed = signed.select("id", digest.alias("digest"), "text", "sig", late.alias("late"), bucket.alias("bucket"))
+    # Text and signature travel as one column, so both readers below share one exchange.
+    keyed = signed.select("id", digest.alias("digest"), F.struct("text", "sig").alias("own"), late.alias("late"), bucket.alias("bucket"))
     order = Window.partitionBy("late", "bucket").orderBy("id", "digest")
     linked = keyed.select(
         "*",
-        F.lead(F.struct("text", "sig")).over(order).alias("after"),
+        F.lead("own").over(order).alias("after"),
         F.lag("digest").over(order).isNull().alias("is_first"),
     )
-    firsts = linked.where("is_first").select(F.struct("late", "bucket").alias("following"), F.struct("text", "sig").alias("opening"))
+    firsts = linked.where("is_first").select(F.struct("late", "bucket").alias("following"), F.col("own").alias("opening"))
     buckets = texts.select(F.col("id").isNull().alias("late"), F.coalesce(F.shiftright("id", 8), F.conv(F.substring(F.md5("text"), 1, 4), 16, 10).cast("long")).alias("bucket")).distinct()
     openings = following(buckets).join(firsts, "following").select("late", "bucket", "opening")
     a, b = linked.alias("a"), openings.alias("b")
     same = (F.col("a.late") == F.col("b.late")) & (F.col("a.bucket") == F.col("b.bucket")) & F.col("a.after").isNull()
     nxt = F.coalesce("after", "opening")
-    return a.join(b, same, "left").select("id", "a.text", "sig", nxt["text"].alias("next_text"), nxt["sig"].alias("next_sig"))
+    return a.join(b, same, "left").select("id", "own.text", "own.sig", nxt["text"].alias("next_text"), nxt["sig"].alias("next_sig"))
 
 
 def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seaglint.llm.chunk_bpe import round_trip
 from seaglint.llm.license_scan import license_scan
 from seaglint.llm.mixing import fair_queue
 from seaglint.llm.order_minhash import edited_fingerprints
+from seaglint.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +41,15 @@ def op2_order_minhash(spark, folder):
 def op3_mixing(spark, folder):
     queue = fair_queue(documents(spark, folder))
     return queue.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query
+def op8_token_counts(spark, folder):
+    counted = token_counts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op9_chunk_bpe(spark, folder):
+    coded = round_trip(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
