@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seaglint.llm.chunk_bpe import round_trip
 from seaglint.llm.license_scan import license_scan
+from seaglint.llm.line_crf import quality_rules, train
 from seaglint.llm.mixing import fair_queue
 from seaglint.llm.order_minhash import edited_fingerprints
 from seaglint.llm.token_counts import token_counts
@@ -53,3 +54,11 @@ def op8_token_counts(spark, folder):
 def op9_chunk_bpe(spark, folder):
     coded = round_trip(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op5_line_crf(spark, folder):
+    docs = documents(spark, folder)
+    field = train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    judged = quality_rules(docs, field)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")
