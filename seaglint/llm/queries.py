@@ -13,6 +13,7 @@ from seaglint.llm.license_scan import license_scan
 from seaglint.llm.line_crf import quality_rules, train
 from seaglint.llm.mixing import fair_queue
 from seaglint.llm.order_minhash import edited_fingerprints
+from seaglint.llm.simhash import fingerprints
 from seaglint.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +63,8 @@ def op5_line_crf(spark, folder):
     field = train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     judged = quality_rules(docs, field)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")
+
+
+@query
+def op6_simhash(spark, folder):
+    return fingerprints(documents(spark, folder))
