@@ -13,6 +13,7 @@ from seaglint.llm.license_scan import license_scan
 from seaglint.llm.line_crf import quality_rules, train
 from seaglint.llm.mixing import fair_queue
 from seaglint.llm.order_minhash import edited_fingerprints
+from seaglint.llm.quality_qda import quality_scores
 from seaglint.llm.simhash import fingerprints
 from seaglint.llm.token_counts import token_counts
 
@@ -68,3 +69,8 @@ def op5_line_crf(spark, folder):
 @query
 def op6_simhash(spark, folder):
     return fingerprints(documents(spark, folder))
+
+
+@query
+def op10_quality_qda(spark, folder):
+    return quality_scores(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
