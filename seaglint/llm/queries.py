@@ -13,6 +13,7 @@ from seaglint.llm.license_scan import license_scan
 from seaglint.llm.line_crf import quality_rules, train
 from seaglint.llm.mixing import fair_queue
 from seaglint.llm.order_minhash import edited_fingerprints
+from seaglint.llm.phrase_dedup import remove_repeats
 from seaglint.llm.quality_qda import quality_scores
 from seaglint.llm.simhash import fingerprints
 from seaglint.llm.token_counts import token_counts
@@ -74,3 +75,9 @@ def op6_simhash(spark, folder):
 @query
 def op10_quality_qda(spark, folder):
     return quality_scores(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query
+def op7_phrase_dedup(spark, folder):
+    kept = remove_repeats(documents(spark, folder).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
