@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
 
@@ -24,7 +25,10 @@ from seaglint.llm.token_counts import tokenizer
 #: Bytes that the rolling hash covers, and a mark for each 2**MARK_BITS bytes on average.
 WINDOW, MARK_BITS = 8, 9
 #: Chunks, joins and words that a worker keeps, in two generations each.
-KEPT, KEPT_WORDS = 30_000, 200_000
+KEPT, KEPT_WORDS = 30_000, 400_000
+#: A control character, alone one token; and how many pieces a line for the library has.
+MARK, LINE = b"\x01", 500
+BETWEEN = b" " + MARK + b" "
 SPACES = (0x20, 0x0A, 0x09, 0x0D, 0x0B, 0x0C)
 GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 IS_SPACE = np.isin(np.arange(256), SPACES)
@@ -83,21 +87,39 @@ def first_words(chunk: bytes, n: int) -> bytes:
 
 
 class ChunkEncoder:
-    """Ids of texts by chunks; lives as long as a task."""
+    """Ids of texts by chunks; a worker keeps it from task to task."""
 
     def __init__(self, path: str, kept: int = KEPT, cut=cuts):
         self.library, self.cut = tokenizer(path), cut
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.chunks, self.joins, self.words = Generations(kept), Generations(kept), Generations(KEPT_WORDS)
+        (self.mark,) = self.library.encode(MARK.decode(), add_special_tokens=False).ids
         #: One object for each id, which the cached words share.
         self.numbers = list(range(self.library.get_vocab_size(with_added_tokens=True)))
         self.encoded = self.widened = 0
 
-    def library_ids(self, texts: list[bytes]) -> list[array]:
-        if not texts:
-            return []
-        found = self.library.encode_batch([t.decode("utf-8") for t in texts], add_special_tokens=False)
-        return [array("i", f.ids) for f in found]
+    def library_ids(self, pieces: list[bytes]) -> list[array]:
+        """Ids of each piece. Pieces go to the library in lines, with a mark of known id between them."""
+        out: list[array] = []
+        lines = [pieces[at : at + LINE] for at in range(0, len(pieces), LINE)]
+        joined = [BETWEEN.join(line) for line in lines]
+        odd = [text.count(MARK) >= len(line) or any(s in text for s in self.special) for line, text in zip(lines, joined)]
+        found = iter(self.library.encode_batch([t.decode("utf-8") for t, o in zip(joined, odd) if not o], add_special_tokens=False))
+        for line, o in zip(lines, odd):
+            if o:  # some piece has the mark or a special string
+                out += map(self.whole, line)
+                continue
+            ids = array("i", next(found).ids)
+            at = 0
+            for _ in range(len(line) - 1):
+                end = ids.index(self.mark, at)
+                out.append(ids[at:end])
+                at = end + 1
+            out.append(ids[at:])
+        return out
+
+    def whole(self, text: bytes) -> array:
+        return array("i", self.library.encode(text.decode("utf-8"), add_special_tokens=False).ids)
 
     def word_ids(self, words: set[bytes]) -> dict[bytes, tuple]:
         """A table with the ids of all the words; the library encodes those that are not kept."""
@@ -116,7 +138,7 @@ class ChunkEncoder:
         worded = [[] if odd else c.split() for c, odd in zip(chunks, special)]
         ids_of = self.word_ids(set(chain.from_iterable(worded))).__getitem__
         found = [array("i", list(chain.from_iterable(map(ids_of, words)))) for words in worded]
-        return [self.library_ids([c])[0] if odd else ids for c, odd, ids in zip(chunks, special, found)]
+        return [self.whole(c) if odd else ids for c, odd, ids in zip(chunks, special, found)]
 
     def fill(self, cache: Generations, wanted, encode) -> dict[bytes, array]:
         """Ids of all wanted pieces; those that are not kept are encoded together, once each."""
@@ -138,7 +160,7 @@ class ChunkEncoder:
         n = 2
         while True:
             a, b = last_words(left, n), first_words(right, n)
-            joined = self.library_ids([a + b])[0]
+            joined = self.whole(a + b)
             self.widened += 1
             if a == left and b == right:
                 return None if joined == left_ids + right_ids else joined
@@ -178,6 +200,11 @@ class ChunkEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> ChunkEncoder:
+    return ChunkEncoder(path)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array<int>): the token ids of each whole text, without added special tokens.
 
@@ -185,7 +212,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """
 
     def run(runs: Iterator[list[bytes]]) -> Iterator[dict[str, list]]:
-        encoder = ChunkEncoder(path)
+        encoder = worker_encoder(path)
         for texts in runs:
             yield {"ids": encoder.encode(texts)}
 
@@ -204,7 +231,7 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """
 
     def run(runs: Iterator[list[bytes]]) -> Iterator[dict[str, list]]:
-        encoder = ChunkEncoder(path)
+        encoder = worker_encoder(path)
         digits = [str(i) for i in range(encoder.library.get_vocab_size(with_added_tokens=True))]
         for texts in runs:
             found = encoder.encode(texts)
