@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seaglint.llm.chunk_bpe import round_trip
 from seaglint.llm.license_scan import license_scan
 from seaglint.llm.line_crf import quality_rules, train
+from seaglint.llm.log_bilinear import language_scores
 from seaglint.llm.mixing import fair_queue
 from seaglint.llm.order_minhash import edited_fingerprints
 from seaglint.llm.phrase_dedup import remove_repeats
@@ -81,3 +82,8 @@ def op10_quality_qda(spark, folder):
 def op7_phrase_dedup(spark, folder):
     kept = remove_repeats(documents(spark, folder).select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_log_bilinear(spark, folder):
+    return language_scores(documents(spark, folder))
