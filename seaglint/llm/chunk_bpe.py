@@ -10,11 +10,12 @@ both chunks, which then become one.
 
 from __future__ import annotations
 
-from array import array
+import gc
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -96,11 +97,14 @@ class ChunkEncoder:
         (self.mark,) = self.library.encode(MARK.decode(), add_special_tokens=False).ids
         #: One object for each id, which the cached words share.
         self.numbers = list(range(self.library.get_vocab_size(with_added_tokens=True)))
+        #: What joins tokens without a decoder, as the library does then.
+        self.token = [self.library.id_to_token(i) or "" for i in self.numbers]
+        self.joins_tokens = json.loads(self.library.to_str())["decoder"] is None
         self.encoded = self.widened = 0
 
-    def library_ids(self, pieces: list[bytes]) -> list[array]:
+    def library_ids(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece. Pieces go to the library in lines, with a mark of known id between them."""
-        out: list[array] = []
+        out: list[list[int]] = []
         lines = [pieces[at : at + LINE] for at in range(0, len(pieces), LINE)]
         joined = [BETWEEN.join(line) for line in lines]
         odd = [text.count(MARK) >= len(line) or any(s in text for s in self.special) for line, text in zip(lines, joined)]
@@ -109,7 +113,7 @@ class ChunkEncoder:
             if o:  # some piece has the mark or a special string
                 out += map(self.whole, line)
                 continue
-            ids = array("i", next(found).ids)
+            ids = next(found).ids
             at = 0
             for _ in range(len(line) - 1):
                 end = ids.index(self.mark, at)
@@ -118,29 +122,29 @@ class ChunkEncoder:
             out.append(ids[at:])
         return out
 
-    def whole(self, text: bytes) -> array:
-        return array("i", self.library.encode(text.decode("utf-8"), add_special_tokens=False).ids)
+    def whole(self, text: bytes) -> list[int]:
+        return self.library.encode(text.decode("utf-8"), add_special_tokens=False).ids
 
-    def word_ids(self, words: set[bytes]) -> dict[bytes, tuple]:
+    def word_ids(self, words: Iterator[bytes]) -> dict[bytes, tuple]:
         """A table with the ids of all the words; the library encodes those that are not kept."""
         if len(self.words.young) >= self.words.size:
             self.words.old, self.words.young = self.words.young, {}
         own, old = self.words.young, self.words.old
-        lacking = words.difference(own)
+        lacking = set(filterfalse(own.__contains__, words))
         missing = [w for w in lacking if w not in old]
         own.update((w, old[w]) for w in lacking if w in old)
-        own.update((w, tuple(map(self.numbers.__getitem__, ids))) for w, ids in zip(missing, self.library_ids(missing)))
+        number = self.numbers.__getitem__
+        own.update((w, tuple(map(number, ids))) for w, ids in zip(missing, self.library_ids(missing)))
         return own
 
-    def chunk_ids(self, chunks: list[bytes]) -> list[array]:
+    def chunk_ids(self, chunks: list[bytes]) -> list[list[int]]:
         """Ids of new chunks, word by word; a chunk with a special string goes to the library."""
         special = [any(s in c for s in self.special) for c in chunks]
         worded = [[] if odd else c.split() for c, odd in zip(chunks, special)]
-        ids_of = self.word_ids(set(chain.from_iterable(worded))).__getitem__
-        found = [array("i", list(chain.from_iterable(map(ids_of, words)))) for words in worded]
-        return [self.whole(c) if odd else ids for c, odd, ids in zip(chunks, special, found)]
+        ids_of = self.word_ids(chain.from_iterable(worded)).__getitem__
+        return [self.whole(c) if odd else list(chain.from_iterable(map(ids_of, words))) for c, odd, words in zip(chunks, special, worded)]
 
-    def fill(self, cache: Generations, wanted, encode) -> dict[bytes, array]:
+    def fill(self, cache: Generations, wanted, encode) -> dict[bytes, list[int]]:
         """Ids of all wanted pieces; those that are not kept are encoded together, once each."""
         known = {w: cache.get(w) for w in wanted}
         missing = [w for w, ids in known.items() if ids is None]
@@ -150,12 +154,12 @@ class ChunkEncoder:
         return known
 
     @staticmethod
-    def agrees(joined: array, left: array, right: array) -> bool:
+    def agrees(joined: list[int], left: list[int], right: list[int]) -> bool:
         """Whether ``joined`` is an end of ``left`` followed by a start of ``right``."""
         n = len(joined)
         return any(left[len(left) - k :] == joined[:k] and right[: n - k] == joined[k:] for k in range(1, n) if k <= len(left) and n - k <= len(right))
 
-    def repair(self, left: bytes, left_ids: array, right: bytes, right_ids: array) -> array | None:
+    def repair(self, left: bytes, left_ids: list[int], right: bytes, right_ids: list[int]) -> list[int] | None:
         """None if the chunks' ids may follow each other; else the ids of both chunks together."""
         n = 2
         while True:
@@ -168,7 +172,23 @@ class ChunkEncoder:
                 return None
             n *= 2
 
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids, special tokens included."""
+        if self.joins_tokens:
+            return " ".join(map(self.token.__getitem__, ids))
+        return self.library.decode(ids, skip_special_tokens=False)
+
     def encode(self, texts: list[bytes]) -> list[list[int]]:
+        # The caches hold many small tuples and no cycles; looking for cycles takes a tenth of the time.
+        watched = gc.isenabled()
+        gc.disable()
+        try:
+            return self.encode_all(texts)
+        finally:
+            if watched:
+                gc.enable()
+
+    def encode_all(self, texts: list[bytes]) -> list[list[int]]:
         parted = []
         for t in texts:
             if any(s in t for s in self.special):
@@ -182,7 +202,7 @@ class ChunkEncoder:
         out = []
         for parts in parted:
             whole: list[int] = []
-            left, left_ids = b"", array("i")
+            left, left_ids = b"", []
             for part in parts:
                 part_ids = ids[part]
                 if left_ids and part_ids and not ((left, part) in seams and self.agrees(joined[seams[left, part]], left_ids, part_ids)):
@@ -221,7 +241,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
 def decode(ids: list[int], path: str) -> str:
     """Text of ids, special tokens included."""
-    return tokenizer(path).decode(ids, skip_special_tokens=False)
+    return worker_encoder(path).decode(ids)
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -238,7 +258,7 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             yield {
                 "n_tokens": [len(i) for i in found],
                 "ids_sha256": [sha256(" ".join(map(digits.__getitem__, i)).encode()).hexdigest() for i in found],
-                "decoded_sha256": [sha256(encoder.library.decode(i, skip_special_tokens=False).encode()).hexdigest() for i in found],
+                "decoded_sha256": [sha256(encoder.decode(i).encode()).hexdigest() for i in found],
             }
 
     return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", text_col)
