@@ -15,12 +15,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +64,23 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
+def least_frequent(counts: DataFrame, most: int) -> int:
+    """The smallest count such that at most ``most`` tokens have it or a larger one.
+
+    Counts above 4096 are told apart by their leading twelve bits, so the histogram stays small.
+    """
+    extra = F.greatest(F.length(F.bin("c")) - 12, F.lit(0))
+    level = F.call_function("shiftleft", F.call_function("shiftright", F.col("c"), extra), extra)
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    least, held = 1 << 62, 0
+    for r in sizes:
+        held += r["n"]
+        if held > most:
+            break
+        least = r["level"]
+    return least
+
+
 class Vocabulary:
     """Frequent tokens: their counts and model words; totals over all training tokens."""
 
@@ -86,7 +102,8 @@ class Vocabulary:
     def of(cls, counts: DataFrame) -> Vocabulary:
         end = counts.where(F.col("token") == F.lit(END_TOKEN)).agg(F.sum("c").alias("c")).first()["c"] or 0
         totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-        top = counts.where((F.octet_length("token") <= TABLE_BYTES) & (F.octet_length("token") > 0)).orderBy(F.desc("c"), "token").limit(TABLE).collect()
+        own = counts.where((F.octet_length("token") <= TABLE_BYTES) & (F.octet_length("token") > 0))
+        top = own.where(F.col("c") >= least_frequent(own, TABLE)).orderBy(F.desc("c"), "token").collect()
         return cls([(bytes(r["token"]), r["c"]) for r in top], totals["n"], totals["v"], end)
 
     def find(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,11 +141,13 @@ class Model:
         self.context, self.output = self.values[:k].reshape(n, SIZE), self.values[k : 2 * k].reshape(n, SIZE)
         self.bias, self.place = self.values[2 * k : 2 * k + n], self.values[2 * k + n :].reshape(2, SIZE)
 
+    @np.errstate(over="ignore")  # a score out of range makes a share of 0
     def learn(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, state: np.ndarray, rng) -> None:
         """``PASSES`` over the predictions, those alike put together, in batches of a random order."""
         code, weight = np.unique((two * self.n + one) * self.n + word, return_counts=True)
         order = np.concatenate([rng.permutation(len(code)) for _ in range(PASSES)])
         lift = np.log(NOISE * self.share).astype(np.float32)
+        each = np.arange(SIZE)
         for lo in range(0, len(order), BATCH):
             some = order[lo : lo + BATCH]
             w, a, b = code[some] % self.n, code[some] // self.n % self.n, code[some] // self.n // self.n
@@ -137,17 +156,23 @@ class Model:
             h = va * self.place[0] + vb * self.place[1]
             out = self.output[w]
             noise = rng.choice(self.n, NOISE, p=self.share)
-            hit = mass / (1 + np.exp(np.clip((h * out).sum(axis=1) + self.bias[w] - lift[w], -30, 30)))
-            miss = -mass[:, None] / (1 + np.exp(-np.clip(h @ self.output[noise].T + self.bias[noise] - lift[noise], -30, 30)))
+            hit = mass / (1 + np.exp(np.einsum("ij,ij->i", h, out) + self.bias[w] - lift[w]))
+            miss = h @ self.output[noise].T
+            miss += self.bias[noise] - lift[noise]
+            np.negative(miss, out=miss)
+            np.exp(miss, out=miss)
+            miss += 1
+            np.divide(-mass[:, None], miss, out=miss)
             dh = hit[:, None] * out + miss @ self.output[noise]
             grad = np.zeros_like(self.values)
             k = self.n * SIZE
             d_context, d_output = grad[:k].reshape(self.n, SIZE), grad[k : 2 * k].reshape(self.n, SIZE)
             d_bias, d_place = grad[2 * k : 2 * k + self.n], grad[2 * k + self.n :].reshape(2, SIZE)
             ga, gb, go = dh * self.place[0], dh * self.place[1], hit[:, None] * h
-            for j in range(SIZE):
-                d_context[:, j] = np.bincount(a, ga[:, j], self.n) + np.bincount(b, gb[:, j], self.n)
-                d_output[:, j] = np.bincount(w, go[:, j], self.n)
+            add = lambda rows, values: np.bincount((rows[:, None] * SIZE + each).ravel(), values.ravel(), k).reshape(self.n, SIZE)  # noqa: B023, E731
+            d_context += add(a, ga)
+            d_context += add(b, gb)
+            d_output += add(w, go)
             np.add.at(d_output, noise, miss.T @ h)
             d_bias += np.bincount(w, hit, self.n).astype(np.float32)
             np.add.at(d_bias, noise, miss.sum(axis=0))
@@ -155,14 +180,17 @@ class Model:
             state += grad * grad
             self.values += RATE * grad / (np.sqrt(state) + 1e-6)
 
-    def normalisers(self) -> np.ndarray:
-        """Log-sum of all words' scores after each context, at two * n + one."""
-        out = np.empty((self.n, self.n), np.float32)
-        for two in range(self.n):
-            scores = (self.context * self.place[0] + self.context[two] * self.place[1]) @ self.output.T + self.bias
-            top = scores.max(axis=1)
-            out[two] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-        return out.ravel()
+    def normalisers(self, twos) -> np.ndarray:
+        """Log-sum of all words' scores after each context: a row for each word two places before."""
+        out = np.empty((len(twos), self.n), np.float32)
+        for row, two in enumerate(twos):
+            scores = (self.context * self.place[0] + self.context[two] * self.place[1]) @ self.output.T
+            scores += self.bias
+            top = float(scores.max())
+            scores -= top
+            np.exp(scores, out=scores)
+            out[row] = top + np.log(np.maximum(scores.sum(axis=1), 1e-30))
+        return out
 
     def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Normalised log-probabilities of words after their contexts."""
@@ -174,10 +202,18 @@ class Model:
         return np.concatenate(parts) / np.log(10) if parts else np.empty(0)
 
 
-@lru_cache(maxsize=1)
-def worker_norms(values: bytes, share: bytes) -> np.ndarray:
-    """The normalisers of a model, made once in each worker."""
-    return Model(np.frombuffer(share), np.frombuffer(values, np.float32)).normalisers()
+def all_normalisers(spark: SparkSession, model: Model) -> np.ndarray:
+    """The normalisers of all contexts, at two * n + one; tasks share the work, the driver gets 4 MB."""
+    values, share = model.values.tobytes(), model.share.tobytes()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(np.frombuffer(share), np.frombuffer(values, np.float32))
+        for b in batches:
+            twos = b.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([row.tobytes() for row in own.normalisers(twos)], pa.binary())], names=["id", "norms"])
+
+    rows = spark.range(0, model.n, 1, 32).mapInArrow(make, "id long, norms binary").orderBy("id").collect()
+    return np.concatenate([np.frombuffer(r["norms"], np.float32) for r in rows])
 
 
 def train(texts: DataFrame, vocabulary, rounds: int = ROUNDS) -> Model:
@@ -224,11 +260,12 @@ def language_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     counts = materialise(token_counts(learned))
     vocabulary = spark.sparkContext.broadcast(Vocabulary.of(counts))
     model = train(learned, vocabulary, rounds)
+    norms = spark.sparkContext.broadcast(all_normalisers(spark, model))
     values, share = model.values.tobytes(), model.share.tobytes()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(np.frombuffer(share), np.frombuffer(values, np.float32))
-        norms, known = worker_norms(values, share), vocabulary.value
+        known = vocabulary.value
         logs = np.log10(known.count + 1.0)
         end_known = known.total > 0
         for b in batches:
@@ -238,7 +275,7 @@ def language_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 found, words, sizes = known.find(texts)
                 text = np.repeat(np.arange(len(texts)), sizes)
                 add = lambda v: np.bincount(text, v, len(texts))  # noqa: B023, E731
-                each = own.log10(*contexts(words, sizes), words, norms)
+                each = own.log10(*contexts(words, sizes), words, norms.value)
                 starts = np.cumsum(sizes + 1) - (sizes + 1)
                 other = known.word[found] == OTHER
                 flat = list(chain.from_iterable(texts))
