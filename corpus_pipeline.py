@@ -9,13 +9,25 @@ from pyspark.sql import functions as F
 from seaglint.llm import chunk_bpe, line_crf, mixing, phrase_dedup, simhash
 from seaglint.session import ensure_checkpoint_dir
 
+OWN = "_own_"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def apart(docs: DataFrame, *names: str) -> DataFrame:
+    """The documents with their columns of these names out of an operator's way; ``together`` puts them back."""
+    return docs.withColumnsRenamed({c: OWN + c for c in names if c in docs.columns})
+
+
+def together(found: DataFrame, docs: DataFrame, *names: str) -> DataFrame:
+    """The columns of ``docs``, under their own names."""
+    return found.select(*[F.col(f"`{OWN + c}`").alias(c) if c in names else F.col(f"`{c}`") for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines are mostly content; the field is trained on those with a label."""
     field = line_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return line_crf.quality_rules(docs, field).where("kept").select(*docs.columns)
+    names = [part.split()[0] for part in line_crf.JUDGED.split(", ")]
+    return together(line_crf.quality_rules(apart(docs, *names), field).where("kept"), docs, *names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +40,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     What is left of a text is joined by single spaces, and n_chars counts it.
     """
-    found = phrase_dedup.remove_repeats(docs)
+    names = ["n_words", "n_removed", "kept"]
+    found = phrase_dedup.remove_repeats(apart(docs, *names))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     left = found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return left.select(*docs.columns)
+    return together(left, docs, *names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

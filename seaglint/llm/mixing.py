@@ -72,13 +72,14 @@ def fair_queue(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, t
     finish = (F.col("sent") + F.col("copy") * F.col("source_size")) / room
     copies = queued.where("size > 0").select("number", "source_size", "target", "size", "sent", F.explode(F.sequence(F.lit(0), F.lit(max_copies - 1))).alias("copy"))
     times = copies.select(finish.alias("finish"), "number", "size")
-    budget = sized.agg(F.sum("size").alias("budget"))
+    # Two rows of fixed size reach the driver: the budget, and the last copy that fits into it.
+    budget = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     filled = running_sum(times, [], ["finish", "number"], "size", "filled")
-    last = filled.crossJoin(F.broadcast(budget)).where("filled <= budget").agg(F.max(F.struct("finish", "number")).alias("last"))
-    # ``last`` is one row, of fixed size.
-    in_mix = lambda c: F.struct(((F.col("sent") + F.lit(c) * F.col("source_size")) / room).alias("finish"), F.col("number")) <= F.col("last")
+    last = filled.where(F.col("filled") <= budget).agg(F.max(F.struct("finish", "number")).alias("last")).first()["last"]
+    end = F.struct(*[F.lit(v).cast(kind) for v, kind in zip(last or (None, None), ("double", "int"))])
+    in_mix = lambda c: F.struct(((F.col("sent") + F.lit(c) * F.col("source_size")) / room).alias("finish"), F.col("number")) <= end
     taken = sum((F.when(in_mix(c), 1).otherwise(0) for c in range(1, max_copies)), F.when(in_mix(0), 1).otherwise(0))
-    counted = queued.crossJoin(F.broadcast(last)).withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0))
+    counted = queued.withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0))
     return counted.select("id", "key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -13,6 +13,7 @@ from seaglint.llm.license_scan import license_scan
 from seaglint.llm.line_crf import quality_rules, train
 from seaglint.llm.log_bilinear import language_scores
 from seaglint.llm.mixing import fair_queue
+from seaglint.llm.oracles import license_sql, mixing_sql, repeats_sql
 from seaglint.llm.order_minhash import edited_fingerprints
 from seaglint.llm.phrase_dedup import remove_repeats
 from seaglint.llm.quality_qda import quality_scores
@@ -20,7 +21,11 @@ from seaglint.llm.simhash import fingerprints
 from seaglint.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": license_sql(),
+    "op3_mixing": mixing_sql(),
+    "op7_phrase_dedup": repeats_sql(),
+}
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
