@@ -56,8 +56,3 @@ OTHER_VESSEL_LENGTH = (10.0, 300.0)
 UNTYPED_LENGTHS = ((0.60, 10.0, 40.0), (0.90, 40.0, 120.0), (1.0, 120.0, 350.0))
 BLOOM_RANGE, JITTER_RANGE, ASPECT_RANGE = (1.8, 3.5), (0.8, 1.2), (3.0, 6.0)
 PIXEL_METRES = 10.0
-
-# Groups above this many rows are split over several tasks.
-HOT_GROUP_ROWS = 1_000_000
-# Most boxes of one tile that a single task handles at a time.
-TILE_BOX_LIMIT = 20_000

@@ -49,7 +49,7 @@ def filter_positions_bbox(df: DataFrame, bbox: tuple[float, float, float, float]
 
 
 def density_map(positions: DataFrame, bbox=C.REGION_BBOX, cell: float = C.DENSITY_CELL_DEG) -> DataFrame:
-    """Positions per grid cell. Offsets are cut toward zero and capped at the last cell."""
+    """Positions of the region per grid cell. Offsets are cut toward zero and capped at the last cell."""
     lon_min, lat_min, lon_max, lat_max = bbox
     n_lon = max(1, int((lon_max - lon_min) / cell))
     n_lat = max(1, int((lat_max - lat_min) / cell))
@@ -58,7 +58,7 @@ def density_map(positions: DataFrame, bbox=C.REGION_BBOX, cell: float = C.DENSIT
         return F.least(F.lit(n - 1), ((v - F.lit(low)) / F.lit(cell)).cast("int"))
 
     counted = (
-        drop_missing_coords(positions)
+        filter_positions_bbox(drop_missing_coords(positions), bbox)
         .groupBy(step(F.col("lon"), lon_min, n_lon).alias("ci"), step(F.col("lat"), lat_min, n_lat).alias("cj"))
         .agg(F.count("*").alias("ais_count"))
     )
@@ -168,18 +168,17 @@ def with_ais_window(scenes: DataFrame) -> DataFrame:
     )
 
 
-def ais_in_scene_window(positions: DataFrame, scenes: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def ais_in_scene_window(positions: DataFrame, scenes: DataFrame) -> DataFrame:
     """(position, scene) pairs within the scene's box and day range."""
     pts = drop_missing_coords(positions).withColumn("day", F.col("ts").cast("date"))
     sc = with_ais_window(scenes).select(
         "scene_id", "lat_min", "lon_min", "lat_max", "lon_max", "day_from", "day_to"
     )
-    return points_in_dated_boxes(pts, sc, cell=1.0, hot_rows=hot_rows)
+    return points_in_dated_boxes(pts, sc, cell=1.0)
 
 
 def ais_hour_window(
-    positions: DataFrame, scenes: DataFrame, hours: float = 1.0, hot_rows: int | None = None
-) -> DataFrame:
+    positions: DataFrame, scenes: DataFrame, hours: float = 1.0) -> DataFrame:
     """Pairs where the position is within ``hours`` of the acquisition and inside the box."""
     step = F.lit(3_600_000_000)
     reach = F.lit(int(hours * 3_600_000_000))
@@ -188,7 +187,7 @@ def ais_hour_window(
         "_hour", F.explode(F.sequence(F.floor((acq - reach) / step), F.floor((acq + reach) / step)))
     )
     pts = drop_missing_coords(positions).withColumn("_hour", F.floor(micros("ts") / step))
-    pairs = points_in_boxes(pts, sc, on=("_hour",), cell=1.0, hot_rows=hot_rows)
+    pairs = points_in_boxes(pts, sc, on=("_hour",), cell=1.0)
     near = F.abs(micros("ts") - micros("acquired")) <= reach
     return pairs.where(near).drop("_hour")
 
@@ -216,10 +215,9 @@ def union_detection_sources(seeds: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def points_in_tiles(
-    points: DataFrame, tiles: DataFrame, *, on: tuple[str, ...] = (), hot_rows: int | None = None
-) -> DataFrame:
+    points: DataFrame, tiles: DataFrame, *, on: tuple[str, ...] = ()) -> DataFrame:
     """Every (point, tile) pair with pixel position; tiles without extent give no row."""
-    pairs = points_in_boxes(points, tiles, on=on, cell=0.2, hot_rows=hot_rows)
+    pairs = points_in_boxes(points, tiles, on=on, cell=0.2)
     px, py = geo.tile_pixel(*[F.col(c) for c in ("lat", "lon", "lat_min", "lon_min", "lat_max", "lon_max")])
     return (
         pairs.withColumn("pixel_x", px)
@@ -249,15 +247,13 @@ def points_first_tile(
     *,
     point_id: str,
     on: tuple[str, ...] = (),
-    per: tuple[str, ...] = (),
-    hot_rows: int | None = None,
-) -> DataFrame:
+    per: tuple[str, ...] = ()) -> DataFrame:
     """Each point with the first tile in grid order whose slightly widened box holds it.
 
     ``per`` names tile columns (a scene) within which the first tile is wanted.
     """
     pairs = points_in_boxes(
-        points, tiles, on=on, cell=0.2, margin=C.FIRST_TILE_MARGIN_DEG, hot_rows=hot_rows
+        points, tiles, on=on, cell=0.2, margin=C.FIRST_TILE_MARGIN_DEG
     )
     return top_per_group(pairs, [*on, *per, point_id], [F.asc("tile_no"), F.asc("tile_id")], 1)
 
@@ -268,11 +264,9 @@ def dark_detections(
     *,
     det_id: str = "det_id",
     radius_m: float = 500.0,
-    window_s: int = 1800,
-    hot_rows: int | None = None,
-) -> DataFrame:
+    window_s: int = 1800) -> DataFrame:
     """Detections with no ship position close in space and time."""
     seen = near_in_space_and_time(
-        detections, positions, left_id=det_id, radius_m=radius_m, window_s=window_s, hot_rows=hot_rows
+        detections, positions, left_id=det_id, radius_m=radius_m, window_s=window_s
     )
     return detections.join(seen, det_id, "left_anti")

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seaglint.functions.clock import micros
-from seaglint import config as C
-from seaglint.operators.ranking import biggest_group
 
 
 def asof_latest(
@@ -20,7 +18,6 @@ def asof_latest(
     right_cols: list[str],
     tie: str,
     slice_s: int = 86_400,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Left rows plus the right row with the newest time at or before ``left_time``.
 
@@ -29,7 +26,6 @@ def asof_latest(
     newest one of the earlier slices from a table with one row per key and slice. ``tie`` orders
     right rows of equal time (greatest wins).
     """
-    hot_rows = hot_rows or C.HOT_GROUP_ROWS
     payload = F.struct(F.col(right_time).alias(right_time), *[F.col(c) for c in right_cols])
     step = F.lit(slice_s * 1_000_000)
     lcols = left.columns
@@ -50,11 +46,6 @@ def asof_latest(
         allowMissingColumns=True,
     )
     carry = F.last("_right", ignorenulls=True)
-    if biggest_group(stacked, ["_k"]) <= hot_rows:
-        w = Window.partitionBy("_k").orderBy("_t", "_side", "_tie")
-        out = stacked.withColumn("_hit", carry.over(w)).where("_side = 1")
-        return out.select("_left.*", *[F.col("_hit")[c].alias(c) for c in (right_time, *right_cols)])
-
     stacked = stacked.withColumn("_slice", F.floor(F.col("_t") / step))
     w = Window.partitionBy("_k", "_slice").orderBy("_t", "_side", "_tie")
     per_slice = stacked.groupBy("_k", "_slice").agg(

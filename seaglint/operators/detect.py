@@ -12,11 +12,8 @@ from pyspark.sql import functions as F
 
 from seaglint import config as C
 from seaglint.functions import boxes as B
-from seaglint.operators.ranking import biggest_group, top_per_group
-from seaglint.operators.spatial import split_hot_keys
-from seaglint.session import ensure_checkpoint_dir
+from seaglint.session import ship_package
 
-PREFIX_ROWS = 1000  # Spark cuts a per-group top-k this small before the shuffle
 CORNERS = ("x1", "y1", "x2", "y2")
 CENTRE = ("cx", "cy", "w", "h")
 
@@ -49,20 +46,24 @@ def decode_predictions(raw: DataFrame, min_confidence: float = C.DETECTOR_CONFID
 # --- suppression -------------------------------------------------------------------------
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Re-cut key-sorted batches so that no group is split; yields the rows and group borders."""
-    held = None
-    for pdf in batches:
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
-        k = pdf[key].to_numpy()
-        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-        if len(cuts):
-            yield pdf.iloc[: cuts[-1]], np.concatenate([[0], cuts])
-            pdf = pdf.iloc[cuts[-1] :]
-        held = pdf
-    if held is not None and len(held):
-        yield held, np.array([0, len(held)])
+def usable(df: DataFrame, *names: str, tile: str = "tile_id") -> Column:
+    """Whether a box takes part: tile, box_id and the named numbers are there, and no number is NaN.
+
+    Suppression and matching leave all other rows out, whatever the size of the tile.
+    """
+    kind = dict(df.dtypes)
+    ok = F.col(tile).isNotNull() & F.col("box_id").isNotNull()
+    for n in names:
+        ok = ok & F.col(n).isNotNull()
+        if kind[n] in ("double", "float"):
+            ok = ok & ~F.isnan(n)
+    return ok
+
+
+def runs_of(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Borders [lo, hi) of equal keys that stand together."""
+    cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+    return zip([0, *cuts], [*cuts, len(keys)], strict=True)
 
 
 def _overlaps(a: np.ndarray, b: np.ndarray, centre: bool) -> np.ndarray:
@@ -78,139 +79,93 @@ def _overlaps(a: np.ndarray, b: np.ndarray, centre: bool) -> np.ndarray:
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
-MATRIX_ROWS = 512  # up to this many boxes one overlap table is quicker than a loop
-
-
-def _kept_indexes(corner: np.ndarray, limit: float, centre: bool) -> np.ndarray:
-    """Boxes that survive, given rows in rank order."""
-
-    def clash(a, b):
-        o = _overlaps(a, b, centre)
-        return o >= limit if centre else o > limit
-
-    n = len(corner)
-    alive = np.ones(n, dtype=bool)
-    if n <= MATRIX_ROWS:
-        table = np.triu(clash(corner[:, None, :], corner[None, :, :]), 1)
-        for i in np.flatnonzero(table.any(axis=1)):
-            if alive[i]:
-                alive &= ~table[i]
-        return np.flatnonzero(alive)
-    for i in range(n):
-        if alive[i]:
-            later = i + 1 + np.flatnonzero(alive[i + 1 :])
-            alive[later[clash(corner[i], corner[later])]] = False
-    return np.flatnonzero(alive)
-
-
-def _fold(df: DataFrame, tile: str, limit: float, centre: bool) -> DataFrame:
-    """Suppression tile by tile: rows meet by tile, sorted by rank, and stream through."""
-    kind = dict(df.dtypes)
+#: Boxes that are compared at a time, and kept boxes that they meet at a time.
+BLOCK, KEPT_BLOCK = 256, 4096
+
+
+class _Fold:
+    """Greedy suppression of one tile whose boxes arrive in rank order; only kept boxes are held."""
+
+    def __init__(self, limit: float, centre: bool):
+        self.limit, self.centre, self.kept, self.count = limit, centre, [], 0
+
+    def clash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        o = _overlaps(a[:, None, :], b[None, :, :], self.centre)
+        return o >= self.limit if self.centre else o > self.limit
+
+    def take(self, corner: np.ndarray) -> np.ndarray:
+        """Places of the boxes that are kept, of some that follow those given before."""
+        out = []
+        for lo in range(0, len(corner), BLOCK):
+            block = corner[lo : lo + BLOCK]
+            alive = np.ones(len(block), dtype=bool)
+            for kept in self.kept:
+                alive[alive] = ~self.clash(kept, block[alive]).any(axis=0)
+            at = np.flatnonzero(alive)
+            table = np.triu(self.clash(block[at], block[at]), 1)
+            left = np.ones(len(at), dtype=bool)
+            for i in np.flatnonzero(table.any(axis=1)):
+                if left[i]:
+                    left &= ~table[i]
+            at = at[left]
+            if self.kept and len(self.kept[-1]) + len(at) <= KEPT_BLOCK:
+                self.kept[-1] = np.concatenate([self.kept[-1], block[at]])
+            elif len(at):
+                self.kept.append(block[at])
+            out.append(at + lo)
+        return np.concatenate(out)
+
+
+def _suppress(boxes: DataFrame, tile: str, limit: float, centre: bool) -> DataFrame:
+    """Suppression tile by tile, the same for tiles of any size: rows meet by tile, sorted by rank, and
+    stream through; a task holds a batch of rows and the kept boxes of one tile."""
+    ship_package(boxes.sparkSession)
+    c = B.corners(*[F.col(n) for n in CENTRE]) if centre else tuple(F.col(n) for n in CORNERS)
+    slim = boxes.select(tile, "box_id", F.col("score").cast("double").alias("score"), *[c[i].cast("double").alias(f"_b{i}") for i in range(4)])
     cols = ["_b0", "_b1", "_b2", "_b3"]
+    slim = slim.where(usable(slim, "score", *cols, tile=tile))
+    kind = dict(slim.dtypes)
     schema = f"{tile} {kind[tile]}, box_id {kind['box_id']}, score double, {', '.join(f'{c} double' for c in cols)}, rank bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, borders in whole_groups(batches, tile):
-            b = pdf[cols].to_numpy(dtype=float)
+        now, fold = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            tiles, b = pdf[tile].to_numpy(), pdf[cols].to_numpy(dtype=float)
             kept, ranks = [], []
-            for lo, hi in zip(borders[:-1], borders[1:], strict=True):
-                inside = _kept_indexes(b[lo:hi], limit, centre)
+            for lo, hi in runs_of(tiles):
+                if fold is None or tiles[lo] != now:
+                    now, fold = tiles[lo], _Fold(limit, centre)
+                inside = fold.take(b[lo:hi])
                 kept.append(inside + lo)
-                ranks.append(np.arange(1, len(inside) + 1))
+                ranks.append(np.arange(fold.count + 1, fold.count + len(inside) + 1))
+                fold.count += len(inside)
             out = pdf.iloc[np.concatenate(kept)].copy()
             out["rank"] = np.concatenate(ranks).astype("int64")
             yield out
 
-    ordered = df.select(tile, "box_id", "score", *cols).repartition(tile).sortWithinPartitions(
-        tile, F.desc("score"), "box_id"
-    )
+    ordered = slim.repartition(tile).sortWithinPartitions(tile, F.desc("score"), "box_id")
     return ordered.mapInPandas(run, schema)
 
 
-def _fold_in_rounds(df: DataFrame, tile: str, limit: float, centre: bool) -> DataFrame:
-    """Exact suppression for tiles too large for one task.
-
-    Each round takes the best boxes of every tile, folds them, and drops whatever they suppress
-    from the remaining boxes. What a prefix keeps never depends on later boxes, so the rounds
-    together keep exactly what one long fold would.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    rest, parts, offset = df.checkpoint(), [], None
-    while not rest.isEmpty():
-        first = top_per_group(rest, [tile], [F.desc("score"), F.asc("box_id")], PREFIX_ROWS)
-        edge = first.groupBy(tile).agg(
-            F.max(F.struct((-F.col("score")).alias("s"), F.col("box_id").alias("b"))).alias("_edge")
-        )
-        kept = _fold(first, tile, limit, centre).checkpoint()
-        if offset is not None:
-            kept_numbered = kept.join(offset, tile, "left").withColumn(
-                "rank", F.col("rank") + F.coalesce("_done", F.lit(0))
-            ).drop("_done")
-        else:
-            kept_numbered = kept
-        parts.append(kept_numbered)
-        done = kept_numbered.groupBy(tile).agg(F.max("rank").alias("_done"))
-        offset = done if offset is None else offset.unionByName(done).groupBy(tile).agg(F.max("_done").alias("_done"))
-        offset = offset.checkpoint()
-        listed = kept.groupBy(tile).agg(F.collect_list(F.struct("_b0", "_b1", "_b2", "_b3")).alias("_kept"))
-        guard = edge.join(listed, tile)
-        many, few, keys = split_hot_keys(rest, guard, [tile])
-        mine = tuple(F.col(f"_b{i}") for i in range(4))
-
-        def hit(k: Column) -> Column:
-            other = tuple(k[f"_b{i}"] for i in range(4))
-            inter = B.shared_area(other, mine)
-            union = B.area(other) + B.area(mine) - inter
-            if centre:
-                return F.when(union > 0, F.try_divide(inter, union)).otherwise(0.0) >= limit
-            return inter / (union + F.lit(1e-6)) > limit
-
-        later = F.struct((-F.col("score")).alias("s"), F.col("box_id").alias("b")) > F.col("_edge")
-        rest = (
-            many.join(few, keys)
-            .where(later & ~F.exists("_kept", hit))
-            .select(*df.columns)
-            .checkpoint()
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _suppress(
-    boxes: DataFrame, tile: str, limit: float, centre: bool, box_limit: int | None
-) -> DataFrame:
-    box_limit = box_limit or C.TILE_BOX_LIMIT
-    c = B.corners(*[F.col(n) for n in CENTRE]) if centre else tuple(F.col(n) for n in CORNERS)
-    slim = boxes.select(tile, "box_id", F.col("score").cast("double").alias("score"), *[c[i].cast("double").alias(f"_b{i}") for i in range(4)])
-    if biggest_group(slim, [tile]) <= box_limit:
-        kept = _fold(slim, tile, limit, centre)
-    else:
-        sizes = slim.groupBy(tile).count()
-        crowded = sizes.where(F.col("count") > box_limit).select(tile)
-        kept = _fold(slim.join(crowded, tile, "left_anti"), tile, limit, centre).unionByName(
-            _fold_in_rounds(slim.join(crowded, tile, "left_semi"), tile, limit, centre)
-        )
-    return kept
-
-
 def nms_detector(
-    boxes: DataFrame, tile: str = "tile_id", limit: float = C.DETECTOR_NMS_IOU, box_limit: int | None = None
+    boxes: DataFrame, tile: str = "tile_id", limit: float = C.DETECTOR_NMS_IOU
 ) -> DataFrame:
     """Greedy suppression of corner boxes: drop a box whose overlap with a kept one exceeds ``limit``.
 
-    Boxes rank by score, then ``box_id``; ``rank`` numbers the kept ones per tile.
+    Boxes rank by score, then ``box_id``; ``rank`` numbers the kept ones per tile. Boxes without a
+    tile, an id, a score or a corner, null or NaN, are left out (``usable``).
     """
-    kept = _suppress(boxes, tile, limit, False, box_limit)
+    kept = _suppress(boxes, tile, limit, False)
     return kept.select(tile, "box_id", "score", *[F.col(f"_b{i}").alias(n) for i, n in enumerate(CORNERS)], "rank")
 
 
 def nms_benchmark(
-    boxes: DataFrame, tile: str = "tile_id", limit: float = C.BENCHMARK_NMS_IOU, box_limit: int | None = None
+    boxes: DataFrame, tile: str = "tile_id", limit: float = C.BENCHMARK_NMS_IOU
 ) -> DataFrame:
     """Greedy suppression of centre boxes: keep a box while its overlap stays below ``limit``."""
-    kept = _suppress(boxes, tile, limit, True, box_limit)
+    kept = _suppress(boxes, tile, limit, True)
     cx, cy = (F.col("_b0") + F.col("_b2")) / 2.0, (F.col("_b1") + F.col("_b3")) / 2.0
     return kept.select(
         tile, "box_id", "score", cx.alias("cx"), cy.alias("cy"),
@@ -257,48 +212,21 @@ def _partner_places(df: DataFrame, base: float, t: float) -> DataFrame:
 
 
 def iou_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    tile: str = "tile_id",
-    threshold: float = C.MATCH_IOU,
-    box_limit: int | None = None,
-) -> DataFrame:
-    """(left, right) box pairs of one tile with overlap >= ``threshold``.
-
-    Both sides: ``tile``, ``box_id`` and a centre box. Tiles that fit one task are worked on
-    whole; crowded ones are cut further by size class and grid place.
-    """
-    box_limit = box_limit or C.TILE_BOX_LIMIT
-    both = left.select(tile).unionByName(right.select(tile))
-    if biggest_group(both, [tile]) <= box_limit:
-        return _match_tiles(left, right, tile, threshold, False, False)
-    crowded = both.groupBy(tile).count().where(F.col("count") > box_limit).select(tile)
-
-    def part(df, how):
-        return df.join(crowded, tile, how)
-
-    small = _match_tiles(part(left, "left_anti"), part(right, "left_anti"), tile, threshold, False, False)
-    return small.unionByName(
-        iou_pairs_by_place(part(left, "left_semi"), part(right, "left_semi"), tile, threshold)
-    )
-
-
-def iou_pairs_by_place(
     left: DataFrame,
     right: DataFrame,
     tile: str = "tile_id",
     threshold: float = C.MATCH_IOU,
     *,
     keep: tuple[str, ...] = (),
-    crowded: str = "left",
-    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Overlapping pairs by an equi-join on size class and grid place inside the tile.
+    """(left, right) box pairs of one tile with overlap >= ``threshold``.
 
-    Only boxes of like size and place meet, so a crowded tile spreads over many tasks.
-    ``crowded`` names the side whose busiest places are spread further; ``keep`` lists left
-    columns to carry along.
+    Both sides: ``tile``, ``box_id`` and a centre box; unusable boxes (``usable``) pair with nothing.
+    The join is on size class and grid place inside the tile, so only boxes of like size and place
+    meet, and a crowded tile spreads over many tasks. ``keep`` lists left columns to carry along.
     """
+    left = left.where(usable(left, *CENTRE, tile=tile))
+    right = right.where(usable(right, *CENTRE, tile=tile))
     base = 1.01 / (threshold * threshold)
     places = ["_size", "_gx", "_gy"]
 
@@ -308,15 +236,11 @@ def iou_pairs_by_place(
 
     a = renamed(_own_place(left.select(tile, "box_id", *keep, *CENTRE), base), "left_id", "_a_", keep)
     b = renamed(_partner_places(right.select(tile, "box_id", *CENTRE), base, threshold), "right_id", "_b_")
-    if crowded == "left":
-        a, b, keys = split_hot_keys(a, b, [tile, *places], hot_rows)
-    else:
-        b, a, keys = split_hot_keys(b, a, [tile, *places], hot_rows)
     iou = B.iou_yolo(
         tuple(F.col(f"_a_{c}") for c in CENTRE), tuple(F.col(f"_b_{c}") for c in CENTRE)
     )
     return (
-        a.join(b, keys)
+        a.join(b, [tile, *places])
         .withColumn("iou", iou)
         .where(F.col("iou") >= threshold)
         .select(tile, "left_id", *keep, "right_id", "iou")
@@ -326,93 +250,6 @@ def iou_pairs_by_place(
 # --- matching ----------------------------------------------------------------------------
 
 
-def _take_first(order: np.ndarray, pred: np.ndarray, gt: np.ndarray) -> list[int]:
-    """Pairs taken one by one: a pair counts when neither side is used yet."""
-    used_p, used_g, take = set(), set(), []
-    for i in order:
-        if pred[i] not in used_p and gt[i] not in used_g:
-            used_p.add(pred[i])
-            used_g.add(gt[i])
-            take.append(i)
-    return take
-
-
-def _match_tiles(preds: DataFrame, labels: DataFrame, tile: str, threshold: float, best: bool, match: bool) -> DataFrame:
-    """Overlapping pairs of every tile, or only the matched ones, in one pass.
-
-    Both sides are stacked, meet by tile and stream through in sorted order; labels are
-    looked up by their place on the x axis.
-    """
-    kind = dict(preds.dtypes)
-    schema = f"{tile} {kind[tile]}, left_id {kind['box_id']}, right_id {dict(labels.dtypes)['box_id']}, iou double"
-
-    def side(df, n, rank):
-        return df.select(tile, "box_id", F.lit(n).alias("_side"), rank.cast("bigint").alias("rank"), *[F.col(c).cast("double").alias(c) for c in CENTRE])
-
-    rank = F.col("rank") if "rank" in preds.columns else F.lit(0)
-    both = side(preds, 0, rank).unionByName(side(labels, 1, F.lit(0)))
-    ordered = both.repartition(tile).sortWithinPartitions(tile, "_side", "rank", "box_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, borders in whole_groups(batches, tile):
-            c = pdf[list(CENTRE)].to_numpy(dtype=float)
-            corner = np.column_stack([c[:, 0] - c[:, 2] / 2, c[:, 1] - c[:, 3] / 2, c[:, 0] + c[:, 2] / 2, c[:, 1] + c[:, 3] / 2])
-            is_label = pdf["_side"].to_numpy() == 1
-            found_p, found_g, found_iou = [], [], []
-            for lo, hi in zip(borders[:-1], borders[1:], strict=True):
-                mid = lo + int((~is_label[lo:hi]).sum())
-                if mid in (lo, hi):
-                    continue
-                by_x = mid + np.argsort(c[mid:hi, 0], kind="stable")
-                reach = c[lo:mid, 2] * (1 - threshold) / threshold + 1e-9
-                first = np.searchsorted(c[by_x, 0], c[lo:mid, 0] - reach, side="left")
-                last = np.searchsorted(c[by_x, 0], c[lo:mid, 0] + reach, side="right")
-                n = last - first
-                p = np.repeat(np.arange(lo, mid), n)
-                g = by_x[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
-                iou = _overlaps(corner[p], corner[g], True)
-                hit = iou >= threshold
-                p, g, iou = p[hit], g[hit], iou[hit]
-                if match:
-                    keys = (g, -iou, p) if best else (g, p)
-                    take = _take_first(np.lexsort(keys), p, g)
-                    p, g, iou = p[take], g[take], iou[take]
-                found_p.append(p)
-                found_g.append(g)
-                found_iou.append(iou)
-            if found_p:
-                p, g = np.concatenate(found_p).astype(int), np.concatenate(found_g).astype(int)
-                ids, tiles = pdf["box_id"].to_numpy(), pdf[tile].to_numpy()
-                yield pd.DataFrame({tile: tiles[p], "left_id": ids[p], "right_id": ids[g], "iou": np.concatenate(found_iou)})
-
-    return ordered.mapInPandas(run, schema)
-
-
-def _match_in_rounds(edges: DataFrame, tile: str) -> DataFrame:
-    """Exact greedy matching by proposals, for tiles too large for one task.
-
-    Every prediction proposes to its best label, every label holds its best-ranked proposer, and
-    pairs that lose to a holder are removed. Labels agree on the order of predictions, so the
-    stable state is unique and equals the one-by-one greedy result.
-    """
-    ensure_checkpoint_dir(edges.sparkSession)
-    left = edges.checkpoint()
-    while True:
-        asks = left.groupBy(tile, "pred_id").agg(
-            F.min_by(F.struct("pred_rank", "gt_id"), F.struct("choice", "gt_id")).alias("a")
-        )
-        held = asks.groupBy(tile, F.col("a.gt_id").alias("gt_id")).agg(F.min("a.pred_rank").alias("_best"))
-        ruled = left.join(held, [tile, "gt_id"], "left").withColumn(
-            "_lost", F.coalesce(F.col("pred_rank") > F.col("_best"), F.lit(False))
-        )
-        ruled = ruled.checkpoint()
-        if ruled.where("_lost").isEmpty():
-            break
-        left = ruled.where("not _lost").drop("_lost", "_best")
-    final = left.groupBy(tile, "pred_id").agg(F.min_by(F.struct("gt_id", "iou"), F.struct("choice", "gt_id")).alias("m"))
-    return final.select(tile, "pred_id", F.col("m.gt_id").alias("gt_id"), F.col("m.iou").alias("iou"))
-
-
 def greedy_match(
     preds: DataFrame,
     labels: DataFrame,
@@ -420,41 +257,37 @@ def greedy_match(
     best: bool,
     tile: str = "tile_id",
     threshold: float = C.MATCH_IOU,
-    suppressed: bool = True,
-    box_limit: int | None = None,
 ) -> DataFrame:
     """Predictions in ``rank`` order each take one free label with enough overlap.
 
     ``best=False`` takes the first such label by ``box_id``, ``best=True`` the one with most
-    overlap. Suppressed predictions hardly overlap each other, which bounds them by the tile's
-    area, so only labels are counted to find crowded tiles; ``suppressed=False`` counts both.
-    Crowded tiles match in rounds over their overlapping pairs.
+    overlap. The overlapping pairs come from ``iou_pairs``; they meet by tile in the order in which
+    they may be taken and stream through, so a task holds the matched ids of one tile.
     """
-    limit = box_limit or C.TILE_BOX_LIMIT
-    counted = labels.select(tile) if suppressed else preds.select(tile).unionByName(labels.select(tile))
-    if biggest_group(counted, [tile]) <= limit:
-        return _matched(_match_tiles(preds, labels, tile, threshold, best, True), tile)
-    crowded = counted.groupBy(tile).count().where(F.col("count") > limit).select(tile)
-
-    def part(df, how):
-        return df.join(crowded, tile, how)
-
-    small = _match_tiles(part(preds, "left_anti"), part(labels, "left_anti"), tile, threshold, best, True)
-    edges = iou_pairs_by_place(
-        part(preds, "left_semi"), part(labels, "left_semi"), tile, threshold, keep=("rank",), crowded="right"
-    ).select(
-        tile,
-        F.col("left_id").alias("pred_id"),
-        F.col("right_id").alias("gt_id"),
-        "iou",
-        F.col("rank").alias("pred_rank"),
-        (-F.col("iou") if best else F.lit(0.0)).alias("choice"),
-    )
-    return _matched(small, tile).unionByName(_match_in_rounds(edges, tile))
+    ship_package(preds.sparkSession)
+    ranked = preds if "rank" in preds.columns else preds.withColumn("rank", F.lit(0))
+    pairs = iou_pairs(ranked, labels, tile, threshold, keep=("rank",))
+    kind = dict(pairs.dtypes)
+    schema = f"{tile} {kind[tile]}, pred_id {kind['left_id']}, gt_id {kind['right_id']}, iou double"
+    choice = [F.desc("iou")] if best else []
+    ordered = pairs.repartition(tile).sortWithinPartitions(tile, "rank", "left_id", *choice, "right_id")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, preds_used, labels_used = None, set(), set()
+        for pdf in batches:
+            take = []
+            tiles, p, g = pdf[tile].tolist(), pdf["left_id"].tolist(), pdf["right_id"].tolist()
+            for i in range(len(tiles)):
+                if tiles[i] != now:
+                    now, preds_used, labels_used = tiles[i], set(), set()
+                if p[i] not in preds_used and g[i] not in labels_used:
+                    preds_used.add(p[i])
+                    labels_used.add(g[i])
+                    take.append(i)
+            hit = pdf.iloc[take]
+            yield pd.DataFrame({tile: hit[tile], "pred_id": hit["left_id"], "gt_id": hit["right_id"], "iou": hit["iou"]})
 
-def _matched(pairs: DataFrame, tile: str) -> DataFrame:
-    return pairs.select(tile, F.col("left_id").alias("pred_id"), F.col("right_id").alias("gt_id"), "iou")
+    return ordered.mapInPandas(run, schema)
 
 
 # --- scoring -----------------------------------------------------------------------------

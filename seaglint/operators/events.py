@@ -110,9 +110,9 @@ def event_table_view(df: DataFrame, limit: int = 100) -> DataFrame:
     )
 
 
-def running_event_counts(df: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def running_event_counts(df: DataFrame) -> DataFrame:
     """Events so far per zone in time order."""
-    return numbered(df, ["zone"], ["timestamp", "event_id"], "running_count", hot_rows)
+    return numbered(df, ["zone"], ["timestamp", "event_id"], "running_count")
 
 
 def events_from_boxes(boxes: DataFrame, tiles: DataFrame, code: str) -> DataFrame:

@@ -112,41 +112,43 @@ def _cut(position: Column, total: Column, ratios: tuple[float, float, float]) ->
 
 
 def chunk_split(
-    tiles: DataFrame, by: list[str], ratios: tuple[float, float, float] = (70, 15, 15), hot_rows: int | None = None
-) -> DataFrame:
+    tiles: DataFrame, by: list[str], ratios: tuple[float, float, float] = (70, 15, 15)) -> DataFrame:
     """Contiguous train/val/test chunks of the tile_id order inside each group."""
-    placed = numbered(tiles, by, ["tile_id"], "_rn", hot_rows)
+    placed = numbered(tiles, by, ["tile_id"], "_rn")
     sized = with_group_size(placed, by, "_n")
     return sized.withColumn("split", _cut(F.col("_rn"), F.col("_n"), ratios)).drop("_rn", "_n")
 
 
-def geo_split(tiles: DataFrame, ratios: tuple[float, float, float] = (70, 15, 15), hot_rows: int | None = None) -> DataFrame:
-    return chunk_split(tiles, ["scene_id"], ratios, hot_rows)
+def geo_split(tiles: DataFrame, ratios: tuple[float, float, float] = (70, 15, 15)) -> DataFrame:
+    return chunk_split(tiles, ["scene_id"], ratios)
 
 
-def platform_stratified_split(tiles: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def platform_stratified_split(tiles: DataFrame) -> DataFrame:
     keyed = tiles.withColumn("platform", names.satellite_platform(F.col("scene_id")))
-    return chunk_split(keyed, ["platform"], (70, 15, 15), hot_rows)
+    return chunk_split(keyed, ["platform"], (70, 15, 15))
 
 
 def scene_plan_split(tiles: DataFrame, plan: DataFrame, geo: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:
     """Split named by a plan table (scene_id, split); unknown names mean train.
 
-    Scenes listed in ``geo`` are cut into chunks instead.
+    Scenes listed in ``geo`` are cut into chunks instead. Scenes that the plan does not name are split
+    whole, in proportion (``proportional_scene_split``).
     """
     known = F.when(F.col("split").isin("train", "val", "test"), F.col("split")).otherwise("train")
     geo = geo or {}
     plain = tiles.where(~F.col("scene_id").isin(*geo)) if geo else tiles
-    out = plain.join(plan.select("scene_id", known.alias("split")), "scene_id")
+    named = plan.select("scene_id", known.alias("split"))
+    out = plain.join(named, "scene_id")
+    out = out.unionByName(proportional_scene_split(plain.join(named, "scene_id", "left_anti")))
     for scene, ratios in geo.items():
         out = out.unionByName(geo_split(tiles.where(F.col("scene_id") == scene), ratios))
     return out
 
 
-def proportional_scene_split(tiles: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def proportional_scene_split(tiles: DataFrame) -> DataFrame:
     """Whole scenes to splits, in scene order: 60 % train, 20 % val, the rest test."""
     scenes = tiles.select("scene_id").distinct()
-    placed = numbered(scenes, [], ["scene_id"], "_rn", hot_rows)
+    placed = numbered(scenes, [], ["scene_id"], "_rn")
     n = scenes.agg(F.count("*").alias("n")).scalar()
     train0 = F.greatest(F.lit(1), F.floor(n * F.lit(0.6)))
     val0 = F.greatest(F.lit(1), F.floor(n * F.lit(0.2)))
@@ -160,11 +162,10 @@ def proportional_scene_split(tiles: DataFrame, hot_rows: int | None = None) -> D
 
 
 def random_split(
-    tiles: DataFrame, seed: str, ratios: tuple[float, float, float] = (80, 10, 10), hot_rows: int | None = None
-) -> DataFrame:
+    tiles: DataFrame, seed: str, ratios: tuple[float, float, float] = (80, 10, 10)) -> DataFrame:
     """Seeded shuffle by hash order, then exact cuts."""
     mixed = tiles.withColumn("_h", draw_hash(F.col("tile_id"), seed))
-    placed = numbered(mixed, [], ["_h", "tile_id"], "_rn", hot_rows)
+    placed = numbered(mixed, [], ["_h", "tile_id"], "_rn")
     n = tiles.agg(F.count("*").alias("n")).scalar()
     return placed.withColumn("split", _cut(F.col("_rn"), n, ratios)).drop("_rn", "_h")
 
@@ -254,13 +255,13 @@ def yolo_line(class_id: Column, cx: Column, cy: Column, w: Column, h: Column) ->
     return F.format_string("%d %.6f %.6f %.6f %.6f", class_id, cx, cy, w, h)
 
 
-def cvat_boxes(annotations: DataFrame, order: list, size: int = C.TILE_SIZE, hot_rows: int | None = None) -> DataFrame:
+def cvat_boxes(annotations: DataFrame, order: list, size: int = C.TILE_SIZE) -> DataFrame:
     """Box rows of an annotation file: clamped corners with one decimal, place in the image."""
     s = F.lit(float(size))
     x1, y1, x2, y2 = boxes.corners(*[F.col(c) for c in ("cx", "cy", "w", "h")])
     zero = F.lit(0.0)
     one = lambda v: F.format_string("%.1f", v)
-    rows = numbered(annotations, ["tile_id"], order, "_rn", hot_rows)
+    rows = numbered(annotations, ["tile_id"], order, "_rn")
     return rows.select(
         "scene_id",
         F.concat("tile_id", F.lit(".npy")).alias("image"),

@@ -33,11 +33,11 @@ def latest_tle(sets: DataFrame, as_of: str) -> DataFrame:
     return best.select("norad_id", "r.*")
 
 
-def satellite_asof(events: DataFrame, sets: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def satellite_asof(events: DataFrame, sets: DataFrame) -> DataFrame:
     """Newest element set at or before each event, by satellite number."""
     return asof_latest(
         events, sets, key="norad_id", left_time="ts", right_time="updated_at",
-        right_cols=["source", "tle1", "tle2"], tie="source", hot_rows=hot_rows,
+        right_cols=["source", "tle1", "tle2"], tie="source",
     )
 
 

@@ -5,83 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seaglint import config as C
-
-SAMPLE_ROWS = 20_000
-MAX_SLICES = 255
-
+from seaglint.session import ensure_checkpoint_dir
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def biggest_group(df: DataFrame, by: list) -> int:
-    """Row count of the largest group; counted map-side, so a hot key costs nothing extra."""
-    cols = [_col(c) for c in by]
-    counts = (df.groupBy(*cols).count() if cols else df.select(F.count("*").alias("count")))
-    return counts.agg(F.max("count")).first()[0] or 0
-
-
-def _slice_of(key: Column, bounds: list) -> Column:
-    """Index of the slice a key falls in, as a balanced tree of comparisons."""
-
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        cut = F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(bounds[mid])])
-        return F.when(key <= cut, node(lo, mid)).otherwise(node(mid + 1, hi))
-
-    return node(0, len(bounds))
-
-
-def _slice_bounds(keys: DataFrame, rows: int, slices: int) -> list:
-    """Cut points from a bounded sample. They only balance the slices; any cuts are correct."""
-    names = keys.columns
-    share = min(1.0, SAMPLE_ROWS / max(rows, 1))
-    sample = keys.dropna().sample(fraction=share, seed=7).limit(4 * SAMPLE_ROWS)
-    picks = sample.distinct().orderBy(*names).collect()
-    if not picks:
-        return []
-    step = max(1, len(picks) // slices)
-    return [tuple(r) for r in picks[step - 1 :: step]][: slices - 1]
-
-
-def numbered(
-    df: DataFrame,
-    by: list,
-    order: list,
-    name: str = "rn",
-    hot_rows: int | None = None,
-) -> DataFrame:
+def numbered(df: DataFrame, by: list, order: list, name: str = "rn") -> DataFrame:
     """Add a 1-based row number per group.
 
-    Groups up to ``hot_rows`` use one window. When any group is larger, the order key is cut
-    into slices, each slice is numbered by its own task, and the row counts of the slices
-    before it are added. ``order`` must be ascending, non-null and end in a unique column.
+    The rows are cut into slices of the global order (group, then ``order``), each slice is numbered
+    by its own task, and the rows that earlier slices have of the group are added. Slices follow the
+    data's size, so a group may have any share of all rows. They are written to the checkpoint folder
+    once, so that all readers see the same ones. ``order`` must be ascending and end in a unique column.
     """
-    hot_rows = hot_rows or C.HOT_GROUP_ROWS
     by_cols, order_cols = [_col(c) for c in by], [_col(c) for c in order]
-    largest = biggest_group(df, by)
-    if largest <= hot_rows:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by_cols).orderBy(*order_cols)))
-
-    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order_cols)]))
-    slices = min(MAX_SLICES, max(2, 2 * largest // hot_rows))
-    bounds = _slice_bounds(keyed.select("_key.*"), df.count(), slices)
-    for i, c in enumerate(by_cols):
-        keyed = keyed.withColumn(f"_by{i}", c)
     groups = [f"_by{i}" for i in range(len(by_cols))]
-    keyed = keyed.withColumn("_slice", _slice_of(F.col("_key"), bounds))
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order_cols)])
+    keyed = df.select("*", key.alias("_key"), *[c.alias(g) for c, g in zip(by_cols, groups)])
+    ensure_checkpoint_dir(df.sparkSession)
+    cut = keyed.repartitionByRange(*groups, "_key").withColumn("_slice", F.spark_partition_id()).checkpoint()
     before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        keyed.groupBy(*groups, "_slice")
+        cut.groupBy(*groups, "_slice")
         .count()
         .withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
         .drop("count")
     )
     inside = F.row_number().over(Window.partitionBy(*groups, "_slice").orderBy("_key"))
-    joined = _null_safe_join(keyed.withColumn("_inside", inside), offsets, [*groups, "_slice"])
+    joined = _null_safe_join(cut.withColumn("_inside", inside), offsets, [*groups, "_slice"])
     out = joined.withColumn(name, (F.col("_before") + F.col("_inside")).cast("long"))
     return out.select(*df.columns, name)
 

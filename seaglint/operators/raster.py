@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seaglint import config as C
+from seaglint.session import ship_package
 from seaglint.schemas import RASTER
 
 # --- scalars on pixel columns ------------------------------------------------------------
@@ -116,6 +117,7 @@ def lee_long(pixels: DataFrame, tile: str = "tile", value: str = "v", k: int = C
 def lut_interpolate(points: DataFrame, lut: DataFrame) -> DataFrame:
     """Bilinear LUT value at (``line``, ``pixel``) of a scene, linear beyond the outer nodes.
 
+    Points of a scene without a table have a null value.
     The node positions of a scene are a short list; the four corner values come by equi-join.
     """
     axes = lut.groupBy("scene_id").agg(
@@ -155,10 +157,10 @@ def lut_interpolate(points: DataFrame, lut: DataFrame) -> DataFrame:
         return F.greatest(F.lit(0), F.least(below, F.size(nodes) - 2)).cast("bigint")
 
     hit = (
-        points.join(axes, "scene_id")
+        points.join(axes, "scene_id", "left")
         .withColumn("i", step("_ls", "line"))
         .withColumn("j", step("_ps", "pixel"))
-        .join(cells, ["scene_id", "i", "j"])
+        .join(cells, ["scene_id", "i", "j"], "left")
     )
     fy = (F.col("line") - F.col("y0")) / (F.col("y1") - F.col("y0"))
     fx = (F.col("pixel") - F.col("x0")) / (F.col("x1") - F.col("x0"))
@@ -317,18 +319,24 @@ def run_chain(code: str, dn: np.ndarray, lut: np.ndarray, noise: np.ndarray | No
 
 
 def interpolate_grid(lines, pixels, values, rows, cols) -> np.ndarray:
-    """Bilinear values on a window, linear beyond the outer nodes."""
+    """Bilinear values on a window, linear beyond the outer nodes.
+
+    Each line has its own ``pixels`` and ``values``: it is interpolated along its own nodes first.
+    """
 
     def place(nodes, want):
         nodes = np.asarray(nodes, dtype=float)
         i = np.clip(np.searchsorted(nodes, want, side="right") - 1, 0, len(nodes) - 2)
         return i, (want - nodes[i]) / (nodes[i + 1] - nodes[i])
 
-    v = np.asarray(values, dtype=float)
-    (i, fy), (j, fx) = place(lines, rows), place(pixels, cols)
-    fy, fx = fy[:, None], fx[None, :]
-    at = lambda a, b: v[(i + a)[:, None], (j + b)[None, :]]
-    return at(0, 0) * (1 - fy) * (1 - fx) + at(0, 1) * (1 - fy) * fx + at(1, 0) * fy * (1 - fx) + at(1, 1) * fy * fx
+    along = []
+    for nodes, held in zip(pixels, values, strict=True):
+        v = np.asarray(held, dtype=float)
+        j, fx = place(nodes, cols)
+        along.append(v[j] * (1 - fx) + v[j + 1] * fx)
+    i, fy = place(lines, rows)
+    along, fy = np.stack(along), fy[:, None]
+    return along[i] * (1 - fy) + along[i + 1] * fy
 
 
 # --- tile-table jobs ---------------------------------------------------------------------
@@ -419,7 +427,7 @@ def lut_windows(tiles: DataFrame, vectors: DataFrame, prefix: str) -> DataFrame:
     ).select(
         "tile_id",
         F.transform("_all", lambda s: s["line"].cast("double")).alias(f"{prefix}_lines"),
-        F.transform(F.col("_all")[0]["_p"], lambda p: p.cast("double")).alias(f"{prefix}_pixels"),
+        F.transform("_all", lambda s: F.transform(s["_p"], lambda p: p.cast("double"))).alias(f"{prefix}_pixels"),
         F.transform("_all", lambda s: s["_v"]).alias(f"{prefix}_values"),
     )
 
@@ -429,10 +437,15 @@ def run_chains(
 ) -> DataFrame:
     """All named chains in one pass over padded windows, cut back to the tile.
 
-    ``windows``: tile table plus scene_id, tile_no, the padded window (py0, py1, px0, px1) and the
+    Chain A needs no calibration. The others have no row for a tile whose scene has no calibration
+    vectors; ``uncalibrated`` lists those tiles. ``windows``: tile table plus scene_id, tile_no, the padded window (py0, py1, px0, px1) and the
     tile itself (y0, y1, x0, x1). Windows with too many empty pixels are dropped first.
     """
-    joined = windows.join(lut_windows(windows, sigma, "s"), "tile_id")
+    ship_package(windows.sparkSession)
+    if set(codes) == {"A"}:
+        joined = windows.withColumn("s_lines", F.lit(None).cast("array<double>"))
+    else:
+        joined = windows.join(lut_windows(windows, sigma, "s"), "tile_id", "left")
     if noise is not None:
         joined = joined.join(lut_windows(windows, noise, "n"), "tile_id", "left")
     has_noise = noise is not None
@@ -444,11 +457,14 @@ def run_chains(
                 if (dn == 0).mean() > C.NODATA_LIMIT:
                     continue
                 rows, cols = np.arange(r.py0, r.py1), np.arange(r.px0, r.px1)
-                lut = interpolate_grid(r.s_lines, r.s_pixels, np.stack(r.s_values), rows, cols)
-                extra = None
+                lut = extra = None
+                if r.s_lines is not None:
+                    lut = interpolate_grid(r.s_lines, r.s_pixels, r.s_values, rows, cols)
                 if has_noise and r.n_lines is not None:
-                    extra = interpolate_grid(r.n_lines, r.n_pixels, np.stack(r.n_values), rows, cols)
+                    extra = interpolate_grid(r.n_lines, r.n_pixels, r.n_values, rows, cols)
                 for code in codes:
+                    if lut is None and code != "A":
+                        continue
                     out = run_chain(code, dn, lut, extra)
                     out = np.ascontiguousarray(out[r.y0 - r.py0 : r.y1 - r.py0, r.x0 - r.px0 : r.x1 - r.px0])
                     yield pd.DataFrame(
@@ -461,6 +477,11 @@ def run_chains(
     )
 
 
+def uncalibrated(windows: DataFrame, sigma: DataFrame) -> DataFrame:
+    """Tiles (scene_id, tile_id, tile_no) whose scene has no calibration vectors."""
+    return windows.select("scene_id", "tile_id", "tile_no").join(sigma.select("scene_id").distinct(), "scene_id", "left_anti")
+
+
 def assemble_windows(
     blocks: DataFrame, size: int = C.TILE_SIZE, stride: int = C.TILE_STRIDE, halo: int = C.HALO, block: int = 256
 ) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Range joins in space and time by grid cells, with hot cells split over several tasks."""
+"""Range joins in space and time by grid cells; the adaptive skew join splits crowded ones."""
 
 from __future__ import annotations
 
@@ -10,34 +10,6 @@ from seaglint import config as C
 from seaglint.functions import geo
 
 
-def split_hot_keys(
-    many: DataFrame, few: DataFrame, keys: list[str], hot_rows: int | None = None
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Spread keys with very many rows on the ``many`` side.
-
-    Rows of a hot key get a share number; the matching ``few`` rows are repeated once per share.
-    Every pair still meets exactly once. Without hot keys both sides come back unchanged.
-    """
-    hot_rows = hot_rows or C.HOT_GROUP_ROWS
-    hot = (
-        many.groupBy(*keys)
-        .count()
-        .where(F.col("count") > hot_rows)
-        .select(*keys, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_shares"))
-    )
-    if hot.limit(1).count() == 0:
-        return many, few, keys
-    shares = F.coalesce(F.col("_shares"), F.lit(1))
-    spread = F.pmod(F.xxhash64(*[c for c in many.columns if c not in keys]), shares).cast("int")
-    many = many.join(hot, keys, "left").withColumn("_share", spread).drop("_shares")
-    few = (
-        few.join(hot, keys, "left")
-        .withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
-        .drop("_shares")
-    )
-    return many, few, [*keys, "_share"]
-
-
 def _steps(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(geo.cell_of(low, size), geo.cell_of(high, size)))
 
@@ -49,12 +21,12 @@ def points_in_boxes(
     on: tuple[str, ...] = (),
     cell: float = 0.1,
     margin: float = 0.0,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """All (point, box) pairs where ``lat``/``lon`` lies in the box, bounds included.
 
     A box is listed under each grid cell it touches and a point under its one cell, so the join
-    is an equi-join and a pair meets once. Choose ``cell`` near the box size.
+    is an equi-join and a pair meets once. Choose ``cell`` near the box size. Nothing is counted when
+    the plan is built; the adaptive skew join cuts crowded cells on either side when they are read.
     """
     m = F.lit(margin)
     pts = points.withColumn("_cy", geo.cell_of(F.col("lat"), cell)).withColumn(
@@ -63,22 +35,21 @@ def points_in_boxes(
     bx = boxes.withColumn("_cy", _steps(F.col("lat_min") - m, F.col("lat_max") + m, cell)).withColumn(
         "_cx", _steps(F.col("lon_min") - m, F.col("lon_max") + m, cell)
     )
-    pts, bx, keys = split_hot_keys(pts, bx, [*on, "_cy", "_cx"], hot_rows)
     inside = (
         (F.col("lat") >= F.col("lat_min") - m)
         & (F.col("lat") <= F.col("lat_max") + m)
         & (F.col("lon") >= F.col("lon_min") - m)
         & (F.col("lon") <= F.col("lon_max") + m)
     )
-    return pts.join(bx, keys).where(inside).drop("_cy", "_cx", "_share")
+    return pts.join(bx, [*on, "_cy", "_cx"]).where(inside).drop("_cy", "_cx")
 
 
 def points_in_dated_boxes(
-    points: DataFrame, boxes: DataFrame, *, cell: float = 1.0, hot_rows: int | None = None
+    points: DataFrame, boxes: DataFrame, *, cell: float = 1.0
 ) -> DataFrame:
     """Pairs in space and time: ``day`` of the point in [``day_from``, ``day_to``] of the box."""
     dated = boxes.withColumn("day", F.explode(F.sequence("day_from", "day_to")))
-    return points_in_boxes(points, dated, on=("day",), cell=cell, hot_rows=hot_rows)
+    return points_in_boxes(points, dated, on=("day",), cell=cell)
 
 
 def reach_degrees(lat: Column, radius_m: float) -> tuple[Column, Column]:
@@ -95,7 +66,6 @@ def near_in_space_and_time(
     left_id: str,
     radius_m: float,
     window_s: int,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Distinct ``left_id`` with a right row within ``radius_m`` metres and ``window_s`` seconds.
 
@@ -125,7 +95,7 @@ def near_in_space_and_time(
         geo.cell_of(F.col("lon"), cell).alias("_cx"),
         F.floor(at / step).alias("_ct"),
     )
-    ro, lo, keys = split_hot_keys(ro, lo, ["_cy", "_cx", "_ct"], hot_rows)
+    keys = ["_cy", "_cx", "_ct"]
     close = (
         F.abs(F.col("_t") - F.col("_rt")) <= F.lit(window_s * 1_000_000)
     ) & (geo.haversine_m(F.col("lat"), F.col("lon"), F.col("_rlat"), F.col("_rlon")) <= radius_m)

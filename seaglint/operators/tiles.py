@@ -321,14 +321,14 @@ def sample_tiles_per_scene(tiles: DataFrame, first: int = 12, most: int = 24) ->
     return top_per_group(once, ["scene_id"], ["_turn", "tile_no", "tile_id"], most).select(*names_kept)
 
 
-def most_annotated_tile(tiles: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def most_annotated_tile(tiles: DataFrame) -> DataFrame:
     """Tile with most annotations per scene, else the one in the middle of the list."""
     best = tiles.groupBy("scene_id").agg(
         F.max("n_annotations").alias("_most"),
         F.count("*").alias("_n"),
         F.max_by("tile_id", F.struct("n_annotations", (-F.col("tile_no")).alias("_early"))).alias("_best"),
     )
-    placed = numbered(tiles, ["scene_id"], ["tile_no", "tile_id"], "_rn", hot_rows)
+    placed = numbered(tiles, ["scene_id"], ["tile_no", "tile_id"], "_rn")
     joined = placed.join(best, "scene_id")
     pick = F.when(F.col("_most") > 0, F.col("tile_id") == F.col("_best")).otherwise(
         F.col("_rn") == F.floor(F.col("_n") / F.lit(2)) + 1

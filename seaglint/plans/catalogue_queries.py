@@ -128,7 +128,7 @@ def write_traces_index(t):
 # --- density map -------------------------------------------------------------------------
 
 CELLS = """select cast(ci * 18 + cj as bigint) as cell_index, -17e0 + ci * 0.5e0 as lon_min, 27e0 + cj * 0.5e0 as lat_min, -17e0 + ci * 0.5e0 + 0.5e0 as lon_max, 27e0 + cj * 0.5e0 + 0.5e0 as lat_max, count(*) as ais_count
- from (select least(31, cast(trunc((lon - -17e0) / 0.5e0) as int)) as ci, least(17, cast(trunc((lat - 27e0) / 0.5e0) as int)) as cj from v_ais) q group by ci, cj"""
+ from (select least(31, cast(trunc((lon - -17e0) / 0.5e0) as int)) as ci, least(17, cast(trunc((lat - 27e0) / 0.5e0) as int)) as cj from v_ais where lon between -17e0 and -1e0 and lat between 27e0 and 36e0) q group by ci, cj"""
 RANKED = f"select *, row_number() over (order by ais_count desc, cell_index, lon_min) as density_rank from ({CELLS}) c"
 SCENE_BOX = "select scene_id, min(lon_min) as lon_min, min(lat_min) as lat_min, max(lon_max) as lon_max, max(lat_max) as lat_max from v_tiles group by scene_id"
 ROUND_CELL = "cell_index, {}".format(", ".join(f"{r(c)} as {c}" for c in ("lon_min", "lat_min", "lon_max", "lat_max")))

@@ -6,6 +6,7 @@ from seaglint import config as C
 from seaglint.functions import boxes as B
 from seaglint.operators import detect, evaluate, events
 from seaglint.plans import flows
+from seaglint.session import ensure_checkpoint_dir
 from seaglint.plans.registry import query, r, rounded
 
 CONFIDENT = "select * from v_boxes where score >= 0.25e0"
@@ -72,7 +73,8 @@ def _match(t, best):
 
 
 def _scores(t, best):
-    kept, labels = _bench(t).persist(), t.v_truth
+    ensure_checkpoint_dir(t.spark)
+    kept, labels = _bench(t).checkpoint(), t.v_truth
     return evaluate.tile_scores(kept, labels, detect.greedy_match(kept, labels, best=best))
 
 
@@ -187,16 +189,16 @@ def events_from_detections(t):
     )
 
 
-CODED = "select substr('ABCDE', cast(1 + l as int), 1) as code, tile_id as tile_key, box_id, cx + l as cx, cy, w, h, score from (select *, cast(floor(qty) as bigint) % 5 as l from v_boxes) q"
+CODED = "select substr('ABCDE', cast(1 + l as int), 1) as code, tile_id as tile_key, box_id, cx + l as cx, cy, w, h, score from (select *, cast(floor(qty) as bigint) % 4 as l from v_boxes) q"
 _CODED_DUCK = f"select concat(code, '#', tile_key) as tile_id, code, box_id, cx, cy, w, h, score from ({CODED}) c where score > 0.25e0"
 
 
 def _benchmark_sql():
     nms = nms_sql(_CODED_DUCK, False, ">= 0.5e0")
-    truth = f"select concat(c.code, '#', g.tile_id) as tile_id, g.box_id, g.b from ({TRUTH}) g, (select distinct code from ({CODED}) q) c"
+    truth = f"select concat(c.code, '#', g.tile_id) as tile_id, g.box_id, g.b from ({TRUTH}) g, (values ('A'), ('B'), ('C'), ('D'), ('E')) c(code)"
     match = f"""select tile_id, len(m) as tp from (select tile_id, list_reduce(list([{{'p': pred, 'g': gt}}] order by rank, gt), lambda acc, d: case when len(list_filter(acc, lambda k: k.p = d[1].p or k.g = d[1].g)) > 0 then acc else list_concat(acc, d) end) as m
       from (select n.tile_id, n.rank, n.b.id as pred, g.box_id as gt, {iou_sql('n.b', 'g.b', False)} as iou from ({nms}) n join ({truth}) g on n.tile_id = g.tile_id) e where iou >= 0.5e0 group by tile_id) z"""
-    return f"""select code, tp, fp, fn, {_R4.format('tp * 1e0 / (tp + fp)')} as precision, {_R4.format('tp * 1e0 / (tp + fn)')} as recall from (
+    return f"""select code, tp, fp, fn, {_R4.format('case when tp + fp > 0 then tp * 1e0 / (tp + fp) else 0e0 end')} as precision, {_R4.format('case when tp + fn > 0 then tp * 1e0 / (tp + fn) else 0e0 end')} as recall from (
       select code, cast(sum(tp) as bigint) as tp, cast(sum(n_pred - tp) as bigint) as fp, cast(sum(n_gt - tp) as bigint) as fn from (
       select substr(coalesce(p.tile_id, g.tile_id), 1, 1) as code, coalesce(n_pred, 0) as n_pred, coalesce(n_gt, 0) as n_gt, coalesce(tp, 0) as tp from (select tile_id, count(*) as n_pred from ({nms}) n group by tile_id) p
       full join (select tile_id, count(*) as n_gt from ({truth}) t group by tile_id) g on g.tile_id = p.tile_id left join ({match}) m on m.tile_id = coalesce(p.tile_id, g.tile_id)) s group by code) z"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seaglint import config as C
 from seaglint.functions import geo
 from seaglint.operators import ais, catalogue, detect, evaluate, events, raster, tiles
+from seaglint.session import ensure_checkpoint_dir
 
 
 def events_to_stats(raw: DataFrame, since: str | None = None) -> DataFrame:
@@ -31,14 +32,16 @@ def benchmark_chains(preds: DataFrame, labels: DataFrame, hist: DataFrame | None
     """Scores per processing code: labelled tiles only, suppression, matching, metrics.
 
     ``preds``: code, tile_key, box_id, score and a centre box. ``labels``: tile_key, box_id, box.
-    All codes run in one pass: the tile key of the matching is (code, tile).
+    All codes run in one pass: the tile key of the matching is (code, tile). Every processing code has
+    a row; one without predictions finds nothing, so its scores are 0 and all labels are missed.
     """
     with_code = F.concat_ws("#", "code", "tile_key")
-    codes = preds.select("code").distinct()
+    codes = F.array(*map(F.lit, C.PROCESSING_CODES))
     labelled = preds.join(labels.select("tile_key").distinct(), "tile_key", "left_semi")
     p = labelled.where(F.col("score") > C.BENCHMARK_CONFIDENCE).withColumn("tile_id", with_code)
-    kept = detect.nms_benchmark(p).persist()  # used by the matching and by the counts
-    gt = labels.withColumn("code", F.explode(codes.agg(F.collect_list("code")).scalar())).withColumn("tile_id", with_code)
+    ensure_checkpoint_dir(preds.sparkSession)
+    kept = detect.nms_benchmark(p).checkpoint()  # read by the matching and by the counts
+    gt = labels.withColumn("code", F.explode(codes)).withColumn("tile_id", with_code)
     pairs = detect.greedy_match(kept, gt, best=False)
     scores = evaluate.tile_scores(kept, gt, pairs).withColumn("code", F.substring_index("tile_id", "#", 1))
     out = evaluate.detection_metrics(scores, ["code"])

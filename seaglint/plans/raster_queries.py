@@ -36,7 +36,7 @@ def _with_lut(t):
     return raster.lut_interpolate(_points(t), t.sql(LUT)).withColumnsRenamed({"line": "y", "pixel": "x"})
 
 
-@query("lut_interpolate", f"select tile, y, x, {r(PLANE)} as lut from v_pixels where {HAS_LUT}")
+@query("lut_interpolate", f"select tile, y, x, case when {HAS_LUT} then {r(PLANE)} end as lut from v_pixels")
 def lut_interpolate(t):
     return _with_lut(t).select("tile", "y", "x", rounded(F.col("lut")).alias("lut"))
 
@@ -133,11 +133,17 @@ def _chain(t, code):
     return raster.unpack_tiles(out, ["tile_no"]).select(F.col("tile_no").alias("tile"), "y", "x", "v")
 
 
-@query("chain_a", "select p.tile, y, x, cast(trunc((least(hi, greatest(lo, dn * 1e0)) - lo) / (hi - lo) * 255e0) as bigint) as v from v_pixels p join (select tile, quantile_cont(dn, 0.01) as lo, quantile_cont(dn, 0.99) as hi from v_pixels group by tile) b on b.tile = p.tile where p." + HAS_LUT)
+@query("chain_a", "select p.tile, y, x, cast(trunc((least(hi, greatest(lo, dn * 1e0)) - lo) / (hi - lo) * 255e0) as bigint) as v from v_pixels p join (select tile, quantile_cont(dn, 0.01) as lo, quantile_cont(dn, 0.99) as hi from v_pixels group by tile) b on b.tile = p.tile")
 def chain_a(t):
     return _chain(t, "A")
 
 
+@query("uncalibrated_tiles", f"select distinct tile from v_pixels where not {HAS_LUT} or tile = 1")
+def uncalibrated_tiles(t):
+    """Tiles that chains B to E cannot process; the table of scene L1 is left out here."""
+    return raster.uncalibrated(windows(t), vectors(t).where(F.col("scene_id") != "L1")).select(F.col("tile_no").alias("tile"))
+
+
 @query("chain_b", f"select tile, y, x, {BYTE.format(DB.format(SIGMA))} as v from v_pixels where {HAS_LUT}")
 def chain_b(t):
     return _chain(t, "B")

@@ -83,7 +83,14 @@ def stream_events(t):
     return t.spark.read.parquet(f"{work}/out")
 
 
-@query("stream_dark_match")
+NEAR = """select d.pos_id as det_id, count(*) as n_near from (select pos_id, ts, lat + (mmsi % 7) * 0.002e0 as lat, lon from v_ais) d
+  join (select ts, lat, lon from v_ais where source = 'ais_presence_amorce') p
+  on p.ts between d.ts - interval 30 minute and d.ts + interval 30 minute and abs(p.lat - d.lat) < 0.01 and abs(p.lon - d.lon) < 0.01
+  and 2 * 6371000e0 * asin(least(1e0, sqrt(power(sin(radians(p.lat - d.lat) / 2), 2) + cos(radians(d.lat)) * cos(radians(p.lat)) * power(sin(radians(p.lon - d.lon) / 2), 2)))) <= 500e0
+  group by 1"""
+
+
+@query("stream_dark_match", f"select pos_id as det_id, coalesce(n_near, 0) as n_near, coalesce(n_near, 0) = 0 as dark from v_ais left join ({NEAR}) n on n.det_id = pos_id")
 def stream_dark_match(t):
     work = jobs.work_folder(t.spark, "dark")
     ais = _stream(t, "v_ais", "ts", 1000).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -91,9 +98,7 @@ def stream_dark_match(t):
     det = _stream(t, "v_ais", "ts", 1000).select(
         F.col("pos_id").alias("det_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("lat") + (F.col("mmsi") % 7) * 0.002).alias("lat"), "lon"
     )
-    out = jobs.stream_dark_match(det, seen)
-    jobs.run_to_end(out.writeStream.outputMode("append").format("parquet").option("path", f"{work}/out"), f"{work}/state")
-    return t.spark.read.parquet(f"{work}/out")
+    return jobs.run_dark_match(det, seen, work)
 
 
 @query(

@@ -95,8 +95,6 @@ select vec_id // 64 as tile, vec_id % 64 as y, i - 1 as x, cast(floor((cast(embe
 from embeddings, range(1, 65) r(i)""",
 }
 
-SMALL_TABLE_BYTES = 1_000_000
-
 _NAME = re.compile(r"\bv_[a-z]+\b")
 
 
@@ -145,21 +143,20 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def base(self, name: str) -> DataFrame:
-        """A given table. Fewer files than cores would leave cores idle, so those rows are spread;
-        tables of many files, and very small ones, are read as they are."""
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if len(table.inputFiles()) >= cores:
-            return table
-        size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        return table.repartition(cores) if size > SMALL_TABLE_BYTES else table
+        """A given table, as its files are; ``spark.sql.files.*`` settings decide how it is cut."""
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, body: str) -> DataFrame:
-        """Spark SQL over base tables and views; the names resolve when the call is made."""
+        """Spark SQL over base tables and views; the names resolve when the call is made.
+
+        Base tables get views of names of their own, so views of the caller stay.
+        """
         text = with_views(body, {**VIEWS, **SPARK_VIEWS})
         for name in BASE_TABLES:
-            if re.search(rf"\b(from|join)\s+{name}\b", text):
-                self.base(name).createOrReplaceTempView(name)
+            own = f"seaglint_{name}"
+            text, used = re.subn(rf"\b(from|join)\s+{name}\b", rf"\1 {own}", text)
+            if used:
+                self.base(name).createOrReplaceTempView(own)
         return self.spark.sql(text)
 
     def __getattr__(self, name: str) -> DataFrame:

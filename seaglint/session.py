@@ -1,6 +1,7 @@
 """Session helper. A cluster's own settings always win over these defaults."""
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -26,14 +27,29 @@ def build_session(app: str = "seaglint", master: str | None = None, **extra: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by the cluster; fall back to a local one only where none is set."""
+    """Use the folder named by the cluster; a local one only in local mode, where none is set."""
     ctx = spark.sparkContext
-    if ctx.getCheckpointDir() is not None:
-        return
+    if ctx.getCheckpointDir() is None:
+        ctx.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors see."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = tempfile.mkdtemp(prefix="seaglint-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    ctx.setCheckpointDir(shared)
+    if shared:
+        return shared.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="seaglint-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with a scheme; without one it lies in the default file system, as for ``spark.read``."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    base = spark.conf.get("spark.hadoop.fs.defaultFS", "file:///").rstrip("/")
+    return ("file://" if base in ("file:", "file:/", "file://") else base) + path
 
 
 _SHIPPED: set[str] = set()

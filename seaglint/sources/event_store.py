@@ -1,12 +1,14 @@
 """Keyed table on plain Parquet folders: cheap appends, newest row per key on read.
 
-A batch writes only its own rows into its own folder, so a repeated batch overwrites itself and
-the cost of a write does not depend on the table. ``compact`` folds finished batches into a base
-version; a pointer row written last makes it visible.
+A batch writes only its own rows into its own folder, named by the writer's run and the batch number,
+so a repeated batch overwrites itself, batches of different writers do not meet, and the cost of a
+write does not depend on the table. ``compact`` folds finished batches into a base version; pointer
+rows written last, one for each run, make it visible.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,28 +21,36 @@ class KeyedStore:
     def __init__(self, root: str, keys: list[str], order: str):
         self.root, self.keys, self.order = root.rstrip("/"), keys, order
 
-    def append(self, rows: DataFrame, batch_id: int) -> None:
-        """Write one batch; safe to repeat with the same number."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/batches/batch={batch_id}")
+    def append(self, rows: DataFrame, batch_id: int, run: str = "default") -> None:
+        """Write one batch; safe to repeat with the same run and number."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/batches/run={run}/batch={batch_id}")
 
     def _read(self, spark: SparkSession, path: str) -> DataFrame | None:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        return spark.read.parquet(path) if fs.exists(jvm_path) else None
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
 
-    def _base(self, spark: SparkSession) -> tuple[DataFrame | None, int, int]:
-        pointer = self._read(spark, f"{self.root}/base_versions")
-        if pointer is None:
-            return None, 0, -1
-        version, upto = pointer.agg(F.max(F.struct("version", "upto")).alias("p")).first()["p"]
-        return self._read(spark, f"{self.root}/base/v={version}"), version, upto
+    def _base(self, spark: SparkSession) -> tuple[DataFrame | None, int, DataFrame | None]:
+        """Base rows, their version, and the last batch that they hold of each run."""
+        pointers = self._read(spark, f"{self.root}/base_versions")
+        if pointers is None:
+            return None, 0, None
+        version = pointers.agg(F.max("version").alias("v")).first()["v"]
+        folded = pointers.where(F.col("version") == version).select("run", "upto")
+        return self._read(spark, f"{self.root}/base/v={version}"), version, folded
 
     def history(self, spark: SparkSession) -> DataFrame | None:
-        """Base rows and later batches, unmerged, with their batch number."""
-        base, _, upto = self._base(spark)
+        """Base rows and later batches, unmerged, with their run and batch number."""
+        base, _, folded = self._base(spark)
         batches = self._read(spark, f"{self.root}/batches")
         if batches is not None:
-            batches = batches.where(F.col("batch") > upto).withColumn("batch", F.col("batch").cast("bigint"))
+            batches = batches.withColumn("batch", F.col("batch").cast("bigint")).withColumn("run", F.col("run").cast("string"))
+            if folded is not None:
+                later = batches.join(F.broadcast(folded), "run", "left")  # one row for each run
+                batches = later.where(F.col("upto").isNull() | (F.col("batch") > F.col("upto"))).drop("upto")
         if base is None or batches is None:
             return batches if base is None else base
         return base.unionByName(batches, allowMissingColumns=True)
@@ -49,15 +59,16 @@ class KeyedStore:
         rows = self.history(spark)
         if rows is None:
             return None
-        return newest_per_key(rows, self.keys, F.struct(self.order, "batch")).drop("batch")
+        return newest_per_key(rows, self.keys, F.struct(self.order, "batch", "run")).drop("batch", "run")
 
     def compact(self, spark: SparkSession, partition_by: list[str] | None = None) -> None:
         rows = self.history(spark)
         if rows is None:
             return
-        _, version, _ = self._base(spark)
-        merged = newest_per_key(rows, self.keys, F.struct(self.order, "batch"))
-        upto = rows.agg(F.max("batch")).first()[0]
+        _, version, folded = self._base(spark)
+        merged = newest_per_key(rows, self.keys, F.struct(self.order, "batch", "run"))
+        upto = rows.groupBy("run").agg(F.max("batch").alias("upto"))
+        if folded is not None:
+            upto = upto.unionByName(folded).groupBy("run").agg(F.max("upto").alias("upto"))
         merged.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(f"{self.root}/base/v={version + 1}")
-        pointer = spark.range(1).select(F.lit(version + 1).alias("version"), F.lit(upto).cast("bigint").alias("upto"))
-        pointer.write.mode("append").parquet(f"{self.root}/base_versions")
+        upto.withColumn("version", F.lit(version + 1)).coalesce(1).write.mode("append").parquet(f"{self.root}/base_versions")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seaglint import schemas
 from seaglint.functions import names, orbit
+from seaglint.session import qualified, ship_package
 
 
 def file_listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -22,7 +23,8 @@ def file_listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     Spark's own sources leave empty files out. The driver lists the first folder level only;
     every folder is then listed by a task. Contents are never read.
     """
-    uri = root if "://" in root else f"file://{root}"
+    ship_package(spark)
+    uri = qualified(spark, root)
     fs, base = pafs.FileSystem.from_uri(uri)
     top = fs.get_file_info(pafs.FileSelector(base))
     folders = [(i.path, True) for i in top if i.type == pafs.FileType.Directory] + [(base, False)]
@@ -104,25 +106,30 @@ def non_empty_labels(listing: DataFrame) -> DataFrame:
 
 
 def discover_scenes(spark: SparkSession, root: str, allowed: list[str] | None = None) -> DataFrame:
-    """Scenes laid out as ``<scene>/labels/*.txt`` and ``<scene>/images/*.png``."""
+    """Scenes laid out as ``<scene>/labels/*.txt`` and ``<scene>/cvat_import/images/*.png``.
 
-    def per_scene(pattern, folder, name):
-        f = file_listing(spark, root, pattern).where(parent(F.col("path"), 1) == folder)
-        scene = parent(F.col("path"), 2)
+    ``total_boxes`` counts the lines of the label files only.
+    """
+
+    def per_scene(pattern, folder, name, up=2):
+        f = file_listing(spark, root, pattern).where(F.col("path").rlike(f"/[^/]+/{folder}/[^/]+$"))
+        scene = parent(F.col("path"), up)
         return f.where(~scene.startswith(".")).groupBy(scene.alias("scene_id")).agg(F.count("*").alias(name))
 
     boxes = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.txt")
         .text(root)
-        .select(parent(F.col("_metadata.file_path"), 2).alias("scene_id"), "value")
+        .select(F.col("_metadata.file_path").alias("path"), "value")
+        .where(parent(F.col("path"), 1) == "labels")
+        .select(parent(F.col("path"), 2).alias("scene_id"), "value")
         .where(F.trim("value") != "")
         .groupBy("scene_id")
         .agg(F.count("*").alias("total_boxes"))
     )
     out = (
         per_scene("*.txt", "labels", "n_labels")
-        .join(per_scene("*.png", "images", "n_images"), "scene_id")
+        .join(per_scene("*.png", "cvat_import/images", "n_images", 3), "scene_id")
         .join(boxes, "scene_id", "left")
         .fillna(0, ["total_boxes"])
         .withColumn("short_id", names.short_scene_id(F.col("scene_id")))

@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 
 from seaglint.functions import geo
 from seaglint.operators.labels import yolo_line
+from seaglint.session import qualified, ship_package
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
-    """Tile table partitioned by scene and processing code."""
-    tiles.write.mode("overwrite").partitionBy("scene_id", "code").parquet(path)
+    """Tile table partitioned by scene and processing code; other scenes and codes in it stay."""
+    writer = tiles.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("scene_id", "code").parquet(path)
 
 
 def write_npy_tiles(tiles: DataFrame, folder: str) -> int:
     """One ``.npy`` file per tile, written by the tasks; a repeated task overwrites its files."""
-    uri = folder if "://" in folder else f"file://{folder}"
+    ship_package(tiles.sparkSession)
+    uri = qualified(tiles.sparkSession, folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(uri)

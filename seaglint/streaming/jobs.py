@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,15 +14,13 @@ from seaglint.operators.orbits import latest_tle
 from seaglint.operators.spatial import reach_degrees
 from seaglint import config as C
 from seaglint.schemas import DETECTION_EVENT
+from seaglint.session import shared_folder
 from seaglint.sources.event_store import KeyedStore
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """New folder under the cluster's shared one; a local one only where none is configured."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/seaglint-{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"seaglint-{name}-", dir=os.environ.get("TMPDIR", "/tmp"))
+    """New folder under the cluster's shared one; a local one only in local mode, where none is set."""
+    return f"{shared_folder(spark)}/seaglint-{name}-{uuid.uuid4().hex}"
 
 
 def stream_events(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
@@ -39,9 +36,15 @@ def run_to_end(writer, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def appender(store: KeyedStore, checkpoint: str):
+    """Writes batches under the stream's own run: batch numbers of another checkpoint are others."""
+    run = hashlib.md5(checkpoint.encode()).hexdigest()
+    return lambda rows, batch_id: store.append(rows, batch_id, run)
+
+
 def stream_upsert(events: DataFrame, store: KeyedStore, checkpoint: str) -> None:
-    """Last write per key across batches; a repeated batch number overwrites itself."""
-    run_to_end(events.writeStream.foreachBatch(store.append), checkpoint)
+    """Last write per key across batches; a repeated batch of the same stream overwrites itself."""
+    run_to_end(events.writeStream.foreachBatch(appender(store, checkpoint)), checkpoint)
 
 
 def stream_stats(events: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
@@ -57,7 +60,7 @@ def stream_stats(events: DataFrame, delay: str = "10 minutes", width: str = "5 m
 def run_stats(stats: DataFrame, root: str, checkpoint: str) -> KeyedStore:
     """Write changed counts per batch; the store's current rows are the final counts."""
     store = KeyedStore(root, ["window_start", "zone", "priority_level"], "n")
-    run_to_end(stats.writeStream.outputMode("update").foreachBatch(store.append), checkpoint)
+    run_to_end(stats.writeStream.outputMode("update").foreachBatch(appender(store, checkpoint)), checkpoint)
     return store
 
 
@@ -69,10 +72,10 @@ def stream_dedupe(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 def stream_dark_match(
     detections: DataFrame, positions: DataFrame, radius_m: float = 500.0, window_s: int = 1800
 ) -> DataFrame:
-    """Detections with the number of ship positions near them in space and time.
+    """Stream of (det_id, pos_ts, plat, plon): detections with each ship position near them in space and time.
 
-    A detection is listed under the grid cells its reach touches; the outer join keeps those
-    without partners, and the count per detection follows once the watermark has passed.
+    A detection is listed under the grid cells its reach touches, a position under its one cell, so a
+    pair meets once. Pairs come out as soon as both sides are there; watermarks only free the state.
     """
     cell = max(radius_m / C.METRES_PER_DEGREE * 2.0, 0.001)
     dlat, dlon = reach_degrees(F.col("lat"), radius_m)
@@ -100,23 +103,36 @@ def stream_dark_match(
         & F.col("pos_ts").between(F.col("det_ts") - span, F.col("det_ts") + span)
         & (geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= radius_m)
     )
-    joined = d.join(p, near, "left_outer")
-    return (
-        joined.groupBy(F.window("det_ts", "1 hour").alias("w"), "det_id")
-        .agg(F.count("pos_ts").alias("n_near"))
-        .select("det_id", "n_near", (F.col("n_near") == 0).alias("dark"))
-    )
+    return d.join(p, near).select("det_id", "pos_ts", "plat", "plon")
+
+
+def run_dark_match(detections: DataFrame, positions: DataFrame, root: str, **reach) -> DataFrame:
+    """Every detection with the number of positions near it; ``dark`` where there is none.
+
+    Two streams write the pairs and the detections to ``root``; the counts are read from both, so a
+    detection at the end of the stream, which no watermark ever passes, has its row like any other.
+    """
+    pairs = stream_dark_match(detections, positions, **reach)
+    for name, rows in (("pairs", pairs), ("detections", detections.select("det_id"))):
+        writer = rows.writeStream.outputMode("append").format("parquet").option("path", f"{root}/{name}")
+        run_to_end(writer, f"{root}/state-{name}")
+    spark = detections.sparkSession
+    found = spark.read.schema(pairs.schema).parquet(f"{root}/pairs").groupBy("det_id").agg(F.count("*").alias("n_near"))
+    seen = spark.read.parquet(f"{root}/detections").distinct()
+    counted = seen.join(found, "det_id", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    return counted.withColumn("dark", F.col("n_near") == 0)
 
 
 def stream_latest_tle(sets: DataFrame, root: str, checkpoint: str) -> KeyedStore:
     """Newest element set per satellite; each batch is reduced before it is written."""
     store = KeyedStore(root, ["norad_id"], "updated_at")
+    append = appender(store, checkpoint)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         newest = rows.groupBy("norad_id").agg(
             F.max_by(F.struct("tle1", "tle2", "source", "updated_at"), F.struct("updated_at", "source")).alias("r")
         )
-        store.append(newest.select("norad_id", "r.*"), batch_id)
+        append(newest.select("norad_id", "r.*"), batch_id)
 
     run_to_end(sets.writeStream.foreachBatch(batch), checkpoint)
     return store

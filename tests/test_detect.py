@@ -51,12 +51,43 @@ def iou(a, b):
     return iw * ih / (a.w * a.h + b.w * b.h - iw * ih)
 
 
-def test_crowded_tile_goes_in_rounds_with_the_same_result(spark, monkeypatch):
+def test_suppression_is_the_same_for_any_block_and_batch(spark, monkeypatch):
     pdf, df = random_boxes(spark, 900, 7, 1)
     want = brute_nms(pdf, 0.5)
     assert rows(detect.nms_benchmark(df), "box_id", "rank") == want
-    monkeypatch.setattr(detect, "PREFIX_ROWS", 40)
-    assert rows(detect.nms_benchmark(df, box_limit=150), "box_id", "rank") == want
+    odd = spark.createDataFrame([("hot", 2000, None, 1.0, 1.0, 5.0, 5.0), ("hot", 2001, float("nan"), 1.0, 1.0, 5.0, 5.0), (None, 2002, 0.9, 1.0, 1.0, 5.0, 5.0), ("hot", 2003, 0.9, float("nan"), 1.0, 5.0, 5.0), ("hot", None, 0.9, 1.0, 1.0, 5.0, 5.0)], "tile_id string, box_id bigint, score double, cx double, cy double, w double, h double")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert rows(detect.nms_benchmark(df.unionByName(odd)), "box_id", "rank") == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    monkeypatch.setattr(detect, "BLOCK", 5)
+    monkeypatch.setattr(detect, "KEPT_BLOCK", 7)
+    fold = detect._Fold(0.5, True)
+    hot = pdf[pdf.tile_id == "hot"].sort_values(["score", "box_id"], ascending=[False, True])
+    corner = np.column_stack([hot.cx - hot.w / 2, hot.cy - hot.h / 2, hot.cx + hot.w / 2, hot.cy + hot.h / 2])
+    got = np.concatenate([fold.take(corner[:100]), fold.take(corner[100:]) + 100])
+    assert sorted(hot.box_id.to_numpy()[got].tolist()) == sorted(i for i, _ in want if i in set(hot.box_id))
+
+
+def test_no_job_starts_when_a_plan_is_built(spark):
+    from seaglint.operators import ais, asof, spatial
+
+    _, df = random_boxes(spark, 60, 3, 1)
+    places = df.select("box_id", (F.col("cx") / 100).alias("lat"), (F.col("cy") / 100).alias("lon"), F.timestamp_seconds("box_id").alias("ts"), F.lit("k").alias("k"))
+    frames = places.select(F.col("box_id").alias("bid"), F.col("lat").alias("lat_min"), (F.col("lat") + 1).alias("lat_max"), F.col("lon").alias("lon_min"), (F.col("lon") + 1).alias("lon_max"))
+    other = places.select("k", F.col("ts").alias("u"), F.col("box_id").cast("string").alias("v"))
+    group = "plans-only"
+    spark.sparkContext.setJobGroup(group, group)
+    spatial.points_in_boxes(places, frames)
+    ais.dark_detections(places.withColumnRenamed("box_id", "det_id"), places)
+    asof.asof_latest(places, other, key="k", left_time="ts", right_time="u", right_cols=["v"], tie="v")
+    kept = detect.nms_detector(df.withColumns({"x1": F.col("cx"), "y1": F.col("cy"), "x2": F.col("cx") + 5, "y2": F.col("cy") + 5}))
+    detect.greedy_match(detect.nms_benchmark(df), df, best=True)
+    detect.iou_pairs(df, df)
+    assert kept.columns and not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_pairs_and_matching_against_brute_force(spark):
@@ -67,9 +98,8 @@ def test_pairs_and_matching_against_brute_force(spark):
     labels["tile_id"] = preds["tile_id"]
     sl = spark.createDataFrame(labels)
     want = sorted((p.box_id, g.box_id) for p in preds.itertuples() for g in labels.itertuples() if p.tile_id == g.tile_id and iou(p, g) >= 0.5)
-    for limit in (None, 100, 1):
-        assert rows(detect.iou_pairs(sp, sl, box_limit=limit), "left_id", "right_id") == want
-    assert rows(detect.iou_pairs_by_place(sp, sl, hot_rows=2), "left_id", "right_id") == want
+    lost = sp.withColumn("tile_id", F.lit(None).cast("string")).unionByName(sp.withColumn("w", F.lit(float("nan"))))
+    assert rows(detect.iou_pairs(sp.unionByName(lost), sl.unionByName(lost)), "left_id", "right_id") == want
     ranked = detect.rank_by_score(sp)
     for best in (False, True):
         pairs = []
@@ -81,10 +111,7 @@ def test_pairs_and_matching_against_brute_force(spark):
                     pick = -(max(free)[1] if best else max(f[1] for f in free))
                     used.add(pick)
                     pairs.append((p.box_id, pick))
-        fold = detect.greedy_match(ranked, sl, best=best)
-        rounds = detect.greedy_match(ranked, sl, best=best, suppressed=False, box_limit=100)
-        assert rows(fold, "pred_id", "gt_id") == sorted(pairs)
-        assert rows(rounds, "pred_id", "gt_id") == sorted(pairs)
+        assert rows(detect.greedy_match(ranked, sl, best=best), "pred_id", "gt_id") == sorted(pairs)
 
 
 def test_decode_both_shapes(spark):

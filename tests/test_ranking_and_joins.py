@@ -17,14 +17,13 @@ def hot_table(spark, n=3000):
 def test_numbered_with_a_hot_group(spark):
     df = hot_table(spark)
     plain = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o", "id")))
-    split = ranking.numbered(df, ["k"], ["o", "id"], "rn", hot_rows=100)
-    assert "_slice" in split._jdf.queryExecution().toString()
+    split = ranking.numbered(df, ["k"], ["o", "id"], "rn")
     assert rows(split, "id", "rn") == rows(plain, "id", "rn")
 
 
 def test_numbered_without_groups(spark):
     df = hot_table(spark, 1000)
-    got = rows(ranking.numbered(df, [], ["o", "id"], hot_rows=50), "rn")
+    got = rows(ranking.numbered(df, [], ["o", "id"]), "rn")
     assert got == [(i,) for i in range(1, 1001)]
 
 
@@ -59,8 +58,7 @@ def point_box_fixture(spark):
 def test_points_in_boxes_is_exact(spark):
     pts, bx, sp, sb = point_box_fixture(spark)
     want = brute_points(pts, bx)
-    for hot in (None, 20):
-        assert rows(spatial.points_in_boxes(sp, sb, cell=0.1, hot_rows=hot), "pid", "bid") == want
+    assert rows(spatial.points_in_boxes(sp, sb, cell=0.1), "pid", "bid") == want
     assert rows(spatial.points_in_boxes(sp, sb, cell=0.03, margin=0.01), "pid", "bid") == brute_points(pts, bx, 0.01)
 
 
@@ -86,19 +84,18 @@ def test_dark_detections_against_brute_force(spark):
         if not near.any():
             want.append((d.det_id,))
     sd, sp = (spark.createDataFrame(x).withColumn("ts", F.timestamp_seconds("t")) for x in (det, pos))
-    for hot in (None, 3):
-        assert rows(ais.dark_detections(sd, sp, hot_rows=hot), "det_id") == want
+    assert rows(ais.dark_detections(sd, sp), "det_id") == want
     assert 0 < len(want) < 200
 
 
-def test_asof_slices_agree_with_one_window(spark):
+def test_asof_slices_of_any_length_agree(spark):
     left = spark.range(500).select((F.col("id") % 2).alias("k"), F.timestamp_seconds(F.col("id") * 7001 % 900000).alias("ts"), "id")
     right = spark.range(60).select(
         (F.col("id") % 3).alias("k"), F.timestamp_seconds(F.col("id") * 13007 % 800000 + 50000).alias("updated_at"), F.col("id").cast("string").alias("v")
     )
     args = dict(key="k", left_time="ts", right_time="updated_at", right_cols=["v"], tie="v")
     plain = rows(asof.asof_latest(left, right, **args).select("id", F.coalesce("v", F.lit("-"))))
-    split = rows(asof.asof_latest(left, right, hot_rows=10, slice_s=40000, **args).select("id", F.coalesce("v", F.lit("-"))))
+    split = rows(asof.asof_latest(left, right, slice_s=40000, **args).select("id", F.coalesce("v", F.lit("-"))))
     assert plain == split and len(plain) == 500 and any(v == "-" for _, v in plain)
 
 
@@ -129,7 +126,7 @@ def test_cell_product_choice_avoids_repeats(spark):
     assert got == [(1, "1"), (2, "3"), (3, "1")]
 
 
-def test_density_map_truncates_toward_zero(spark):
-    pts = spark.createDataFrame([(27.1, -17.2), (27.1, -16.9), (35.99, -0.5), (None, 1.0)], "lat double, lon double")
+def test_density_map_of_the_region(spark):
+    pts = spark.createDataFrame([(27.1, -17.0), (27.1, -16.9), (36.0, -1.0), (27.1, -17.2), (35.99, -0.5), (None, 1.0)], "lat double, lon double")
     got = rows(ais.density_map(pts), "cell_index", "ais_count")
     assert got == [(0, 2), (31 * 18 + 17, 1)]

@@ -88,7 +88,7 @@ def test_padding():
 def test_grid_interpolation():
     v = np.arange(1.0, 17).reshape(4, 4)
     nodes = [0, 10, 20, 30]
-    got = raster.interpolate_grid(nodes, nodes, v, np.array([0, 10, 15, 30, 33]), np.array([0, 5, 30, 33]))
+    got = raster.interpolate_grid(nodes, [nodes] * len(nodes), v, np.array([0, 10, 15, 30, 33]), np.array([0, 5, 30, 33]))
     assert got[0, 0] == 1 and got[3, 2] == 16 and got[2, 1] == pytest.approx(7.5)
     assert got[4, 3] == pytest.approx(16 + 0.3 * 4 + 0.3 * 1)
 

@@ -27,7 +27,7 @@ def test_label_files_and_scene_discovery(spark, tmp_path):
     base = "S1A_IW_GRDH_x"
     put(tmp_path / base / "labels" / "t1.txt", "0 0.1 0.2 0.3 0.4\nbad line\n\n1 0.1 0.2 0.3 0.4")
     put(tmp_path / base / "labels" / "t2.txt", "")
-    put(tmp_path / base / "images" / "t1.png", b"x")
+    put(tmp_path / base / "cvat_import" / "images" / "t1.png", b"x")
     put(tmp_path / ".hidden" / "labels" / "t9.txt", "0 0 0 0 0")
     put(tmp_path / "S1C_no_images" / "labels" / "t5.txt", "0 0 0 0 0")
     root = str(tmp_path)
@@ -35,6 +35,7 @@ def test_label_files_and_scene_discovery(spark, tmp_path):
     listing = files.list_label_files(spark, f"{root}/{base}")
     assert rows(listing, "tile_id", "scene_id") == [("t1", base), ("t2", base)]
     assert rows(files.non_empty_labels(listing), "tile_id") == [("t1",)]
+    put(tmp_path / base / "notes.txt", "not a label")
     found = files.discover_scenes(spark, root)
     assert rows(found, "scene_id", "n_labels", "n_images", "total_boxes", "short_id") == [(base, 2, 1, 3, "S1A_IW_GRDH")]
     assert files.discover_scenes(spark, root, ["S1C"]).count() == 0
@@ -161,6 +162,32 @@ def test_event_store(spark, tmp_path):
     assert rows(store.current(spark), "event_id", "zone") == [("a", "Z2"), ("b", "Z3"), ("c", "Z1")]
     store.compact(spark)
     assert store.current(spark).count() == 3
+    store.append(make([("d", 1, "Z1")]), 0, "other")  # a second writer starts at batch 0 too
+    store.append(make([("d", 2, "Z2"), ("a", 1, "Z9")]), 1, "other")
+    want = [("a", "Z2"), ("b", "Z3"), ("c", "Z1"), ("d", "Z2")]
+    assert rows(store.current(spark), "event_id", "zone") == want
+    store.compact(spark)
+    store.compact(spark)
+    assert rows(store.current(spark), "event_id", "zone") == want
+
+
+def test_tiles_of_earlier_scenes_stay(spark, tmp_path):
+    make = lambda s, n: spark.createDataFrame([(s, "D", i, n) for i in range(2)], "scene_id string, code string, tile_no int, v int")
+    for scene, value in (("S1", 1), ("S2", 2), ("S1", 3)):
+        sinks.write_tiles(make(scene, value), str(tmp_path / "t"))
+    assert rows(spark.read.parquet(str(tmp_path / "t")), "scene_id", "tile_no", "v") == [("S1", 0, 3), ("S1", 1, 3), ("S2", 0, 2), ("S2", 1, 2)]
+
+
+def test_every_detection_of_a_stream_has_a_row(spark, tmp_path):
+    from seaglint.streaming import jobs
+
+    det = spark.range(50).select(F.col("id").alias("det_id"), F.timestamp_seconds(F.col("id") * 600 + 1_700_000_000).alias("ts"), F.lit(30.0).alias("lat"), (F.col("id") * 0.1).alias("lon"))
+    pos = det.where("det_id % 2 = 0").select((F.col("ts") + F.expr("interval 5 minutes")).alias("ts"), "lat", "lon")
+    for name, table in (("det", det), ("pos", pos)):
+        table.write.parquet(str(tmp_path / name))
+    read = lambda name, table: spark.readStream.schema(table.schema).parquet(str(tmp_path / name))
+    out = jobs.run_dark_match(read("det", det), read("pos", pos), str(tmp_path / "run"))
+    assert rows(out, "det_id", "n_near", "dark") == [(i, (i + 1) % 2, i % 2 == 1) for i in range(50)]
 
 
 def test_event_rules(spark):
