@@ -2,7 +2,7 @@
 
 1. Every window of ``WINDOW`` words picks its smallest hashed phrase of ``ANCHOR`` words. Equal windows
    pick equal phrases, so only windows whose pick occurs twice anywhere can recur.
-2. Those windows are confirmed by counting 128-bit hashes over all documents.
+2. Those windows are confirmed by counting 96-bit hashes over all documents.
 3. Documents are dealt to shards of bounded size. A shard gets the places of its confirmed windows, joins
    neighbouring ones to passages, and compiles an Aho-Corasick automaton of phrases that stand every
    ``PHRASE`` words in them; any window inside a passage holds one of them whole.
@@ -14,7 +14,10 @@ Counts are kept for each (hash, shard), so a window that all documents share has
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -31,21 +34,29 @@ WINDOW, ANCHOR = 35, 8
 PHRASE = (WINDOW + 1) // 2
 #: Bytes of text in a shard, about; a longer document makes a larger one.
 SHARD_BYTES = 2_000_000
-#: Phrases of an automaton; their words have to fit into the code points.
-AUTOMATON = 50_000
+#: Phrases of an automaton; the words of their passages (up to WINDOW a phrase) have to fit into the code points.
+AUTOMATON = 30_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+LETTERS = re.compile("[^\0]{%d,}" % WINDOW)
+
+
 class WordHashes(dict):
     """64-bit hash of each word, kept for the words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 400_000:
             self.clear()
         self[word] = h = xxh3_64_intdigest(word)
         return h
 
 
+@lru_cache(maxsize=1)
+def worker_hashes() -> WordHashes:
+    return WordHashes()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
@@ -94,7 +105,7 @@ class Texts:
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.ends = np.cumsum(self.sizes)
         total = int(self.ends[-1]) if len(texts) else 0
-        self.hash = np.fromiter((hashes[w] for own in self.words for w in own), np.uint64, total)
+        self.hash = np.fromiter(map(hashes.__getitem__, chain.from_iterable(self.words)), np.uint64, total)
         self.text = np.repeat(np.arange(len(texts)), self.sizes)
         #: Window starts, and the hash and place of the phrase that each picks.
         self.starts = np.flatnonzero(np.arange(total) + WINDOW <= self.ends[self.text]) if total else np.empty(0, np.int64)
@@ -106,10 +117,10 @@ class Texts:
             self.picked, self.anchors = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of the windows at ``starts``."""
+        """A 64-bit and a 32-bit hash of the windows at ``starts``."""
         a = rolled(self.hash, WINDOW, BASES[0])[starts]
         b = rolled(mix(self.hash), WINDOW, BASES[1])[starts]
-        return mix(a).view(np.int64), mix(b).view(np.int64)
+        return mix(a).view(np.int64), (mix(b) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def unique_rows(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +147,7 @@ def ordered(rows: pa.Table, text: str) -> tuple[list[bytes], pa.ChunkedArray | p
 
 
 def candidates(texts: list[bytes], anchors: np.ndarray, hashes: WordHashes) -> pa.Table:
-    """Distinct windows of a shard whose phrase recurs: hashes, first place, and 1 or 2 (or more) for how often."""
+    """Distinct windows of a shard whose phrase recurs: hashes and first place, negative (~place) if there is another."""
     found = []
     first = 0
     for lo, hi in slices(texts):
@@ -147,9 +158,10 @@ def candidates(texts: list[bytes], anchors: np.ndarray, hashes: WordHashes) -> p
             text = part.text[at]
             found.append((a, b, ((first + text) << 32) | (at - (part.ends - part.sizes)[text])))
         first += hi - lo
-    a, b, place = (np.concatenate(side) if found else np.empty(0, np.int64) for side in (zip(*found) if found else ((), (), ())))
+    kinds = (np.int64, np.int32, np.int64)
+    a, b, place = (np.concatenate(side) for side in zip(*found)) if found else (np.empty(0, k) for k in kinds)
     at, n = unique_rows(a, b)
-    return pa.table({"a": a[at], "b": b[at], "place": place[at], "n": np.minimum(n, 2)})
+    return pa.table({"a": a[at], "b": b[at], "place": np.where(n > 1, ~place[at], place[at])})
 
 
 def passages(texts: list[list[bytes]], places: np.ndarray) -> list[list[bytes]]:
@@ -163,17 +175,43 @@ def passages(texts: list[list[bytes]], places: np.ndarray) -> list[list[bytes]]:
     return out
 
 
+def agreed_after(a: str, i: int, b: str, j: int) -> int:
+    """How many characters are the same from ``a[i]`` and ``b[j]`` on."""
+    most, done, step = min(len(a) - i, len(b) - j), 0, 32
+    while step:
+        n = min(step, most - done)
+        if n and a[i + done : i + done + n] == b[j + done : j + done + n]:
+            done += n
+            step *= 2
+        else:
+            step = n // 2
+    return done
+
+
+def agreed_before(a: str, i: int, b: str, j: int) -> int:
+    """How many characters are the same before ``a[i]`` and ``b[j]``."""
+    most, done, step = min(i, j), 0, 32
+    while step:
+        n = min(step, most - done)
+        if n and a[i - done - n : i - done] == b[j - done - n : j - done]:
+            done += n
+            step *= 2
+        else:
+            step = n // 2
+    return done
+
+
 class Automaton:
     """Finds the phrases of passages in texts; words are single code points of its alphabet."""
 
     def __init__(self, own: list[list[bytes]]):
-        self.passages = own
         self.code: dict[bytes, str] = {}
+        self.passages = ["".join(map(self.letter, words)) for words in own]
         self.found = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
-        for number, words in enumerate(own):
+        for number, words in enumerate(self.passages):
             for at in range(0, len(words) - PHRASE + 1, PHRASE):
-                where.setdefault("".join(map(self.letter, words[at : at + PHRASE])), []).append((number, at))
+                where.setdefault(words[at : at + PHRASE], []).append((number, at))
         for phrase, places in where.items():
             self.found.add_word(phrase, places)
         self.found.make_automaton()
@@ -187,22 +225,19 @@ class Automaton:
 
     def cover(self, words: list[bytes], edge: np.ndarray) -> None:
         """Adds the stretches of a text that recur to ``edge``: +1 at their starts, -1 after their ends."""
-        code = self.code
-        text = "".join([code.get(w, "\0") for w in words])
+        text = "".join(map(self.code.get, words, repeat("\0")))
         done: dict[tuple[int, int], int] = {}
-        for end, places in self.found.iter(text):
+        # A window that recurs has words of passages only; shorter runs of them hold none.
+        runs = (self.found.iter(text, run.start(), run.end()) for run in LETTERS.finditer(text))
+        for end, places in chain.from_iterable(runs):
             hit = end - PHRASE + 1
             for number, at in places:
                 line = (number, hit - at)
                 if done.get(line, -1) >= end:
                     continue
                 passage = self.passages[number]
-                lo, plo = hit, at
-                while lo and plo and words[lo - 1] == passage[plo - 1]:
-                    lo, plo = lo - 1, plo - 1
-                hi, phi = end + 1, at + PHRASE
-                while hi < len(words) and phi < len(passage) and words[hi] == passage[phi]:
-                    hi, phi = hi + 1, phi + 1
+                lo = hit - agreed_before(text, hit, passage, at)
+                hi = end + 1 + agreed_after(text, end + 1, passage, at + PHRASE)
                 done[line] = hi - 1
                 if hi - lo >= WINDOW:
                     edge[lo] += 1
@@ -273,7 +308,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     texts = rows.select("shard", F.coalesce(F.encode(F.col(f"row.`{text_col}`"), "utf-8"), F.lit(b"")).alias("bytes"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = worker_hashes()
         for b in batches:
             held, shard = b.column("bytes").to_pylist(), b.column("shard").to_numpy()
             for lo, hi in slices(held):
@@ -287,11 +322,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     recurring = picked.select("anchor", "shard", F.sum("n").over(Window.partitionBy("anchor")).alias("all")).where("`all` > 1").select("shard", "anchor")
 
     def propose(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = candidates(ordered(left, text_col)[0], right.column("anchor").to_numpy(), WordHashes())
+        found = candidates(ordered(left, text_col)[0], right.column("anchor").to_numpy(), worker_hashes())
         return found.append_column("shard", pa.array([key[0].as_py()] * len(found), pa.int32()))
 
-    proposed = rows.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(propose, "a long, b long, place long, n long, shard int")
-    confirmed = proposed.select("shard", "place", F.sum("n").over(Window.partitionBy("a", "b")).alias("all")).where("`all` > 1").select("shard", "place")
+    proposed = rows.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(propose, "a long, b int, place long, shard int")
+    times = F.when(F.col("place") < 0, 2).otherwise(1)
+    confirmed = proposed.select("shard", "place", F.sum(times).over(Window.partitionBy("a", "b")).alias("all")).where("`all` > 1")
+    confirmed = confirmed.select("shard", F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place"))
 
     def locate(key, left: pa.Table, right: pa.Table) -> pa.Table:
         held, own = ordered(left, text_col)
