@@ -26,7 +26,7 @@ from seaglint.llm.token_counts import tokenizer
 #: Bytes that the rolling hash covers, and a mark for each 2**MARK_BITS bytes on average.
 WINDOW, MARK_BITS = 8, 9
 #: Chunks, joins and words that a worker keeps, in two generations each.
-KEPT, KEPT_WORDS = 30_000, 400_000
+KEPT, KEPT_WORDS = 20_000, 200_000
 #: A control character, alone one token; and how many pieces a line for the library has.
 MARK, LINE = b"\x01", 500
 BETWEEN = b" " + MARK + b" "
