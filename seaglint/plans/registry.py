@@ -24,6 +24,7 @@ MODULES = (
     "detection_queries",
     "raster_queries",
     "source_queries",
+    "file_queries",
     "stream_queries",
 )
 

@@ -43,6 +43,23 @@ def write_npy_tiles(tiles: DataFrame, folder: str) -> int:
     return done.agg(F.sum("n")).first()[0] or 0
 
 
+def write_files(rows: DataFrame, folder: str) -> int:
+    """One file for each row, ``content`` (text) at ``path`` below the folder, written by the tasks."""
+    ship_package(rows.sparkSession)
+    uri = qualified(rows.sparkSession, folder)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(uri)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                fs.create_dir(f"{base}/{r.path}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{base}/{r.path}") as f:
+                    f.write(r.content.encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return rows.select("path", "content").mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def tile_manifests(tiles: DataFrame) -> DataFrame:
     """One manifest row per scene and code: totals and sizes; tile rows stay in their table."""
     return tiles.groupBy("scene_id", "code").agg(
@@ -99,8 +116,13 @@ def dataset_yaml(summary: DataFrame, yaml_path: str, summary_path: str) -> dict:
     by = {r["split"]: r for r in rows}
     splits = ("train", "val", "test")
     text = ["path: ."] + [f"{s}: images/{s}" for s in splits] + ["", "nc: 1", "names: ['vessel']", ""]
-    with open(yaml_path, "w", encoding="utf-8") as f:
-        f.write("\n".join(text))
+    def put(path: str, content: str) -> None:
+        fs, at = pafs.FileSystem.from_uri(qualified(summary.sparkSession, path))
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(at) as f:
+            f.write(content.encode())
+
+    put(yaml_path, "\n".join(text))
     total = by.get("ALL")
     out = {
         "total_images": total["images"] if total else 0,
@@ -108,6 +130,5 @@ def dataset_yaml(summary: DataFrame, yaml_path: str, summary_path: str) -> dict:
         "classes": ["vessel"],
         "split": {s: (by[s]["images"] if s in by else 0) for s in splits},
     }
-    with open(summary_path, "w", encoding="utf-8") as f:
-        json.dump(out, f, indent=1)
+    put(summary_path, json.dumps(out, indent=1))
     return out
