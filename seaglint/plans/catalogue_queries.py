@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from seaglint.operators import ais, catalogue
 from seaglint.operators.ranking import top_per_group
+from seaglint.sources import files, sinks
+from seaglint.streaming.jobs import work_folder
 from seaglint.plans.registry import query, r, rounded
 
 BASE = "case when upper(p[-1]) = 'COG' then concat(p[-4], '_', p[-3], '_', p[-2]) else concat(p[-3], '_', p[-2], '_', p[-1]) end"
@@ -12,8 +14,12 @@ WITH_BASE = f"select *, {BASE} as base_id from (select *, string_split(name, '_'
 
 @query("scan_catalogue", "select cast(id as varchar) as id, case when id % 5 = 0 then '' else name end as name, case when id % 7 = 0 then 0 else size end as size from v_products")
 def scan_catalogue(t):
-    raw = t.sql("select id, case when id % 5 <> 0 then name end as name, date, case when id % 7 <> 0 then size end as size from v_products")
-    return catalogue.clean_catalogue(raw).select("id", "name", "size")
+    """Answers of a hundred products each, landed as files; missing fields get defaults."""
+    answers = """select concat('page', page, '.json') as path, concat('{"value":[', array_join(collect_list(p), ','), ']}') as content from (
+      select cast(floor(id / 100e0) as bigint) as page, to_json(named_struct('Id', cast(id as string), 'Name', case when id % 5 <> 0 then name end, 'ContentLength', case when id % 7 <> 0 then size end)) as p from v_products) q group by page"""
+    root = work_folder(t.spark, "catalogue")
+    sinks.write_files(t.sql(answers), root)
+    return files.scan_catalogue(t.spark, root).select("id", "name", "size")
 
 
 @query(

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from seaglint.operators import evaluate, labels
+from seaglint.sources import sinks
+from seaglint.streaming.jobs import work_folder
 from seaglint.plans.registry import query, r, rounded
 from seaglint.plans.scalar_queries import duck_size
-from seaglint.sources.sinks import yolo_lines
 
 # Parsed form for the SQL side.
 PARSED = """select *, case when n_parts = 5 then try_cast(p[1] as int) end as class_id, case when n_parts = 5 then try_cast(p[2] as double) end as cx, case when n_parts = 5 then try_cast(p[3] as double) end as cy,
@@ -162,7 +163,10 @@ NOTES = f"select tile_id, box_id, 'sc' as scene_id, cast(floor(qty) as bigint) %
 def export_yolo(t):
     from seaglint.functions.ais import label_class
 
-    return yolo_lines(t.sql(NOTES).withColumn("class_id", label_class(F.col("label"))))
+    notes = t.sql(NOTES).withColumn("class_id", label_class(F.col("label")))
+    out = f"{work_folder(t.spark, 'yolo')}/out"
+    sinks.export_yolo(notes.withColumn("scene_id", F.substring("tile_id", 1, 6)), out)
+    return t.spark.read.parquet(out).select("tile_id", "line")
 
 
 CVAT = "select *, floor(cx * 16e0) / 16e0 as ax, floor(cy * 16e0) / 16e0 as ay, floor(w * 64e0) / 64e0 as aw, floor(h * 64e0) / 64e0 as ah from (" + NOTES + ") n"
@@ -175,7 +179,11 @@ CVAT = "select *, floor(cx * 16e0) / 16e0 as ax, floor(cy * 16e0) / 16e0 as ay,
 )
 def export_cvat_xml(t):
     snapped = t.sql(CVAT).drop("cx", "cy", "w", "h").withColumnsRenamed({"ax": "cx", "ay": "cy", "aw": "w", "ah": "h"})
-    return labels.cvat_boxes(snapped, ["box_id"]).drop("scene_id")
+    boxes = labels.cvat_boxes(snapped, ["box_id"])
+    out = f"{work_folder(t.spark, 'cvat')}/out"
+    sinks.export_cvat(boxes, out)
+    back = t.spark.read.format("xml").option("rowTag", "box").schema("image string, label string, xtl string, ytl string, xbr string, ybr string, z_order bigint").load(out)
+    return back.select("image", "label", "xtl", "ytl", "xbr", "ybr", "z_order")
 
 
 @query("z_order", "select tile_id, box_id, row_number() over (partition by tile_id order by box_id) - 1 as z_order from v_boxes")

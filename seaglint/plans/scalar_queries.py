@@ -463,16 +463,25 @@ def trace_drop_nulls(t):
     return target_trace(rows).select(F.col("target_density_cell_index").alias("s"), "trace_json")
 
 
-@query("tile_event_defaults")
+@query(
+    "tile_event_defaults",
+    "select arrival, case when arrival % 2 = 0 then event_id end as event_id, case when arrival % 3 = 0 then scene_id else 'unknown' end as scene_id, 'Z3' as zone, 36 as tile_id_length, 4 as box_values, 0e0 as box_sum from v_events",
+)
 def tile_event_defaults(t):
+    """Made-up ids are random: an event keeps its own id, the others count by their length."""
     df = t.v_events.select(
+        "arrival",
         F.when(F.col("arrival") % 2 == 0, F.col("event_id")).alias("event_id"),
         F.when(F.col("arrival") % 3 == 0, F.col("scene_id")).alias("scene_id"),
         F.lit(None).cast("string").alias("tile_id"),
         F.lit(None).cast("array<double>").alias("tile_bbox_latlon"),
         F.lit(None).cast("string").alias("zone"),
     )
-    return ev.event_defaults(df)
+    out = ev.event_defaults(df)
+    return out.select(
+        "arrival", F.when(F.length("event_id") != 36, F.col("event_id")).alias("event_id"), "scene_id", "zone", F.length("tile_id").alias("tile_id_length"),
+        F.size("tile_bbox_latlon").alias("box_values"), F.aggregate("tile_bbox_latlon", F.lit(0.0), lambda a, b: a + b).alias("box_sum"),
+    )
 
 
 @query("hash_draws", "select pos_id, " + duck_uniform("cast(pos_id as varchar)", "mix") + " as u from v_ais")

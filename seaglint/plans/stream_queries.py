@@ -66,21 +66,28 @@ def stream_dedupe(t):
     return t.spark.read.parquet(f"{work}/out").select("event_id")
 
 
-@query("stream_events")
+@query(
+    "stream_events",
+    f"select event_id, case when arrival % 50 = 7 then null else zone end as zone, vessel_count, case when arrival % 50 = 7 then 'processing_time_ms' end as reasons from ({_ZONED}) s",
+)
 def stream_events(t):
-    """Landed JSON events, checked and zoned."""
+    """Landed JSON events, checked and zoned; each fiftieth has an impossible time and lands in the quarantine."""
     work = jobs.work_folder(t.spark, "events")
     box = F.struct(*[F.lit(0.5).alias(n) for n in BOX.fieldNames()])
     landed = t.v_events.select(
         "event_id", "scene_id", "timestamp", F.lit("t").alias("tile_id"),
         F.array("lat_min", "lon_min", "lat_max", "lon_max").alias("tile_bbox_latlon"),
         F.array(box).alias("detections"), "vessel_count", "dark_vessel_count",
-        F.lit("").alias("zone"), F.lit("D").alias("preprocessing_pipeline"), "processing_time_ms",
+        F.lit("").alias("zone"), F.lit("D").alias("preprocessing_pipeline"),
+        F.when(F.col("arrival") % 50 == 7, -1.0).otherwise(F.abs("processing_time_ms")).alias("processing_time_ms"),
     )
     landed.write.mode("overwrite").json(f"{work}/landing")
-    out = jobs.stream_events(t.spark, f"{work}/landing").select("event_id", "zone", "vessel_count")
-    jobs.run_to_end(out.writeStream.outputMode("append").format("parquet").option("path", f"{work}/out"), f"{work}/state")
-    return t.spark.read.parquet(f"{work}/out")
+    valid, rejected = jobs.stream_checked(t.spark, f"{work}/landing")
+    parts = {"valid": valid.select("event_id", "zone", "vessel_count", F.lit(None).cast("string").alias("reasons"))}
+    parts["rejected"] = rejected.select("event_id", F.lit(None).cast("string").alias("zone"), "vessel_count", F.array_join("reasons", ",").alias("reasons"))
+    for name, rows in parts.items():
+        jobs.run_to_end(rows.writeStream.outputMode("append").format("parquet").option("path", f"{work}/{name}"), f"{work}/state-{name}")
+    return t.spark.read.parquet(f"{work}/valid", f"{work}/rejected")
 
 
 NEAR = """select d.pos_id as det_id, count(*) as n_near from (select pos_id, ts, lat + (mmsi % 7) * 0.002e0 as lat, lon from v_ais) d

@@ -87,15 +87,14 @@ def export_geojson(df: DataFrame, path: str) -> None:
     geojson_features(df).write.mode("overwrite").text(path)
 
 
-def yolo_lines(annotations: DataFrame) -> DataFrame:
-    return annotations.select("tile_id", yolo_line(*[F.col(c) for c in ("class_id", "cx", "cy", "w", "h")]).alias("line"))
-
-
-def export_yolo(annotations: DataFrame, path: str, shares: int = 8) -> None:
-    """Label text per tile folder. Lines of one tile are spread over a few writers."""
-    lines = yolo_lines(annotations)
-    spread = lines.withColumn("_s", F.pmod(F.xxhash64("line"), F.lit(shares)))
-    spread.repartition("tile_id", "_s").drop("_s").write.mode("overwrite").partitionBy("tile_id").text(path)
+def export_yolo(annotations: DataFrame, path: str) -> None:
+    """Label lines by scene, as Parquet with the tile as a column.
+
+    A folder for each tile would be more folders than a file system bears. ``REBALANCE`` lets Spark cut
+    the scenes to files of like size, so a scene with many lines has many writers.
+    """
+    lines = annotations.select("scene_id", "tile_id", yolo_line(*[F.col(c) for c in ("class_id", "cx", "cy", "w", "h")]).alias("line"))
+    lines.hint("rebalance", F.col("scene_id")).write.mode("overwrite").partitionBy("scene_id").parquet(path)
 
 
 def export_cvat(box_rows: DataFrame, path: str) -> None:

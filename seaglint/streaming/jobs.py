@@ -23,11 +23,16 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/seaglint-{name}-{uuid.uuid4().hex}"
 
 
-def stream_events(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
-    """Stream of valid events with their zone, from landed JSON files."""
+def stream_checked(spark: SparkSession, landing: str, max_files: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Streams of valid events with their zone, and of rejected ones with their reasons, from landed JSON files."""
     raw = spark.readStream.schema(DETECTION_EVENT).option("maxFilesPerTrigger", max_files).json(landing)
-    valid, _ = validate_events(raw)
-    return enrich_zone(valid)
+    valid, rejected = validate_events(raw)
+    return enrich_zone(valid), rejected
+
+
+def stream_events(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
+    """The valid events of ``stream_checked``."""
+    return stream_checked(spark, landing, max_files)[0]
 
 
 def run_to_end(writer, checkpoint: str) -> None:

@@ -134,8 +134,8 @@ def test_exports(spark, tmp_path):
     assert [json.loads(r.value) for r in spark.read.text(f"{out}/geo").collect()] == [
         {"type": "Feature", "geometry": {"type": "Point", "coordinates": [-9.0, 35.0]}, "properties": {"tile_id": "t1"}}
     ]
-    sinks.export_yolo(df, f"{out}/yolo")
-    assert rows(spark.read.text(f"{out}/yolo"), "tile_id", "value") == [("t1", "0 0.100000 0.200000 0.300000 0.400000"), ("t2", "2 0.500000 0.500000 0.100000 0.100000")]
+    sinks.export_yolo(df.withColumn("scene_id", F.lit("s")), f"{out}/yolo")
+    assert rows(spark.read.parquet(f"{out}/yolo"), "tile_id", "line") == [("t1", "0 0.100000 0.200000 0.300000 0.400000"), ("t2", "2 0.500000 0.500000 0.100000 0.100000")]
     box = spark.createDataFrame([("s", "t1.npy", "vessel_x", "1.0", 0)], "scene_id string, image string, label string, xtl string, z_order bigint")
     sinks.export_cvat(box, f"{out}/cvat")
     assert spark.read.format("xml").option("rowTag", "box").load(f"{out}/cvat").count() == 1
