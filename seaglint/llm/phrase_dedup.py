@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, repeat
 
 import ahocorasick
@@ -42,21 +41,6 @@ BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 LETTERS = re.compile("[^\0]{%d,}" % WINDOW)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept for the words seen lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxh3_64_intdigest(word)
-        return h
-
-
-@lru_cache(maxsize=1)
-def worker_hashes() -> WordHashes:
-    return WordHashes()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
@@ -85,27 +69,26 @@ def rolled(words: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
 
 
 def first_least(h: np.ndarray, size: int) -> np.ndarray:
-    """For each run of ``size`` entries the place of its first smallest one."""
-    place, power = np.arange(len(h)), 1
+    """For each run of ``size`` entries the place of its smallest one, by the leading bits; the first of equal ones."""
+    bits = np.uint64(len(h).bit_length())
+    least, power = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64), 1
     while 2 * power <= size:
-        a, b = place[:-power], place[power:]
-        place = np.where(h[a] <= h[b], a, b)
+        least = np.minimum(least[:-power], least[power:])
         power *= 2
     if power < size:
-        a, b = place[: len(h) - size + 1], place[size - power :]
-        place = np.where(h[a] <= h[b], a, b)
-    return place
+        least = np.minimum(least[: len(h) - size + 1], least[size - power :])
+    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 class Texts:
     """Words of several texts put one after another, with the windows that lie inside one text."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes):
+    def __init__(self, texts: list[bytes]):
         self.words = [t.split() for t in texts]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.ends = np.cumsum(self.sizes)
         total = int(self.ends[-1]) if len(texts) else 0
-        self.hash = np.fromiter(map(hashes.__getitem__, chain.from_iterable(self.words)), np.uint64, total)
+        self.hash = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(self.words)), np.uint64, total)
         self.text = np.repeat(np.arange(len(texts)), self.sizes)
         #: Window starts, and the hash and place of the phrase that each picks.
         self.starts = np.flatnonzero(np.arange(total) + WINDOW <= self.ends[self.text]) if total else np.empty(0, np.int64)
@@ -146,14 +129,16 @@ def ordered(rows: pa.Table, text: str) -> tuple[list[bytes], pa.ChunkedArray | p
     return [texts[i] for i in order], held.take(pa.array(order, pa.int64()))
 
 
-def candidates(texts: list[bytes], anchors: np.ndarray, hashes: WordHashes) -> pa.Table:
+def candidates(texts: list[bytes], anchors: np.ndarray) -> pa.Table:
     """Distinct windows of a shard whose phrase recurs: hashes and first place, negative (~place) if there is another."""
     found = []
     first = 0
     for lo, hi in slices(texts):
-        part = Texts(texts[lo:hi], hashes)
+        part = Texts(texts[lo:hi])
         if len(part.starts):
-            at = part.starts[np.isin(part.anchors[part.picked], anchors)]
+            new = np.flatnonzero(np.diff(part.picked, prepend=-1))
+            recurs = np.isin(part.anchors[part.picked[new]], anchors)
+            at = part.starts[np.repeat(recurs, np.diff(np.append(new, len(part.picked))))]
             a, b = part.windows(at)
             text = part.text[at]
             found.append((a, b, ((first + text) << 32) | (at - (part.ends - part.sizes)[text])))
@@ -308,11 +293,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     texts = rows.select("shard", F.coalesce(F.encode(F.col(f"row.`{text_col}`"), "utf-8"), F.lit(b"")).alias("bytes"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_hashes()
         for b in batches:
             held, shard = b.column("bytes").to_pylist(), b.column("shard").to_numpy()
             for lo, hi in slices(held):
-                part = Texts(held[lo:hi], hashes)
+                part = Texts(held[lo:hi])
                 at = part.picked[np.flatnonzero(np.diff(part.picked, prepend=-1))]
                 anchor, own = part.anchors[at], shard[lo:hi][part.text[at]]
                 first, n = unique_rows(anchor, own)
@@ -322,7 +306,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     recurring = picked.select("anchor", "shard", F.sum("n").over(Window.partitionBy("anchor")).alias("all")).where("`all` > 1").select("shard", "anchor")
 
     def propose(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = candidates(ordered(left, text_col)[0], right.column("anchor").to_numpy(), worker_hashes())
+        found = candidates(ordered(left, text_col)[0], right.column("anchor").to_numpy())
         return found.append_column("shard", pa.array([key[0].as_py()] * len(found), pa.int32()))
 
     proposed = rows.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(propose, "a long, b int, place long, shard int")
