@@ -15,7 +15,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain, filterfalse
+from itertools import accumulate, chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,8 +25,8 @@ from seaglint.llm.token_counts import tokenizer
 
 #: Bytes that the rolling hash covers, and a mark for each 2**MARK_BITS bytes on average.
 WINDOW, MARK_BITS = 8, 9
-#: Chunks, joins and words that a worker keeps, in two generations each.
-KEPT, KEPT_WORDS = 20_000, 200_000
+#: Chunks and joins that a worker keeps, in two generations each, and words (of those that it meets again).
+KEPT, KEPT_WORDS = 10_000, 400_000
 #: A control character, alone one token; and how many pieces a line for the library has.
 MARK, LINE = b"\x01", 500
 BETWEEN = b" " + MARK + b" "
@@ -93,7 +93,9 @@ class ChunkEncoder:
     def __init__(self, path: str, kept: int = KEPT, cut=cuts):
         self.library, self.cut = tokenizer(path), cut
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.chunks, self.joins, self.words = Generations(kept), Generations(kept), Generations(KEPT_WORDS)
+        self.chunks, self.joins = Generations(kept), Generations(kept)
+        self.words: dict[bytes, tuple] = {}
+        self.met = bytearray(1 << 22)
         (self.mark,) = self.library.encode(MARK.decode(), add_special_tokens=False).ids
         #: One object for each id, which the cached words share.
         self.numbers = list(range(self.library.get_vocab_size(with_added_tokens=True)))
@@ -125,24 +127,31 @@ class ChunkEncoder:
     def whole(self, text: bytes) -> list[int]:
         return self.library.encode(text.decode("utf-8"), add_special_tokens=False).ids
 
-    def word_ids(self, words: Iterator[bytes]) -> dict[bytes, tuple]:
-        """A table with the ids of all the words; the library encodes those that are not kept."""
-        if len(self.words.young) >= self.words.size:
-            self.words.old, self.words.young = self.words.young, {}
-        own, old = self.words.young, self.words.old
-        lacking = set(filterfalse(own.__contains__, words))
-        missing = [w for w in lacking if w not in old]
-        own.update((w, old[w]) for w in lacking if w in old)
+    def new_words(self, missing: list[bytes]) -> dict[bytes, tuple]:
+        """Ids of words that the cache lacks; it takes those met before, while it has room."""
         number = self.numbers.__getitem__
-        own.update((w, tuple(map(number, ids))) for w, ids in zip(missing, self.library_ids(missing)))
-        return own
+        new = {w: tuple(map(number, ids)) for w, ids in zip(missing, self.library_ids(missing))}
+        if len(self.words) < KEPT_WORDS:
+            met = self.met
+            for w in missing:
+                place = hash(w) & (len(met) - 1)
+                if met[place]:
+                    self.words[w] = new[w]
+                met[place] = 1
+        return new
 
     def chunk_ids(self, chunks: list[bytes]) -> list[list[int]]:
         """Ids of new chunks, word by word; a chunk with a special string goes to the library."""
         special = [any(s in c for s in self.special) for c in chunks]
         worded = [[] if odd else c.split() for c, odd in zip(chunks, special)]
-        ids_of = self.word_ids(chain.from_iterable(worded)).__getitem__
-        return [self.whole(c) if odd else list(chain.from_iterable(map(ids_of, words))) for c, odd, words in zip(chunks, special, worded)]
+        words = list(chain.from_iterable(worded))
+        found = list(map(self.words.get, words))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        new = self.new_words(list({words[i] for i in lacking}))
+        for i in lacking:
+            found[i] = new[words[i]]
+        ends = list(accumulate(map(len, worded)))
+        return [self.whole(c) if odd else list(chain.from_iterable(found[end - len(own) : end])) for c, odd, own, end in zip(chunks, special, worded, ends)]
 
     def fill(self, cache: Generations, wanted, encode) -> dict[bytes, list[int]]:
         """Ids of all wanted pieces; those that are not kept are encoded together, once each."""

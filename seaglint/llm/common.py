@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from seaglint.session import ensure_checkpoint_dir, ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text that a Python task holds as words at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Rows of an Arrow batch; a batch of very long texts stays small.
 BATCH_ROWS = "512"
 
@@ -41,6 +42,14 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker that waits for its next task still holds it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs [start, end) of texts with about ``limit`` bytes; a longer text has a run of its own."""
     start = held = 0
@@ -86,6 +95,7 @@ def map_texts(
         for found in fn(runs()):
             cols = [pa.array(found[f.name], type=ARROW[f.dataType.simpleString()]) for f in added.fields]
             yield pa.RecordBatch.from_arrays([rows.pop(0), *cols], names=["row", *added.names])
+        give_back()
 
     made = held.mapInArrow(run, out)
     return made.select(*([f"row.`{c}`" for c in keep] + [f"`{f}`" for f in added.names]))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from seaglint.llm.common import prepare, slices
+from seaglint.llm.common import give_back, prepare, slices
 
 WINDOW, ANCHOR = 35, 8
 #: Any window holds a phrase that starts at a multiple of PHRASE words, as 2 * PHRASE - 1 <= WINDOW.
@@ -307,6 +307,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     def propose(key, left: pa.Table, right: pa.Table) -> pa.Table:
         found = candidates(ordered(left, text_col)[0], right.column("anchor").to_numpy())
+        give_back()
         return found.append_column("shard", pa.array([key[0].as_py()] * len(found), pa.int32()))
 
     proposed = rows.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(propose, "a long, b int, place long, shard int")
@@ -317,6 +318,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     def locate(key, left: pa.Table, right: pa.Table) -> pa.Table:
         held, own = ordered(left, text_col)
         n, gone, kept = removed(held, right.column("place").to_numpy())
+        give_back()
         return pa.table({"row": own, "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     out = T.StructType([rows.schema["row"], *T._parse_datatype_string("n_words long, n_removed long, kept string").fields])
