@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from seaglint.operators import raster, tiles
@@ -93,6 +94,21 @@ def test_grid_interpolation():
     assert got[4, 3] == pytest.approx(16 + 0.3 * 4 + 0.3 * 1)
 
 
+def test_lines_of_differing_nodes():
+    """Each line is interpolated along its own nodes, then between the lines."""
+    got = raster.interpolate_grid([0, 10], [[0, 4, 8], [0, 8]], [np.array([0.0, 4.0, 16.0]), np.array([10.0, 18.0])], np.array([0, 5, 10]), np.array([0, 2, 6]))
+    assert got.tolist() == [[0, 2, 10], [5, 7, 13], [10, 12, 16]]
+
+
+def test_chain_a_needs_no_calibration(spark):
+    a = np.arange(64, dtype="int32").reshape(8, 8) + 1
+    cols = "scene_id string, tile_id string, tile_no bigint, y0 int, y1 int, x0 int, x1 int, py0 int, py1 int, px0 int, px1 int, h int, w int, dtype string, data binary"
+    windows = spark.createDataFrame([("s", "s_1", 1, 0, 8, 0, 8, 0, 8, 0, 8, 8, 8, "int32", a.tobytes())], cols)
+    none = spark.createDataFrame([], "scene_id string, line bigint, pixels array<bigint>, values array<double>")
+    assert rows(raster.run_chains(windows, none, None, ("A", "B")), "code") == [("A",)]
+    assert rows(raster.uncalibrated(windows, none), "scene_id", "tile_no") == [("s", 1)]
+
+
 def gcp_points(spark, n, size, lat0, lon0):
     step = (size - 1) / (n - 1)
     data = [("s", i * step, j * step, lat0 + i, lon0 + j) for i in range(n) for j in range(n)]
