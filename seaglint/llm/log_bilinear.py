@@ -219,8 +219,18 @@ def all_normalisers(spark: SparkSession, model: Model) -> np.ndarray:
 def train(texts: DataFrame, vocabulary, rounds: int = ROUNDS) -> Model:
     """A model of the column ``bytes``; ``vocabulary`` is a broadcast Vocabulary.
 
-    The driver gets one averaged row for each value of the model, whatever the number of tasks.
+    Texts are turned to model words once, two bytes each, which the rounds then read. The driver gets one
+    averaged row for each value of the model, whatever the number of tasks.
     """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column("bytes").to_pylist()
+            for lo, hi in slices(held):
+                _, words, sizes = vocabulary.value.find([tokens(t) for t in held[lo:hi]])
+                yield pa.RecordBatch.from_arrays([pa.array([words.astype(np.uint16).tobytes()]), pa.array([sizes.tobytes()])], names=["words", "sizes"])
+
+    numbered = materialise(texts.mapInArrow(number, "words binary, sizes binary"))
     model = Model(vocabulary.value.share)
     for round_ in range(rounds):
         start = model.values
@@ -229,16 +239,15 @@ def train(texts: DataFrame, vocabulary, rounds: int = ROUNDS) -> Model:
             own = Model(vocabulary.value.share, start.copy())
             state, rng, seen = np.full(len(start), 1e-4, np.float32), np.random.default_rng(round_), 0
             for b in batches:
-                held = b.column("bytes").to_pylist()
-                for lo, hi in slices(held):
-                    _, words, sizes = vocabulary.value.find([tokens(t) for t in held[lo:hi]])
+                for held, counted in zip(b.column("words").to_pylist(), b.column("sizes").to_pylist()):
+                    words, sizes = np.frombuffer(held, np.uint16).astype(np.int64), np.frombuffer(counted, np.int64)
                     own.learn(*contexts(words, sizes), words, state, rng)
                     seen += len(words)
             if seen:
                 n = len(own.values)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(own.values.astype(float) * seen), pa.array(np.full(n, seen))], names=["place", "value", "seen"])
 
-        moved = texts.mapInArrow(learn, "place long, value double, seen long").groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).collect()
+        moved = numbered.mapInArrow(learn, "place long, value double, seen long").groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).collect()
         values = start.astype(float)
         for r in moved:
             values[r["place"]] = r["value"]
