@@ -1,11 +1,13 @@
 """Language-model scores by a log-bilinear model, trained with noise-contrastive estimation.
 
-Tokens are counted over all training texts. The most frequent ones are the model's words, all others share
-one sign. The model predicts a token from the two before it: their vectors, weighted by place, add up to a
-prediction whose products with all output vectors give the scores. Every task trains on its own texts from
-common starting values, against noise drawn from the token shares, and the tasks' values are averaged by
-the tokens they saw. For scoring, batched matrix products give the exact log-normaliser of every context.
-A rare token's share of the common sign comes from its count.
+Tokens are counted over all training texts. Each one met ``LEAST`` times is a word of the model, so its words
+grow with the corpus as far as the broadcast table; the others share one sign, of which each has a share by its
+count. The model predicts a token from the two before it: their vectors, weighted by place, add up to a
+prediction. Its products with the vectors of word classes give the scores of classes, those with output vectors
+the scores of the words in a class. The most frequent words are classes of their own, the next ones form
+classes of words of like counts, about as many as a class has words: so both normalisers are short sums, and
+exact. Every task trains on its own texts from common starting values, against noise drawn from the shares of
+classes and of words. Only rows of values that a task moved are passed on, and averaged by the tokens seen.
 
 Counts of frequent tokens are broadcast (a table of bounded size). Rare tokens meet their counts in a join,
 so nothing that grows with the vocabulary is held by a task.
@@ -25,9 +27,14 @@ from pyspark.sql import types as T
 
 from seaglint.llm.common import materialise, prepare, slices
 
-#: Model words, with the end of a text (0, also what stands before a text) and the sign for others (1).
-WORDS, SIZE = 1024, 16
+#: Signs that are a class of their own, contexts whose normalisers are kept (pairs of this many signs), and dimensions.
+OWN, NEAR, SIZE = 256, 1024, 16
+#: Signs of the end of a text (also what stands before a text) and of tokens that are no model words.
 END, OTHER = 0, 1
+#: Occurrences in the training texts that make a token a model word, if it is in the broadcast table.
+LEAST = 5
+#: Predictions scored at a time.
+SCORED = 16_384
 #: Broadcast counts, and the longest token among them in bytes: at most 13 MB of tokens.
 TABLE, TABLE_BYTES = 200_000, 64
 #: Tokens that a task counts before it passes them on.
@@ -86,7 +93,7 @@ class Vocabulary:
 
     def __init__(self, rows: list[tuple[bytes, int]], total: int, distinct: int, ends: int):
         self.total, self.distinct, self.ends = total, distinct, ends
-        own = [t for t, _ in rows[: WORDS - 2]]
+        own = [t for t, c in rows if c >= LEAST]
         self.number = {t: i for i, (t, _) in enumerate(rows)}
         self.count = np.array([c for _, c in rows] + [0], np.int64)
         #: Model word of each frequent token; the last entry stands for tokens that are not in the table.
@@ -128,130 +135,193 @@ def contexts(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return one, two
 
 
+def kinds(n: int) -> np.ndarray:
+    """The class of each of ``n`` signs in descending order of counts; classes are consecutive."""
+    rest = np.arange(max(n - OWN, 0))
+    return np.concatenate([np.arange(min(n, OWN)), OWN + rest // max(1, int(np.ceil(np.sqrt(len(rest)))))])
+
+
+def log_sum(scores: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of the exponentials of each row; overwrites the scores."""
+    top = scores.max(axis=1)
+    scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return top + np.log(scores.sum(axis=1))
+
+
+def moved(rows: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows in order, and the sums of their gradients."""
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[starts], *(np.add.reduceat(g[order], starts, axis=0) for g in grads)
+
+
 class Model:
-    """Vectors of context words and output words, biases, and the weights of the two places."""
+    """Vectors of context words, output words and classes, biases, and the weights of the two places."""
 
     def __init__(self, share: np.ndarray, values: np.ndarray | None = None):
         self.share, self.n = share, len(share)
-        n, k = self.n, self.n * SIZE
+        self.kind = kinds(self.n)
+        self.kind_share = np.bincount(self.kind, share)
+        self.n_kinds = len(self.kind_share)
+        #: Shares of the words of classes with several words, among themselves.
+        self.tail_share = share[OWN:] / share[OWN:].sum() if self.n > OWN else share[:0]
         if values is None:
             rng = np.random.default_rng(7)
-            values = np.concatenate([rng.normal(0, 0.3, k), rng.normal(0, 0.05, k), np.log(share), np.full(2 * SIZE, 1.0)])
+            bias = np.concatenate([np.zeros(min(self.n, OWN)), np.log(self.tail_share), np.log(self.kind_share)])
+            n, k = self.n * SIZE, self.n_kinds * SIZE
+            values = np.concatenate([rng.normal(0, 0.3, n), rng.normal(0, 0.05, n + k), np.full(2 * SIZE, 1.0), bias])
         self.values = values.astype(np.float32)
-        self.context, self.output = self.values[:k].reshape(n, SIZE), self.values[k : 2 * k].reshape(n, SIZE)
-        self.bias, self.place = self.values[2 * k : 2 * k + n], self.values[2 * k + n :].reshape(2, SIZE)
+        self.context, self.output, self.kind_output, self.place, self.bias, self.kind_bias = self.split(self.values)
+
+    def split(self, values: np.ndarray) -> list[np.ndarray]:
+        """Views of the values, or of what belongs to each of them."""
+        n, k = self.n, self.n_kinds
+        out, at = [], 0
+        for rows in (n, n, k, 2):
+            out.append(values[at : at + rows * SIZE].reshape(rows, SIZE))
+            at += rows * SIZE
+        return [*out, values[at : at + n], values[at + n :]]
 
-    @np.errstate(over="ignore")  # a score out of range makes a share of 0
     def learn(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, state: np.ndarray, rng) -> None:
         """``PASSES`` over the predictions, those alike put together, in batches of a random order."""
         code, weight = np.unique((two * self.n + one) * self.n + word, return_counts=True)
         order = np.concatenate([rng.permutation(len(code)) for _ in range(PASSES)])
-        lift = np.log(NOISE * self.share).astype(np.float32)
-        each = np.arange(SIZE)
+        s_context, s_output, s_kind_output, s_place, s_bias, s_kind_bias = self.split(state)
+        steps = np.cumsum(self.kind_share), np.cumsum(self.tail_share)
+        kind_lift = np.log(NOISE * self.kind_share).astype(np.float32)
+        lift = np.concatenate([np.zeros(min(self.n, OWN)), np.log(NOISE * self.tail_share)]).astype(np.float32)
+
+        def step(values, state, rows, grad):
+            s = state[rows] + grad * grad
+            state[rows] = s
+            values[rows] += RATE * grad / (np.sqrt(s) + 1e-6)
+
+        def draw(shares):
+            return np.minimum(np.searchsorted(shares, rng.random(NOISE) * shares[-1], side="right"), len(shares) - 1)
+
         for lo in range(0, len(order), BATCH):
             some = order[lo : lo + BATCH]
             w, a, b = code[some] % self.n, code[some] // self.n % self.n, code[some] // self.n // self.n
             mass = (weight[some] / weight[some].sum()).astype(np.float32)
             va, vb = self.context[a], self.context[b]
             h = va * self.place[0] + vb * self.place[1]
-            out = self.output[w]
-            noise = rng.choice(self.n, NOISE, p=self.share)
-            hit = mass / (1 + np.exp(np.einsum("ij,ij->i", h, out) + self.bias[w] - lift[w]))
-            miss = h @ self.output[noise].T
-            miss += self.bias[noise] - lift[noise]
-            np.negative(miss, out=miss)
-            np.exp(miss, out=miss)
-            miss += 1
-            np.divide(-mass[:, None], miss, out=miss)
-            dh = hit[:, None] * out + miss @ self.output[noise]
-            grad = np.zeros_like(self.values)
-            k = self.n * SIZE
-            d_context, d_output = grad[:k].reshape(self.n, SIZE), grad[k : 2 * k].reshape(self.n, SIZE)
-            d_bias, d_place = grad[2 * k : 2 * k + self.n], grad[2 * k + self.n :].reshape(2, SIZE)
-            ga, gb, go = dh * self.place[0], dh * self.place[1], hit[:, None] * h
-            add = lambda rows, values: np.bincount((rows[:, None] * SIZE + each).ravel(), values.ravel(), k).reshape(self.n, SIZE)  # noqa: B023, E731
-            d_context += add(a, ga)
-            d_context += add(b, gb)
-            d_output += add(w, go)
-            np.add.at(d_output, noise, miss.T @ h)
-            d_bias += np.bincount(w, hit, self.n).astype(np.float32)
-            np.add.at(d_bias, noise, miss.sum(axis=0))
-            d_place[0], d_place[1] = (dh * va).sum(axis=0), (dh * vb).sum(axis=0)
-            state += grad * grad
-            self.values += RATE * grad / (np.sqrt(state) + 1e-6)
+            dh, rows, grad, slope = contrast(h, mass, self.kind[w], draw(steps[0]), self.kind_output, self.kind_bias, kind_lift)
+            changes = [(self.kind_output, s_kind_output, rows, grad), (self.kind_bias, s_kind_bias, rows, slope)]
+            tail = np.flatnonzero(w >= OWN)
+            if len(tail):
+                more, rows, grad, slope = contrast(h[tail], mass[tail], w[tail], OWN + draw(steps[1]), self.output, self.bias, lift)
+                dh[tail] += more
+                changes += [(self.output, s_output, rows, grad), (self.bias, s_bias, rows, slope)]
+            rows, grad = moved(np.concatenate([a, b]), np.concatenate([dh * self.place[0], dh * self.place[1]]))
+            changes.append((self.context, s_context, rows, grad))
+            changes.append((self.place, s_place, slice(None), np.stack([(dh * va).sum(axis=0), (dh * vb).sum(axis=0)])))
+            for change in changes:
+                step(*change)
 
     def normalisers(self, twos) -> np.ndarray:
-        """Log-sum of all words' scores after each context: a row for each word two places before."""
-        out = np.empty((len(twos), self.n), np.float32)
-        for row, two in enumerate(twos):
-            scores = (self.context * self.place[0] + self.context[two] * self.place[1]) @ self.output.T
-            scores += self.bias
-            top = float(scores.max())
-            scores -= top
-            np.exp(scores, out=scores)
-            out[row] = top + np.log(np.maximum(scores.sum(axis=1), 1e-30))
-        return out
+        """Log-sum of all classes' scores after contexts of the first ``NEAR`` signs: a row for each word two places before."""
+        near = self.context[:NEAR] * self.place[0]
+        return np.stack([log_sum((near + self.context[two] * self.place[1]) @ self.kind_output.T + self.kind_bias) for two in twos])
 
     def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """Normalised log-probabilities of words after their contexts."""
-        parts = []
-        for lo in range(0, len(word), 65_536):
-            a, b, w = one[lo : lo + 65_536], two[lo : lo + 65_536], word[lo : lo + 65_536]
-            h = self.context[a] * self.place[0] + self.context[b] * self.place[1]
-            parts.append((np.einsum("ij,ij->i", h, self.output[w]) + self.bias[w] - norms[b * self.n + a]).astype(np.float64))
-        return np.concatenate(parts) / np.log(10) if parts else np.empty(0)
-
-
-def all_normalisers(spark: SparkSession, model: Model) -> np.ndarray:
-    """The normalisers of all contexts, at two * n + one; tasks share the work, the driver gets 4 MB."""
-    values, share = model.values.tobytes(), model.share.tobytes()
+        """Normalised log-probabilities of words after their contexts; ``norms`` has the normalisers of near contexts."""
+        out, m = np.empty(len(word)), min(self.n, NEAR)
+        predict = lambda at: self.context[one[at]] * self.place[0] + self.context[two[at]] * self.place[1]
+        own = lambda h, output, bias, w: np.einsum("ij,ij->i", h, output[w]) + bias[w]
+        near = (one < m) & (two < m)
+        for known in (True, False):
+            places = np.flatnonzero(near == known)
+            for lo in range(0, len(places), SCORED):
+                at = places[lo : lo + SCORED]
+                h = predict(at)
+                norm = norms[two[at] * m + one[at]] if known else log_sum(h @ self.kind_output.T + self.kind_bias)
+                out[at] = own(h, self.kind_output, self.kind_bias, self.kind[word[at]]) - norm
+        tail = np.flatnonzero(word >= OWN)
+        tail = tail[np.argsort(self.kind[word[tail]], kind="stable")]
+        ends = np.append(np.flatnonzero(np.diff(self.kind[word[tail]])) + 1, len(tail))
+        for start, end in zip([0, *ends[:-1]], ends):
+            for lo in range(start, end, SCORED):
+                at = tail[lo : min(lo + SCORED, end)]
+                first, last = np.searchsorted(self.kind, self.kind[word[at[0]]] + np.arange(2))
+                h = predict(at)
+                out[at] += own(h, self.output, self.bias, word[at]) - log_sum(h @ self.output[first:last].T + self.bias[first:last])
+        return out / np.log(10)
+
+
+@np.errstate(over="ignore")  # a score out of range makes a share of 0
+def contrast(h, mass, word, noise, output, bias, lift) -> tuple[np.ndarray, ...]:
+    """Noise-contrastive slopes: of the predictions, and of the vectors and biases of distinct rows."""
+    out = output[word]
+    hit = mass / (1 + np.exp(np.einsum("ij,ij->i", h, out) + bias[word] - lift[word]))
+    miss = h @ output[noise].T
+    miss += bias[noise] - lift[noise]
+    np.negative(miss, out=miss)
+    np.exp(miss, out=miss)
+    miss += 1
+    np.divide(-mass[:, None], miss, out=miss)
+    dh = hit[:, None] * out + miss @ output[noise]
+    return dh, *moved(np.concatenate([word, noise]), np.concatenate([hit[:, None] * h, miss.T @ h]), np.concatenate([hit, miss.sum(axis=0)]))
+
+
+def all_normalisers(spark: SparkSession, shared, share: np.ndarray) -> np.ndarray:
+    """The normalisers of near contexts, at two * NEAR + one; tasks share the work, the driver gets 4 MB."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(np.frombuffer(share), np.frombuffer(values, np.float32))
+        own = Model(*shared.value)
         for b in batches:
             twos = b.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([row.tobytes() for row in own.normalisers(twos)], pa.binary())], names=["id", "norms"])
 
-    rows = spark.range(0, model.n, 1, 32).mapInArrow(make, "id long, norms binary").orderBy("id").collect()
+    rows = spark.range(0, min(len(share), NEAR), 1, 32).mapInArrow(make, "id long, norms binary").orderBy("id").collect()
     return np.concatenate([np.frombuffer(r["norms"], np.float32) for r in rows])
 
 
 def train(texts: DataFrame, vocabulary, rounds: int = ROUNDS) -> Model:
     """A model of the column ``bytes``; ``vocabulary`` is a broadcast Vocabulary.
 
-    Texts are turned to model words once, two bytes each, which the rounds then read. The driver gets one
-    averaged row for each value of the model, whatever the number of tasks.
+    Texts are turned to model words once, four bytes each, which the rounds then read. The driver gets one
+    averaged row for each ``SIZE`` values of the model, whatever the number of tasks.
     """
+    spark = texts.sparkSession
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = b.column("bytes").to_pylist()
             for lo, hi in slices(held):
                 _, words, sizes = vocabulary.value.find([tokens(t) for t in held[lo:hi]])
-                yield pa.RecordBatch.from_arrays([pa.array([words.astype(np.uint16).tobytes()]), pa.array([sizes.tobytes()])], names=["words", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array([words.astype(np.uint32).tobytes()]), pa.array([sizes.tobytes()])], names=["words", "sizes"])
 
     numbered = materialise(texts.mapInArrow(number, "words binary, sizes binary"))
     model = Model(vocabulary.value.share)
+    names = [f"v{i}" for i in range(SIZE)]
+    rows_of = lambda values: np.append(values, np.zeros(-len(values) % SIZE, np.float32)).reshape(-1, SIZE)
     for round_ in range(rounds):
-        start = model.values
+        shared = spark.sparkContext.broadcast(model.values)
 
-        def learn(batches: Iterator[pa.RecordBatch], start=start, round_=round_) -> Iterator[pa.RecordBatch]:
-            own = Model(vocabulary.value.share, start.copy())
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, round_=round_) -> Iterator[pa.RecordBatch]:
+            start = shared.value
+            own = Model(vocabulary.value.share, start)
             state, rng, seen = np.full(len(start), 1e-4, np.float32), np.random.default_rng(round_), 0
             for b in batches:
                 for held, counted in zip(b.column("words").to_pylist(), b.column("sizes").to_pylist()):
-                    words, sizes = np.frombuffer(held, np.uint16).astype(np.int64), np.frombuffer(counted, np.int64)
+                    words, sizes = np.frombuffer(held, np.uint32).astype(np.int64), np.frombuffer(counted, np.int64)
                     own.learn(*contexts(words, sizes), words, state, rng)
                     seen += len(words)
             if seen:
-                n = len(own.values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(own.values.astype(float) * seen), pa.array(np.full(n, seen))], names=["place", "value", "seen"])
-
-        moved = numbered.mapInArrow(learn, "place long, value double, seen long").groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).collect()
-        values = start.astype(float)
-        for r in moved:
-            values[r["place"]] = r["value"]
-        model = Model(vocabulary.value.share, values)
+                values = rows_of(own.values)
+                at = np.flatnonzero((values != rows_of(start)).any(axis=1))
+                for lo in range(0, len(at), 65_536):
+                    some = at[lo : lo + 65_536]
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), seen)), *map(pa.array, values[some].T)], names=["place", "seen", *names])
+
+        learned = numbered.mapInArrow(learn, "place long, seen long, " + ", ".join(f"{c} float" for c in names))
+        found = learned.groupBy("place").agg(*[(F.sum(F.col(c).cast("double") * F.col("seen")) / F.sum("seen")).cast("float").alias(c) for c in names]).toArrow()
+        values = rows_of(model.values)
+        values[found["place"].to_numpy()] = np.stack([found[c].to_numpy() for c in names], axis=1)
+        model = Model(vocabulary.value.share, values.ravel()[: len(model.values)])
+        shared.unpersist()
     return model
 
 
@@ -269,11 +339,11 @@ def language_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     counts = materialise(token_counts(learned))
     vocabulary = spark.sparkContext.broadcast(Vocabulary.of(counts))
     model = train(learned, vocabulary, rounds)
-    norms = spark.sparkContext.broadcast(all_normalisers(spark, model))
-    values, share = model.values.tobytes(), model.share.tobytes()
+    shared = spark.sparkContext.broadcast((model.share, model.values))
+    norms = spark.sparkContext.broadcast(all_normalisers(spark, shared, model.share))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(np.frombuffer(share), np.frombuffer(values, np.float32))
+        own = Model(*shared.value)
         known = vocabulary.value
         logs = np.log10(known.count + 1.0)
         end_known = known.total > 0

@@ -209,6 +209,27 @@ def test_language_model_is_normalised_and_learns(spark):
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_tells_all_frequent_words_apart():
+    rng = np.random.default_rng(0)
+    made = [[b"%c%d" % (b"ab"[k % 2], i) for i in rng.integers(0, 1500, 400)] for k in range(600)]
+    rows = Counter(w for t in made for w in t).most_common()
+    known = log_bilinear.Vocabulary([*rows, (b"rare", log_bilinear.LEAST - 1)], sum(c for _, c in rows) + log_bilinear.LEAST - 1 + len(made), len(rows) + 2, len(made))
+    found, words, sizes = known.find(made)
+    assert len(rows) == 3000 and len(set(known.word[found])) == 3000 and not (known.word[found] == log_bilinear.OTHER).any()
+    assert known.word[known.number[b"rare"]] == log_bilinear.OTHER and (known.others, known.other_kinds) == (log_bilinear.LEAST - 1, 1)
+    model = log_bilinear.Model(known.share)
+    one, two = log_bilinear.contexts(words, sizes)
+    state = np.full(len(model.values), 1e-4, np.float32)
+    mean = lambda: model.log10(one, two, words, model.normalisers(range(min(model.n, log_bilinear.NEAR))).ravel()).mean()
+    before = mean()
+    for k in range(4):
+        model.learn(one, two, words, state, np.random.default_rng(k))
+    assert mean() > before + 0.1
+    norms, every = model.normalisers(range(min(model.n, log_bilinear.NEAR))).ravel(), np.arange(model.n)
+    for a, b in ((5, 9), (2900, 9), (7, 1500), (2999, 2000)):
+        assert (10 ** model.log10(np.full(model.n, a), np.full(model.n, b), every, norms)).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_least_frequent(spark):
     counts = spark.createDataFrame([(c,) for c in [1, 1, 2, 5, 5, 5000, 5001, 70_000]], "c long")
     assert log_bilinear.least_frequent(counts, 8) == 1
