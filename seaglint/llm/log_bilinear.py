@@ -33,6 +33,10 @@ OWN, NEAR, SIZE = 256, 1024, 16
 END, OTHER = 0, 1
 #: Occurrences in the training texts that make a token a model word, if it is in the broadcast table.
 LEAST = 5
+#: Pieces of the input that a training task reads one after another, as each task passes on the values it moved.
+TOGETHER = 4
+#: Rows of ``SIZE`` model values that are averaged together.
+RANGE = 8_192
 #: Predictions scored at a time.
 SCORED = 16_384
 #: Broadcast counts, and the longest token among them in bytes: at most 13 MB of tokens.
@@ -154,7 +158,7 @@ def moved(rows: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(rows, kind="stable")
     own = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    return own[starts], *(np.add.reduceat(g[order], starts, axis=0) for g in grads)
+    return own[starts], *(np.add.reduceat(g.take(order, axis=0), starts, axis=0) for g in grads)
 
 
 class Model:
@@ -194,7 +198,7 @@ class Model:
         lift = np.concatenate([np.zeros(min(self.n, OWN)), np.log(NOISE * self.tail_share)]).astype(np.float32)
 
         def step(values, state, rows, grad):
-            s = state[rows] + grad * grad
+            s = state.take(rows, axis=0) + grad * grad
             state[rows] = s
             values[rows] += RATE * grad / (np.sqrt(s) + 1e-6)
 
@@ -205,7 +209,7 @@ class Model:
             some = order[lo : lo + BATCH]
             w, a, b = code[some] % self.n, code[some] // self.n % self.n, code[some] // self.n // self.n
             mass = (weight[some] / weight[some].sum()).astype(np.float32)
-            va, vb = self.context[a], self.context[b]
+            va, vb = self.context.take(a, axis=0), self.context.take(b, axis=0)
             h = va * self.place[0] + vb * self.place[1]
             dh, rows, grad, slope = contrast(h, mass, self.kind[w], draw(steps[0]), self.kind_output, self.kind_bias, kind_lift)
             changes = [(self.kind_output, s_kind_output, rows, grad), (self.kind_bias, s_kind_bias, rows, slope)]
@@ -216,7 +220,7 @@ class Model:
                 changes += [(self.output, s_output, rows, grad), (self.bias, s_bias, rows, slope)]
             rows, grad = moved(np.concatenate([a, b]), np.concatenate([dh * self.place[0], dh * self.place[1]]))
             changes.append((self.context, s_context, rows, grad))
-            changes.append((self.place, s_place, slice(None), np.stack([(dh * va).sum(axis=0), (dh * vb).sum(axis=0)])))
+            changes.append((self.place, s_place, np.arange(2), np.stack([(dh * va).sum(axis=0), (dh * vb).sum(axis=0)])))
             for change in changes:
                 step(*change)
 
@@ -253,15 +257,14 @@ class Model:
 @np.errstate(over="ignore")  # a score out of range makes a share of 0
 def contrast(h, mass, word, noise, output, bias, lift) -> tuple[np.ndarray, ...]:
     """Noise-contrastive slopes: of the predictions, and of the vectors and biases of distinct rows."""
-    out = output[word]
+    out = output.take(word, axis=0)
     hit = mass / (1 + np.exp(np.einsum("ij,ij->i", h, out) + bias[word] - lift[word]))
-    miss = h @ output[noise].T
-    miss += bias[noise] - lift[noise]
-    np.negative(miss, out=miss)
+    against = output.take(noise, axis=0)
+    miss = np.append(h, np.ones((len(h), 1), np.float32), axis=1) @ np.append(-against.T, (lift[noise] - bias[noise])[None], axis=0)
     np.exp(miss, out=miss)
     miss += 1
     np.divide(-mass[:, None], miss, out=miss)
-    dh = hit[:, None] * out + miss @ output[noise]
+    dh = hit[:, None] * out + miss @ against
     return dh, *moved(np.concatenate([word, noise]), np.concatenate([hit[:, None] * h, miss.T @ h]), np.concatenate([hit, miss.sum(axis=0)]))
 
 
@@ -294,8 +297,9 @@ def train(texts: DataFrame, vocabulary, rounds: int = ROUNDS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([words.astype(np.uint32).tobytes()]), pa.array([sizes.tobytes()])], names=["words", "sizes"])
 
     numbered = materialise(texts.mapInArrow(number, "words binary, sizes binary"))
+    pieces = numbered.rdd.getNumPartitions()
+    numbered = numbered.coalesce(max(1, min(pieces, spark.sparkContext.defaultParallelism), pieces // TOGETHER))
     model = Model(vocabulary.value.share)
-    names = [f"v{i}" for i in range(SIZE)]
     rows_of = lambda values: np.append(values, np.zeros(-len(values) % SIZE, np.float32)).reshape(-1, SIZE)
     for round_ in range(rounds):
         shared = spark.sparkContext.broadcast(model.values)
@@ -312,14 +316,25 @@ def train(texts: DataFrame, vocabulary, rounds: int = ROUNDS) -> Model:
             if seen:
                 values = rows_of(own.values)
                 at = np.flatnonzero((values != rows_of(start)).any(axis=1))
-                for lo in range(0, len(at), 65_536):
-                    some = at[lo : lo + 65_536]
-                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), seen)), *map(pa.array, values[some].T)], names=["place", "seen", *names])
+                for some in np.split(at, np.flatnonzero(np.diff(at // RANGE)) + 1):
+                    yield pa.RecordBatch.from_arrays([pa.array([some[0] // RANGE]), pa.array([seen]), pa.array([some.astype(np.int32).tobytes()]), pa.array([values[some].tobytes()])], names=["range", "seen", "places", "held"])
 
-        learned = numbered.mapInArrow(learn, "place long, seen long, " + ", ".join(f"{c} float" for c in names))
-        found = learned.groupBy("place").agg(*[(F.sum(F.col(c).cast("double") * F.col("seen")) / F.sum("seen")).cast("float").alias(c) for c in names]).toArrow()
+        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, list[np.ndarray]] = {}
+            for b in batches:
+                for k, seen, places, held in zip(*(b.column(c).to_pylist() for c in ("range", "seen", "places", "held"))):
+                    sums, weight = total.setdefault(k, [np.zeros((RANGE, SIZE)), np.zeros(RANGE)])
+                    at = np.frombuffer(places, np.int32) - k * RANGE
+                    sums[at] += seen * np.frombuffer(held, np.float32).reshape(-1, SIZE).astype(float)
+                    weight[at] += seen
+            for k, (sums, weight) in total.items():
+                at = np.flatnonzero(weight)
+                yield pa.RecordBatch.from_arrays([pa.array([(at + k * RANGE).astype(np.int32).tobytes()]), pa.array([(sums[at] / weight[at, None]).astype(np.float32).tobytes()])], names=["places", "held"])
+
+        learned = numbered.mapInArrow(learn, "range long, seen long, places binary, held binary")
         values = rows_of(model.values)
-        values[found["place"].to_numpy()] = np.stack([found[c].to_numpy() for c in names], axis=1)
+        for r in learned.repartition("range").mapInArrow(average, "places binary, held binary").collect():
+            values[np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["held"], np.float32).reshape(-1, SIZE)
         model = Model(vocabulary.value.share, values.ravel()[: len(model.values)])
         shared.unpersist()
     return model
