@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seaglint.llm.alignment import alignment
 from seaglint.llm.chunk_bpe import round_trip
 from seaglint.llm.license_scan import license_scan
 from seaglint.llm.line_crf import quality_rules, train
@@ -92,3 +93,8 @@ def op7_phrase_dedup(spark, folder):
 @query
 def op4_log_bilinear(spark, folder):
     return language_scores(documents(spark, folder))
+
+
+@query
+def op11_pointer_alignment(spark, folder):
+    return alignment(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
