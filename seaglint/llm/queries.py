@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seaglint.llm.alignment import alignment
 from seaglint.llm.chunk_bpe import round_trip
 from seaglint.llm.license_scan import license_scan
+from seaglint.llm.disclosure import private_digest
 from seaglint.llm.line_crf import quality_rules, train
 from seaglint.llm.log_bilinear import language_scores
 from seaglint.llm.mixing import fair_queue
@@ -20,6 +21,7 @@ from seaglint.llm.phrase_dedup import remove_repeats
 from seaglint.llm.quality_qda import quality_scores
 from seaglint.llm.simhash import fingerprints
 from seaglint.llm.token_counts import token_counts
+from seaglint.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
@@ -98,3 +100,13 @@ def op4_log_bilinear(spark, folder):
 @query
 def op11_pointer_alignment(spark, folder):
     return alignment(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_block_whitening(spark, folder):
+    return whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query
+def op13_disclosure(spark, folder):
+    return private_digest(documents(spark, folder))
