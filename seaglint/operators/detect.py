@@ -9,10 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seaglint import config as C
 from seaglint.functions import boxes as B
-from seaglint.session import ship_package
+from seaglint.operators.ranking import numbered
+from seaglint.operators.spatial import join_listed
+from seaglint.session import ensure_checkpoint_dir, ship_package
 
 CORNERS = ("x1", "y1", "x2", "y2")
 CENTRE = ("cx", "cy", "w", "h")
@@ -60,10 +63,14 @@ def usable(df: DataFrame, *names: str, tile: str = "tile_id") -> Column:
     return ok
 
 
-def runs_of(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Borders [lo, hi) of equal keys that stand together."""
-    cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
-    return zip([0, *cuts], [*cuts, len(keys)], strict=True)
+def runs_of(keys: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Borders [lo, hi) of rows that stand together and have equal keys."""
+    n = len(keys[0])
+    differ = np.zeros(max(n - 1, 0), dtype=bool)
+    for k in keys:
+        differ |= k[1:] != k[:-1]
+    cuts = (np.flatnonzero(differ) + 1).tolist()
+    return zip([0, *cuts], [*cuts, n], strict=True)
 
 
 def _overlaps(a: np.ndarray, b: np.ndarray, centre: bool) -> np.ndarray:
@@ -79,76 +86,135 @@ def _overlaps(a: np.ndarray, b: np.ndarray, centre: bool) -> np.ndarray:
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
-#: Boxes that are compared at a time, and kept boxes that they meet at a time.
+#: Boxes that are compared at a time, and held boxes that they meet at a time.
 BLOCK, KEPT_BLOCK = 256, 4096
+#: Longest over shortest side in a size class, and cells of a block in each direction.
+CLASS_BASE, BLOCK_CELLS = 16.0, 8
+OPEN, KEPT, DROPPED = 0, 1, 2
+
+
+class _Held:
+    """Boxes in arrays of bounded size."""
+
+    def __init__(self):
+        self.parts: list[np.ndarray] = []
+
+    def add(self, boxes: np.ndarray) -> None:
+        if self.parts and len(self.parts[-1]) + len(boxes) <= KEPT_BLOCK:
+            self.parts[-1] = np.concatenate([self.parts[-1], boxes])
+        elif len(boxes):
+            self.parts.append(boxes)
 
 
 class _Fold:
-    """Greedy suppression of one tile whose boxes arrive in rank order; only kept boxes are held."""
+    """Suppression in one block, whose boxes arrive in rank order: what can be told from here.
+
+    An own box is kept if no box before it that overlaps it may be kept, and dropped if one is kept. Of a
+    box from another block only the second can be told, as not all of its neighbours are here.
+    """
 
     def __init__(self, limit: float, centre: bool):
-        self.limit, self.centre, self.kept, self.count = limit, centre, [], 0
+        self.limit, self.centre, self.kept, self.open = limit, centre, _Held(), _Held()
 
     def clash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         o = _overlaps(a[:, None, :], b[None, :, :], self.centre)
         return o >= self.limit if self.centre else o > self.limit
 
-    def take(self, corner: np.ndarray) -> np.ndarray:
-        """Places of the boxes that are kept, of some that follow those given before."""
-        out = []
+    def take(self, corner: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """KEPT, DROPPED or OPEN for some boxes that follow those given before."""
+        out = np.empty(len(corner), dtype=np.int8)
         for lo in range(0, len(corner), BLOCK):
-            block = corner[lo : lo + BLOCK]
-            alive = np.ones(len(block), dtype=bool)
-            for kept in self.kept:
-                alive[alive] = ~self.clash(kept, block[alive]).any(axis=0)
-            at = np.flatnonzero(alive)
+            block, mine = corner[lo : lo + BLOCK], own[lo : lo + BLOCK]
+            dropped = np.zeros(len(block), dtype=bool)
+            for kept in self.kept.parts:
+                dropped[~dropped] = self.clash(kept, block[~dropped]).any(axis=0)
+            unsure = ~mine
+            for held in self.open.parts:
+                left = ~dropped & ~unsure
+                unsure[left] = self.clash(held, block[left]).any(axis=0)
+            at = np.flatnonzero(~dropped)
             table = np.triu(self.clash(block[at], block[at]), 1)
-            left = np.ones(len(at), dtype=bool)
+            gone, doubt = np.zeros(len(at), dtype=bool), unsure[at]
             for i in np.flatnonzero(table.any(axis=1)):
-                if left[i]:
-                    left &= ~table[i]
-            at = at[left]
-            if self.kept and len(self.kept[-1]) + len(at) <= KEPT_BLOCK:
-                self.kept[-1] = np.concatenate([self.kept[-1], block[at]])
-            elif len(at):
-                self.kept.append(block[at])
-            out.append(at + lo)
-        return np.concatenate(out)
-
-
-def _suppress(boxes: DataFrame, tile: str, limit: float, centre: bool) -> DataFrame:
-    """Suppression tile by tile, the same for tiles of any size: rows meet by tile, sorted by rank, and
-    stream through; a task holds a batch of rows and the kept boxes of one tile."""
-    ship_package(boxes.sparkSession)
-    c = B.corners(*[F.col(n) for n in CENTRE]) if centre else tuple(F.col(n) for n in CORNERS)
-    slim = boxes.select(tile, "box_id", F.col("score").cast("double").alias("score"), *[c[i].cast("double").alias(f"_b{i}") for i in range(4)])
-    cols = ["_b0", "_b1", "_b2", "_b3"]
-    slim = slim.where(usable(slim, "score", *cols, tile=tile))
-    kind = dict(slim.dtypes)
-    schema = f"{tile} {kind[tile]}, box_id {kind['box_id']}, score double, {', '.join(f'{c} double' for c in cols)}, rank bigint"
+                if not gone[i]:
+                    if doubt[i]:
+                        doubt |= table[i]
+                    else:
+                        gone |= table[i]
+            state = np.where(gone, DROPPED, np.where(doubt, OPEN, KEPT))
+            self.kept.add(block[at[state == KEPT]])
+            self.open.add(block[at[state == OPEN]])
+            out[lo : lo + BLOCK] = DROPPED
+            out[lo + at] = state
+        return out
+
+
+def _suppression_round(boxes: DataFrame, tile: str, limit: float, centre: bool) -> DataFrame:
+    """What each block can tell of its boxes: columns of ``boxes`` and ``state``; own boxes, and dropped ones of others.
+
+    A box belongs to the block of its size class and centre, and is listed under all blocks that a box it
+    overlaps can belong to. So the own block of a box sees all of its neighbours.
+    """
+    base = max(CLASS_BASE, 1.01 / (limit * limit))
+    around = (F.col("_b2") - F.col("_b0")).alias("w"), (F.col("_b3") - F.col("_b1")).alias("h")
+    middle = ((F.col("_b0") + F.col("_b2")) / 2).alias("cx"), ((F.col("_b1") + F.col("_b3")) / 2).alias("cy")
+    placed = _own_place(boxes.select("*", *middle, *around), base, BLOCK_CELLS)
+    home = F.struct("_size", "_gx", "_gy").alias("_home")
+    listed = _partner_places(placed.withColumn("_home", home).drop("_size", "_gx", "_gy"), base, limit, BLOCK_CELLS)
+    listed = listed.select(*boxes.columns, "_size", "_gx", "_gy", (F.col("_home") == F.struct("_size", "_gx", "_gy")).alias("_own"))
+    block, columns = [tile, "_size", "_gx", "_gy"], boxes.columns
+    corners = ["_b0", "_b1", "_b2", "_b3"]
+    schema = T.StructType([*boxes.schema.fields, T.StructField("state", T.ByteType()), T.StructField("_own", T.BooleanType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, fold = None, None
         for pdf in batches:
             if not len(pdf):
                 continue
-            tiles, b = pdf[tile].to_numpy(), pdf[cols].to_numpy(dtype=float)
-            kept, ranks = [], []
-            for lo, hi in runs_of(tiles):
-                if fold is None or tiles[lo] != now:
-                    now, fold = tiles[lo], _Fold(limit, centre)
-                inside = fold.take(b[lo:hi])
-                kept.append(inside + lo)
-                ranks.append(np.arange(fold.count + 1, fold.count + len(inside) + 1))
-                fold.count += len(inside)
-            out = pdf.iloc[np.concatenate(kept)].copy()
-            out["rank"] = np.concatenate(ranks).astype("int64")
-            yield out
-
-    ordered = slim.repartition(tile).sortWithinPartitions(tile, F.desc("score"), "box_id")
+            keys = [pdf[c].to_numpy() for c in block]
+            corner, own = pdf[corners].to_numpy(dtype=float), pdf["_own"].to_numpy(dtype=bool)
+            state = np.empty(len(pdf), dtype=np.int8)
+            for lo, hi in runs_of(keys):
+                key = tuple(k[lo] for k in keys)
+                if key != now:
+                    now, fold = key, _Fold(limit, centre)
+                state[lo:hi] = fold.take(corner[lo:hi], own[lo:hi])
+            told = own | (state == DROPPED)
+            yield pdf.loc[told, columns].assign(state=state[told], _own=own[told])
+
+    ordered = listed.repartition(*block).sortWithinPartitions(*block, F.desc("score"), "box_id")
     return ordered.mapInPandas(run, schema)
 
 
+def _suppress(boxes: DataFrame, tile: str, limit: float, centre: bool) -> DataFrame:
+    """Suppression as a fixed point over the overlaps, the same for tiles of any size.
+
+    Each round decides, block by block, all boxes whose verdict no other block can change; the others go to
+    the next round without the kept and dropped ones. The first of the open boxes of a tile is decided in
+    each round, and a tile that lies in one block needs one round. Rounds are cut by reliable checkpoints.
+    """
+    if limit <= 0:
+        raise ValueError("the overlap limit must be above 0")
+    ship_package(boxes.sparkSession)
+    ensure_checkpoint_dir(boxes.sparkSession)
+    c = B.corners(*[F.col(n) for n in CENTRE]) if centre else tuple(F.col(n) for n in CORNERS)
+    slim = boxes.select(tile, "box_id", F.col("score").cast("double").alias("score"), *[c[i].cast("double").alias(f"_b{i}") for i in range(4)])
+    slim = slim.where(usable(slim, "score", "_b0", "_b1", "_b2", "_b3", tile=tile))
+    # Rows with equal values share their verdict but for the first, and meet in the same block.
+    todo, kept = slim, None
+    while True:
+        told = _suppression_round(todo, tile, limit, centre).checkpoint()
+        own = told.where("_own")
+        found = own.where(F.col("state") == KEPT).select(*slim.columns)
+        kept = found if kept is None else kept.unionByName(found)
+        left = own.where(F.col("state") == OPEN).select(*slim.columns)
+        if left.isEmpty():
+            break
+        dropped = told.where(~F.col("_own")).select(*slim.columns).distinct()
+        todo = left.join(dropped, slim.columns, "left_anti").checkpoint()
+    return numbered(kept, [tile], [-F.col("score"), "box_id", F.struct("_b0", "_b1", "_b2", "_b3")], "rank")
+
+
 def nms_detector(
     boxes: DataFrame, tile: str = "tile_id", limit: float = C.DETECTOR_NMS_IOU
 ) -> DataFrame:
@@ -180,17 +246,20 @@ def _size_class(side: Column, base: float) -> Column:
     return F.floor(F.log(F.greatest(side, F.lit(1e-6))) / F.lit(math.log(base)))
 
 
-def _own_place(df: DataFrame, base: float) -> DataFrame:
-    """Add the size class of the longer side and the grid cell of the centre."""
-    cell = F.pow(F.lit(base), F.col("_size") + 1)
+def _own_place(df: DataFrame, base: float, cells: int = 1) -> DataFrame:
+    """Add the size class of the longer side and the grid place of the centre, ``cells`` longest sides wide.
+
+    Places are moved by half their width, so that few boxes of a small tile stand at a border.
+    """
+    cell = F.pow(F.lit(base), F.col("_size") + 1) * F.lit(float(cells))
     return (
         df.withColumn("_size", _size_class(F.greatest("w", "h"), base))
-        .withColumn("_gx", F.floor(F.col("cx") / cell))
-        .withColumn("_gy", F.floor(F.col("cy") / cell))
+        .withColumn("_gx", F.floor(F.col("cx") / cell + 0.5))
+        .withColumn("_gy", F.floor(F.col("cy") / cell + 0.5))
     )
 
 
-def _partner_places(df: DataFrame, base: float, t: float) -> DataFrame:
+def _partner_places(df: DataFrame, base: float, t: float, cells: int = 1) -> DataFrame:
     """One row per place where a partner of overlap >= t can lie.
 
     Overlap t forces both sides within a factor t and the centres within (1 - t) of the longer
@@ -202,11 +271,12 @@ def _partner_places(df: DataFrame, base: float, t: float) -> DataFrame:
         F.array(_size_class(longer * F.lit(t * slack), base), _size_class(longer / F.lit(t * slack), base))
     )
     out = df.withColumn("_size", F.explode(classes))
-    cell = F.pow(F.lit(base), F.col("_size") + 1)
+    longest = F.pow(F.lit(base), F.col("_size") + 1)
+    cell = longest * F.lit(float(cells))
     for centre, side, place in (("cx", "w", "_gx"), ("cy", "h", "_gy")):
         own = F.greatest(side, F.lit(1e-6))
-        reach = F.greatest(own, F.least(cell, own / F.lit(t))) * F.lit((1 - t) / slack) + F.lit(1e-9)
-        first, last = F.floor((F.col(centre) - reach) / cell), F.floor((F.col(centre) + reach) / cell)
+        reach = F.greatest(own, F.least(longest, own / F.lit(t))) * F.lit((1 - t) / slack) + F.lit(1e-9)
+        first, last = F.floor((F.col(centre) - reach) / cell + 0.5), F.floor((F.col(centre) + reach) / cell + 0.5)
         out = out.withColumn(place, F.explode(F.sequence(first, last)))
     return out
 
@@ -240,7 +310,7 @@ def iou_pairs(
         tuple(F.col(f"_a_{c}") for c in CENTRE), tuple(F.col(f"_b_{c}") for c in CENTRE)
     )
     return (
-        a.join(b, [tile, *places])
+        join_listed(a, b, [tile, *places])
         .withColumn("iou", iou)
         .where(F.col("iou") >= threshold)
         .select(tile, "left_id", *keep, "right_id", "iou")
@@ -250,6 +320,35 @@ def iou_pairs(
 # --- matching ----------------------------------------------------------------------------
 
 
+def match_pairs(pairs: DataFrame, keys: list[str], *, best: bool) -> DataFrame:
+    """One-to-one matching of overlapping pairs: ``keys``, rank, left_id, right_id, iou.
+
+    Inside a key, predictions (``left_id``) in ``rank`` order each take one free label (``right_id``): the
+    first by id, or with ``best`` the one with most overlap.
+
+    In each round a prediction and a label take each other if the label is the prediction's first choice
+    and no earlier prediction overlaps the label: at its turn the prediction would find it free. Pairs that
+    lose a side go. Minima by prediction and by label are combined before the shuffle, so no key meets in
+    one task; rounds are cut by reliable checkpoints.
+    """
+    ensure_checkpoint_dir(pairs.sparkSession)
+    choice = F.struct(*([-F.col("iou")] if best else []), F.col("right_id"), F.col("iou"))
+    pairs = pairs.select(*keys, F.struct("rank", "left_id").alias("turn"), "right_id", choice.alias("choice"))
+    taken = None
+    while True:
+        pairs = pairs.checkpoint()
+        if taken is not None and pairs.isEmpty():
+            break
+        first = pairs.groupBy(*keys, "turn").agg(F.min("choice").alias("choice"))
+        wanted = first.select(*keys, "turn", F.col("choice.right_id").alias("right_id"), F.col("choice.iou").alias("iou"))
+        earliest = pairs.groupBy(*keys, "right_id").agg(F.min("turn").alias("turn"))
+        agreed = wanted.join(earliest, [*keys, "turn", "right_id"]).select(*keys, "turn", "right_id", "iou").checkpoint()
+        taken = agreed if taken is None else taken.unionByName(agreed)
+        pairs = pairs.join(agreed.select(*keys, "turn"), [*keys, "turn"], "left_anti")
+        pairs = pairs.join(agreed.select(*keys, "right_id"), [*keys, "right_id"], "left_anti")
+    return taken.select(*keys, F.col("turn.left_id").alias("pred_id"), F.col("right_id").alias("gt_id"), "iou")
+
+
 def greedy_match(
     preds: DataFrame,
     labels: DataFrame,
@@ -258,36 +357,12 @@ def greedy_match(
     tile: str = "tile_id",
     threshold: float = C.MATCH_IOU,
 ) -> DataFrame:
-    """Predictions in ``rank`` order each take one free label with enough overlap.
+    """Predictions in ``rank`` order each take one free label with enough overlap, see ``match_pairs``.
 
-    ``best=False`` takes the first such label by ``box_id``, ``best=True`` the one with most
-    overlap. The overlapping pairs come from ``iou_pairs``; they meet by tile in the order in which
-    they may be taken and stream through, so a task holds the matched ids of one tile.
+    ``best=False`` takes the first such label by ``box_id``, ``best=True`` the one with most overlap.
     """
-    ship_package(preds.sparkSession)
     ranked = preds if "rank" in preds.columns else preds.withColumn("rank", F.lit(0))
-    pairs = iou_pairs(ranked, labels, tile, threshold, keep=("rank",))
-    kind = dict(pairs.dtypes)
-    schema = f"{tile} {kind[tile]}, pred_id {kind['left_id']}, gt_id {kind['right_id']}, iou double"
-    choice = [F.desc("iou")] if best else []
-    ordered = pairs.repartition(tile).sortWithinPartitions(tile, "rank", "left_id", *choice, "right_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, preds_used, labels_used = None, set(), set()
-        for pdf in batches:
-            take = []
-            tiles, p, g = pdf[tile].tolist(), pdf["left_id"].tolist(), pdf["right_id"].tolist()
-            for i in range(len(tiles)):
-                if tiles[i] != now:
-                    now, preds_used, labels_used = tiles[i], set(), set()
-                if p[i] not in preds_used and g[i] not in labels_used:
-                    preds_used.add(p[i])
-                    labels_used.add(g[i])
-                    take.append(i)
-            hit = pdf.iloc[take]
-            yield pd.DataFrame({tile: hit[tile], "pred_id": hit["left_id"], "gt_id": hit["right_id"], "iou": hit["iou"]})
-
-    return ordered.mapInPandas(run, schema)
+    return match_pairs(iou_pairs(ranked, labels, tile, threshold, keep=("rank",)), [tile], best=best)
 
 
 # --- scoring -----------------------------------------------------------------------------

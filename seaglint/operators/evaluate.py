@@ -22,13 +22,16 @@ def tile_scores(
     preds: DataFrame, labels: DataFrame, matches: DataFrame, tile: str = "tile_id"
 ) -> DataFrame:
     """Counts per tile over the union of tiles with predictions or labels."""
-    p = preds.groupBy(tile).agg(F.count("*").alias("n_pred"))
-    g = labels.groupBy(tile).agg(F.count("*").alias("n_gt"))
-    m = matches.groupBy(tile).agg(F.count("*").alias("tp"))
-    out = p.join(g, tile, "full_outer").join(m, tile, "left")
+    counts = [d.groupBy(tile).agg(F.count("*").alias(n)) for d, n in ((preds, "n_pred"), (labels, "n_gt"), (matches, "tp"))]
+    return joined_scores(*counts, [tile])
+
+
+def joined_scores(n_pred: DataFrame, n_gt: DataFrame, tp: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts by the same keys side by side, 0 where there is none."""
+    out = n_pred.join(n_gt, keys, "full_outer").join(tp, keys, "left")
     zero = F.lit(0)
     return out.select(
-        tile, *[F.coalesce(c, zero).cast("bigint").alias(c) for c in ("n_pred", "n_gt", "tp")]
+        *keys, *[F.coalesce(c, zero).cast("bigint").alias(c) for c in ("n_pred", "n_gt", "tp")]
     )
 
 

@@ -14,6 +14,15 @@ def _steps(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(geo.cell_of(low, size), geo.cell_of(high, size)))
 
 
+def join_listed(one: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi-join of rows with rows that were listed under several keys.
+
+    Spark knows the size of the listed side before the listing only, and would broadcast it by that; so
+    both sides are shuffled, and the adaptive skew join cuts crowded keys on either side.
+    """
+    return one.join(listed.hint("merge"), keys)
+
+
 def points_in_boxes(
     points: DataFrame,
     boxes: DataFrame,
@@ -41,7 +50,7 @@ def points_in_boxes(
         & (F.col("lon") >= F.col("lon_min") - m)
         & (F.col("lon") <= F.col("lon_max") + m)
     )
-    return pts.join(bx, [*on, "_cy", "_cx"]).where(inside).drop("_cy", "_cx")
+    return join_listed(pts, bx, [*on, "_cy", "_cx"]).where(inside).drop("_cy", "_cx")
 
 
 def points_in_dated_boxes(
@@ -102,4 +111,4 @@ def near_in_space_and_time(
     cond = close
     for k in keys:
         cond = cond & (lo[k] == ro[k])
-    return lo.join(ro, cond, "left_semi").select(left_id).distinct()
+    return lo.join(ro.hint("merge"), cond, "left_semi").select(left_id).distinct()

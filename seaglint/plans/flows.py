@@ -32,18 +32,22 @@ def benchmark_chains(preds: DataFrame, labels: DataFrame, hist: DataFrame | None
     """Scores per processing code: labelled tiles only, suppression, matching, metrics.
 
     ``preds``: code, tile_key, box_id, score and a centre box. ``labels``: tile_key, box_id, box.
-    All codes run in one pass: the tile key of the matching is (code, tile). Every processing code has
-    a row; one without predictions finds nothing, so its scores are 0 and all labels are missed.
+    All codes run in one pass: labels meet the predictions of all codes once, and the matching is by (code,
+    tile). Every processing code has a row; one without predictions finds nothing, so its scores are 0 and
+    all labels are missed.
     """
-    with_code = F.concat_ws("#", "code", "tile_key")
-    codes = F.array(*map(F.lit, C.PROCESSING_CODES))
     labelled = preds.join(labels.select("tile_key").distinct(), "tile_key", "left_semi")
-    p = labelled.where(F.col("score") > C.BENCHMARK_CONFIDENCE).withColumn("tile_id", with_code)
+    p = labelled.where(F.col("score") > C.BENCHMARK_CONFIDENCE).withColumn("tile_id", F.concat_ws("#", "code", "tile_key"))
     ensure_checkpoint_dir(preds.sparkSession)
-    kept = detect.nms_benchmark(p).checkpoint()  # read by the matching and by the counts
-    gt = labels.withColumn("code", F.explode(codes)).withColumn("tile_id", with_code)
-    pairs = detect.greedy_match(kept, gt, best=False)
-    scores = evaluate.tile_scores(kept, gt, pairs).withColumn("code", F.substring_index("tile_id", "#", 1))
+    code = F.substring_index("tile_id", "#", 1)
+    key = F.substring("tile_id", F.length(code) + 2, F.length("tile_id"))
+    kept = detect.nms_benchmark(p).select("*", code.alias("code"), key.alias("tile_key")).checkpoint()  # read by the matching and by the counts
+    keys = ["code", "tile_key"]
+    pairs = detect.iou_pairs(kept, labels, "tile_key", keep=("rank", "code"))
+    found = detect.match_pairs(pairs, keys, best=False)
+    counted = lambda df, by, name: df.groupBy(*by).agg(F.count("*").alias(name))
+    of_tile = counted(labels, ["tile_key"], "n_gt").withColumn("code", F.explode(F.array(*map(F.lit, C.PROCESSING_CODES))))
+    scores = evaluate.joined_scores(counted(kept, keys, "n_pred"), of_tile, counted(found, keys, "tp"), keys)
     out = evaluate.detection_metrics(scores, ["code"])
     if hist is not None:
         out = out.withColumn("ks_max", evaluate.ks_max_distance(hist).scalar())

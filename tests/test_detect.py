@@ -67,8 +67,55 @@ def test_suppression_is_the_same_for_any_block_and_batch(spark, monkeypatch):
     fold = detect._Fold(0.5, True)
     hot = pdf[pdf.tile_id == "hot"].sort_values(["score", "box_id"], ascending=[False, True])
     corner = np.column_stack([hot.cx - hot.w / 2, hot.cy - hot.h / 2, hot.cx + hot.w / 2, hot.cy + hot.h / 2])
-    got = np.concatenate([fold.take(corner[:100]), fold.take(corner[100:]) + 100])
-    assert sorted(hot.box_id.to_numpy()[got].tolist()) == sorted(i for i, _ in want if i in set(hot.box_id))
+    own = np.ones(len(hot), dtype=bool)
+    got = np.concatenate([fold.take(corner[:100], own[:100]), fold.take(corner[100:], own[100:])])
+    assert sorted(hot.box_id.to_numpy()[got == detect.KEPT].tolist()) == sorted(i for i, _ in want if i in set(hot.box_id))
+
+
+def rounds_of(monkeypatch):
+    """A list that gets an entry for each round of suppression."""
+    seen, one = [], detect._suppression_round
+    monkeypatch.setattr(detect, "_suppression_round", lambda *a: seen.append(1) or one(*a))
+    return seen
+
+
+def test_suppression_over_many_blocks_and_sizes(spark, monkeypatch):
+    monkeypatch.setattr(detect, "CLASS_BASE", 1.0)
+    monkeypatch.setattr(detect, "BLOCK_CELLS", 1)
+    seen = rounds_of(monkeypatch)
+    pdf, _ = random_boxes(spark, 700, 2, 9)
+    pdf.loc[pdf.index % 5 == 0, ["w", "h"]] *= 40.0
+    pdf.loc[pdf.index % 7 == 0, ["w", "h"]] *= 0.01
+    pdf.loc[pdf.index % 11 == 0, "cx"] -= 300.0
+    df = spark.createDataFrame(pdf)
+    twice = df.unionByName(df.where("box_id % 10 = 0"))
+    assert rows(detect.nms_benchmark(twice), "box_id", "rank") == brute_nms(pdf, 0.5)
+    assert 2 <= len(seen) <= 8
+
+
+def test_a_chain_over_blocks_ends(spark, monkeypatch):
+    seen = rounds_of(monkeypatch)
+    n = 400  # each box overlaps the next one by 0.6, scores fall along the line
+    line = [("t", i, 1.0 - i / n, 25.0 * i, 10.0, 100.0, 100.0) for i in range(n)]
+    df = spark.createDataFrame(line, "tile_id string, box_id bigint, score double, cx double, cy double, w double, h double")
+    assert rows(detect.nms_benchmark(df), "box_id") == [(i,) for i in range(0, n, 2)]
+    assert len(seen) <= 25.0 * n / (16**2 * 8) + 3
+
+
+def test_one_large_tile_is_spread(spark, monkeypatch):
+    seen = rounds_of(monkeypatch)
+    n = 150_000
+    big = spark.range(n).select(F.lit("t").alias("tile_id"), F.col("id").alias("box_id"), F.rand(1).alias("score"), *[(F.rand(s) * 30_000).alias(c) for s, c in ((2, "cx"), (3, "cy"))], *[(F.rand(s) * 40 + 30).alias(c) for s, c in ((4, "w"), (5, "h"))]).checkpoint()
+    got = detect.nms_benchmark(big).cache()
+    assert len(seen) <= 6
+    assert got.agg(F.max("rank"), F.count("*"), F.countDistinct("rank")).first()[:] == (got.count(),) * 3
+    placed = detect._own_place(big, detect.CLASS_BASE, detect.BLOCK_CELLS).groupBy("_size", "_gx", "_gy").count()
+    assert placed.agg(F.max("count")).first()[0] < n / 50
+    pairs = detect.iou_pairs(got, got, threshold=0.5).where("left_id <> right_id")
+    assert pairs.isEmpty()
+    lost = big.join(got, "box_id", "left_anti")
+    reason = detect.iou_pairs(lost, got.select("tile_id", F.struct("score", "box_id").alias("box_id"), "cx", "cy", "w", "h"), keep=("score",)).where("right_id.score >= score")
+    assert reason.select("left_id").distinct().count() == lost.count()
 
 
 def test_no_job_starts_when_a_plan_is_built(spark):
@@ -83,10 +130,8 @@ def test_no_job_starts_when_a_plan_is_built(spark):
     spatial.points_in_boxes(places, frames)
     ais.dark_detections(places.withColumnRenamed("box_id", "det_id"), places)
     asof.asof_latest(places, other, key="k", left_time="ts", right_time="u", right_cols=["v"], tie="v")
-    kept = detect.nms_detector(df.withColumns({"x1": F.col("cx"), "y1": F.col("cy"), "x2": F.col("cx") + 5, "y2": F.col("cy") + 5}))
-    detect.greedy_match(detect.nms_benchmark(df), df, best=True)
-    detect.iou_pairs(df, df)
-    assert kept.columns and not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    pairs = detect.iou_pairs(df, df)
+    assert pairs.columns and not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
@@ -153,3 +198,33 @@ def test_large_event(spark):
     got = {r.tile_id: r for r in events.events_from_boxes(boxes, tiles, "D").collect()}
     assert got["t"].vessel_count == 10000 and len(got["t"].detections) == 10000 and got["t"].priority_level == "CRITICAL"
     assert got["u"].vessel_count == 0 and got["u"].detections == [] and got["t"].scene_id == "unknown"
+
+
+def test_matching_along_a_chain_and_in_a_crowd(spark):
+    schema = "tile_id string, left_id bigint, rank bigint, right_id bigint, iou double"
+    # Each prediction wants the label that the one before it takes: one more is decided in each round.
+    chain = [("t", i, i, j, 0.9 if j == i else 0.8) for i in range(5) for j in (i - 1, i) if j >= 0]
+    found = detect.match_pairs(spark.createDataFrame(chain, schema), ["tile_id"], best=False)
+    assert rows(found, "pred_id", "gt_id") == [(i, i) for i in range(5)]
+    crowd = spark.createDataFrame([("t", i, i, j, 0.5 + (i * j % 7) / 20) for i in range(20) for j in range(8)], schema)
+    for best in (False, True):
+        used, want = set(), []
+        for i in range(20):
+            free = [((0.5 + (i * j % 7) / 20) if best else 0, -j) for j in range(8) if j not in used]
+            if free:
+                used.add(-max(free)[1])
+                want.append((i, -max(free)[1]))
+        assert rows(detect.match_pairs(crowd, ["tile_id"], best=best), "pred_id", "gt_id") == want
+    assert detect.match_pairs(crowd.where("false"), ["tile_id"], best=True).count() == 0
+
+
+def test_listed_sides_are_not_broadcast(spark):
+    from seaglint.operators import spatial
+
+    _, df = random_boxes(spark, 60, 3, 1)
+    places = df.select("box_id", (F.col("cx") / 100).alias("lat"), (F.col("cy") / 100).alias("lon"))
+    frames = places.select(F.col("box_id").alias("bid"), F.col("lat").alias("lat_min"), (F.col("lat") + 1).alias("lat_max"), F.col("lon").alias("lon_min"), (F.col("lon") + 1).alias("lon_max"))
+    for made in (detect.iou_pairs(df, df), spatial.points_in_boxes(places, frames)):
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" in plan and "Broadcast" not in plan
