@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from seaglint import config as C
 from seaglint.functions import boxes, names
 from seaglint.functions.draws import draw_hash
-from seaglint.operators.ranking import numbered, top_per_group, with_group_size
+from seaglint.operators.ranking import numbered, top_per_group
+from seaglint.operators.selection import cut_groups
 
 
 def parts_of(text: Column) -> Column:
@@ -103,20 +104,23 @@ def resample_box_sizes(lines: DataFrame, key: Column, text: str = "txt", size: i
 # --- splits ------------------------------------------------------------------------------
 
 
-def _cut(position: Column, total: Column, ratios: tuple[float, float, float]) -> Column:
-    """Split name of the 1-based position in an ordered list of ``total`` rows."""
-    whole = float(sum(ratios))
-    n_train = F.floor(total * F.lit(float(ratios[0])) / F.lit(whole))
-    n_val = F.floor(total * F.lit(float(ratios[1])) / F.lit(whole))
-    return F.when(position <= n_train, "train").when(position <= n_train + n_val, "val").otherwise("test")
+SPLITS = ["train", "val", "test"]
+
+
+def _places(ratios: tuple[float, float, float]) -> list[Column]:
+    """Rows in train, and in train and val, of ``n`` ordered rows."""
+    part = [F.floor(F.col("n") * F.lit(float(r)) / F.lit(float(sum(ratios)))) for r in ratios[:2]]
+    return [part[0], part[0] + part[1]]
 
 
 def chunk_split(
     tiles: DataFrame, by: list[str], ratios: tuple[float, float, float] = (70, 15, 15)) -> DataFrame:
-    """Contiguous train/val/test chunks of the tile_id order inside each group."""
-    placed = numbered(tiles, by, ["tile_id"], "_rn")
-    sized = with_group_size(placed, by, "_n")
-    return sized.withColumn("split", _cut(F.col("_rn"), F.col("_n"), ratios)).drop("_rn", "_n")
+    """Contiguous train/val/test chunks of the tile_id order inside each group.
+
+    The cut keys are found by ``selection.cut_keys``; rows are neither sorted nor numbered, so a group may
+    hold any share of them.
+    """
+    return cut_groups(tiles, by, F.col("tile_id"), _places(ratios), SPLITS, "split")
 
 
 def geo_split(tiles: DataFrame, ratios: tuple[float, float, float] = (70, 15, 15)) -> DataFrame:
@@ -131,18 +135,19 @@ def platform_stratified_split(tiles: DataFrame) -> DataFrame:
 def scene_plan_split(tiles: DataFrame, plan: DataFrame, geo: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:
     """Split named by a plan table (scene_id, split); unknown names mean train.
 
-    Scenes listed in ``geo`` are cut into chunks instead. Scenes that the plan does not name are split
-    whole, in proportion (``proportional_scene_split``).
+    Scenes listed in ``geo`` are cut into chunks instead. A plan that does not name all scenes counts for
+    nothing: then all scenes are split whole, in proportion (``proportional_scene_split``).
     """
-    known = F.when(F.col("split").isin("train", "val", "test"), F.col("split")).otherwise("train")
+    known = F.when(F.col("plan").isin(*SPLITS), F.col("plan")).otherwise("train")
     geo = geo or {}
+    named = plan.select("scene_id", F.col("split").alias("plan"), F.lit(True).alias("_named"))
+    scenes = tiles.select("scene_id").distinct().join(named, "scene_id", "left")
+    complete = scenes.agg(F.coalesce(F.bool_and(F.coalesce("_named", F.lit(False))), F.lit(True)).alias("c")).scalar()
     plain = tiles.where(~F.col("scene_id").isin(*geo)) if geo else tiles
-    named = plan.select("scene_id", known.alias("split"))
-    out = plain.join(named, "scene_id")
-    out = out.unionByName(proportional_scene_split(plain.join(named, "scene_id", "left_anti")))
+    out = plain.join(named, "scene_id").where(complete).select(*tiles.columns, known.alias("split"))
     for scene, ratios in geo.items():
-        out = out.unionByName(geo_split(tiles.where(F.col("scene_id") == scene), ratios))
-    return out
+        out = out.unionByName(geo_split(tiles.where(F.col("scene_id") == scene), ratios).where(complete))
+    return out.unionByName(proportional_scene_split(tiles).where(~complete).select(*tiles.columns, "split"))
 
 
 def proportional_scene_split(tiles: DataFrame) -> DataFrame:
@@ -164,10 +169,8 @@ def proportional_scene_split(tiles: DataFrame) -> DataFrame:
 def random_split(
     tiles: DataFrame, seed: str, ratios: tuple[float, float, float] = (80, 10, 10)) -> DataFrame:
     """Seeded shuffle by hash order, then exact cuts."""
-    mixed = tiles.withColumn("_h", draw_hash(F.col("tile_id"), seed))
-    placed = numbered(mixed, [], ["_h", "tile_id"], "_rn")
-    n = tiles.agg(F.count("*").alias("n")).scalar()
-    return placed.withColumn("split", _cut(F.col("_rn"), n, ratios)).drop("_rn", "_h")
+    mixed = F.concat(draw_hash(F.col("tile_id"), seed), F.col("tile_id"))
+    return cut_groups(tiles, [], mixed, _places(ratios), SPLITS, "split")
 
 
 def split_estimate(scenes: DataFrame) -> DataFrame:

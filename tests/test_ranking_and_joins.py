@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from seaglint.operators import ais, asof, catalogue, ranking, spatial
+from seaglint.operators import ais, asof, catalogue, labels, ranking, selection, spatial
 
 
 def hot_table(spark, n=3000):
@@ -130,3 +130,46 @@ def test_density_map_of_the_region(spark):
     pts = spark.createDataFrame([(27.1, -17.0), (27.1, -16.9), (36.0, -1.0), (27.1, -17.2), (35.99, -0.5), (None, 1.0)], "lat double, lon double")
     got = rows(ais.density_map(pts), "cell_index", "ais_count")
     assert got == [(0, 2), (31 * 18 + 17, 1)]
+
+
+def test_cut_groups_as_row_numbers(spark):
+    key = F.when(F.col("id") % 5 == 0, "scene_0001_same").otherwise(F.concat(F.lit("scene_000"), (F.col("id") * 7919 % 9973).cast("string"), F.lit("é_tile"), (F.col("id") % 3).cast("string")))
+    df = hot_table(spark, 3000).withColumn("name", F.when(F.col("id") == 7, None).otherwise(key)).withColumn("k", F.when(F.col("id") % 41 == 0, None).otherwise(F.col("k"))).repartition(6)
+    places = [F.floor(F.col("n") * 0.3), F.floor(F.col("n") * 0.7)]
+    for by in (["k"], []):
+        part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+        placed = df.select("k", F.coalesce("name", F.lit("")).alias("key"), F.row_number().over(part.orderBy(F.coalesce("name", F.lit("")), "id")).alias("rn"), F.count("*").over(part).alias("n"))
+        want = placed.groupBy("k", "key").agg(*[F.count_if(c).alias(n) for n, c in zip("abc", (F.col("rn") <= places[0], (F.col("rn") > places[0]) & (F.col("rn") <= places[1]), F.col("rn") > places[1]))])
+        for small in (1, 40, 10_000):
+            got = selection.cut_groups(df, by, F.col("name"), places, ["a", "b", "c"], "part", small)
+            assert got.columns == [*df.columns, "part"] and got.count() == 3000
+            sums = got.groupBy(*by, F.coalesce("name", F.lit("")).alias("key")).agg(*[F.count_if(F.col("part") == n).alias(n) for n in "abc"])
+            if by:
+                assert sorted(map(str, sums.select("k", "key", *"abc").collect())) == sorted(map(str, want.select("k", "key", *"abc").collect()))
+            else:
+                flat = want.groupBy("key").agg(*[F.sum(n).alias(n) for n in "abc"])
+                assert rows(sums, "key", *"abc") == rows(flat, "key", *"abc")
+
+
+def test_cut_groups_of_equal_rows_and_nothing(spark):
+    same = spark.range(1000).select(F.lit("x").alias("tile_id"), F.lit("s").alias("scene_id"))
+    got = {r["split"]: r["count"] for r in labels.geo_split(same, (70, 15, 15)).groupBy("split").count().collect()}
+    assert got == {"train": 700, "val": 150, "test": 150}
+    assert labels.geo_split(same.where("false")).count() == 0
+    three = labels.random_split(same.limit(3), "s", (1, 1, 1)).groupBy("split").count().collect()
+    assert sorted(r["count"] for r in three) == [1, 1, 1]
+
+
+def test_cut_keys_never_sort_or_copy_the_rows(spark):
+    df = hot_table(spark, 2000).withColumn("wide", F.lit("x" * 50)).withColumn("tile_id", F.col("o"))
+    plan = labels.chunk_split(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Window" not in plan
+
+
+def test_a_plan_that_misses_a_scene_counts_for_nothing(spark):
+    tiles = spark.range(60).select(F.concat(F.lit("s"), (F.col("id") % 6).cast("string")).alias("scene_id"), F.col("id").cast("string").alias("tile_id"))
+    plan = spark.createDataFrame([(f"s{i}", "test" if i else "odd") for i in range(6)], "scene_id string, split string")
+    whole = rows(labels.scene_plan_split(tiles, plan).select("scene_id", "split").distinct())
+    assert whole == [("s0", "train"), *[(f"s{i}", "test") for i in range(1, 6)]]
+    part = rows(labels.scene_plan_split(tiles, plan.where("scene_id <> 's3'"), {"s1": (1, 1, 1)}).select("scene_id", "split").distinct())
+    assert part == rows(labels.proportional_scene_split(tiles).select("scene_id", "split").distinct())
