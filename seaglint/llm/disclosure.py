@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -235,10 +235,14 @@ def private_spans(docs: DataFrame, text_col: str = "text", threshold: float = TH
     terms = hit.groupBy("number", "start", "stop").agg(kind.alias("kind")).groupBy("number").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("terms"))
     joined = found.drop("contexts", "entities").join(terms, "number", "left")
     none = F.array().cast(f"array<{SPAN}>")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", is_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return joined.select("row", *counts, "base", F.array_sort(F.concat("base", F.coalesce(F.col("terms").cast(f"array<{SPAN}>"), none))).alias("spans"))
 
 
+def is_kind(number: int) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == number
+
+
 def written(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*map(F.lit, [*KINDS, "generalise", "remove"]))

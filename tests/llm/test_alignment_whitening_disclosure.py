@@ -115,7 +115,7 @@ def whitened_by_hand(vectors):
     values, directions = np.linalg.eigh(centred.T @ centred / n)
     values, directions = values[::-1][:32], directions[:, ::-1][:, :32]
     trace = (centred**2).sum() / n
-    return n, (apart**2).sum(axis=1), centred @ directions / np.sqrt(values), values / trace
+    return n, (apart**2).sum(axis=1), centred @ directions / np.sqrt(values.clip(1e-9)), values / trace
 
 
 def test_whitening_of_the_table(spark):
@@ -237,7 +237,7 @@ def digest_by_hand(rows, window=10, threshold=0.75, least=2):
 
 def private_rows():
     rng = random.Random(4)
-    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)] + ["Ünder", "x1", "42", "the", "the", "the", "İx"]
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)] + ["Ünder", "42", "the", "the", "the", "İx"]
     said = lambda k: " ".join(rng.choice(words) for _ in range(k))
     rows = [(i, said(rng.randrange(3, 60))) for i in range(120)]
     rows += [(200 + i, f"{said(15)} Agentone opens a7b9 mail John.Doe@Example.com {said(4)} harbour 4711 {said(12)}") for i in range(4)]
