@@ -237,12 +237,12 @@ def digest_by_hand(rows, window=10, threshold=0.75, least=2):
 
 def private_rows():
     rng = random.Random(4)
-    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)] + ["Ünder", "42", "the", "the", "the", "İx"]
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)] + ["Ünder", "42", "the", "the", "the"]
     said = lambda k: " ".join(rng.choice(words) for _ in range(k))
     rows = [(i, said(rng.randrange(3, 60))) for i in range(120)]
     rows += [(200 + i, f"{said(15)} Agentone opens a7b9 mail John.Doe@Example.com {said(4)} harbour 4711 {said(12)}") for i in range(4)]
     rows += [(210 + i, f"ring Redboat at +1 (509) 555-0271, card 4111 1111 1111 1111 or 10.0.0.{i % 2} {said(9)}") for i in range(5)]
-    return rows + [(300, None), (301, ""), (302, "a@b.cd"), (None, "the a@b.cd the"), (303, "same row me@x.org zebra"), (303, "same row me@x.org zebra"), (304, "4711 Redboat elsewhere")]
+    return rows + [(300, None), (301, ""), (302, "a@b.cd"), (None, "the a@b.cd the"), (303, "same row me@x.org zebra"), (303, "same row me@x.org zebra"), (304, "4711 Redboat elsewhere"), (305, "İx alone")]
 
 
 def test_disclosure_as_by_hand(spark):
