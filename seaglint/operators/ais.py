@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from seaglint import config as C
 from seaglint.functions import ais, boxes, geo
 from seaglint.operators.ranking import top_per_group
 from seaglint.operators.spatial import (
+    cell_steps,
     near_in_space_and_time,
     points_in_boxes,
     points_in_dated_boxes,
@@ -84,50 +87,62 @@ def top_density_cells(cells: DataFrame, n: int = C.TARGET_ZONES) -> DataFrame:
     return cells.orderBy(F.desc("ais_count"), "cell_index", "lon_min").limit(n)
 
 
+#: Squares of a level of the pyramid along one side of a square of the level above, and degrees that the top spans.
+FAN, SPAN_DEG = 8, 360.0
+
+
+def _gap2(low, high, square_low, square_high, worst: bool):
+    """Squared distance in one direction between two intervals, nearest or farthest ends."""
+    if worst:
+        d = F.greatest(square_high - low, high - square_low)
+    else:
+        d = F.greatest(low - square_high, square_low - high, F.lit(0.0))
+    return d * d
+
+
+def _nearest_places(near: DataFrame, x: tuple, y: tuple, step: float) -> DataFrame:
+    """Of the places beside each grid square ``_gx``, ``_gy`` those no farther at best than another one at worst."""
+    least, most = F.lit(0.0), F.lit(0.0)
+    for axis, (low, high) in (("_gx", x), ("_gy", y)):
+        own = F.col(axis) * F.lit(step), (F.col(axis) + 1) * F.lit(step)
+        least, most = least + _gap2(low, high, *own, False), most + _gap2(low, high, *own, True)
+    bound = F.min("_most").over(Window.partitionBy("_gx", "_gy"))
+    measured = near.withColumn("_least", least).withColumn("_most", most).withColumn("_bound", bound)
+    return measured.where(F.col("_least") <= F.col("_bound") + F.lit(1e-8)).drop("_least", "_most", "_bound")
+
+
 def nearest_cell(scenes: DataFrame, ranked_cells: DataFrame, step: float = C.DENSITY_CELL_DEG) -> DataFrame:
     """Closest density cell to each scene centre, by distance in degrees (ties: better rank).
 
-    Scene centres are put on a grid. For each grid square in use, the cells that can be nearest to
-    some point of it are listed once: those no farther at best than another is at worst. Both the
-    squares and the cell list are bounded by the map, and a scene then compares a few cells only.
+    Scene centres are put on a grid, and cells in a pyramid of ever larger squares. Each grid square in use
+    goes down the pyramid: an equi-join on the square above gives the squares below that hold cells, and
+    those that are farther at best than another is at worst are dropped. So a grid square meets a few
+    squares in each level and a few cells at the end, however many cells the map has; a scene then
+    compares the cells of its own square.
     """
-    listed = ranked_cells.agg(
-        F.collect_list(
-            F.struct(
-                "cell_index",
-                "density_rank",
-                "ais_count",
-                ((F.col("lon_min") + F.col("lon_max")) / 2).alias("cx"),
-                ((F.col("lat_min") + F.col("lat_max")) / 2).alias("cy"),
-            )
-        ).alias("cells")
-    )
-    size = F.lit(step)
+    levels = max(1, math.ceil(math.log(SPAN_DEG / step, FAN)))
+    cells = ranked_cells.select(
+        "cell_index", "density_rank", "ais_count",
+        ((F.col("lon_min") + F.col("lon_max")) / 2).alias("cx"), ((F.col("lat_min") + F.col("lat_max")) / 2).alias("cy"),
+    ).withColumn("_qx", geo.cell_of(F.col("cx"), step)).withColumn("_qy", geo.cell_of(F.col("cy"), step))
     centred = (
         scenes.withColumn("_lon", (F.col("lon_min") + F.col("lon_max")) / 2)
         .withColumn("_lat", (F.col("lat_min") + F.col("lat_max")) / 2)
         .withColumn("_gx", geo.cell_of(F.col("_lon"), step))
         .withColumn("_gy", geo.cell_of(F.col("_lat"), step))
     )
-    zero = F.lit(0.0)
-
-    def gap2(c, worst):
-        out = zero
-        for place, axis in ((c["cx"], "_gx"), (c["cy"], "_gy")):
-            below, above = F.col(axis) * size - place, place - (F.col(axis) + 1) * size
-            d = F.greatest(F.abs(below), F.abs(above)) if worst else F.greatest(below, above, zero)
-            out = out + d * d
-        return out
-
-    pairs = centred.select("_gx", "_gy").distinct().withColumn("c", F.explode(listed.scalar()))
-    pairs = pairs.withColumn("_least", gap2(F.col("c"), False)).withColumn("_most", gap2(F.col("c"), True))
-    reach = pairs.groupBy("_gx", "_gy").agg(F.min("_most").alias("_reach"))
-    squares = (
-        pairs.join(reach, ["_gx", "_gy"])
-        .where(F.col("_least") <= F.col("_reach") + F.lit(1e-8))
-        .groupBy("_gx", "_gy")
-        .agg(F.collect_list("c").alias("_near"))
-    )
+    ends = F.array(F.lit(-1).cast("bigint"), F.lit(0).cast("bigint"))
+    near = centred.select("_gx", "_gy").distinct().withColumn("_qx", F.explode(ends)).withColumn("_qy", F.explode(ends))
+    for level in reversed(range(levels)):
+        above = lambda c: F.floor(F.col(c) / F.lit(FAN))
+        held = lambda c, n=FAN**level: F.floor(F.col(c) / F.lit(n)).alias(c)
+        squares = cells.select(held("_qx"), held("_qy")).distinct().withColumns({"_ux": above("_qx"), "_uy": above("_qy")})
+        near = near.withColumnsRenamed({"_qx": "_ux", "_qy": "_uy"}).join(squares, ["_ux", "_uy"])
+        size = F.lit(step * FAN**level)
+        x, y = ((F.col(q) * size, (F.col(q) + 1) * size) for q in ("_qx", "_qy"))
+        near = _nearest_places(near, x, y, step).select("_gx", "_gy", "_qx", "_qy")
+    found = _nearest_places(near.join(cells, ["_qx", "_qy"]), (F.col("cx"),) * 2, (F.col("cy"),) * 2, step)
+    squares = found.groupBy("_gx", "_gy").agg(F.collect_list(F.struct("cell_index", "density_rank", "ais_count", "cx", "cy")).alias("_near"))
     best = F.array_min(
         F.transform(
             F.col("_near"),
@@ -192,19 +207,35 @@ def ais_hour_window(
     return pairs.where(near).drop("_hour")
 
 
-def ais_coverage(positions: DataFrame, scenes: DataFrame) -> DataFrame:
+def ais_coverage(positions: DataFrame, scenes: DataFrame, cell: float = 0.25) -> DataFrame:
     """All scenes with ``has_ais``: is there a position in the box and day range?
 
-    Positions shrink to distinct (day, fine cell) counts only where the exact test is not needed;
-    here the exact pairs are reduced to scene ids by a map-side combined distinct.
+    A scene is listed under the days and grid cells that it touches. Cells that lie wholly in its box need
+    only the occupied (day, cell) places, which are combined before the shuffle; positions are looked at
+    for the border cells of the scenes that are left, as a semi-join with the exact test.
     """
-    hit = ais_in_scene_window(positions.select("lat", "lon", "ts"), scenes).select("scene_id").distinct()
-    flagged = hit.withColumn("_hit", F.lit(True))
-    return (
-        scenes.join(flagged, "scene_id", "left")
-        .withColumn("has_ais", F.coalesce("_hit", F.lit(False)))
-        .drop("_hit")
+    dated = with_ais_window(scenes).select("scene_id", "lat_min", "lon_min", "lat_max", "lon_max", "day_from", "day_to")
+    listed = dated.withColumn("day", F.explode(F.sequence("day_from", "day_to")))
+    within = F.lit(True)
+    for axis, low, high in (("_cy", "lat_min", "lat_max"), ("_cx", "lon_min", "lon_max")):
+        listed = listed.withColumn(axis, cell_steps(F.col(low), F.col(high), cell))
+        first, last = F.col(axis) * F.lit(cell), (F.col(axis) + 1) * F.lit(cell)
+        # A little inside the box: then whatever rounds into the cell lies in the box too.
+        within = within & (first >= F.col(low) + F.lit(1e-9)) & (last <= F.col(high) - F.lit(1e-9))
+    listed = listed.withColumn("_whole", within)
+    place = ["day", "_cy", "_cx"]
+    pts = drop_missing_coords(positions).select(
+        "lat", "lon", F.col("ts").cast("date").alias("day"), geo.cell_of(F.col("lat"), cell).alias("_cy"), geo.cell_of(F.col("lon"), cell).alias("_cx")
     )
+    occupied = pts.groupBy(*place).agg(F.count("*").alias("_n"))
+    hit = F.count("*").alias("_hits")
+    covered = listed.where("_whole").join(occupied, place, "left_semi").groupBy("scene_id").agg(hit)
+    border = listed.where("not _whole").join(covered, "scene_id", "left_anti")
+    exact = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
+    for c in place:
+        exact = exact & (border[c] == pts[c])
+    found = covered.unionByName(border.join(pts, exact, "left_semi").groupBy("scene_id").agg(hit))
+    return scenes.join(found, "scene_id", "left").withColumn("has_ais", F.col("_hits").isNotNull()).drop("_hits")
 
 
 def union_detection_sources(seeds: DataFrame, gaps: DataFrame) -> DataFrame:

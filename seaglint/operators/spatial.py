@@ -10,7 +10,7 @@ from seaglint import config as C
 from seaglint.functions import geo
 
 
-def _steps(low: Column, high: Column, size: float) -> Column:
+def cell_steps(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(geo.cell_of(low, size), geo.cell_of(high, size)))
 
 
@@ -41,8 +41,8 @@ def points_in_boxes(
     pts = points.withColumn("_cy", geo.cell_of(F.col("lat"), cell)).withColumn(
         "_cx", geo.cell_of(F.col("lon"), cell)
     )
-    bx = boxes.withColumn("_cy", _steps(F.col("lat_min") - m, F.col("lat_max") + m, cell)).withColumn(
-        "_cx", _steps(F.col("lon_min") - m, F.col("lon_max") + m, cell)
+    bx = boxes.withColumn("_cy", cell_steps(F.col("lat_min") - m, F.col("lat_max") + m, cell)).withColumn(
+        "_cx", cell_steps(F.col("lon_min") - m, F.col("lon_max") + m, cell)
     )
     inside = (
         (F.col("lat") >= F.col("lat_min") - m)
@@ -87,8 +87,8 @@ def near_in_space_and_time(
     at = micros("ts")
     lo = (
         left.select(left_id, "lat", "lon", at.alias("_t"))
-        .withColumn("_cy", _steps(F.col("lat") - dlat, F.col("lat") + dlat, cell))
-        .withColumn("_cx", _steps(F.col("lon") - dlon, F.col("lon") + dlon, cell))
+        .withColumn("_cy", cell_steps(F.col("lat") - dlat, F.col("lat") + dlat, cell))
+        .withColumn("_cx", cell_steps(F.col("lon") - dlon, F.col("lon") + dlon, cell))
         .withColumn(
             "_ct",
             F.explode(

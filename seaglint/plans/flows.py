@@ -20,11 +20,16 @@ def events_to_stats(raw: DataFrame, since: str | None = None) -> DataFrame:
 
 
 def annotate_scenes(positions: DataFrame, tile_table: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(annotations, report): scene boxes, position windows, tile projection, labels, counts."""
+    """(annotations, report): scene boxes, position windows, tile projection, labels, counts.
+
+    The window join and the annotations are made once and written to the checkpoint folder, as both results
+    read them.
+    """
+    ensure_checkpoint_dir(positions.sparkSession)
     boxes = tiles.scene_bbox(tile_table).join(scenes.select("scene_id", "acquired"), "scene_id")
-    found = ais.ais_in_scene_window(positions, boxes).drop("lat_min", "lon_min", "lat_max", "lon_max", "day")
+    found = ais.ais_in_scene_window(positions, boxes).drop("lat_min", "lon_min", "lat_max", "lon_max", "day").checkpoint()
     pairs = ais.points_in_tiles(found, tile_table, on=("scene_id",))
-    notes = ais.annotate_pairs(pairs, "pos_id")
+    notes = ais.annotate_pairs(pairs, "pos_id").checkpoint()
     return notes, evaluate.annotation_report(tile_table, found, notes)
 
 

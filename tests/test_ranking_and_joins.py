@@ -173,3 +173,35 @@ def test_a_plan_that_misses_a_scene_counts_for_nothing(spark):
     assert whole == [("s0", "train"), *[(f"s{i}", "test") for i in range(1, 6)]]
     part = rows(labels.scene_plan_split(tiles, plan.where("scene_id <> 's3'"), {"s1": (1, 1, 1)}).select("scene_id", "split").distinct())
     assert part == rows(labels.proportional_scene_split(tiles).select("scene_id", "split").distinct())
+
+
+def test_nearest_cell_on_a_large_map(spark):
+    n = 1000  # a million cells of 0.01 degrees, a hole in the middle, scenes inside, beside and far away
+    ids = spark.range(n * n).select("id", (F.col("id") % n).alias("i"), F.floor(F.col("id") / n).alias("j")).where("not (i between 300 and 640 and j between 200 and 700)")
+    cells = ids.select(F.col("id").alias("cell_index"), (F.col("id") % 1013).alias("density_rank"), F.lit(1).alias("ais_count"), *[(F.lit(a) + F.col(c) * 0.01).alias(m) for m, a, c in (("lon_min", -17.0, "i"), ("lat_min", 27.0, "j"), ("lon_max", -16.99, "i"), ("lat_max", 27.01, "j"))])
+    rng = np.random.default_rng(12)
+    low = np.concatenate([rng.uniform([-17, 27], [-7, 37], (60, 2)), rng.uniform([-14, 29], [-10.6, 34], (30, 2)), rng.uniform([-180, -90], [179, 89], (30, 2))])
+    sc = pd.DataFrame({"scene_id": range(len(low)), "lon_min": low[:, 0], "lat_min": low[:, 1]})
+    sc["lon_max"], sc["lat_max"] = sc.lon_min + 0.3, sc.lat_min + 0.2
+    made = ais.nearest_cell(spark.createDataFrame(sc), cells, 0.01)
+    assert "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r.scene_id: r.distance_deg for r in made.collect()}
+    place = cells.select(((F.col("lon_min") + F.col("lon_max")) / 2).alias("x"), ((F.col("lat_min") + F.col("lat_max")) / 2).alias("y")).toPandas()
+    for s in sc.itertuples():
+        d2 = ((place.x - s.lon_min - 0.15) ** 2 + (place.y - s.lat_min - 0.1) ** 2).min()
+        assert abs(got[s.scene_id] - np.sqrt(round(d2, 9))) < 1e-4, s
+
+
+def test_coverage_as_pairs(spark):
+    rng = np.random.default_rng(6)
+    n = 400
+    pos = spark.createDataFrame(pd.DataFrame({"lat": np.round(rng.uniform(30, 34, n), 2), "lon": np.round(rng.uniform(-12, -8, n), 2), "t": rng.integers(0, 20, n) * 86400})).withColumn("ts", F.timestamp_seconds("t"))
+    low = np.round(rng.uniform([-12, 30], [-8, 34], (300, 2)), 2)
+    side = rng.choice([0.0, 0.02, 0.3, 1.25], (300, 2))
+    sc = pd.DataFrame({"scene_id": range(300), "lon_min": low[:, 0], "lat_min": low[:, 1], "lon_max": low[:, 0] + side[:, 0], "lat_max": low[:, 1] + side[:, 1], "t": rng.integers(0, 20, 300) * 86400 + 5000})
+    scenes = spark.createDataFrame(sc).withColumn("acquired", F.timestamp_seconds("t"))
+    want = {r.scene_id for r in ais.ais_in_scene_window(pos, scenes).select("scene_id").distinct().collect()}
+    for cell in (0.1, 0.25, 2.0):
+        got = ais.ais_coverage(pos, scenes, cell)
+        assert {r.scene_id for r in got.where("has_ais").collect()} == want and got.count() == 300
+    assert 20 < len(want) < 280
