@@ -108,22 +108,62 @@ def stream_events(t):
     return t.spark.read.parquet(f"{work}/valid", f"{work}/rejected")
 
 
-NEAR = """select d.pos_id as det_id, count(*) as n_near from (select pos_id, ts, lat + (mmsi % 7) * 0.002e0 as lat, lon from v_ais) d
-  join (select ts, lat, lon from v_ais where source = 'ais_presence_amorce') p
+#: Positions of the first ten days that land last, when the watermark has long passed them.
+LATE_AIS = "(pos_id % 89 = 5 and ts < (select min(ts) from events) + interval '10' day)"
+IN_TIME = f"(select * from v_ais where not {LATE_AIS})"
+
+NEAR = f"""select d.pos_id as det_id, count(*) as n_near from (select pos_id, ts, lat + (mmsi % 7) * 0.002e0 as lat, lon from {IN_TIME} a) d
+  join (select ts, lat, lon from {IN_TIME} b where source = 'ais_presence_amorce') p
   on p.ts between d.ts - interval 30 minute and d.ts + interval 30 minute and abs(p.lat - d.lat) < 0.01 and abs(p.lon - d.lon) < 0.01
   and 2 * 6371000e0 * asin(least(1e0, sqrt(power(sin(radians(p.lat - d.lat) / 2), 2) + cos(radians(d.lat)) * cos(radians(p.lat)) * power(sin(radians(p.lon - d.lon) / 2), 2)))) <= 500e0
   group by 1"""
 
 
-@query("stream_dark_match", f"select pos_id as det_id, coalesce(n_near, 0) as n_near, coalesce(n_near, 0) = 0 as dark from v_ais left join ({NEAR}) n on n.det_id = pos_id")
+def _landed(t, name, parts, heartbeats):
+    """Stream over files that land one after another, one a batch: the given parts of a view, then heartbeats."""
+    folder = f"{jobs.work_folder(t.spark, 'landing')}/{name}"
+    for part in parts:
+        t.sql(part).coalesce(1).write.mode("append").parquet(folder)
+    for beat in heartbeats:
+        t.sql(beat).coalesce(1).write.mode("append").parquet(folder)
+    schema = t.spark.read.parquet(folder).schema
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("stream_dark_match", f"select pos_id as det_id, coalesce(n_near, 0) as n_near, coalesce(n_near, 0) = 0 as dark from {IN_TIME} v left join ({NEAR}) n on n.det_id = pos_id")
 def stream_dark_match(t):
+    """Positions land in three slices of time, then some late ones, then heartbeats that let the last detections go."""
     work = jobs.work_folder(t.spark, "dark")
-    ais = _stream(t, "v_ais", "ts", 1000).withColumn("ts", F.col("ts").cast("timestamp"))
+    first = "(select min(ts) from events)"
+    slices = [f"not {LATE_AIS} and ts >= {first} + interval '{10 * k}' day and ts < {first} + interval '{10 * k + 10 if k < 2 else 9999}' day" for k in range(3)]
+    columns = "pos_id, ts, lat, lon, mmsi, source"
+    parts = [f"select {columns} from v_ais where {w}" for w in (*slices, LATE_AIS)]
+    beats = [f"select cast(-{k} as bigint) as pos_id, max(ts) + interval '{k}' day as ts, -80e0 as lat, 0e0 as lon, cast(0 as bigint) as mmsi, '{C.SEED_SOURCE}' as source from v_ais" for k in (1, 2)]
+    ais = _landed(t, "ais", parts, beats).withColumn("ts", F.col("ts").cast("timestamp"))
     seen = ais.where(F.col("source") == C.SEED_SOURCE).select("ts", "lat", "lon")
-    det = _stream(t, "v_ais", "ts", 1000).select(
-        F.col("pos_id").alias("det_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("lat") + (F.col("mmsi") % 7) * 0.002).alias("lat"), "lon"
-    )
-    return jobs.run_dark_match(det, seen, work)
+    det = ais.select(F.col("pos_id").alias("det_id"), "ts", (F.col("lat") + (F.col("mmsi") % 7) * 0.002).alias("lat"), "lon")
+    return jobs.run_dark_match(det, seen, work).where("det_id >= 0").select("det_id", "n_near", "dark")
+
+
+#: Replies of the sources: one satellite after another, an hour apart; a bad one is a failed fetch.
+REPLIES = "select norad_id, source, tle1, tle2, timestamp '2024-01-01 00:00:00' + cast(substr(tle1, 10) as int) * interval '1' hour as updated_at from v_tle"
+
+
+@query(
+    "stream_tle_state",
+    f"""select norad_id, strftime(updated_at, '%Y-%m-%d %H:%M') as at, 'fresh' as status, tle1 from ({REPLIES}) r where tle2 like '2 %'
+    union all select norad_id, strftime(updated_at + interval 24 hour, '%Y-%m-%d %H:%M'), 'stale', tle1 from (select *, lead(updated_at) over (partition by norad_id order by updated_at) as after from ({REPLIES}) r where tle2 like '2 %') z where after is null or after - updated_at >= interval 24 hour""",
+)
+def stream_tle_state(t):
+    """Each satellite is asked for every 20 hours; a failed fetch lets its set go stale until the next reply."""
+    work = jobs.work_folder(t.spark, "tle-state")
+    hours = "cast(substr(tle1, 10) as int)"
+    part = "floor({} * 3 / (select count(*) + 1 from supplier))"
+    parts = [f"select * from ({REPLIES.replace('from v_tle', f'from v_tle where {part.format(hours)} = {k}')}) r" for k in range(3)]
+    beats = [f"select cast(0 as bigint) as norad_id, '' as source, '' as tle1, '' as tle2, max(updated_at) + interval '{k}' day as updated_at from ({REPLIES}) r" for k in (3, 4)]
+    replies = _landed(t, "tle", parts, beats).withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    out = jobs.run_tle_state(replies, work)
+    return out.select("norad_id", F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"), "status", "tle1")
 
 
 @query(

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from seaglint.functions import geo
+from seaglint.functions.orbit import lines_ok as valid_lines
 from seaglint.operators.events import enrich_zone, validate_events
-from seaglint.operators.orbits import latest_tle
+from seaglint.operators.ranking import newest_per_key
 from seaglint.operators.spatial import reach_degrees
 from seaglint import config as C
 from seaglint.schemas import DETECTION_EVENT
@@ -75,12 +79,15 @@ def stream_dedupe(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def stream_dark_match(
-    detections: DataFrame, positions: DataFrame, radius_m: float = 500.0, window_s: int = 1800
+    detections: DataFrame, positions: DataFrame, radius_m: float = 500.0, window_s: int = 1800, delay: str = "10 minutes"
 ) -> DataFrame:
-    """Stream of (det_id, pos_ts, plat, plon): detections with each ship position near them in space and time.
+    """Stream of (det_id, det_ts, n_near, dark): each detection once no position near it can come any more.
 
-    A detection is listed under the grid cells its reach touches, a position under its one cell, so a
-    pair meets once. Pairs come out as soon as both sides are there; watermarks only free the state.
+    A detection is listed under the grid cells that its reach touches, a position under its one cell, so a
+    pair meets once. The outer join gives a listed detection without partner when the watermark has passed
+    its window; the counts by detection follow when all its listings are through. Watermarks free the state
+    of both. Rows that come later than ``delay`` are dropped. A heartbeat (a row far away with a later time)
+    on both sides moves the watermark where no data follows.
     """
     cell = max(radius_m / C.METRES_PER_DEGREE * 2.0, 0.001)
     dlat, dlon = reach_degrees(F.col("lat"), radius_m)
@@ -90,7 +97,7 @@ def stream_dark_match(
 
     d = (
         detections.select("det_id", F.col("ts").alias("det_ts"), "lat", "lon")
-        .withWatermark("det_ts", "10 minutes")
+        .withWatermark("det_ts", delay)
         .withColumn("dcy", steps(F.col("lat"), dlat))
         .withColumn("dcx", steps(F.col("lon"), dlon))
     )
@@ -100,7 +107,7 @@ def stream_dark_match(
         F.col("lon").alias("plon"),
         geo.cell_of(F.col("lat"), cell).alias("pcy"),
         geo.cell_of(F.col("lon"), cell).alias("pcx"),
-    ).withWatermark("pos_ts", "10 minutes")
+    ).withWatermark("pos_ts", delay)
     span = F.expr(f"interval {window_s} seconds")
     near = (
         (F.col("dcy") == F.col("pcy"))
@@ -108,24 +115,83 @@ def stream_dark_match(
         & F.col("pos_ts").between(F.col("det_ts") - span, F.col("det_ts") + span)
         & (geo.haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= radius_m)
     )
-    return d.join(p, near).select("det_id", "pos_ts", "plat", "plon")
+    pairs = d.join(p, near, "left_outer")
+    counted = pairs.groupBy("det_id", "det_ts").agg(F.count("pos_ts").alias("n_near"))
+    return counted.withColumn("dark", F.col("n_near") == 0)
 
 
 def run_dark_match(detections: DataFrame, positions: DataFrame, root: str, **reach) -> DataFrame:
-    """Every detection with the number of positions near it; ``dark`` where there is none.
-
-    Two streams write the pairs and the detections to ``root``; the counts are read from both, so a
-    detection at the end of the stream, which no watermark ever passes, has its row like any other.
+    """The rows of ``stream_dark_match`` up to the end of the available data, from its files in ``root``."""
+    found = stream_dark_match(detections, positions, **reach)
+    writer = found.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+    run_to_end(writer, f"{root}/state")
+    return detections.sparkSession.read.schema(found.schema).parquet(f"{root}/out")
+
+
+TLE_CHANGE = "norad_id bigint, at timestamp, status string, source string, tle1 string, tle2 string, updated_at timestamp"
+_TLE_STATE = "updated_us bigint, source string, tle1 string, tle2 string, stale boolean"
+TTL_US = C.TLE_TTL_HOURS * 3600 * 1_000_000
+
+
+def _tle_changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What happens to the set of one satellite: fresh when a newer set comes, stale when its time is over."""
+    held = dict(zip(("us", "source", "tle1", "tle2", "stale"), state.get)) if state.exists else None
+    out = []
+
+    def told(at_us: int, status: str) -> None:
+        stamps = (pd.Timestamp(us, unit="us") for us in (at_us, held["us"]))
+        at, updated = stamps
+        out.append((key[0], at, status, held["source"], held["tle1"], held["tle2"], updated))
+
+    def expired(by_us: int) -> bool:
+        return held is not None and not held["stale"] and by_us - held["us"] >= TTL_US
+
+    if state.hasTimedOut:
+        told(held["us"] + TTL_US, "stale")
+        held["stale"] = True
+    else:
+        new = pd.concat(list(batches)).sort_values(["updated_us", "source", "tle1"], ascending=[True, False, True])
+        for r in new.itertuples(index=False):
+            if expired(r.updated_us):
+                told(held["us"] + TTL_US, "stale")
+                held["stale"] = True
+            if r.ok and (held is None or (r.updated_us, r.source) > (held["us"], held["source"])):
+                held = {"us": r.updated_us, "source": r.source, "tle1": r.tle1, "tle2": r.tle2, "stale": False}
+                told(r.updated_us, "fresh")
+    if held is not None:
+        state.update((held["us"], held["source"], held["tle1"], held["tle2"], held["stale"]))
+        if not held["stale"]:
+            state.setTimeoutTimestamp(max((held["us"] + TTL_US) // 1000, state.getCurrentWatermarkMs() + 1))
+    if out:
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in TLE_CHANGE.split(", ")])
+
+
+def stream_tle_state(replies: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Stream of changes of the set of each satellite: ``fresh`` or ``stale`` at a time.
+
+    ``replies`` are what the sources gave: norad_id, source, tle1, tle2, updated_at. A reply whose lines are
+    no element set is a failed fetch and changes nothing. A set is fresh for its time to live; then it goes
+    on as stale, until a newer one comes. The keyed state holds one set for each satellite, with an event-time
+    timer at its end; a reply that comes after that end tells of it too, whichever is first. Replies later
+    than ``delay`` are dropped.
     """
-    pairs = stream_dark_match(detections, positions, **reach)
-    for name, rows in (("pairs", pairs), ("detections", detections.select("det_id"))):
-        writer = rows.writeStream.outputMode("append").format("parquet").option("path", f"{root}/{name}")
-        run_to_end(writer, f"{root}/state-{name}")
-    spark = detections.sparkSession
-    found = spark.read.schema(pairs.schema).parquet(f"{root}/pairs").groupBy("det_id").agg(F.count("*").alias("n_near"))
-    seen = spark.read.parquet(f"{root}/detections").distinct()
-    counted = seen.join(found, "det_id", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
-    return counted.withColumn("dark", F.col("n_near") == 0)
+    ok = valid_lines(F.col("tle1"), F.col("tle2"))
+    slim = replies.withWatermark("updated_at", delay).select(
+        "norad_id", "updated_at", F.unix_micros("updated_at").alias("updated_us"), "source", "tle1", "tle2", ok.alias("ok")
+    )
+    return slim.groupBy("norad_id").applyInPandasWithState(_tle_changes, TLE_CHANGE, _TLE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_tle_state(replies: DataFrame, root: str) -> DataFrame:
+    """All changes up to the end of the available data, from the stream's files in ``root``."""
+    changes = stream_tle_state(replies)
+    run_to_end(changes.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out"), f"{root}/state")
+    return replies.sparkSession.read.schema(changes.schema).parquet(f"{root}/out")
+
+
+def current_tle(changes: DataFrame) -> DataFrame:
+    """The set of each satellite after its last change; a stale one is still returned, with its status."""
+    return newest_per_key(changes, ["norad_id"], F.struct("at", "status"))
 
 
 def stream_latest_tle(sets: DataFrame, root: str, checkpoint: str) -> KeyedStore:
@@ -141,8 +207,3 @@ def stream_latest_tle(sets: DataFrame, root: str, checkpoint: str) -> KeyedStore
 
     run_to_end(sets.writeStream.foreachBatch(batch), checkpoint)
     return store
-
-
-def unexpired_tle(store: KeyedStore, spark: SparkSession, as_of: str) -> DataFrame:
-    """Stored sets that are younger than the time-to-live."""
-    return latest_tle(store.current(spark), as_of).where("fresh")

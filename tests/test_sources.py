@@ -178,18 +178,69 @@ def test_tiles_of_earlier_scenes_stay(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "t")), "scene_id", "tile_no", "v") == [("S1", 0, 3), ("S1", 1, 3), ("S2", 0, 2), ("S2", 1, 2)]
 
 
-def test_every_detection_of_a_stream_has_a_row(spark, tmp_path):
+def landed(spark, folder, tables):
+    """Stream that takes one of the tables a batch."""
+    for table in tables:
+        table.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(tables[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_dark_detections_of_a_stream(spark, tmp_path):
     from seaglint.streaming import jobs
 
-    det = spark.range(50).select(F.col("id").alias("det_id"), F.timestamp_seconds(F.col("id") * 600 + 1_700_000_000).alias("ts"), F.lit(30.0).alias("lat"), (F.col("id") * 0.1).alias("lon"))
+    times = lambda ids: F.timestamp_seconds(ids * 600 + 1_700_000_000).alias("ts")
+    det = spark.range(50).select(F.col("id").alias("det_id"), times(F.col("id")), F.lit(30.0).alias("lat"), (F.col("id") * 0.1).alias("lon"))
     pos = det.where("det_id % 2 = 0").select((F.col("ts") + F.expr("interval 5 minutes")).alias("ts"), "lat", "lon")
-    for name, table in (("det", det), ("pos", pos)):
-        table.write.parquet(str(tmp_path / name))
-    read = lambda name, table: spark.readStream.schema(table.schema).parquet(str(tmp_path / name))
-    out = jobs.run_dark_match(read("det", det), read("pos", pos), str(tmp_path / "run"))
+    late = det.where("det_id in (3, 4)").withColumn("det_id", F.col("det_id") + 100)
+    late_pos = det.where("det_id = 5").select("ts", "lat", "lon")
+    beat = lambda day: spark.range(1).select((-F.col("id") - 1).alias("det_id"), F.timestamp_seconds(F.lit(1_700_000_000 + day * 86400)).alias("ts"), F.lit(-80.0).alias("lat"), F.lit(0.0).alias("lon"))
+    d = landed(spark, str(tmp_path / "det"), [det.where("det_id < 20"), det.where("det_id >= 20"), late, beat(2), beat(3)])
+    p = landed(spark, str(tmp_path / "pos"), [*[pos.where(f"{w} lon < 2.05") for w in ("", "not")], late_pos, *[beat(k).drop("det_id") for k in (2, 3)]])
+    out = jobs.run_dark_match(d, p, str(tmp_path / "run")).where("det_id >= 0")
     assert rows(out, "det_id", "n_near", "dark") == [(i, (i + 1) % 2, i % 2 == 1) for i in range(50)]
 
 
+def test_dark_stream_frees_its_state(spark, tmp_path):
+    from seaglint.streaming import jobs
+
+    day = lambda k, n: spark.range(n).select(F.col("id").alias("det_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000 + k * 86400).alias("ts"), F.lit(30.0).alias("lat"), (F.col("id") * 0.1).alias("lon"))
+    days = [day(k, 300 if k < 3 else 1) for k in range(5)]
+    d, p = (landed(spark, str(tmp_path / n), days) for n in ("det", "pos"))
+    found = jobs.stream_dark_match(d, p.select("ts", "lat", "lon"))
+    q = found.writeStream.outputMode("append").format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    held = [sum(s["numRowsTotal"] for s in x["stateOperators"]) for x in q.recentProgress if x["stateOperators"]]
+    assert max(held) >= 300 and held[-1] < 50
+
+
+def test_tle_state_goes_stale_and_comes_back(spark, tmp_path):
+    from seaglint.streaming import jobs
+
+    def reply(sat, hour, source="satnogs", good=True):
+        return (sat, source, f"1 {hour}", f"2 {sat}" if good else "no set", 1_700_000_000 + hour * 3600)
+
+    def table(replies):
+        return spark.createDataFrame(replies, "norad_id bigint, source string, tle1 string, tle2 string, s bigint").select("norad_id", "source", "tle1", "tle2", F.timestamp_seconds("s").alias("updated_at"))
+
+    batches = [
+        [reply(1, 0), reply(2, 0), reply(2, 0, "celestrak"), reply(3, 1, good=False)],
+        [reply(1, 23), reply(2, 10, good=False)],
+        [reply(2, 30, "celestrak"), reply(3, 31)],
+        [reply(1, 20), reply(9, 60)],  # older than the held set; moves the watermark
+        [reply(9, 61)],
+        [reply(9, 62)],
+    ]
+    changes = jobs.run_tle_state(landed(spark, str(tmp_path / "in"), [table(b) for b in batches]), str(tmp_path / "run"))
+    hour = ((F.unix_micros("at") / 1e6 - 1_700_000_000) / 3600).cast("int")
+    got = rows(changes.where("norad_id < 9").select("norad_id", hour.alias("h"), "status", "tle1"))
+    assert got == [
+        (1, 0, "fresh", "1 0"), (1, 23, "fresh", "1 23"), (1, 47, "stale", "1 23"),
+        (2, 0, "fresh", "1 0"), (2, 24, "stale", "1 0"), (2, 30, "fresh", "1 30"), (2, 54, "stale", "1 30"),
+        (3, 31, "fresh", "1 31"), (3, 55, "stale", "1 31"),
+    ]
+    assert rows(jobs.current_tle(changes), "norad_id", "status")[:3] == [(1, "stale"), (2, "stale"), (3, "stale")]
+
+
 def test_event_rules(spark):
     from seaglint.operators import events
 
