@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,12 +65,12 @@ def usable(df: DataFrame, *names: str, tile: str = "tile_id") -> Column:
     return ok
 
 
-def runs_of(keys: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Borders [lo, hi) of rows that stand together and have equal keys."""
-    n = len(keys[0])
+def runs_of(columns: list[pa.Array]) -> Iterator[tuple[int, int]]:
+    """Borders [lo, hi) of rows that stand together and have equal values."""
+    n = len(columns[0])
     differ = np.zeros(max(n - 1, 0), dtype=bool)
-    for k in keys:
-        differ |= k[1:] != k[:-1]
+    for c in columns:
+        differ |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
     cuts = (np.flatnonzero(differ) + 1).tolist()
     return zip([0, *cuts], [*cuts, n], strict=True)
 
@@ -150,40 +152,49 @@ class _Fold:
 
 
 def _suppression_round(boxes: DataFrame, tile: str, limit: float, centre: bool) -> DataFrame:
-    """What each block can tell of its boxes: columns of ``boxes`` and ``state``; own boxes, and dropped ones of others.
+    """What each block can tell of its boxes: columns of ``boxes``, ``state``, ``_own``, ``_block`` and ``_nth``.
 
     A box belongs to the block of its size class and centre, and is listed under all blocks that a box it
-    overlaps can belong to. So the own block of a box sees all of its neighbours.
+    overlaps can belong to. So the own block of a box sees all of its neighbours. Rows are the own boxes of
+    each block and the dropped ones of others; ``_nth`` numbers the kept ones of a block.
     """
     base = max(CLASS_BASE, 1.01 / (limit * limit))
     around = (F.col("_b2") - F.col("_b0")).alias("w"), (F.col("_b3") - F.col("_b1")).alias("h")
     middle = ((F.col("_b0") + F.col("_b2")) / 2).alias("cx"), ((F.col("_b1") + F.col("_b3")) / 2).alias("cy")
     placed = _own_place(boxes.select("*", *middle, *around), base, BLOCK_CELLS)
-    home = F.struct("_size", "_gx", "_gy").alias("_home")
-    listed = _partner_places(placed.withColumn("_home", home).drop("_size", "_gx", "_gy"), base, limit, BLOCK_CELLS)
-    listed = listed.select(*boxes.columns, "_size", "_gx", "_gy", (F.col("_home") == F.struct("_size", "_gx", "_gy")).alias("_own"))
+    placed = placed.withColumnsRenamed({"_size": "_hs", "_gx": "_hx", "_gy": "_hy"})
+    listed = _partner_places(placed, base, limit, BLOCK_CELLS)
+    own = (F.col("_size") == F.col("_hs")) & (F.col("_gx") == F.col("_hx")) & (F.col("_gy") == F.col("_hy"))
     block, columns = [tile, "_size", "_gx", "_gy"], boxes.columns
+    # The hash stands first, so that most comparisons of the sort end there.
+    listed = listed.select(F.xxhash64(*block).alias("_block"), *columns, "_size", "_gx", "_gy", own.alias("_own"))
     corners = ["_b0", "_b1", "_b2", "_b3"]
-    schema = T.StructType([*boxes.schema.fields, T.StructField("state", T.ByteType()), T.StructField("_own", T.BooleanType())])
+    added = {"state": T.ByteType(), "_own": T.BooleanType(), "_block": T.LongType(), "_nth": T.LongType()}
+    schema = T.StructType([*boxes.schema.fields, *[T.StructField(n, k) for n, k in added.items()]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, fold = None, None
-        for pdf in batches:
-            if not len(pdf):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fold, count = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            keys = [pdf[c].to_numpy() for c in block]
-            corner, own = pdf[corners].to_numpy(dtype=float), pdf["_own"].to_numpy(dtype=bool)
-            state = np.empty(len(pdf), dtype=np.int8)
+            keys = [batch.column(c) for c in block]
+            corner = np.column_stack([batch.column(c).to_numpy() for c in corners])
+            mine = batch.column("_own").to_numpy(zero_copy_only=False)
+            state, nth = np.empty(len(mine), dtype=np.int8), np.zeros(len(mine), dtype=np.int64)
             for lo, hi in runs_of(keys):
-                key = tuple(k[lo] for k in keys)
+                key = tuple(k[lo].as_py() for k in keys)
                 if key != now:
-                    now, fold = key, _Fold(limit, centre)
-                state[lo:hi] = fold.take(corner[lo:hi], own[lo:hi])
-            told = own | (state == DROPPED)
-            yield pdf.loc[told, columns].assign(state=state[told], _own=own[told])
+                    now, fold, count = key, _Fold(limit, centre), 0
+                state[lo:hi] = fold.take(corner[lo:hi], mine[lo:hi])
+                kept = state[lo:hi] == KEPT
+                nth[lo:hi] = count + np.cumsum(kept)
+                count += int(kept.sum())
+            told = pa.array(mine | (state == DROPPED))
+            out = [*[batch.column(c) for c in columns], pa.array(state), batch.column("_own"), batch.column("_block"), pa.array(nth)]
+            yield pa.RecordBatch.from_arrays(out, names=[*columns, *added]).filter(told)
 
-    ordered = listed.repartition(*block).sortWithinPartitions(*block, F.desc("score"), "box_id")
-    return ordered.mapInPandas(run, schema)
+    ordered = listed.repartition("_block", *block).sortWithinPartitions("_block", *block, F.desc("score"), "box_id")
+    return ordered.mapInArrow(run, schema)
 
 
 def _suppress(boxes: DataFrame, tile: str, limit: float, centre: bool) -> DataFrame:
@@ -192,6 +203,7 @@ def _suppress(boxes: DataFrame, tile: str, limit: float, centre: bool) -> DataFr
     Each round decides, block by block, all boxes whose verdict no other block can change; the others go to
     the next round without the kept and dropped ones. The first of the open boxes of a tile is decided in
     each round, and a tile that lies in one block needs one round. Rounds are cut by reliable checkpoints.
+    A tile whose kept boxes all lie in one block has its ranks from there; the others are numbered.
     """
     if limit <= 0:
         raise ValueError("the overlap limit must be above 0")
@@ -205,14 +217,20 @@ def _suppress(boxes: DataFrame, tile: str, limit: float, centre: bool) -> DataFr
     while True:
         told = _suppression_round(todo, tile, limit, centre).checkpoint()
         own = told.where("_own")
-        found = own.where(F.col("state") == KEPT).select(*slim.columns)
+        found = own.where(F.col("state") == KEPT).select(*slim.columns, "_block", "_nth")
         kept = found if kept is None else kept.unionByName(found)
         left = own.where(F.col("state") == OPEN).select(*slim.columns)
         if left.isEmpty():
             break
         dropped = told.where(~F.col("_own")).select(*slim.columns).distinct()
         todo = left.join(dropped, slim.columns, "left_anti").checkpoint()
-    return numbered(kept, [tile], [-F.col("score"), "box_id", F.struct("_b0", "_b1", "_b2", "_b3")], "rank")
+    wide = kept.groupBy(tile).agg(F.min("_block").alias("lo"), F.max("_block").alias("hi")).where("lo <> hi").select(tile).checkpoint()
+    narrow = kept.select(*slim.columns, F.col("_nth").alias("rank"))
+    if wide.isEmpty():
+        return narrow
+    spread = kept.select(*slim.columns).join(wide, tile, "left_semi")
+    ranked = numbered(spread, [tile], [-F.col("score"), "box_id", F.struct("_b0", "_b1", "_b2", "_b3")], "rank")
+    return narrow.join(wide, tile, "left_anti").unionByName(ranked)
 
 
 def nms_detector(
@@ -295,6 +313,8 @@ def iou_pairs(
     The join is on size class and grid place inside the tile, so only boxes of like size and place
     meet, and a crowded tile spreads over many tasks. ``keep`` lists left columns to carry along.
     """
+    # Fewer places to list than with one cell, a few more boxes in each.
+    cells = 2
     left = left.where(usable(left, *CENTRE, tile=tile))
     right = right.where(usable(right, *CENTRE, tile=tile))
     base = 1.01 / (threshold * threshold)
@@ -302,15 +322,15 @@ def iou_pairs(
 
     def renamed(df, id_name, tag, extra=()):
         boxes = [F.col(c).alias(f"{tag}{c}") for c in CENTRE]
-        return df.select(tile, F.col("box_id").alias(id_name), *extra, *boxes, *places)
+        return df.select(F.xxhash64(tile, *places).alias("_place"), tile, F.col("box_id").alias(id_name), *extra, *boxes, *places)
 
-    a = renamed(_own_place(left.select(tile, "box_id", *keep, *CENTRE), base), "left_id", "_a_", keep)
-    b = renamed(_partner_places(right.select(tile, "box_id", *CENTRE), base, threshold), "right_id", "_b_")
+    a = renamed(_own_place(left.select(tile, "box_id", *keep, *CENTRE), base, cells), "left_id", "_a_", keep)
+    b = renamed(_partner_places(right.select(tile, "box_id", *CENTRE), base, threshold, cells), "right_id", "_b_")
     iou = B.iou_yolo(
         tuple(F.col(f"_a_{c}") for c in CENTRE), tuple(F.col(f"_b_{c}") for c in CENTRE)
     )
     return (
-        join_listed(a, b, [tile, *places])
+        join_listed(a, b, ["_place", tile, *places])  # the hash decides most comparisons of the sort
         .withColumn("iou", iou)
         .where(F.col("iou") >= threshold)
         .select(tile, "left_id", *keep, "right_id", "iou")
