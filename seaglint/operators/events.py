@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seaglint import config as C
 from seaglint.functions import geo
+from seaglint.operators import ais, orbits
 from seaglint.operators.ranking import newest_per_key, numbered
 from seaglint.schemas import BOX
 
@@ -140,6 +141,42 @@ def events_from_boxes(boxes: DataFrame, tiles: DataFrame, code: str) -> DataFram
     )
 
 
+def box_centres(boxes: DataFrame, tiles: DataFrame, size: int = C.TILE_SIZE) -> DataFrame:
+    """det_id, tile_id, ts, lat and lon of the middle of each box, from the box of its tile."""
+    placed = boxes.join(tiles.select("tile_id", "timestamp", "lat_min", "lon_min", "lat_max", "lon_max"), "tile_id")
+    x, y = (F.col("x1") + F.col("x2")) / (2.0 * size), (F.col("y1") + F.col("y2")) / (2.0 * size)
+    return placed.select(
+        F.col("box_id").alias("det_id"), "tile_id", F.col("timestamp").alias("ts"),
+        (F.col("lat_max") - y * (F.col("lat_max") - F.col("lat_min"))).alias("lat"),
+        (F.col("lon_min") + x * (F.col("lon_max") - F.col("lon_min"))).alias("lon"),
+    )
+
+
+def full_events(
+    boxes: DataFrame, tiles: DataFrame, positions: DataFrame, sets: DataFrame, code: str, size: int = C.TILE_SIZE, radius_m: float = 500.0, window_s: int = 1800
+) -> DataFrame:
+    """Detection events with all fields of ``schemas.DETECTION_EVENT`` but the satellite's place and the run time.
+
+    ``boxes``: kept boxes (tile_id, box_id, rank, corners, confidence). ``tiles``: tile_id, scene_id,
+    timestamp, norad_id and the geographic box. A detection is dark if no position is near it in space and
+    time; the satellite is the newest element set before the acquisition. The event id comes from tile, code
+    and time, so a repeated run gives the same events.
+    """
+    dark = ais.dark_detections(box_centres(boxes, tiles, size), positions, radius_m=radius_m, window_s=window_s)
+    n_dark = dark.groupBy("tile_id").agg(F.count("*").cast("int").alias("_dark"))
+    corners = [F.col(c) for c in ("lat_min", "lon_min", "lat_max", "lon_max")]
+    known = orbits.satellite_asof(tiles.select("tile_id", "norad_id", F.col("timestamp").alias("ts")), sets).select("tile_id", F.when(F.col("tle1").isNotNull(), F.col("norad_id").cast("string")).alias("satellite_id"))
+    out = events_from_boxes(boxes, tiles, code).join(n_dark, "tile_id", "left").join(known, "tile_id", "left")
+    digest = F.md5(F.concat_ws("|", "tile_id", F.lit(code), F.unix_micros("timestamp").cast("string")))
+    part = lambda at, n: F.substring(digest, at, n)
+    return out.select(
+        F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)).alias("event_id"),
+        "scene_id", "timestamp", "tile_id", F.array(*corners).alias("tile_bbox_latlon"), "detections", "vessel_count",
+        F.coalesce("_dark", F.lit(0)).alias("dark_vessel_count"), "priority_level", geo.zone_of(*corners).alias("zone"),
+        "satellite_id", "preprocessing_pipeline",
+    )
+
+
 def event_defaults(df: DataFrame) -> DataFrame:
     """Fill what a caller left out: scene, tile and event ids, box and zone."""
     return (

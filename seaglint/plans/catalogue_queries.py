@@ -191,8 +191,22 @@ def cell_product_candidates(t):
     return catalogue.top_products_for_cells(_ranked(t), t.v_products).select("density_rank", "cell_index", "product_id")
 
 
+def choice_sql(n, per_cell):
+    """The choice as a recursive query: one cell a step, with the list of base ids taken so far."""
+    return f"""with recursive cand as (select *, row_number() over (partition by density_rank order by date desc, id) as rn
+      from (select r.density_rank, r.cell_index, p.id, p.name, p.date, p.base_id from (select * from ({RANKED}) q where density_rank <= {n}) r, ({WITH_BASE}) p where p.lon_min <= r.lon_max and p.lon_max >= r.lon_min and p.lat_min <= r.lat_max and p.lat_max >= r.lat_min) z),
+    cells as (select density_rank, cell_index, row_number() over (order by density_rank) as pos, list({{'id': id, 'name': name, 'base': base_id}} order by rn) as cands from cand where rn <= {per_cell} group by density_rank, cell_index),
+    pick as (select cast(0 as bigint) as pos, cast([] as varchar[]) as taken, cast(null as bigint) as density_rank, cast(null as bigint) as cell_index, cast(null as varchar) as product_id, cast(null as varchar) as name
+      union all select pos, list_append(taken, p.base), density_rank, cell_index, cast(p.id as varchar), p.name from (select c.pos, t.taken, c.density_rank, c.cell_index, coalesce(list_filter(c.cands, lambda x: not list_contains(t.taken, x.base))[1], c.cands[1]) as p from pick t join cells c on c.pos = t.pos + 1) s)
+    select density_rank, cell_index, product_id, name from pick where pos > 0"""
 
 
-@query("cell_product_join")
+@query("cell_product_join", choice_sql(5, 5))
 def cell_product_join(t):
     return catalogue.cell_product_join(_ranked(t), t.v_products).select("density_rank", "cell_index", "product_id", "name")
+
+
+@query("cell_product_repeats", choice_sql(40, 2))
+def cell_product_repeats(t):
+    """Many cells with two candidates each: some find both taken and repeat their newest."""
+    return catalogue.cell_product_join(_ranked(t), t.v_products, 40, 2).select("density_rank", "cell_index", "product_id", "name")

@@ -8,6 +8,7 @@ from seaglint.operators import detect, evaluate, events
 from seaglint.plans import flows
 from seaglint.session import ensure_checkpoint_dir
 from seaglint.plans.registry import query, r, rounded
+from seaglint.plans.scalar_queries import DIST_SQL, ZONE_SQL
 
 CONFIDENT = "select * from v_boxes where score >= 0.25e0"
 
@@ -189,6 +190,35 @@ def events_from_detections(t):
     )
 
 
+#: Tiles an hour apart; a position at every second box five minutes after its tile.
+SEEN_TILES = f"""select tile_id, tile_no, case when tile_no % 9 = 0 then null else concat('scene', cast(tile_no % 7 as string)) end as scene_id, timestamp '2024-01-02 00:00:00' + tile_no * interval '1' hour as timestamp, 39000 + tile_no % 20 as norad_id,
+  25e0 + (tile_no * 7919 % 13000) / 1000e0 as lat_min, -24e0 + (tile_no * 104729 % 28000) / 1000e0 as lon_min, 25e0 + (tile_no * 7919 % 13000) / 1000e0 + 0.2e0 as lat_max, -24e0 + (tile_no * 104729 % 28000) / 1000e0 + 0.2e0 as lon_max from (select distinct tile_id, tile_no from v_boxes) q"""
+NEAR_SHIPS = f"select t.tile_id, t.timestamp + interval '5' minute as ts, t.lat_max - (b.cy / 640e0) * (t.lat_max - t.lat_min) as lat, t.lon_min + (b.cx / 640e0) * (t.lon_max - t.lon_min) as lon from v_boxes b join ({SEEN_TILES}) t on t.tile_id = b.tile_id where cast(floor(b.qty) as bigint) % 8 = 0"
+_METRES = "2 * 6371000e0 * asin(least(1e0, sqrt(power(sin(radians(p.lat - d.lat) / 2), 2) + cos(radians(d.lat)) * cos(radians(p.lat)) * power(sin(radians(p.lon - d.lon) / 2), 2))))"
+
+
+@query(
+    "detection_events_full",
+    f"""with tiles as ({SEEN_TILES}), kept as ({NMS_DET}),
+    det as (select t.tile_id, k.b.id as det_id, t.lat_max - (k.b.y1 + k.b.y2) / (2 * 640e0) * (t.lat_max - t.lat_min) as lat, t.lon_min + (k.b.x1 + k.b.x2) / (2 * 640e0) * (t.lon_max - t.lon_min) as lon from kept k join tiles t on t.tile_id = k.tile_id),
+    lit as (select distinct d.tile_id, d.det_id from det d join ({NEAR_SHIPS}) p on p.tile_id = d.tile_id and {_METRES} <= 500e0),
+    n as (select d.tile_id, count(*) as n, count(*) filter (where l.det_id is null) as dark from det d left join lit l on l.tile_id = d.tile_id and l.det_id = d.det_id group by d.tile_id),
+    sat as (select e.tile_id, t.tle1 from tiles e asof left join v_tle t on e.norad_id = t.norad_id and e.timestamp >= t.updated_at)
+    select concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12)) as event_id, coalesce(scene_id, 'unknown') as scene_id, strftime(timestamp, '%Y-%m-%d %H') as timestamp, tile_id, {r('lat_min + lon_max')} as box, vessel_count, dark_vessel_count,
+      case when vessel_count >= 10 then 'CRITICAL' when vessel_count >= 5 then 'HIGH' when vessel_count >= 2 then 'MEDIUM' else 'LOW' end as priority_level, {ZONE_SQL} as zone, satellite_id
+    from (select t.*, md5(concat(t.tile_id, '|D|', epoch_us(timestamp))) as h, coalesce(n.n, 0) as vessel_count, coalesce(n.dark, 0) as dark_vessel_count, case when s.tle1 is not null then cast(norad_id as varchar) else '-' end as satellite_id, {DIST_SQL.format(lat='((lat_min + lat_max) / 2e0)', lon='((lon_min + lon_max) / 2e0)')} as d
+      from tiles t left join n on n.tile_id = t.tile_id left join sat s on s.tile_id = t.tile_id) z""",
+)
+def detection_events_full(t):
+    """Kept boxes of all tiles, matched with positions, with zone, satellite and a repeatable id."""
+    kept = detect.nms_detector(_corner_boxes(t)).withColumnRenamed("score", "confidence")
+    out = events.full_events(kept, t.sql(SEEN_TILES), t.sql(NEAR_SHIPS), t.v_tle, "D", size=640)
+    return out.select(
+        "event_id", "scene_id", F.date_format("timestamp", "yyyy-MM-dd HH").alias("timestamp"), "tile_id", rounded(F.get("tile_bbox_latlon", F.lit(0)) + F.get("tile_bbox_latlon", F.lit(3))).alias("box"),
+        F.col("vessel_count").cast("bigint").alias("vessel_count"), F.col("dark_vessel_count").cast("bigint").alias("dark_vessel_count"), "priority_level", "zone", F.coalesce("satellite_id", F.lit("-")).alias("satellite_id"),
+    )
+
+
 CODED = "select substr('ABCDE', cast(1 + l as int), 1) as code, tile_id as tile_key, box_id, cx + l as cx, cy, w, h, score from (select *, cast(floor(qty) as bigint) % 4 as l from v_boxes) q"
 _CODED_DUCK = f"select concat(code, '#', tile_key) as tile_id, code, box_id, cx, cy, w, h, score from ({CODED}) c where score > 0.25e0"
 

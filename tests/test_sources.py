@@ -178,6 +178,66 @@ def test_tiles_of_earlier_scenes_stay(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "t")), "scene_id", "tile_no", "v") == [("S1", 0, 3), ("S1", 1, 3), ("S2", 0, 2), ("S2", 1, 2)]
 
 
+def scene_input(spark, n=3):
+    """Blocks of small scenes, their calibration vectors and traces; scene S2 has an empty top."""
+    from seaglint.operators import raster
+
+    rows = [(f"S{s}", by, bx, y, [0 if s == 2 and by < 2 else 100 + x + y for x in range(16)]) for s in range(n) for by in range(4) for bx in range(2) for y in range(16)]
+    lines = spark.createDataFrame(rows, "scene_id string, by int, bx int, y int, values array<int>")
+    blocks = raster.pack_tiles(lines, ["scene_id", "by", "bx"]).withColumns({"height": F.lit(64), "width": F.lit(32)})
+    sigma = spark.createDataFrame([(f"S{s}", line, [0.0, 40.0], [300.0, 320.0]) for s in range(n) for line in (0, 70)], "scene_id string, line int, pixels array<double>, values array<double>")
+    traces = spark.createDataFrame([("S1", 7, [1.0, 2.0], "density")], "scene_id string, target_density_cell_index bigint, target_cell_bbox array<double>, protocol string")
+    return blocks.select("scene_id").distinct(), blocks, sigma, traces, dict(size=16, stride=8, halo=2, block=16)
+
+
+def test_scenes_are_committed_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    from seaglint.plans import flows
+    from seaglint.sources.scene_store import SceneStore
+
+    scenes, blocks, sigma, traces, grid = scene_input(spark)
+    store = SceneStore(str(tmp_path / "store"))
+    go = lambda some=scenes, code="D", **more: rows(flows.process_scenes_to(store, some, blocks, sigma.where("scene_id <> 'S0'"), None, traces, code, **more, **grid))
+    commit = SceneStore.commit
+    monkeypatch.setattr(SceneStore, "commit", lambda self, manifests, run: (_ for _ in ()).throw(OSError("died")))
+    try:
+        go()
+    except OSError:
+        pass
+    assert store.processed(spark).count() == 0  # its tiles lie there, and nobody sees them
+    monkeypatch.setattr(SceneStore, "commit", commit)
+    first = go(scenes.where("scene_id <> 'S2'"))
+    assert first == [("S0", "failed", 0), ("S1", "ok", 32)]
+    assert store.read(spark, "tiles").count() == 32
+    m = store.read(spark, "manifests").first()
+    assert (m.total_tiles, m.valid_tiles, m.skipped_nodata, m.targeting_protocol, m.target_density_cell_index, m.tile_size, m.overlap, m.polarization) == (32, 32, 0, "density", 7, 16, 0.5, "vv")
+    assert len(m.tiles) == 32 and m.tiles[1].pixel_bbox == [8, 0, 24, 16] and m.tiles[1].tile_id == "S1_D_tile0001" and m.processing_time_s > 0
+    again = dict((s, (status, n)) for s, status, n in go())
+    assert again["S0"] == ("failed", 0) and again["S1"] == ("skipped", 0) and again["S2"][0] == "ok" and 0 < again["S2"][1] < 32
+    s2 = store.read(spark, "manifests").where("scene_id = 'S2'").first()
+    assert s2.valid_tiles + s2.skipped_nodata == 32 and s2.targeting_protocol == "seasonal_criteria_fallback"
+    assert store.read(spark, "tiles").where("scene_id = 'S2'").count() == s2.valid_tiles
+    forced = go(scenes.where("scene_id = 'S1'"), force=True)
+    assert forced == [("S1", "ok", 32)] and store.read(spark, "tiles").where("scene_id = 'S1'").count() == 32
+    assert store.read(spark, "manifests").count() == 2
+
+
+def test_full_events_count_dark_vessels(spark):
+    from seaglint.operators import events
+
+    tile = spark.createDataFrame([("t1", "s", 39001, 30.0, -10.0, 30.1, -9.9), ("t2", None, 39002, 30.0, -10.0, 30.1, -9.9)], "tile_id string, scene_id string, norad_id bigint, lat_min double, lon_min double, lat_max double, lon_max double").withColumn("timestamp", F.timestamp_seconds(F.lit(1_700_000_000)))
+    boxes = spark.createDataFrame([("t1", i, i + 1, float(100 * i), 0.0, float(100 * i + 20), 20.0, 0.5) for i in range(4)], "tile_id string, box_id bigint, rank bigint, x1 double, y1 double, x2 double, y2 double, confidence double")
+    near = events.box_centres(boxes, tile, 512).where("det_id in (1, 3)")
+    positions = near.select("lat", "lon", (F.col("ts") + F.expr("interval 10 minutes")).alias("ts")).unionByName(near.select("lat", F.col("lon"), (F.col("ts") + F.expr("interval 2 hours")).alias("ts")))
+    sets = spark.createDataFrame([(39001, "satnogs", "1 a", "2 a", 1_699_999_000)], "norad_id bigint, source string, tle1 string, tle2 string, s bigint").select("norad_id", "source", "tle1", "tle2", F.timestamp_seconds("s").alias("updated_at"))
+    got = {e.tile_id: e for e in events.full_events(boxes, tile, positions, sets, "D").collect()}
+    one, two = got["t1"], got["t2"]
+    assert (one.vessel_count, one.dark_vessel_count, one.satellite_id, one.priority_level, len(one.detections)) == (4, 2, "39001", "MEDIUM", 4)
+    assert (two.vessel_count, two.dark_vessel_count, two.satellite_id, two.scene_id) == (0, 0, None, "unknown")
+    assert one.tile_bbox_latlon == [30.0, -10.0, 30.1, -9.9] and one.event_id != two.event_id and len(one.event_id) == 36
+    again = {e.tile_id: e.event_id for e in events.full_events(boxes, tile, positions, sets, "D").collect()}
+    assert again == {t: e.event_id for t, e in got.items()}
+
+
 def landed(spark, folder, tables):
     """Stream that takes one of the tables a batch."""
     for table in tables:
