@@ -9,6 +9,8 @@ from seaglint.plans import flows
 from seaglint.plans.registry import query
 from seaglint.plans.scalar_queries import DIST_SQL, ZONE_SQL
 from seaglint.schemas import BOX
+from seaglint.sources import layout
+from seaglint.streaming.jobs import work_folder
 
 _C_LAT, _C_LON = "((lat_min + lat_max) / 2e0)", "((lon_min + lon_max) / 2e0)"
 STORED = f"""select event_id, arrival, timestamp, scene_id, lat_min, lon_min, lat_max, lon_max, vessel_count, dark_vessel_count, processing_time_ms,
@@ -53,6 +55,18 @@ def filter_events_bbox(t):
     return events.filter_events_bbox(stored(t), (-15.0, 28.0, -9.0, 33.0)).select("event_id", "arrival")
 
 
+@query(
+    "clustered_events_bbox",
+    f"select event_id, arrival from ({STORED}) s where {_C_LAT} between 28 and 33 and {_C_LON} between -15 and -9",
+)
+def clustered_events_bbox(t):
+    """The stored events laid out by place, read back for one box."""
+    path = f"{work_folder(t.spark, 'clustered')}/events"
+    middle = [(F.col(f"{c}_min") + F.col(f"{c}_max")) / 2.0 for c in ("lat", "lon")]
+    layout.write_clustered(stored(t), path, *middle)
+    return layout.read_box(t.spark, path, (-15.0, 28.0, -9.0, 33.0)).select("event_id", "arrival")
+
+
 @query("recent_events", f"select event_id, arrival from ({STORED}) s order by timestamp desc, event_id limit 1000")
 def recent_events(t):
     return events.recent_events(stored(t)).select("event_id", "arrival")
@@ -162,6 +176,15 @@ def filter_positions_bbox(t):
     return ais.filter_positions_bbox(gaps, (-16.0, 28.0, -6.0, 34.0)).select("pos_id")
 
 
+@query("clustered_positions_bbox", "select pos_id from v_ais where lat between 28 and 34 and lon between -16 and -6 and mmsi % 9 <> 0")
+def clustered_positions_bbox(t):
+    """All positions laid out by place (some have none), read back for one box."""
+    path = f"{work_folder(t.spark, 'clustered')}/positions"
+    lat = F.when(F.col("mmsi") % 9 != 0, F.col("lat"))
+    layout.write_clustered(t.v_ais, path, lat, F.col("lon"))
+    return layout.read_box(t.spark, path, (-16.0, 28.0, -6.0, 34.0)).select("pos_id")
+
+
 @query("drop_missing_coords", "select pos_id, lat, lon from v_ais where mmsi % 9 <> 0 and mmsi % 7 <> 0")
 def drop_missing_coords(t):
     m = F.col("mmsi")

@@ -178,6 +178,27 @@ def test_tiles_of_earlier_scenes_stay(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "t")), "scene_id", "tile_no", "v") == [("S1", 0, 3), ("S1", 1, 3), ("S2", 0, 2), ("S2", 1, 2)]
 
 
+def test_a_box_of_a_clustered_table_reads_little(spark, tmp_path):
+    from seaglint.sources import layout
+
+    n = 200_000
+    pts = spark.range(n).select("id", (F.rand(1) * 60 + 5).alias("lat"), (F.rand(2) * 100 - 60).alias("lon"), F.rand(3).alias("a"), F.rand(4).alias("b")).checkpoint()
+    odd = spark.createDataFrame([(-1, None, 1.0), (-2, 30.0, None), (-3, float("nan"), 0.0), (-4, 30.0, -10.0), (-5, 30.0, -11.25), (-6, 95.0, 400.0)], "id bigint, lat double, lon double")
+    rows_in = pts.unionByName(odd, allowMissingColumns=True)
+    layout.write_clustered(rows_in, str(tmp_path / "t"), F.col("lat"), F.col("lon"), group_bytes=40_000)
+    all_files = spark.read.parquet(str(tmp_path / "t")).select(F.input_file_name()).distinct().count()
+    for box in ((-11.25, 30.0, -10.0, 31.0), (-12.0, 29.0, -9.5, 30.0), (-180.0, -90.0, 180.0, 90.0)):
+        got = layout.read_box(spark, str(tmp_path / "t"), box)
+        want = rows_in.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+        assert got.columns == rows_in.columns and rows(got, "id") == rows(want, "id")
+        got.collect()
+        scan = got._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics()
+        files_read, rows_read = (scan.apply(m).value() for m in ("numFiles", "numOutputRows"))
+        if box[0] > -180:
+            assert 0 < files_read <= all_files / 10 and rows_read < n / 20
+    assert spark.read.parquet(str(tmp_path / "t")).where("_square = -1").count() == 3
+
+
 def scene_input(spark, n=3):
     """Blocks of small scenes, their calibration vectors and traces; scene S2 has an empty top."""
     from seaglint.operators import raster
