@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from seaglint.operators import evaluate, labels
+from seaglint.operators import dataset, evaluate, labels
 from seaglint.sources import sinks
 from seaglint.streaming.jobs import work_folder
 from seaglint.plans.registry import query, r, rounded
@@ -76,6 +76,42 @@ def random_split(t):
     return labels.random_split(t.sql(TILES), "mix-7").select("tile_id", "split")
 
 
+# Label files (some empty), their lines and images (some missing, some mostly empty).
+FILES = f"select tile_id, scene_id from ({TILES}) t union all select concat(tile_id, 'e') as tile_id, scene_id from ({TILES}) t where cast(right(tile_id, 12) as bigint) % 50 = 0"
+IMAGES = f"select tile_id, (k % 10) / 20e0 as zero_share from (select tile_id, cast(right(tile_id, 12) as bigint) as k from ({TILES}) t) q where k % 13 <> 0"
+OUTCOME = f"""with b as (select tile_id, coords, min(line_no) as line_no, count(*) as n, bool_or(n_parts <> 5) as parts, bool_or(n_parts = 5 and class_id is null) as non_numeric, bool_or(n_parts = 5 and (cx > 1 or cy > 1 or w > 1 or h > 1)) as outside, bool_or(n_parts = 5 and (w <= 0 or h <= 0)) as size
+     from (select *, case when n_parts = 5 then substr(txt, 3) else concat('#', line_no) end as coords from ({PARSED}) x) y group by tile_id, coords),
+   v as (select f.tile_id, f.scene_id, g.n_boxes, g.n_lines - g.n_boxes as n_duplicates, g.line_sum, case when g.n_lines is null then 'empty' when parts then 'parts' when non_numeric then 'non_numeric' when outside then 'outside' when size then 'size' when i.tile_id is null then 'no_image' when zero_share > 0.3e0 then 'nodata' end as reason
+     from ({FILES}) f left join (select tile_id, cast(sum(n) as bigint) as n_lines, count(*) as n_boxes, cast(sum(line_no) as bigint) as line_sum, bool_or(parts) as parts, bool_or(non_numeric) as non_numeric, bool_or(outside) as outside, bool_or(size) as size from b group by tile_id) g on g.tile_id = f.tile_id left join ({IMAGES}) i on i.tile_id = f.tile_id)"""
+
+
+def _built(t):
+    return dataset.build_dataset(t.sql(FILES), t.v_lines.select("tile_id", "line_no", "txt"), t.sql(IMAGES), stratify=True)
+
+
+@query(
+    "build_dataset",
+    f"""{OUTCOME} select v.tile_id, coalesce(reason, s.split) as outcome, case when reason is null then n_boxes end as n_boxes, case when reason is null then n_duplicates end as n_duplicates, case when reason is null then line_sum end as line_sum
+    from v left join ({_chunk('substr(scene_id, 1, 3)', source='select tile_id, scene_id from v where reason is null')}) s on s.tile_id = v.tile_id""",
+)
+def build_dataset(t):
+    """Every label file with its split or the reason why it went."""
+    made = _built(t)
+    sums = made.lines.groupBy("tile_id").agg(F.sum("line_no").cast("bigint").alias("line_sum"))
+    kept = made.tiles.join(sums, "tile_id").select("tile_id", F.col("split").alias("outcome"), "n_boxes", "n_duplicates", "line_sum")
+    return kept.unionByName(made.quarantine.select("tile_id", F.col("reason").alias("outcome")), allowMissingColumns=True)
+
+
+@query(
+    "build_dataset_counts",
+    f"{OUTCOME} select coalesce(reason, 'kept') as name, count(*) as n from v group by 1 union all select 'total', count(*) from v union all select 'duplicates', cast(sum(n_duplicates) as bigint) from v where reason is null",
+)
+def build_dataset_counts(t):
+    """What was observed while the verdicts were written; reasons that nobody has are left out."""
+    counts = _built(t).counts
+    return t.spark.createDataFrame([(k, int(n)) for k, n in counts.items() if n], "name string, n bigint")
+
+
 COUNTED = "select substr(tile_id, 1, 18) as scene_id, count(distinct tile_id) as n_labels from v_lines group by 1"
 
 

@@ -205,3 +205,24 @@ def test_coverage_as_pairs(spark):
         got = ais.ais_coverage(pos, scenes, cell)
         assert {r.scene_id for r in got.where("has_ais").collect()} == want and got.count() == 300
     assert 20 < len(want) < 280
+
+
+def test_dataset_build_with_a_quarantine(spark):
+    from seaglint.operators import dataset
+
+    box = lambda c, x: f"{c} 0.{x} 0.5 0.1 0.1"
+    texts = {
+        "ok1": [box(0, 1), box(1, 1), box(0, 2), "  "], "ok2": ["0  0.1 0.5 0.1 0.1", box(0, 1)], "ok3": ["-1 0.3 0.5 0.1 0.1"], "blank": ["", "  "],
+        "parts": [box(0, 1), "0 0.1"], "words": ["a 0.1 0.5 0.1 0.1"], "out": ["0 1.5 0.5 0.1 0.1"], "flat": ["0 0.1 0.5 0.0 0.1"], "alone": [box(0, 1)], "dark": [box(0, 1)],
+    }
+    lines = spark.createDataFrame([(t, i, x) for t, some in texts.items() for i, x in enumerate(some)], "tile_id string, line_no int, txt string")
+    files = spark.createDataFrame([(t, f"S1C_{t[:2]}") for t in [*texts, "none"]], "tile_id string, scene_id string")
+    images = spark.createDataFrame([(t, 0.31 if t == "dark" else 0.3) for t in texts if t != "alone"], "tile_id string, zero_share double")
+    made = dataset.build_dataset(files, lines, images, stratify=True)
+    assert rows(made.quarantine, "tile_id", "reason") == [("alone", "no_image"), ("blank", "empty"), ("dark", "nodata"), ("flat", "size"), ("none", "empty"), ("out", "outside"), ("parts", "parts"), ("words", "non_numeric")]
+    assert rows(made.tiles, "tile_id", "split", "n_boxes", "n_duplicates") == [("ok1", "train", 2, 1), ("ok2", "train", 1, 1), ("ok3", "test", 1, 0)]
+    assert rows(made.lines, "tile_id", "line_no", "txt") == [("ok1", 0, box(0, 1)), ("ok1", 2, box(0, 2)), ("ok2", 0, "0  0.1 0.5 0.1 0.1"), ("ok3", 0, "-1 0.3 0.5 0.1 0.1")]
+    assert made.counts == {"total": 11, "kept": 3, "duplicates": 2, "empty": 2, "parts": 1, "non_numeric": 1, "outside": 1, "size": 1, "no_image": 1, "nodata": 1}
+    plan = spark.createDataFrame([("S1C_ok", "val")], "scene_id string, split string")
+    assert {r.split for r in dataset.build_dataset(files, lines, images, plan=plan).tiles.collect()} == {"val"}
+    assert dataset.build_dataset(files.limit(0), lines.limit(0), images).tiles.count() == 0
