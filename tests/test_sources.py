@@ -171,6 +171,47 @@ def test_event_store(spark, tmp_path):
     assert rows(store.current(spark), "event_id", "zone") == want
 
 
+def test_event_store_in_levels(spark, tmp_path):
+    store = KeyedStore(str(tmp_path / "s"), ["event_id"], "arrival")
+    want = {}
+    for batch in range(10):
+        data = [(f"e{(batch * 37 + i * 11) % 300:05d}", batch * 100 + i, f"Z{batch}") for i in range(100)]
+        want.update({e: (a, z) for e, a, z in sorted(data, key=lambda r: r[1])})
+        store.append(spark.createDataFrame(data, "event_id string, arrival bigint, zone string"), batch)
+        store.compact(spark, fan=3)
+    _, segments, _ = store._state(spark)
+    assert sorted(at for at, _ in segments) == [0, 2]  # nine batches in one, the tenth by itself
+    assert {r.event_id: (r.arrival, r.zone) for r in store.current(spark).collect()} == want
+    store.compact(spark, fan=3)
+    assert store._state(spark)[1] == segments  # nothing new, nothing written
+
+
+def test_a_few_keys_read_few_rows(spark, tmp_path):
+    store = KeyedStore(str(tmp_path / "s"), ["event_id"], "arrival")
+    n = 60_000
+    for batch in range(3):
+        rows_in = spark.range(n).select(F.md5(F.concat(F.col("id").cast("string"), F.lit(str(batch % 2)))).alias("event_id"), (F.col("id") + batch * n).alias("arrival"))
+        store.append(rows_in.repartition(4), batch)
+        if batch < 2:
+            store.compact(spark)
+    key = rows_in.where("id = 77" if "id" in rows_in.columns else F.col("arrival") == 77 + 2 * n).first()["event_id"]
+    found = store.current(spark).where(F.col("event_id") == key)
+    assert [(r.event_id, r.arrival) for r in found.collect()] == [(key, 77 + 2 * n)]
+    leaves = found._jdf.queryExecution().executedPlan().finalPhysicalPlan().collectLeaves()
+
+    def scans(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "FileSourceScanExec":
+            return [node.metrics().apply("numOutputRows").value()]
+        if kind.endswith("QueryStageExec"):
+            inner = node.plan().collectLeaves()
+            return [x for i in range(inner.size()) for x in scans(inner.apply(i))]
+        return []
+
+    read = sum(x for i in range(leaves.size()) for x in scans(leaves.apply(i)))
+    assert 0 < read < 3 * n / 3
+
+
 def test_tiles_of_earlier_scenes_stay(spark, tmp_path):
     make = lambda s, n: spark.createDataFrame([(s, "D", i, n) for i in range(2)], "scene_id string, code string, tile_no int, v int")
     for scene, value in (("S1", 1), ("S2", 2), ("S1", 3)):
