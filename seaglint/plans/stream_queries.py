@@ -76,12 +76,32 @@ def stream_stats(t):
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
-@query("stream_dedupe", "select distinct event_id from v_events")
+def _landed(t, name, parts, heartbeats):
+    """Stream over files that land one after another, one a batch: the given parts of a view, then heartbeats."""
+    folder = f"{jobs.work_folder(t.spark, 'landing')}/{name}"
+    for part in parts:
+        t.sql(part).coalesce(1).write.mode("append").parquet(folder)
+    for beat in heartbeats:
+        t.sql(beat).coalesce(1).write.mode("append").parquet(folder)
+    schema = t.spark.read.parquet(folder).schema
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+#: Events that are sent again: every third after 20 minutes, every fifth once more after 16 days.
+SENT = """(select arrival, timestamp, 0 as again from v_events union all select arrival, timestamp + interval '20' minute, 1 from v_events where arrival % 3 = 0
+  union all select arrival, timestamp + interval '16' day, 2 from v_events where arrival % 5 = 0)"""
+
+
+@query("stream_dedupe", f"select arrival from {SENT} s where again <> 1")
 def stream_dedupe(t):
+    """Weeks land in order. What comes again within the hour goes; after 16 days the state knows nothing any more."""
     work = jobs.work_folder(t.spark, "dedupe")
-    once = jobs.stream_dedupe(_event_stream(t), "40 days")
+    first = "(select min(ts) from events)"
+    parts = [f"select * from {SENT} s where timestamp >= {first} + interval '{7 * k}' day and timestamp < {first} + interval '{7 * k + 7 if k < 7 else 9999}' day" for k in range(8)]
+    sent = _landed(t, "sent", parts, []).select(F.col("arrival").cast("string").alias("event_id"), F.col("timestamp").cast("timestamp").alias("timestamp"))
+    once = jobs.stream_dedupe(sent)
     jobs.run_to_end(once.writeStream.outputMode("append").format("parquet").option("path", f"{work}/out"), f"{work}/state")
-    return t.spark.read.parquet(f"{work}/out").select("event_id")
+    return t.spark.read.parquet(f"{work}/out").select(F.col("event_id").cast("bigint").alias("arrival"))
 
 
 @query(
@@ -119,17 +139,6 @@ NEAR = f"""select d.pos_id as det_id, count(*) as n_near from (select pos_id, ts
   group by 1"""
 
 
-def _landed(t, name, parts, heartbeats):
-    """Stream over files that land one after another, one a batch: the given parts of a view, then heartbeats."""
-    folder = f"{jobs.work_folder(t.spark, 'landing')}/{name}"
-    for part in parts:
-        t.sql(part).coalesce(1).write.mode("append").parquet(folder)
-    for beat in heartbeats:
-        t.sql(beat).coalesce(1).write.mode("append").parquet(folder)
-    schema = t.spark.read.parquet(folder).schema
-    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
 @query("stream_dark_match", f"select pos_id as det_id, coalesce(n_near, 0) as n_near, coalesce(n_near, 0) = 0 as dark from {IN_TIME} v left join ({NEAR}) n on n.det_id = pos_id")
 def stream_dark_match(t):
     """Positions land in three slices of time, then some late ones, then heartbeats that let the last detections go."""
