@@ -22,8 +22,8 @@ FEATURES = ("bias", "symbols", "symbol words", "capitals", "digits", "long words
 RULES = np.array([-2.0, 8.0, 2.0, 2.0, 2.0, 0.2, 0.3, 1.5, 2.0, 0.2])
 #: Weights of staying in a label and of changing it.
 STAY = np.array([0.5, 0.5])
-#: Most labelled documents, and most lines of one, that the field is fitted on.
-FIT_DOCS, FIT_LINES = 2_000, 48
+#: Most labelled documents that the field is fitted on, all of their lines, and lines of a run.
+FIT_DOCS, RUN_LINES = 2_000, 128
 ROUNDS, STEPS, RATE, PRIOR = 3, 80, 0.12, 0.02
 CONTENT_SHARE = 0.5
 MIN_WORDS, MAX_REPEATED = 10, 20
@@ -104,58 +104,78 @@ class Field:
                 labels[i] = now
         return labels
 
-    def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the mean log-likelihood of padded documents: x[doc, line, feature], mask and y[doc, line]."""
-        half = (x @ self.emit) / 2
-        unary = np.stack([-half, half], axis=2)
-        n, length = mask.shape
-        ahead = np.zeros((n, length, 2))
-        ahead[:, 0] = unary[:, 0]
-        for t in range(1, length):
-            new = np.logaddexp.reduce(ahead[:, t - 1, :, None] + self.move, axis=1) + unary[:, t]
-            ahead[:, t] = np.where(mask[:, t, None], new, ahead[:, t - 1])
-        total = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        behind = np.zeros((n, 2))
-        prob = np.zeros((n, length))
-        moves = np.zeros((2, 2))
-        for t in range(length - 1, -1, -1):
-            on = mask[:, t]
-            prob[:, t] = np.where(on, np.exp(ahead[:, t, 1] + behind[:, 1] - total), 0)
+    def gradient(self, runs: Runs, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean log-likelihood of runs of lines with the labels ``y``."""
+        half = (runs.x @ self.emit) / 2
+        unary = np.stack([-half, half], axis=1)
+        ahead = unary.copy()
+        for t in range(1, runs.length):
+            now, before = runs.at(t)
+            ahead[now] += np.logaddexp(ahead[before, 0, None] + self.move[0], ahead[before, 1, None] + self.move[1])
+        total = np.logaddexp(*ahead[runs.last].T)
+        behind, prob, moves = np.zeros((len(total), 2)), np.empty(len(unary)), np.zeros((2, 2))
+        for t in range(runs.length - 1, -1, -1):
+            now, before = runs.at(t)
+            m = runs.active[t]
+            prob[now] = np.exp(ahead[now, 1] + behind[:m, 1] - total[:m])
             if t:
-                reach = self.move + (unary[:, t] + behind)[:, None, :]
-                pair = np.exp(ahead[:, t - 1, :, None] + reach - total[:, None, None]) * on[:, None, None]
-                moves += pair.sum(axis=0)
-                behind = np.where(on[:, None], np.logaddexp.reduce(reach, axis=2), behind)
-        lines = max(1, mask.sum())
-        emit = np.einsum("nl,nlf->f", np.where(mask, y - prob, 0), x) / lines
+                reach = self.move + (unary[now] + behind[:m])[:, None, :]
+                moves += np.exp(ahead[before, :, None] + reach - total[:m, None, None]).sum(axis=0)
+                behind[:m] = np.logaddexp(reach[:, :, 0], reach[:, :, 1])
         seen = np.zeros((2, 2))
-        both = mask[:, 1:]
-        np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
-        return emit, (seen - moves) / lines
+        np.add.at(seen, (y[runs.before], y[runs.after]), 1)
+        return (y - prob) @ runs.x / len(y), (seen - moves) / len(y)
+
+
+class Runs:
+    """Runs of lines, longest first, packed place by place: the first lines of all runs, then the second ones, and so on."""
+
+    def __init__(self, features: list[np.ndarray]):
+        self.order = sorted(range(len(features)), key=lambda i: -len(features[i]))
+        sizes = np.array([len(features[i]) for i in self.order])
+        self.length = int(sizes.max())
+        #: Runs that have a line at each place.
+        self.active = [int((sizes > t).sum()) for t in range(self.length)]
+        self.starts = np.concatenate([[0], np.cumsum(self.active)])
+        #: Where the lines of each run stand.
+        self.places = [self.starts[:n] + row for row, n in enumerate(sizes)]
+        self.x = np.empty((int(sizes.sum()), len(FEATURES)))
+        for i, own in zip(self.order, self.places):
+            self.x[own] = features[i]
+        self.last = np.array([own[-1] for own in self.places])
+        self.before = np.concatenate([own[:-1] for own in self.places])
+        self.after = np.concatenate([own[1:] for own in self.places])
+
+    def at(self, t: int) -> tuple[slice, slice]:
+        """The lines at place ``t``, and those of the same runs at the place before."""
+        m, lo = self.active[t], self.starts[t]
+        before = self.starts[t - 1] if t else 0
+        return slice(lo, lo + m), slice(before, before + m)
 
 
 def fit(features: list[np.ndarray], poor: list[bool]) -> Field:
-    """A field for documents' line features and whether each document is poor; rule weights where a class lacks."""
+    """A field for documents' line features and whether each document is poor; rule weights where a class lacks.
+
+    All lines of a document count. A long document is cut to runs of ``RUN_LINES`` lines, as the steps of the
+    fit grow with the longest run; only how labels follow each other at a cut is not learned.
+    """
     field = Field()
     kept = [i for i, f in enumerate(features) if len(f)]
     bad = np.array([poor[i] for i in kept], bool)
     if not bad.any() or bad.all():
         return field
-    length = max(len(features[i]) for i in kept)
-    x = np.zeros((len(kept), length, len(FEATURES)))
-    mask = np.zeros((len(kept), length), bool)
-    for row, i in enumerate(kept):
-        x[row, : len(features[i])] = features[i]
-        mask[row, : len(features[i])] = True
-    y = np.repeat(bad[:, None], length, axis=1).astype(np.int64)
+    cut = [(features[i][lo : lo + RUN_LINES], poor[i]) for i in kept for lo in range(0, len(features[i]), RUN_LINES)]
+    runs = Runs([x for x, _ in cut])
+    y = np.zeros(len(runs.x), np.int64)
+    bad_runs = [own for i, own in zip(runs.order, runs.places) if cut[i][1]]
+    y[np.concatenate(bad_runs)] = 1
     for round_ in range(ROUNDS):
         if round_:
-            for row in np.flatnonzero(bad):
-                n = int(mask[row].sum())
-                y[row, :n] = field.viterbi(x[row, :n])
+            for own in bad_runs:
+                y[own] = field.viterbi(runs.x[own])
         state = [np.zeros_like(field.emit), np.zeros_like(field.emit), np.zeros((2, 2)), np.zeros((2, 2))]
         for step in range(1, STEPS + 1):
-            emit, move = field.gradient(x, mask, y)
+            emit, move = field.gradient(runs, y)
             emit -= PRIOR * (field.emit - RULES) / len(RULES)
             move -= PRIOR * (field.move - np.diag(STAY)) / 4
             for k, g in ((0, emit), (2, move)):
@@ -169,8 +189,8 @@ def fit(features: list[np.ndarray], poor: list[bool]) -> Field:
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> Field:
     """The field fitted on at most ``FIT_DOCS`` labelled documents, those with the smallest hashes of their ids.
 
-    Labels: 1 good, 0 poor; null labels and ids are left out. Only line features reach the driver, of at
-    most ``FIT_LINES`` lines a document. Without documents of both kinds the rule weights hold.
+    Labels: 1 good, 0 poor; null labels and ids are left out. Only line features reach the driver, of all
+    lines of these documents. Without documents of both kinds the rule weights hold.
     """
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_good")).dropna().groupBy("_id").agg(F.min("_good").alias("_good"))
     chosen = marks.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(FIT_DOCS)
@@ -178,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
     def describe(runs: Iterator[list[bytes]]) -> Iterator[dict[str, list]]:
         for found in runs:
-            yield {"_x": [line_features(*(part[:FIT_LINES] for part in worded_lines(t))).astype(np.float32).tobytes() for t in found]}
+            yield {"_x": [line_features(*worded_lines(t)).astype(np.float32).tobytes() for t in found]}
 
     rows = map_texts(texts, describe, "_x binary", "_text").select("_id", "_good", "_x").orderBy(F.md5(F.col("_id").cast("string")), "_x").limit(2 * FIT_DOCS).collect()
     return fit([np.frombuffer(r["_x"], np.float32).reshape(-1, len(FEATURES)).astype(float) for r in rows], [r["_good"] == 0 for r in rows])

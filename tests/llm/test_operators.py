@@ -257,6 +257,26 @@ def test_quality_rules(docs, plain, empty):
     assert line_crf.quality_rules(empty, line_crf.Field()).count() == 0
 
 
+def test_the_field_learns_from_the_end_of_long_documents():
+    """Poor documents whose first 300 lines are as good as any; only the last ones differ."""
+    rng = np.random.default_rng(8)
+    plain = np.zeros(len(line_crf.FEATURES))
+    plain[0] = 1.0
+
+    def lines(n, digits):
+        x = np.tile(plain, (n, 1))
+        x[:, line_crf.FEATURES.index("digits")] = digits
+        return x + rng.normal(0, 0.01, x.shape) * (plain == 0)
+
+    good = [lines(int(n), 0.0) for n in rng.integers(1, 400, 40)]
+    poor = [np.concatenate([lines(300, 0.0), lines(200, 0.3)]) for _ in range(10)]
+    field = line_crf.fit(good + poor, [False] * 40 + [True] * 10)
+    labels = field.viterbi(poor[0])
+    assert labels[:300].mean() < 0.05 and labels[300:].mean() > 0.95
+    runs = line_crf.Runs([x for x in good])
+    assert sorted(np.concatenate(runs.places)) == list(range(len(runs.x))) and len(runs.x) == sum(map(len, good))
+
+
 def test_viterbi_and_gradient_against_all_sequences():
     rng = np.random.default_rng(5)
     field = line_crf.Field(rng.normal(size=len(line_crf.FEATURES)), rng.normal(size=(2, 2)))
@@ -270,7 +290,7 @@ def test_viterbi_and_gradient_against_all_sequences():
     assert field.viterbi(x).tolist() == max(every, key=lambda y: score(field, y))
     y = [0, 1, 1, 0, 1]
     likelihood = lambda f: score(f, y) - np.logaddexp.reduce([score(f, z) for z in every])
-    emit, move = field.gradient(x[None], np.ones((1, 5), bool), np.array([y]))
+    emit, move = field.gradient(line_crf.Runs([x]), np.array(y))
     for k in range(3):
         step = np.zeros_like(field.emit)
         step[k] = 1e-5
