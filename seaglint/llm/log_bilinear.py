@@ -1,13 +1,16 @@
 """Language-model scores by a log-bilinear model, trained with noise-contrastive estimation.
 
-Tokens are counted over all training texts. Each one met ``LEAST`` times is a word of the model, so its words
-grow with the corpus as far as the broadcast table; the others share one sign, of which each has a share by its
-count. The model predicts a token from the two before it: their vectors, weighted by place, add up to a
-prediction. Its products with the vectors of word classes give the scores of classes, those with output vectors
-the scores of the words in a class. The most frequent words are classes of their own, the next ones form
-classes of words of like counts, about as many as a class has words: so both normalisers are short sums, and
-exact. Every task trains on its own texts from common starting values, against noise drawn from the shares of
-classes and of words. Only rows of values that a task moved are passed on, and averaged by the tokens seen.
+Tokens are counted over all training texts. The most frequent ones that occur ``LEAST`` times or more are model
+words of their own (as many as a broadcast table holds). All other words, of any number, are dealt by a hash to
+shared signs with learned vectors; within such a sign a word has its share of the sign's count. So every word of
+the corpus is predicted by the model, and also predicts what follows it.
+
+The model predicts a token from the two before it: their vectors, weighted by place, add up to a prediction.
+Signs are leaves of a tree of three levels: the most frequent ones hang at the root, the others in groups of
+groups, about the cube root of their number in each. The prediction's products with the vectors of the children of
+a node give the share of each child; so the three normalisers of a token are short sums, and exact. Every task
+trains on its own texts from common starting values, against noise drawn from the shares of each level. Only
+rows of values that a task moved are passed on, and averaged by the tokens seen.
 
 Counts of frequent tokens are broadcast (a table of bounded size). Rare tokens meet their counts in a join,
 so nothing that grows with the vocabulary is held by a task.
@@ -18,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,12 @@ from pyspark.sql import types as T
 
 from seaglint.llm.common import materialise, prepare, slices
 
-#: Signs that are a class of their own, contexts whose normalisers are kept (pairs of this many signs), and dimensions.
-OWN, NEAR, SIZE = 256, 1024, 16
-#: Signs of the end of a text (also what stands before a text) and of tokens that are no model words.
-END, OTHER = 0, 1
+#: Signs that hang at the root of the tree, levels of the tree, and dimensions.
+OWN, LEVELS, SIZE = 64, 3, 16
+#: Sign of the end of a text (also what stands before a text).
+END = 0
+#: Most signs that words without a sign of their own share, and how many of them share one in a small corpus.
+SHARED, SHARING = 16_384, 8
 #: Occurrences in the training texts that make a token a model word, if it is in the broadcast table.
 LEAST = 5
 #: Pieces of the input that a training task reads one after another, as each task passes on the values it moved.
@@ -38,12 +44,12 @@ TOGETHER = 4
 #: Rows of ``SIZE`` model values that are averaged together.
 RANGE = 8_192
 #: Predictions scored at a time.
-SCORED = 16_384
+SCORED = 2_048
 #: Broadcast counts, and the longest token among them in bytes: at most 13 MB of tokens.
 TABLE, TABLE_BYTES = 200_000, 64
 #: Tokens that a task counts before it passes them on.
 HELD_TOKENS = 300_000
-ROUNDS, PASSES, NOISE, BATCH, RATE = 2, 2, 128, 2_048, 0.3
+ROUNDS, NOISE, BATCH, RATE = 1, 64, 4_096, 0.3
 FOLDS, HELD_OUT = 7, 2
 END_TOKEN = b""
 
@@ -92,39 +98,60 @@ def least_frequent(counts: DataFrame, most: int) -> int:
     return least
 
 
+def shared_signs(distinct: int) -> int:
+    """Signs for words without one of their own, so that few words share one until there are ``SHARED``."""
+    return min(SHARED, distinct // SHARING + 1)
+
+
 class Vocabulary:
-    """Frequent tokens: their counts and model words; totals over all training tokens."""
+    """Frequent tokens: their counts and signs; what the words of each shared sign count together; totals.
+
+    ``rows`` are the tokens of the table in descending order of counts. ``shared`` has the occurrences and the
+    distinct words of all training tokens (but ends) by their shared sign; words of the table that have a sign
+    of their own are taken off here.
+    """
 
-    def __init__(self, rows: list[tuple[bytes, int]], total: int, distinct: int, ends: int):
-        self.total, self.distinct, self.ends = total, distinct, ends
-        own = [t for t, c in rows if c >= LEAST]
+    def __init__(self, rows: list[tuple[bytes, int]], total: int, distinct: int, ends: int, shared: np.ndarray):
+        self.total, self.distinct, self.ends, self.signs = total, distinct, ends, shared.shape[1]
         self.number = {t: i for i, (t, _) in enumerate(rows)}
         self.count = np.array([c for _, c in rows] + [0], np.int64)
-        #: Model word of each frequent token; the last entry stands for tokens that are not in the table.
-        self.word = np.full(len(rows) + 1, OTHER)
-        self.word[: len(own)] = np.arange(2, len(own) + 2)
-        known = int(self.count[: len(own)].sum())
-        self.others, self.other_kinds = total - known - ends, distinct - len(own) - (ends > 0)
-        share = np.ones(2 + len(own))
-        share[0], share[1], share[2:] = ends + 1, self.others + 1, self.count[: len(own)] + 1
+        self.n_own = int((self.count >= LEAST).sum())
+        #: Sign of each token of the table.
+        dealt = np.fromiter((crc32(t) % self.signs for t, _ in rows), np.int64, len(rows))
+        self.word = 1 + self.n_own + dealt
+        self.word[: self.n_own] = np.arange(1, 1 + self.n_own)
+        held = np.bincount(dealt[: self.n_own], self.count[: self.n_own], self.signs), np.bincount(dealt[: self.n_own], minlength=self.signs)
+        occurrences, kinds = shared[0] - held[0], shared[1] - held[1]
+        #: What a word of a shared sign is divided by, as log10; an unseen word counts as one more.
+        self.spread = np.log10(occurrences + kinds + 1)
+        share = np.concatenate([[ends], self.count[: self.n_own], occurrences]) + 1.0
         self.share = share / share.sum()
 
     @classmethod
     def of(cls, counts: DataFrame) -> Vocabulary:
         end = counts.where(F.col("token") == F.lit(END_TOKEN)).agg(F.sum("c").alias("c")).first()["c"] or 0
         totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-        own = counts.where((F.octet_length("token") <= TABLE_BYTES) & (F.octet_length("token") > 0))
-        top = own.where(F.col("c") >= least_frequent(own, TABLE)).orderBy(F.desc("c"), "token").collect()
-        return cls([(bytes(r["token"]), r["c"]) for r in top], totals["n"], totals["v"], end)
+        words = counts.where(F.octet_length("token") > 0)
+        own = words.where(F.octet_length("token") <= TABLE_BYTES)
+        top = own.where(F.col("c") >= least_frequent(own, TABLE)).orderBy(F.desc("c"), "token").toArrow()
+        shared = np.zeros((2, shared_signs(totals["v"])), np.int64)
+        by_sign = words.groupBy((F.crc32("token") % shared.shape[1]).alias("sign")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
+        held = by_sign.toArrow()
+        shared[:, held.column("sign").to_numpy()] = held.column("n").to_numpy(), held.column("v").to_numpy()
+        return cls(list(zip(top.column("token").to_pylist(), top.column("c").to_pylist())), totals["n"], totals["v"], end, shared)
 
     def find(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Table numbers of all words one after another (-1: rare), model words with an end for each text, and text sizes."""
+        """Table numbers of all words one after another (-1: rare), signs with an end for each text, and text sizes."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        found = np.fromiter(map(self.number.get, chain.from_iterable(texts), repeat(-1)), np.int64, int(sizes.sum()))
+        flat = list(chain.from_iterable(texts))
+        found = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        signs = np.append(self.word, 0)[found]
+        rare = np.flatnonzero(found < 0)
+        signs[rare] = 1 + self.n_own + np.fromiter((crc32(flat[i]) for i in rare.tolist()), np.int64, len(rare)) % self.signs
         words = np.full(len(found) + len(texts), END)
         inside = np.ones(len(words), bool)
         inside[np.cumsum(sizes + 1) - 1] = False
-        words[inside] = self.word[found]
+        words[inside] = signs
         return found, words, sizes
 
 
@@ -139,18 +166,14 @@ def contexts(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return one, two
 
 
-def kinds(n: int) -> np.ndarray:
-    """The class of each of ``n`` signs in descending order of counts; classes are consecutive."""
-    rest = np.arange(max(n - OWN, 0))
-    return np.concatenate([np.arange(min(n, OWN)), OWN + rest // max(1, int(np.ceil(np.sqrt(len(rest)))))])
-
-
-def log_sum(scores: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of the exponentials of each row; overwrites the scores."""
-    top = scores.max(axis=1)
-    scores -= top[:, None]
+def log_sum(h: np.ndarray, output: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of the exponentials of all children's scores for each prediction."""
+    scores = output @ h.T
+    scores += bias[:, None]
+    top = scores.max(axis=0)
+    scores -= top
     np.exp(scores, out=scores)
-    return top + np.log(scores.sum(axis=1))
+    return top + np.log(scores.sum(axis=0))
 
 
 def moved(rows: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -162,96 +185,97 @@ def moved(rows: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Model:
-    """Vectors of context words, output words and classes, biases, and the weights of the two places."""
+    """Vectors of context words, vectors and biases of the tree's nodes by level, and the weights of the two places.
+
+    Nodes of the first level are the ``OWN`` first signs and the groups of groups; those of the second are groups,
+    those of the third the other signs. Children of a node follow one another.
+    """
 
     def __init__(self, share: np.ndarray, values: np.ndarray | None = None):
         self.share, self.n = share, len(share)
-        self.kind = kinds(self.n)
-        self.kind_share = np.bincount(self.kind, share)
-        self.n_kinds = len(self.kind_share)
-        #: Shares of the words of classes with several words, among themselves.
-        self.tail_share = share[OWN:] / share[OWN:].sum() if self.n > OWN else share[:0]
+        self.own = min(self.n, OWN)
+        rest = np.arange(self.n - self.own)
+        self.group = max(2, int(np.ceil(np.cbrt(len(rest)))))
+        #: The node of each sign by level; below the first level only of signs that do not hang at the root.
+        self.paths = [np.concatenate([np.arange(self.own), self.own + rest // self.group**2]), rest // self.group, rest]
+        tail = share[self.own :] / share[self.own :].sum() if len(rest) else share[:0]
+        self.shares = [np.bincount(self.paths[0], share), np.bincount(self.paths[1], tail), tail]
+        self.nodes = [len(s) for s in self.shares]
         if values is None:
             rng = np.random.default_rng(7)
-            bias = np.concatenate([np.zeros(min(self.n, OWN)), np.log(self.tail_share), np.log(self.kind_share)])
-            n, k = self.n * SIZE, self.n_kinds * SIZE
-            values = np.concatenate([rng.normal(0, 0.3, n), rng.normal(0, 0.05, n + k), np.full(2 * SIZE, 1.0), bias])
+            vectors = [rng.normal(0, 0.3, self.n * SIZE), rng.normal(0, 0.05, sum(self.nodes) * SIZE), np.full(2 * SIZE, 1.0)]
+            values = np.concatenate([*vectors, *map(np.log, self.shares)])
         self.values = values.astype(np.float32)
-        self.context, self.output, self.kind_output, self.place, self.bias, self.kind_bias = self.split(self.values)
+        self.context, self.place, self.output, self.bias = self.split(self.values)
 
-    def split(self, values: np.ndarray) -> list[np.ndarray]:
-        """Views of the values, or of what belongs to each of them."""
-        n, k = self.n, self.n_kinds
-        out, at = [], 0
-        for rows in (n, n, k, 2):
-            out.append(values[at : at + rows * SIZE].reshape(rows, SIZE))
-            at += rows * SIZE
-        return [*out, values[at : at + n], values[at + n :]]
+    def split(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Views of the values, or of what belongs to each of them: contexts, places, vectors and biases by level."""
+        cut = np.split(values, np.cumsum([self.n * SIZE, *(n * SIZE for n in self.nodes), 2 * SIZE, *self.nodes[:-1]]))
+        context, *output, place = (v.reshape(-1, SIZE) for v in cut[: LEVELS + 2])
+        return context, place, output, cut[LEVELS + 2 :]
+
+    def node(self, level: int, word: np.ndarray) -> np.ndarray:
+        """Nodes of a level above (or at) these signs; below the first level they must not hang at the root."""
+        return self.paths[level][word - self.own if level else word]
 
     def learn(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, state: np.ndarray, rng) -> None:
-        """``PASSES`` over the predictions, those alike put together, in batches of a random order."""
+        """A pass over the predictions, those alike put together, in batches of a random order."""
         code, weight = np.unique((two * self.n + one) * self.n + word, return_counts=True)
-        order = np.concatenate([rng.permutation(len(code)) for _ in range(PASSES)])
-        s_context, s_output, s_kind_output, s_place, s_bias, s_kind_bias = self.split(state)
-        steps = np.cumsum(self.kind_share), np.cumsum(self.tail_share)
-        kind_lift = np.log(NOISE * self.kind_share).astype(np.float32)
-        lift = np.concatenate([np.zeros(min(self.n, OWN)), np.log(NOISE * self.tail_share)]).astype(np.float32)
+        order = rng.permutation(len(code))
+        s_context, s_place, s_output, s_bias = self.split(state)
+        steps = [np.cumsum(s) for s in self.shares]
+        lifts = [np.log(NOISE * s).astype(np.float32) for s in self.shares]
 
         def step(values, state, rows, grad):
             s = state.take(rows, axis=0) + grad * grad
             state[rows] = s
             values[rows] += RATE * grad / (np.sqrt(s) + 1e-6)
 
-        def draw(shares):
-            return np.minimum(np.searchsorted(shares, rng.random(NOISE) * shares[-1], side="right"), len(shares) - 1)
-
         for lo in range(0, len(order), BATCH):
             some = order[lo : lo + BATCH]
-            w, a, b = code[some] % self.n, code[some] // self.n % self.n, code[some] // self.n // self.n
+            rest, w = np.divmod(code[some], self.n)
+            b, a = np.divmod(rest, self.n)
             mass = (weight[some] / weight[some].sum()).astype(np.float32)
             va, vb = self.context.take(a, axis=0), self.context.take(b, axis=0)
             h = va * self.place[0] + vb * self.place[1]
-            dh, rows, grad, slope = contrast(h, mass, self.kind[w], draw(steps[0]), self.kind_output, self.kind_bias, kind_lift)
-            changes = [(self.kind_output, s_kind_output, rows, grad), (self.kind_bias, s_kind_bias, rows, slope)]
-            tail = np.flatnonzero(w >= OWN)
-            if len(tail):
-                more, rows, grad, slope = contrast(h[tail], mass[tail], w[tail], OWN + draw(steps[1]), self.output, self.bias, lift)
-                dh[tail] += more
-                changes += [(self.output, s_output, rows, grad), (self.bias, s_bias, rows, slope)]
+            dh, changes, tail = np.zeros_like(h), [], np.flatnonzero(w >= self.own)
+            for level in range(LEVELS):
+                at = tail if level else slice(None)
+                if level and not len(tail):
+                    break
+                noise = np.minimum(np.searchsorted(steps[level], rng.random(NOISE) * steps[level][-1], side="right"), self.nodes[level] - 1)
+                more, rows, grad, slope = contrast(h[at], mass[at], self.node(level, w[at]), noise, self.output[level], self.bias[level], lifts[level])
+                dh[at] += more
+                changes += [(self.output[level], s_output[level], rows, grad), (self.bias[level], s_bias[level], rows, slope)]
             rows, grad = moved(np.concatenate([a, b]), np.concatenate([dh * self.place[0], dh * self.place[1]]))
             changes.append((self.context, s_context, rows, grad))
             changes.append((self.place, s_place, np.arange(2), np.stack([(dh * va).sum(axis=0), (dh * vb).sum(axis=0)])))
             for change in changes:
                 step(*change)
 
-    def normalisers(self, twos) -> np.ndarray:
-        """Log-sum of all classes' scores after contexts of the first ``NEAR`` signs: a row for each word two places before."""
-        near = self.context[:NEAR] * self.place[0]
-        return np.stack([log_sum((near + self.context[two] * self.place[1]) @ self.kind_output.T + self.kind_bias) for two in twos])
-
-    def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """Normalised log-probabilities of words after their contexts; ``norms`` has the normalisers of near contexts."""
-        out, m = np.empty(len(word)), min(self.n, NEAR)
-        predict = lambda at: self.context[one[at]] * self.place[0] + self.context[two[at]] * self.place[1]
-        own = lambda h, output, bias, w: np.einsum("ij,ij->i", h, output[w]) + bias[w]
-        near = (one < m) & (two < m)
-        for known in (True, False):
-            places = np.flatnonzero(near == known)
-            for lo in range(0, len(places), SCORED):
-                at = places[lo : lo + SCORED]
-                h = predict(at)
-                norm = norms[two[at] * m + one[at]] if known else log_sum(h @ self.kind_output.T + self.kind_bias)
-                out[at] = own(h, self.kind_output, self.kind_bias, self.kind[word[at]]) - norm
-        tail = np.flatnonzero(word >= OWN)
-        tail = tail[np.argsort(self.kind[word[tail]], kind="stable")]
-        ends = np.append(np.flatnonzero(np.diff(self.kind[word[tail]])) + 1, len(tail))
-        for start, end in zip([0, *ends[:-1]], ends):
-            for lo in range(start, end, SCORED):
-                at = tail[lo : min(lo + SCORED, end)]
-                first, last = np.searchsorted(self.kind, self.kind[word[at[0]]] + np.arange(2))
-                h = predict(at)
-                out[at] += own(h, self.output, self.bias, word[at]) - log_sum(h @ self.output[first:last].T + self.bias[first:last])
-        return out / np.log(10)
+    def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Normalised log-probabilities of words after their contexts."""
+        order = np.argsort(word, kind="stable")
+        word, one, two = word[order], one[order], two[order]
+        h = self.context.take(one, axis=0) * self.place[0]
+        h += self.context.take(two, axis=0) * self.place[1]
+        first = np.searchsorted(word, self.own)
+        found = np.zeros(len(word))
+        for level, (output, bias) in enumerate(zip(self.output, self.bias)):
+            start = first if level else 0
+            node = self.node(level, word[start:])
+            found[start:] += np.einsum("ij,ij->i", h[start:], output.take(node, axis=0)) + bias[node]
+            parent = self.node(level - 1, word[start:]) if level else np.zeros(len(word), np.int64)
+            ends = [*np.flatnonzero(np.diff(parent)) + 1, len(parent)]
+            for lo, hi in zip([0, *ends], ends):
+                p = parent[lo] - (self.own if level == 1 else 0) if hi else 0
+                children = slice(p * self.group, (p + 1) * self.group) if level else slice(None)
+                for at in range(start + lo, start + hi, SCORED):
+                    to = min(at + SCORED, start + hi)
+                    found[at:to] -= log_sum(h[at:to], output[children], bias[children])
+        out = np.empty(len(word))
+        out[order] = found / np.log(10)
+        return out
 
 
 @np.errstate(over="ignore")  # a score out of range makes a share of 0
@@ -268,19 +292,6 @@ def contrast(h, mass, word, noise, output, bias, lift) -> tuple[np.ndarray, ...]
     return dh, *moved(np.concatenate([word, noise]), np.concatenate([hit[:, None] * h, miss.T @ h]), np.concatenate([hit, miss.sum(axis=0)]))
 
 
-def all_normalisers(spark: SparkSession, shared, share: np.ndarray) -> np.ndarray:
-    """The normalisers of near contexts, at two * NEAR + one; tasks share the work, the driver gets 4 MB."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
-        for b in batches:
-            twos = b.column("id").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([row.tobytes() for row in own.normalisers(twos)], pa.binary())], names=["id", "norms"])
-
-    rows = spark.range(0, min(len(share), NEAR), 1, 32).mapInArrow(make, "id long, norms binary").orderBy("id").collect()
-    return np.concatenate([np.frombuffer(r["norms"], np.float32) for r in rows])
-
-
 def train(texts: DataFrame, vocabulary, rounds: int = ROUNDS) -> Model:
     """A model of the column ``bytes``; ``vocabulary`` is a broadcast Vocabulary.
 
@@ -355,7 +366,6 @@ def language_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     vocabulary = spark.sparkContext.broadcast(Vocabulary.of(counts))
     model = train(learned, vocabulary, rounds)
     shared = spark.sparkContext.broadcast((model.share, model.values))
-    norms = spark.sparkContext.broadcast(all_normalisers(spark, shared, model.share))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
@@ -369,32 +379,34 @@ def language_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 found, words, sizes = known.find(texts)
                 text = np.repeat(np.arange(len(texts)), sizes)
                 add = lambda v: np.bincount(text, v, len(texts))  # noqa: B023, E731
-                each = own.log10(*contexts(words, sizes), words, norms.value)
+                each = own.log10(*contexts(words, sizes), words)
                 starts = np.cumsum(sizes + 1) - (sizes + 1)
-                other = known.word[found] == OTHER
+                inside = np.delete(words, np.cumsum(sizes + 1) - 1)
+                other = inside > known.n_own
+                spread = np.where(other, known.spread[np.where(other, inside - 1 - known.n_own, 0)], 0.0)
                 flat = list(chain.from_iterable(texts))
                 rare = Counter((int(text[i]), flat[i]) for i in np.flatnonzero(found < 0))
                 first = b.column("id").slice(lo, hi - lo), b.column("key").slice(lo, hi - lo), b.column("held_out").slice(lo, hi - lo)
                 n = len(texts)
                 # A document's own row has a token that no text can have, so that it goes anywhere.
                 whole = [*first, pa.array([b" %d" % k for k in first[1].to_pylist()], pa.binary()), pa.array([1] * n, pa.int64())]
-                sums = (sizes + 1, add(found >= 0).astype(np.int64) + end_known, add(other).astype(np.int64))
+                sums = (sizes + 1, add(found >= 0).astype(np.int64) + end_known)
                 yield pa.RecordBatch.from_arrays(
-                    [*whole, *map(pa.array, sums), pa.array(add(logs[found])), pa.array(add(logs[found] * other)), pa.array(np.add.reduceat(each, starts))], names=NAMES
+                    [*whole, *map(pa.array, sums), pa.array(add(logs[found])), pa.array(add(logs[found] * other - spread)), pa.array(np.add.reduceat(each, starts))], names=NAMES
                 )
                 if rare:
                     at = pa.array([i for i, _ in rare], pa.int64())
-                    none = [pa.nulls(len(rare), pa.int64())] * 3 + [pa.nulls(len(rare), pa.float64())] * 3
+                    none = [pa.nulls(len(rare), pa.int64())] * 2 + [pa.nulls(len(rare), pa.float64())] * 3
                     yield pa.RecordBatch.from_arrays([*(c.take(at) for c in first), pa.array([t for _, t in rare], pa.binary()), pa.array(list(rare.values()), pa.int64()), *none], names=NAMES)
 
-    NAMES = ["id", "key", "held_out", "token", "n", "n_tokens", "n_known", "n_other", "logs", "other_logs", "model"]
-    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), *T._parse_datatype_string("key long, held_out boolean, token binary, n long, n_tokens long, n_known long, n_other long, logs double, other_logs double, model double").fields])
+    NAMES = ["id", "key", "held_out", "token", "n", "n_tokens", "n_known", "logs", "other_logs", "model"]
+    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), *T._parse_datatype_string("key long, held_out boolean, token binary, n long, n_tokens long, n_known long, logs double, other_logs double, model double").fields])
     scored = texts.select("id", "held_out", F.xxhash64("bytes").alias("key"), "bytes").mapInArrow(score, schema)
     met = scored.join(counts, "token", "left")
     rare = F.when(F.col("n_tokens").isNull(), F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0))
     sums = met.groupBy("id", "key", "held_out").agg(
         F.count("n_tokens").cast("int").alias("rows"),
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "n_other", "logs", "other_logs", "model")],
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "other_logs", "model")],
         F.coalesce(F.sum(rare), F.lit(0.0)).alias("rare_logs"),
         F.coalesce(F.sum(F.when(F.col("n_tokens").isNull() & F.col("c").isNotNull(), F.col("n"))), F.lit(0)).alias("rare_known"),
     )
@@ -403,7 +415,6 @@ def language_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     each = lambda c: F.col(c) / F.col("rows")
     count = lambda c: (F.col(c) / F.col("rows")).cast("long")
     spread = float(np.log10(v.total + v.distinct + 1))
-    other_spread = float(np.log10(v.others + v.other_kinds + 1))
     return sums.select(
         F.col("id").alias(id_col),
         "held_out",
@@ -411,6 +422,6 @@ def language_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         (count("n_known") + count("rare_known")).alias("n_known"),
         F.lit(v.total).cast("long").alias("train_tokens"),
         (each("logs") + each("rare_logs") + F.lit(end_log) - count("n_tokens") * F.lit(spread)).alias("base_score"),
-        (each("model") + each("other_logs") + each("rare_logs") - count("n_other") * F.lit(other_spread)).alias("score"),
+        (each("model") + each("other_logs") + each("rare_logs")).alias("score"),
         F.explode(F.array_repeat(F.lit(0), F.col("rows"))).alias("again"),
     ).drop("again")

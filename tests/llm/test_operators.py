@@ -190,44 +190,100 @@ def test_language_scores(docs, plain, empty):
     assert log_bilinear.language_scores(empty, rounds=1).count() == 0
 
 
-def test_language_model_is_normalised_and_learns(spark):
+@pytest.mark.parametrize("table", [log_bilinear.TABLE, 3])
+def test_language_model_score_is_the_plain_softmax(docs, plain, monkeypatch, table):
+    """Every score is the sum over its words of the product of three plain softmaxes; with a table of three, most words are rare."""
+    monkeypatch.setattr(log_bilinear, "TABLE", table)
+    made = {}
+    train = log_bilinear.train
+    monkeypatch.setattr(log_bilinear, "train", lambda texts, vocabulary, rounds: made.setdefault("all", (train(texts, vocabulary, rounds), vocabulary.value))[0])
+    got = log_bilinear.language_scores(docs).collect()
+    model, known = made["all"]
+    cut = lambda t: t.encode().lower().split()
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    count = Counter(w for d, t in plain if not held(d) for w in cut(t))
+    own = {w: 1 + i for i, (w, c) in enumerate((w, c) for w, c in known.number.items() if count[w] >= log_bilinear.LEAST)}
+    assert len(own) == known.n_own
+    sign = lambda w: own.get(w, 1 + len(own) + zlib.crc32(w) % known.signs)
+    together = Counter()
+    for w, c in count.items():
+        if w not in own:
+            together[sign(w)] += c + 1
+
+    def softmax(h, level, at):
+        scores = model.output[level][at].astype(float) @ h + model.bias[level][at]
+        return scores - np.log(np.exp(scores).sum())
+
+    def log_share(a, b, w):
+        h = model.context[b] * model.place[0] + model.context[a] * model.place[1]
+        out, i, g = 0.0, w, model.group
+        if w >= model.own:
+            rest = w - model.own
+            out += softmax(h, 1, np.arange(rest // g // g * g, min(rest // g // g * g + g, model.nodes[1])))[rest // g % g]
+            out += softmax(h, 2, np.arange(rest // g * g, min(rest // g * g + g, model.nodes[2])))[rest % g]
+            i = model.own + rest // g // g
+        return (out + softmax(h, 0, np.arange(model.nodes[0]))[i]) / np.log(10)
+
+    want = []
+    for d, t in plain[:60]:
+        signs = [0, 0, *map(sign, cut(t)), 0]
+        score = sum(log_share(*signs[i : i + 3]) for i in range(len(signs) - 2))
+        score += sum(np.log10((count[w] + 1) / (together[sign(w)] + 1)) for w in cut(t) if w not in own)
+        want.append((d, score))
+    scores = {}
+    for r in got:
+        scores.setdefault(r["doc_id"], []).append(r["score"])
+    for d, score in want:
+        assert min(abs(s - score) / max(1, abs(score)) for s in scores[d]) < 1e-4, d
+
+
+def language_vocabulary(made, more=()):
+    """A vocabulary of these texts as the operator makes it; ``more`` are tokens left out of the table."""
+    rows = Counter(w for t in made for w in t).most_common()
+    every = [*rows, *more]
+    shared = np.zeros((2, log_bilinear.shared_signs(len(every) + 1)), np.int64)
+    for w, c in every:
+        shared[:, zlib.crc32(w) % shared.shape[1]] += c, 1
+    return log_bilinear.Vocabulary(rows, sum(c for _, c in every) + len(made), len(every) + 1, len(made), shared)
+
+
+def test_language_model_is_normalised_and_learns():
     rng = np.random.default_rng(0)
-    made = [" ".join(f"{'ab'[k % 2]}{int(i)}" for i in rng.integers(0, 30, 60)) for k in range(200)]
-    vocabulary = Counter(w for t in made for w in t.encode().split())
-    known = log_bilinear.Vocabulary(vocabulary.most_common(), sum(vocabulary.values()) + len(made), len(vocabulary) + 1, len(made))
-    _, words, sizes = known.find([t.encode().split() for t in made])
+    made = [[b"%c%d" % (b"ab"[k % 2], i) for i in rng.integers(0, 30, 60)] for k in range(200)]
+    known = language_vocabulary(made)
+    _, words, sizes = known.find(made)
     model = log_bilinear.Model(known.share)
     one, two = log_bilinear.contexts(words, sizes)
-    before = model.log10(one, two, words, model.normalisers(range(model.n)).ravel()).mean()
+    before = model.log10(one, two, words).mean()
     state = np.full(len(model.values), 1e-4, np.float32)
-    for _ in range(6):
-        model.learn(one, two, words, state, np.random.default_rng(1))
-    norms = model.normalisers(range(model.n)).ravel()
-    assert model.log10(one, two, words, norms).mean() > before + 0.1
+    for k in range(12):
+        model.learn(one, two, words, state, np.random.default_rng(k))
+    assert model.log10(one, two, words).mean() > before + 0.1
     every = np.arange(model.n)
-    total = (10 ** model.log10(np.full(model.n, 5), np.full(model.n, 9), every, norms)).sum()
-    assert total == pytest.approx(1, abs=1e-4)
+    assert (10 ** model.log10(np.full(model.n, 5), np.full(model.n, 9), every)).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_language_model_tells_all_frequent_words_apart():
     rng = np.random.default_rng(0)
     made = [[b"%c%d" % (b"ab"[k % 2], i) for i in rng.integers(0, 1500, 400)] for k in range(600)]
-    rows = Counter(w for t in made for w in t).most_common()
-    known = log_bilinear.Vocabulary([*rows, (b"rare", log_bilinear.LEAST - 1)], sum(c for _, c in rows) + log_bilinear.LEAST - 1 + len(made), len(rows) + 2, len(made))
+    more = [(b"rare%d" % k, log_bilinear.LEAST - 1) for k in range(5000)]
+    known = language_vocabulary(made, more)
     found, words, sizes = known.find(made)
-    assert len(rows) == 3000 and len(set(known.word[found])) == 3000 and not (known.word[found] == log_bilinear.OTHER).any()
-    assert known.word[known.number[b"rare"]] == log_bilinear.OTHER and (known.others, known.other_kinds) == (log_bilinear.LEAST - 1, 1)
+    assert known.n_own == 3000 and len(set(known.word[found])) == 3000
+    # Rare words are shared out: with their own signs there are more than a thousand signs of theirs.
+    _, rare, _ = known.find([[w for w, _ in more]])
+    assert len(set(rare[:-1])) > 900 and rare[:-1].min() > known.n_own
+    assert round(sum(10**s for s in known.spread)) == sum(c + 1 for _, c in more) + known.signs
     model = log_bilinear.Model(known.share)
     one, two = log_bilinear.contexts(words, sizes)
     state = np.full(len(model.values), 1e-4, np.float32)
-    mean = lambda: model.log10(one, two, words, model.normalisers(range(min(model.n, log_bilinear.NEAR))).ravel()).mean()
-    before = mean()
+    before = model.log10(one, two, words).mean()
     for k in range(4):
         model.learn(one, two, words, state, np.random.default_rng(k))
-    assert mean() > before + 0.1
-    norms, every = model.normalisers(range(min(model.n, log_bilinear.NEAR))).ravel(), np.arange(model.n)
+    assert model.log10(one, two, words).mean() > before + 0.1
+    every = np.arange(model.n)
     for a, b in ((5, 9), (2900, 9), (7, 1500), (2999, 2000)):
-        assert (10 ** model.log10(np.full(model.n, a), np.full(model.n, b), every, norms)).sum() == pytest.approx(1, abs=1e-4)
+        assert (10 ** model.log10(np.full(model.n, a), np.full(model.n, b), every)).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_least_frequent(spark):
