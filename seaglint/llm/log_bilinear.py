@@ -45,6 +45,8 @@ TOGETHER = 4
 RANGE = 8_192
 #: Predictions scored at a time.
 SCORED = 2_048
+#: Scores below this bound, of either sign, have exponentials that can be added up as they are.
+SMALL = 70.0
 #: Broadcast counts, and the longest token among them in bytes: at most 13 MB of tokens.
 TABLE, TABLE_BYTES = 200_000, 64
 #: Tokens that a task counts before it passes them on.
@@ -129,8 +131,8 @@ class Vocabulary:
 
     @classmethod
     def of(cls, counts: DataFrame) -> Vocabulary:
-        end = counts.where(F.col("token") == F.lit(END_TOKEN)).agg(F.sum("c").alias("c")).first()["c"] or 0
-        totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+        end = F.sum(F.when(F.octet_length("token") == 0, F.col("c")))
+        totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(end, F.lit(0)).alias("ends")).first()
         words = counts.where(F.octet_length("token") > 0)
         own = words.where(F.octet_length("token") <= TABLE_BYTES)
         top = own.where(F.col("c") >= least_frequent(own, TABLE)).orderBy(F.desc("c"), "token").toArrow()
@@ -138,7 +140,7 @@ class Vocabulary:
         by_sign = words.groupBy((F.crc32("token") % shared.shape[1]).alias("sign")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
         held = by_sign.toArrow()
         shared[:, held.column("sign").to_numpy()] = held.column("n").to_numpy(), held.column("v").to_numpy()
-        return cls(list(zip(top.column("token").to_pylist(), top.column("c").to_pylist())), totals["n"], totals["v"], end, shared)
+        return cls(list(zip(top.column("token").to_pylist(), top.column("c").to_pylist())), totals["n"], totals["v"], totals["ends"], shared)
 
     def find(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Table numbers of all words one after another (-1: rare), signs with an end for each text, and text sizes."""
@@ -166,19 +168,22 @@ def contexts(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return one, two
 
 
-def log_sum(h: np.ndarray, output: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of the exponentials of all children's scores for each prediction."""
+def log_sum(h: np.ndarray, output: np.ndarray, small: bool) -> np.ndarray:
+    """Logarithm of the sum of the exponentials of all children's scores for each prediction.
+
+    Predictions end in a 1, vectors in their bias. ``small`` says that no score is out of the range of exponentials, so that the largest need not be taken off.
+    """
     scores = output @ h.T
-    scores += bias[:, None]
-    top = scores.max(axis=0)
-    scores -= top
+    top = 0 if small else scores.max(axis=0)
+    if not small:
+        scores -= top
     np.exp(scores, out=scores)
     return top + np.log(scores.sum(axis=0))
 
 
 def moved(rows: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
     """The distinct rows in order, and the sums of their gradients."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows)
     own = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     return own[starts], *(np.add.reduceat(g.take(order, axis=0), starts, axis=0) for g in grads)
@@ -255,16 +260,20 @@ class Model:
 
     def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Normalised log-probabilities of words after their contexts."""
-        order = np.argsort(word, kind="stable")
+        order = np.argsort(word)
         word, one, two = word[order], one[order], two[order]
-        h = self.context.take(one, axis=0) * self.place[0]
-        h += self.context.take(two, axis=0) * self.place[1]
+        h = np.ones((len(word), SIZE + 1), np.float32)
+        h[:, :SIZE] = self.context.take(one, axis=0) * self.place[0]
+        h[:, :SIZE] += self.context.take(two, axis=0) * self.place[1]
         first = np.searchsorted(word, self.own)
         found = np.zeros(len(word))
-        for level, (output, bias) in enumerate(zip(self.output, self.bias)):
+        longest = np.sqrt(np.einsum("ij,ij->i", h[:, :SIZE], h[:, :SIZE]).max(initial=0))
+        for level, (vectors, bias) in enumerate(zip(self.output, self.bias)):
+            output = np.append(vectors, bias[:, None], axis=1)
             start = first if level else 0
             node = self.node(level, word[start:])
-            found[start:] += np.einsum("ij,ij->i", h[start:], output.take(node, axis=0)) + bias[node]
+            small = longest * np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0)) + np.abs(bias).max(initial=0) < SMALL
+            found[start:] += np.einsum("ij,ij->i", h[start:], output.take(node, axis=0))
             parent = self.node(level - 1, word[start:]) if level else np.zeros(len(word), np.int64)
             ends = [*np.flatnonzero(np.diff(parent)) + 1, len(parent)]
             for lo, hi in zip([0, *ends], ends):
@@ -272,7 +281,7 @@ class Model:
                 children = slice(p * self.group, (p + 1) * self.group) if level else slice(None)
                 for at in range(start + lo, start + hi, SCORED):
                     to = min(at + SCORED, start + hi)
-                    found[at:to] -= log_sum(h[at:to], output[children], bias[children])
+                    found[at:to] -= log_sum(h[at:to], output[children], small)
         out = np.empty(len(word))
         out[order] = found / np.log(10)
         return out
